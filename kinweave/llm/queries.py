@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm import leakage, quantiles, runs, stuffing
+from kinweave.llm import leakage, mixing, quantiles, runs, stuffing
 from kinweave.plans.staging import load, usable_edges
 
 
@@ -49,6 +49,15 @@ def p7_clean(spark: SparkSession, d: str) -> DataFrame:
     return leakage.without_leaks(load(spark, d, "documents"), load(spark, d, "eval_items")).select("doc_id", "lang", "source")
 
 
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    docs = load(spark, d, "documents").select("doc_id", "source", "lang", "text")
+    return mixing.mix(docs, load(spark, d, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(load(spark, d, "documents"), load(spark, d, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return stuffing.stuffed_documents(load(spark, d, "documents"))
 
@@ -57,7 +66,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return stuffing.stuffing(load(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_runs, p4_percentiles, p4_combined, p7_found, p7_matches, p7_clean, p9_found, p9_shares)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_runs, p4_percentiles, p4_combined, p7_found, p7_matches, p7_clean, p8_mix, p8_shares, p9_found, p9_shares)}
 
 _RUNS = """
 WITH once AS (SELECT DISTINCT id, child, parent, "left" AS l, "right" AS r FROM edges
