@@ -39,7 +39,8 @@ def _key(x: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.DoubleType())
 def _value(k: pd.Series) -> pd.Series:
-    return pd.Series(from_key(k.to_numpy()))
+    lowest, highest = to_key(np.array([-np.inf, np.inf]))  # bounds beyond the infinities are no numbers
+    return pd.Series(from_key(np.clip(k.to_numpy(), lowest, highest)))
 
 
 def keyed(values: DataFrame, group: str, value: str, *also: str) -> DataFrame:

@@ -69,7 +69,7 @@ def test_percentiles(spark):
     assert {(r["grp"], r["q"]): r["value"] for r in quantiles.percentiles(df, "g", "v", qs).collect()} == want
     for r in quantiles.combined(quantiles.histograms(df, "g", "v", "batch"), qs).collect():
         exact = want[r["grp"], r["q"]]
-        assert r["low"] <= exact and (exact <= r["high"] or np.isnan(r["high"]))
+        assert r["low"] <= exact <= r["high"]
         if np.isfinite(exact) and abs(exact) > 1e-290:
             assert abs(r["low"] - exact) <= abs(exact) * 2**-19
     assert quantiles.percentiles(df.limit(0), "g", "v").count() == 0
@@ -153,7 +153,7 @@ STUFFED = {
     "terms": "pump\nvalve\nhousing\nseal ring\nbearing\nantenna\nlens\nsensor\nslot\n" * 4,
     "tags": " ".join(f"#buypump{i}" for i in range(60)),
     "table": "\n".join(f"Pump | valve | {i}.50 EUR | SKU-{i}99 | offer" for i in range(20)),
-    "wide": "ポンプ、弁、筐体、電極、軸受、歯車、回転子、入口、出口、磁石" * 3,
+    "wide": "ポンプ、弁、筐体、電極、軸受、歯車、回転子、入口、出口、磁石、" * 9,
     "spanish": "intercambiador de calor precio intercambiador de calor comprar intercambiador de calor barato " * 6,
 }
 
