@@ -88,24 +88,24 @@ def strong_members(child: np.ndarray, parent: np.ndarray) -> tuple[np.ndarray, n
 def _solve(links: DataFrame, group: list[str]) -> DataFrame:
     def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         member, cycle = strong_members(pdf["child"].to_numpy(), pdf["parent"].to_numpy())
-        return pd.DataFrame({"kind": pdf["kind"].iloc[0], "cycle_id": cycle, "member_id": member})
+        return pd.DataFrame({"cycle": cycle, "member": member})
 
-    return links.groupBy(*group).applyInPandas(solve, "kind string, cycle_id long, member_id long")
+    return links.withColumn("_one", F.lit(0)).groupBy(*(group or ["_one"])).applyInPandas(solve, "cycle long, member long")
 
 
 def _prune(links: DataFrame) -> DataFrame:
     """Keep the links whose two ends both have a link on either side."""
-    ends = links.select("kind", F.col("child").alias("node"), F.lit(1).alias("side")).unionByName(links.select("kind", F.col("parent").alias("node"), F.lit(2).alias("side")))
-    live = ends.groupBy("kind", "node").agg(F.bit_or("side").alias("sides")).where("sides = 3").select(F.struct("kind", "node").alias("end"))
-    live = stage(live, "live")
-    left = links.withColumn("end", F.struct("kind", F.col("parent").alias("node")))
-    once = skew_join(left, live, "end", "left_semi", ["child"]).drop("end")
-    both = skew_join(once.withColumn("end", F.struct("kind", F.col("child").alias("node"))), live, "end", "left_semi", ["parent"]).drop("end")
-    return both.distinct()
+    ends = links.select(F.col("child").alias("node"), F.lit(1).alias("side")).unionByName(links.select(F.col("parent").alias("node"), F.lit(2).alias("side")))
+    live = stage(ends.groupBy("node").agg(F.bit_or("side").alias("sides")).where("sides = 3").select("node"), "live")
+    once = skew_join(links, live.withColumnRenamed("node", "parent"), "parent", "left_semi", ["child"])
+    both = skew_join(once, live.withColumnRenamed("node", "child"), "child", "left_semi", ["parent"])
+    out = stage(both.distinct(), "links")
+    discard(live)
+    return out
 
 
 def _chains(links: DataFrame, fragments: int, seed: int) -> DataFrame:
-    """Within fragments, each node with a single parent and the exit of its chain: ``kind``, ``f``, ``node``, ``exit``, ``up``.
+    """Within fragments, each node with a single parent and the exit of its chain: ``f``, ``node``, ``exit``, ``up``.
 
     A chain ends at the first node that has several parents or is an entry, i.e. the parent of a link from another fragment. The smallest
     node of a chain that closes upon itself is its exit. Exits are never contracted.
@@ -133,92 +133,93 @@ def _chains(links: DataFrame, fragments: int, seed: int) -> DataFrame:
                 out = exits.get(v, v)
             for w in walk:
                 exits.setdefault(w, out)
-        rows = [(key[0], int(key[1]), u, e, up[u]) for u, e in exits.items() if u != e]
-        return pd.DataFrame(rows, columns=["kind", "f", "node", "exit", "up"])
+        rows = [(int(key[0]), u, e, up[u]) for u, e in exits.items() if u != e]
+        return pd.DataFrame(rows, columns=["f", "node", "exit", "up"])
 
-    entries = links.where(fragment("child") != fragment("parent")).select(F.struct("kind", F.col("parent").alias("node")).alias("end"), F.lit(True).alias("entry")).distinct()
-    marked = skew_join(links.withColumn("end", F.struct("kind", F.col("child").alias("node"))), entries, "end", "left", ["parent"])
-    marked = marked.select("kind", "child", "parent", F.coalesce("entry", F.lit(False)).alias("entry"), fragment("child").alias("_f"))
-    return marked.groupBy("kind", "_f").applyInPandas(contract, "kind string, f long, node long, exit long, up long")
+    entries = links.where(fragment("child") != fragment("parent")).select(F.col("parent").alias("child"), F.lit(True).alias("entry")).distinct()
+    marked = skew_join(links, entries, "child", "left", ["parent"])
+    marked = marked.select("child", "parent", F.coalesce("entry", F.lit(False)).alias("entry"), fragment("child").alias("_f"))
+    return marked.groupBy("_f").applyInPandas(contract, "f long, node long, exit long, up long")
 
 
 def _along(chains: DataFrame, entries: DataFrame) -> DataFrame:
-    """The chain nodes from each entry up to its exit, with the loop of the exit: ``kind``, ``cycle_id``, ``member_id``."""
+    """The chain nodes from each entry up to its exit, with the loop of the exit: ``cycle``, ``member``."""
 
     def walk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         up = dict(zip(pdf["node"].tolist(), pdf["up"].tolist()))
         out: dict[int, int] = {}
-        for u, c in pdf.loc[pdf["cycle_id"].notna(), ["node", "cycle_id"]].itertuples(index=False):
+        for u, c in pdf.loc[pdf["cycle"].notna(), ["node", "cycle"]].itertuples(index=False):
             while u in up and u not in out:
                 out[u] = int(c)
                 u = up[u]
-        return pd.DataFrame({"kind": key[0], "cycle_id": list(out.values()), "member_id": list(out)})
+        return pd.DataFrame({"cycle": list(out.values()), "member": list(out)})
 
-    marked = chains.join(entries, ["kind", "node"], "left")
-    return marked.groupBy("kind", "f").applyInPandas(walk, "kind string, cycle_id long, member_id long")
+    return chains.join(entries, "node", "left").groupBy("f").applyInPandas(walk, "cycle long, member long")
 
 
-def cycles(links: DataFrame, base_links: int = BASE_LINKS, fragments: int | None = None) -> DataFrame:
+def cycles(links: DataFrame, base_links: int = BASE_LINKS, fragments: int | None = None, kinds: tuple[str, ...] = ("node", "individual")) -> DataFrame:
     """Members of loops: ``kind``, ``cycle_id`` (smallest id of the members that are each other's ancestors), ``member_id``.
 
-    ``links`` has ``kind``, ``child`` and ``parent``; rows with a NULL end are left out, repeated rows count once, a node that is its own
-    parent is a loop of one. Other columns are ignored; an empty table gives no rows.
+    ``links`` has ``kind`` (one of ``kinds``), ``child`` and ``parent``; rows with a NULL end or another kind are left out, repeated rows count
+    once, a node that is its own parent is a loop of one. Other columns are ignored; an empty table gives no rows. Ids must lie within
+    2**63 divided by the number of kinds, as a node of any kind is one long while solving.
     """
-    links = links.select("kind", "child", "parent").where(F.col("child").isNotNull() & F.col("parent").isNotNull())
-    spark = links.sparkSession
-    own = stage(links.where("child = parent").select("kind", F.col("child").alias("cycle_id"), F.col("child").alias("member_id")).distinct(), "own")
-    links = links.where("child <> parent")
-    rest = stage(_prune(links), "links")
-    n, rounds = rest.count(), []
+    code = F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col("kind")) - 1
+    links = links.where(F.col("child").isNotNull() & F.col("parent").isNotNull() & (code >= 0))
+    links = links.select((F.col("child") * len(kinds) + code).alias("child"), (F.col("parent") * len(kinds) + code).alias("parent"))
+    own = stage(links.where("child = parent").select(F.col("child").alias("cycle"), F.col("child").alias("member")).distinct(), "own")
+    rest, rounds = _prune(links.where("child <> parent")), []
+    n = rest.count()
     while n > base_links:
-        smaller = stage(_prune(rest), "links")
+        smaller = _prune(rest)
         discard(rest)
         rest, before, n = smaller, n, smaller.count()
         if n > base_links and n > 0.7 * before:  # dead ends are few: contract chains
             parts = fragments or max(8, -(-n // base_links) * 4)
             chains = stage(_chains(rest, parts, len(rounds)), "chains")
-            moved = chains.select(F.struct("kind", F.col("node")).alias("end"), "exit")
-            hop = skew_join(rest.withColumn("end", F.struct("kind", F.col("parent").alias("node"))), moved, "end", "left", ["child"])
-            hop = hop.select("kind", "child", F.col("parent").alias("via"), F.coalesce("exit", "parent").alias("parent"))
-            hop = skew_join(hop.withColumn("end", F.struct("kind", F.col("child").alias("node"))), moved.select("end"), "end", "left_anti", ["parent"]).drop("end")
-            hop = stage(hop, "hops")
+            moved = chains.select(F.col("node").alias("parent"), "exit")
+            hop = skew_join(rest, moved, "parent", "left", ["child"])
+            hop = hop.select("child", F.col("parent").alias("via"), F.coalesce("exit", "parent").alias("parent"))
+            hop = stage(skew_join(hop, moved.select(F.col("parent").alias("child")), "child", "left_anti", ["parent"]), "hops")
             rounds.append((hop, chains))
-            rest = stage(hop.select("kind", "child", "parent").distinct(), "links")
+            rest = stage(hop.select("child", "parent").distinct(), "links")
             m = rest.count()
-            if m >= n:  # neither step shrinks it: give the rest to as large a task as it needs, split by weak components
-                return _weak(rest, own, rounds, spark)
+            if m >= n:  # neither step shrinks it: split by weak components
+                break
             n = m
-    return _expand(stage(_solve(rest, ["kind"]), "members"), own, rounds)
+    found = _weak(rest) if n > base_links else _solve(rest, [])
+    every = _expand(stage(found, "members"), own, rounds)
+    name = F.element_at(F.array(*[F.lit(k) for k in kinds]), (F.pmod("member", F.lit(len(kinds))) + 1).cast("int"))
+    back = lambda c: F.expr(f"({c} - pmod({c}, {len(kinds)})) div {len(kinds)}")
+    return every.select(name.alias("kind"), back("cycle").alias("cycle_id"), back("member").alias("member_id"))
 
 
-def _weak(rest: DataFrame, own: DataFrame, rounds: list, spark) -> DataFrame:
+def _weak(rest: DataFrame) -> DataFrame:
     """Solve each weakly connected component in a task of its own, labels spreading by minimum with pointer jumps."""
-    label = stage(rest.select("kind", F.col("child").alias("node")).unionByName(rest.select("kind", F.col("parent").alias("node"))).distinct().withColumn("label", F.col("node")), "labels")
-    both = rest.select("kind", F.col("child").alias("a"), F.col("parent").alias("b")).unionByName(rest.select("kind", F.col("parent").alias("a"), F.col("child").alias("b")))
+    both = rest.select(F.col("child").alias("a"), F.col("parent").alias("b")).unionByName(rest.select(F.col("parent").alias("a"), F.col("child").alias("b")))
+    label = stage(both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")), "labels")
     while True:
-        near = both.join(label.select("kind", F.col("node").alias("b"), "label"), ["kind", "b"]).groupBy("kind", F.col("a").alias("node")).agg(F.min("label").alias("least"))
-        spread = stage(label.join(near, ["kind", "node"]).select("kind", "node", F.least("label", "least").alias("label"), (F.col("least") < F.col("label")).alias("moved")), "labels")
-        jump = spread.alias("x").join(spread.alias("y"), (F.col("x.kind") == F.col("y.kind")) & (F.col("x.label") == F.col("y.node"))).select("x.kind", "x.node", F.least("x.label", "y.label").alias("label"), "x.moved")
+        near = both.join(label.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("least"))
+        spread = stage(label.join(near, "node").select("node", F.least("label", "least").alias("label"), (F.col("least") < F.col("label")).alias("moved")), "labels")
+        jump = spread.alias("x").join(spread.alias("y"), F.col("x.label") == F.col("y.node")).select("x.node", F.least("x.label", "y.label").alias("label"), "x.moved")
         jump = stage(jump, "labels")
-        label = jump.select("kind", "node", "label")
+        label = jump.select("node", "label")
         if jump.where("moved").limit(1).count() == 0:
             break
-    part = rest.join(label.select("kind", F.col("node").alias("child"), "label"), ["kind", "child"])
-    return _expand(stage(_solve(part, ["kind", "label"]), "members"), own, rounds)
+    return _solve(rest.join(label.select(F.col("node").alias("child"), "label"), "child"), ["label"])
 
 
 def _expand(members: DataFrame, own: DataFrame, rounds: list) -> DataFrame:
     """Give contracted chains back: a chain node is a member if a member leads into it or above it and its exit is in the same loop."""
     for hop, chains in reversed(rounds):
-        a = members.select("kind", F.col("member_id").alias("child"), F.col("cycle_id").alias("c"))
-        b = members.select("kind", F.col("member_id").alias("parent"), F.col("cycle_id").alias("d"))
-        looped = hop.where("via <> parent").join(a, ["kind", "child"]).join(b, ["kind", "parent"]).where("c = d")
-        entries = looped.select("kind", F.col("via").alias("node"), F.col("c").alias("cycle_id")).distinct()
+        a = members.select(F.col("member").alias("child"), F.col("cycle").alias("c"))
+        b = members.select(F.col("member").alias("parent"), F.col("cycle").alias("d"))
+        looped = hop.where("via <> parent").join(a, "child").join(b, "parent").where("c = d")
+        entries = looped.select(F.col("via").alias("node"), F.col("c").alias("cycle")).distinct()
         full = members.unionByName(_along(chains, entries)).distinct()
-        least = full.groupBy("kind", "cycle_id").agg(F.min("member_id").alias("least"))
-        members = stage(full.join(least, ["kind", "cycle_id"]).select("kind", F.col("least").alias("cycle_id"), "member_id"), "members")
-    alone = own.join(members.select("kind", "member_id"), ["kind", "member_id"], "left_anti")
-    return members.unionByName(alone.select("kind", "cycle_id", "member_id"))
+        least = full.groupBy("cycle").agg(F.min("member").alias("least"))
+        members = stage(full.join(least, "cycle").select(F.col("least").alias("cycle"), "member"), "members")
+    return members.unionByName(own.join(members.select("member"), "member", "left_anti").select("cycle", "member"))
 
 
 def all_links(edges: DataFrame, individuals: DataFrame) -> DataFrame:

@@ -126,6 +126,13 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", s
     if fits_broadcast(right, limit):
         return left.join(F.broadcast(right), key, how)
     plan = plan_loads(left, key)
+    if how in ("inner", "left_semi"):  # rows of a split key without a partner need not travel
+        left = left.where(F.col(key).isNotNull())
+        split = [k for k, _ in plan.heavy if k is not None]
+        if split and not isinstance(plan.key_type, T.StructType):
+            met = {r[0] for r in right.where(F.col(key).isin(split)).select(key).distinct().collect()}
+            alone = [k for k in split if k not in met]
+            left = left.where(~F.col(key).isin(alone)) if alone else left
     a = fragment(left, key, plan, shard_by or [c for c in left.columns if c != key] or [key])
     b = replicate(right, key, plan)
     return a.join(b, ["_task", "_shard", key], how).drop("_task", "_shard")
