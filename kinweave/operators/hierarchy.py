@@ -288,7 +288,7 @@ def _paths(forest: DataFrame, base_links: int, depth: int) -> DataFrame:
     upper = _paths(quotient, base_links, depth + 1)
     stuck = local.where("loops").select(F.struct("kind", "node").alias("end"), F.lit(None).cast("long").alias("top"), F.array().cast("array<long>").alias("rest"), F.lit(True).alias("caught"))
     known = upper.select(F.struct("kind", "node").alias("end"), F.col("parent").alias("top"), F.col("steps").alias("rest"), F.col("loops").alias("caught"))
-    lower = skew_join(local.withColumn("end", F.struct("kind", F.col("parent").alias("node"))), known.unionByName(stuck), "end", "left", ["node"])
+    lower = skew_join(local.withColumn("end", F.struct("kind", F.col("parent").alias("node"))), known.unionByName(stuck), "end", "left", ["node"], limit=10_000)  # rows hold whole paths
     return stage(lower.select(
         "kind", "node", F.coalesce("top", "parent").alias("parent"), F.concat("steps", F.coalesce("rest", F.array().cast("array<long>"))).alias("steps"),
         (F.col("loops") | F.coalesce("caught", F.lit(False))).alias("loops"),
