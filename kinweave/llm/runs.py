@@ -1,7 +1,7 @@
 """Runs of repeated consecutive events, encoded by chunk and merged across chunk boundaries.
 
 Events are range-sorted once; each sorted chunk encodes its runs locally and hands out complete runs, the runs of its first and
-last stretch, and one summary. A prefix merge over the summaries (one row a chunk) tells each chunk the stretch that was open
+last stretch, and one summary. A parallel prefix merge over the summaries (one row a chunk) tells each chunk the stretch that was open
 before it; then the runs at the chunk ends join what they continue. A stretch is a longest succession of rows with one entity
 and one value.
 
@@ -14,10 +14,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from kinweave.plans.staging import stage
 
@@ -77,7 +77,7 @@ def _encode(slack: float):
     return encode
 
 
-def collapse_runs(events: DataFrame, entity: str, value: str, left: str = "left", right: str = "right", id: str = "id", slack: float = 3.0, least: int = 2, rows_per_chunk: int = 1_000_000) -> DataFrame:
+def collapse_runs(events: DataFrame, entity: str, value: str, left: str = "left", right: str = "right", id: str = "id", slack: float = 3.0, least: int = 2, rows_per_chunk: int = 1_000_000, block: int = 1024) -> DataFrame:
     """Each run of consecutive events of an entity with one value as one row.
 
     Events are ordered by (``left``, ``right``, ``id``) within the entity; an event goes on with the run before it if its value is the same and it
@@ -96,9 +96,8 @@ def collapse_runs(events: DataFrame, entity: str, value: str, left: str = "left"
     # the prefix merge: a chunk that is one stretch hands on the larger end; any other chunk starts afresh with its last stretch
     ends = pieces.where("tail").groupBy("chunk").agg(
         F.max_by(F.struct("entity", "value", F.col("from").alias("start"), "piece", "whole"), "piece").alias("at"), F.max("to").alias("to"),
-    ).select("chunk", "at.*", "to")  # one row a chunk
-    carry = ends.groupBy(F.lit(0).alias("all")).applyInPandas(_scan(slack), "chunk long, entity long, value long, reach double, run_chunk long, run_piece long")
-    open_ = carry.select("chunk", F.col("entity").alias("_e"), F.col("value").alias("_v"), "reach", "run_chunk", "run_piece")
+    ).select("chunk", "at.entity", "at.value", "to", "at.start", "at.whole", F.col("chunk").alias("run_chunk"), F.col("at.piece").alias("run_piece"))  # one row a chunk
+    open_ = prefixes(stage(ends, "ends"), slack, block).select("chunk", F.col("entity").alias("_e"), F.col("value").alias("_v"), F.col("to").alias("reach"), "run_chunk", "run_piece")
     rim = pieces.where("head or tail").join(F.broadcast(open_), "chunk", "left")  # as many rows as chunks
     goes_on = F.coalesce(F.col("head") & (F.col("_e") == F.col("entity")) & (F.col("_v") == F.col("value")) & (F.col("from") <= F.col("reach") + slack), F.lit(False))
     rim = rim.withColumn("rc", F.when(goes_on, F.col("run_chunk")).otherwise(F.col("chunk"))).withColumn("rp", F.when(goes_on, F.col("run_piece")).otherwise(F.col("piece")))
@@ -111,19 +110,53 @@ def collapse_runs(events: DataFrame, entity: str, value: str, left: str = "left"
     return runs.select("entity", "value", "n_rows", "from", "to", (F.col("to") - F.col("from")).alias("span"), "first_id", "last_id")
 
 
-def _scan(slack: float):
-    def scan(pdf):
-        """For each chunk the open run before it: its stretch, how far it reaches, and the piece it began with."""
-        pdf = pdf.sort_values("chunk")
-        rows, state = [], None
-        for c, e, v, start, piece, whole, to in pdf[["chunk", "entity", "value", "start", "piece", "whole", "to"]].itertuples(index=False):
-            if state:
-                rows.append((c, *state))
-            same = bool(whole) and state is not None and state[:2] == (e, v)
-            run = (state[3], state[4]) if same and start <= state[2] + slack else (c, piece)
-            state = (e, v, max(to, state[2]) if same else to, *run)
-        import pandas as pd
+_SUMMARY = ["entity", "value", "to", "start", "whole", "run_chunk", "run_piece"]
+_TYPES = "entity long, value long, to double, start double, whole boolean, run_chunk long, run_piece long"
+
+
+def combine(a: tuple | None, b: tuple, slack: float) -> tuple:
+    """The summary of two neighbouring pieces of the order; associative.
+
+    A summary is the last stretch (entity, value), how far it reaches, where its open run starts, whether the piece is one stretch, and the chunk and piece
+    in which the open run began.
+    """
+    if a is None:
+        return b
+    if not (b[4] and a[:2] == b[:2]):
+        return (*b[:4], False, *b[5:])
+    run = (a[3], a[5], a[6]) if b[3] <= a[2] + slack else (b[3], b[5], b[6])
+    return (b[0], b[1], max(a[2], b[2]), run[0], a[4], run[1], run[2])
+
 
-        return pd.DataFrame(rows, columns=["chunk", "entity", "value", "reach", "run_chunk", "run_piece"])
+def prefixes(ends: DataFrame, slack: float, block: int) -> DataFrame:
+    """The combined summary of all chunks before each chunk (none for the first): ``chunk`` and the summary.
 
-    return scan
+    Blocks of summaries are folded in parallel, the blocks' summaries get their prefixes in the same way, and each block is then scanned from its prefix.
+    """
+    def scan(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("chunk")
+        state = None
+        if "c_entity" in pdf and pdf["c_entity"].notna().any():
+            r = pdf.iloc[0]
+            state = tuple(r[f"c_{c}"] for c in _SUMMARY)
+            state = (int(state[0]), int(state[1]), float(state[2]), float(state[3]), bool(state[4]), int(state[5]), int(state[6]))
+        rows = []
+        for c, *own in pdf[["chunk", *_SUMMARY]].itertuples(index=False):
+            if state is not None:
+                rows.append((c, *state))
+            state = combine(state, tuple(own), slack)
+        return pd.DataFrame(rows, columns=["chunk", *_SUMMARY])
+
+    if ends.count() <= block:
+        return ends.groupBy(F.lit(0).alias("all")).applyInPandas(scan, "chunk long, " + _TYPES)
+    numbered = ends.withColumn("b", F.floor(F.col("chunk") / block))
+
+    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        state = None
+        for own in pdf.sort_values("chunk")[_SUMMARY].itertuples(index=False):
+            state = combine(state, tuple(own), slack)
+        return pd.DataFrame([(key[0], *state)], columns=["chunk", *_SUMMARY])
+
+    folded = stage(numbered.groupBy("b").applyInPandas(fold, "chunk long, " + _TYPES), "blocks")
+    before = prefixes(folded, slack, block).select(F.col("chunk").alias("b"), *[F.col(c).alias(f"c_{c}") for c in _SUMMARY])
+    return numbered.join(before, "b", "left").groupBy("b").applyInPandas(scan, "chunk long, " + _TYPES)
