@@ -433,3 +433,104 @@ def table_counts(g):
     from functools import reduce
 
     return reduce(DataFrame.unionByName, out)
+
+
+# --- tables ----------------------------------------------------------------------------------------------------------------
+from kinweave.operators import tables as tb  # noqa: E402
+
+
+@query("""SELECT position, direction, edge, row_number() OVER (PARTITION BY position, direction ORDER BY a, b, c, edge) - 1 AS place FROM (
+  SELECT e."right" AS position, 'out' AS direction, e.id AS edge, -p."time" AS a, -e.parent AS b, -e.child AS c FROM g_edges e JOIN g_nodes p ON p.id = e.parent WHERE e."right" < 10
+  UNION ALL SELECT e."left", 'in', e.id, p."time", e.parent, e.child FROM g_edges e JOIN g_nodes p ON p.id = e.parent) q""")
+def edge_diffs(g):
+    return tb.edge_diffs(g)
+
+
+@query("""SELECT id AS edge, parent, child FROM g_edges WHERE "left" <= 4.5 AND "right" > 4.5""")
+def tree_at_position(g):
+    return tb.tree_at(g, 4.5).select(F.col("id").alias("edge"), "parent", "child")
+
+
+@query("""SELECT individual, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS nodes, min("time") AS "time" FROM g_nodes WHERE individual <> -1 GROUP BY individual""")
+def individual_nodes(g):
+    n = g.nodes.where("individual <> -1").groupBy("individual").agg(F.sort_array(F.collect_list("id")).alias("nodes"), F.min("time").alias("time"))
+    return n.withColumn("nodes", F.array_join(F.col("nodes").cast("array<string>"), ","))
+
+
+@query("""SELECT "left", "right", parent, string_agg(CAST(child AS VARCHAR), ',' ORDER BY child) AS children FROM g_edges GROUP BY ALL""")
+def edgesets(g):
+    return tb.edgesets(g).withColumn("children", F.array_join(F.col("children").cast("array<string>"), ","))
+
+
+@query("""SELECT min("time") AS min_time, max("time") AS max_time FROM g_nodes""")
+def extreme_times(g):
+    return tb.extremes(g).select("min_time", "max_time")
+
+
+@query("""SELECT row_number() OVER (ORDER BY id) - 1 AS id, "time", population FROM g_nodes WHERE population = 2""")
+def kept_nodes(g):
+    k, _ = tb.keep_rows(g, "nodes", F.col("population") == 2)
+    return k.nodes.select("id", "time", "population")
+
+
+# --- weighted statistics ---------------------------------------------------------------------------------------------------
+_TRAIT = """,
+tw AS (SELECT id, (id % 7)::DOUBLE AS w FROM samp), mo AS (SELECT count(*)::DOUBLE AS n, avg(w) AS m, stddev_samp(w) AS sd FROM tw),
+b AS (SELECT t.l, t.r, e.child AS node, p."time" - c."time" AS len, sum(tw.w) AS s, count(*)::DOUBLE AS x FROM tr t JOIN g_edges e ON e."left" < t.r AND t.l < e."right" JOIN g_nodes p ON p.id = e.parent JOIN g_nodes c ON c.id = e.child
+  JOIN anc a ON a.node = e.child AND a.l < t.r AND t.l < a.r JOIN tw ON tw.id = a.start GROUP BY ALL)"""
+
+
+def _trait(g) -> DataFrame:
+    return g.samples().select(F.col("id").alias("sample"), (F.col("id") % 7).cast("double").alias("w"))
+
+
+@query(_TRAIT + "SELECT round(sum((r - l) * len * 2 * (s - m * x) * (s - m * x) / (2 * (n - 1) * (n - 1))) / 10, 8) AS value FROM b, mo")
+def branch_trait_covariance(g):
+    return r9(st.trait_covariance(g, _trait(g), ["w"], "mod7", None, "branch").select("value"), "value")
+
+
+@query(_TRAIT + "SELECT round(sum((r - l) * len * 2 * CASE WHEN x < n THEN power((s - m * x) / sd, 2) / (2 * x * (1 - x / n) * (n - 1)) ELSE 0 END) / 10, 8) AS value FROM b, mo")
+def branch_trait_correlation(g):
+    return r9(st.trait_correlation(g, _trait(g), ["w"], "mod7", None, "branch").select("value"), "value")
+
+
+@query(_TRAIT + "SELECT round(sum((r - l) * len * 2 * power(s - m * n * x / n, 2)) / 10, 6) AS value FROM b, mo")
+def branch_relatedness_weighted(g):
+    return st.relatedness_weighted(g, _trait(g), ["w"], [(0, 0)], "mod7", None, "branch").select(F.round("value", 6).alias("value"))
+
+
+def _related_sql() -> str:
+    m = "(" + " + ".join(f"x{p} / n{p}" for p in POPULATIONS) + ") / 5"
+    parts = [f"""SELECT '{i},{j}' AS "index", round(sum(CASE WHEN NOT anc_ THEN (x{i} / n{i} - {m}) * (x{j} / n{j} - {m}) ELSE 0 END) / 10, 8) AS value FROM wide, wn""" for i, j in ((0, 0), (0, 1), (3, 4))]
+    return _GENO + f", wide AS (SELECT site, pos, allele, anc_, {_WIDE} FROM ac a GROUP BY ALL), {_WN}\n" + "\nUNION ALL ".join(parts)
+
+
+@query(_related_sql())
+def site_relatedness(g):
+    return r9(st.genetic_relatedness(g, pops(g), [(0, 0), (0, 1), (3, 4)], None, "site", True, True, False).select("index", "value"), "value")
+
+
+def _divmat_sql() -> str:
+    parts = []
+    for i in POPULATIONS:
+        for j in POPULATIONS:
+            f = _F["divergence"].format(i, j, same=int(i == j))
+            back = f"(n{i} - x{i}) * x{j} / (n{i} * (n{j} - {int(i == j)}))"
+            parts.append(f"""SELECT '{i},{j}' AS "index", round(sum((r - l) * len * ({f} + {back})) / 10, 8) AS value FROM wide, wn""")
+    return _CNT + f", wide AS (SELECT b.tree, b.l, b.r, b.node, len, {_WIDE} FROM br b LEFT JOIN cnt a ON a.tree = b.tree AND a.node = b.node GROUP BY ALL), {_WN}\n" + "\nUNION ALL ".join(parts)
+
+
+@query(_divmat_sql())
+def branch_divergence_matrix(g):
+    return r9(st.divergence_matrix(g, pops(g), None, "branch").select("index", "value"), "value")
+
+
+@query(_CNT + """,
+xx AS (SELECT tree, l, r, node, sum(x) AS x FROM cnt GROUP BY ALL),
+co AS (SELECT xx.node, sum((xx.r - xx.l) * (x * x - coalesce((SELECT sum(c.x * c.x) FROM g_edges e JOIN xx c ON c.tree = xx.tree AND c.node = e.child WHERE e.parent = xx.node AND e."left" < xx.r AND xx.l < e."right"), 0)
+   - CASE WHEN xx.node IN (SELECT id FROM samp) THEN 1 ELSE 0 END) / 2) AS p FROM xx GROUP BY xx.node),
+byt AS (SELECT n."time" AS t, sum(p) AS p FROM co JOIN g_nodes n ON n.id = co.node GROUP BY n."time"),
+cum AS (SELECT t, sum(p) OVER (ORDER BY t) / sum(p) OVER () AS c FROM byt)
+SELECT q, (SELECT min(t) FROM cum WHERE c >= q - 1e-12) AS "time" FROM (SELECT unnest([0.1e0, 0.5e0, 0.9e0]) AS q) u""")
+def coalescence_quantiles(g):
+    return co.coalescence_quantiles(g, st.Sets.all(g), [(0, 0)], [0.1, 0.5, 0.9]).select("q", "time")
