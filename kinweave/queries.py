@@ -78,6 +78,14 @@ SELECT r.parent, n_rows, CAST(n_ids AS BIGINT) n_ids, n_children, total_span, pa
 FROM rows_ r JOIN ids i ON i.parent = r.parent LEFT JOIN n ON n.id = r.parent WHERE r.parent <> -1""",
     "p3_found": _ORPHANS + "SELECT table_name, field_name, row_id, batch FROM bad WHERE reason IS NOT NULL",
     "p3_report": _ORPHANS + "SELECT table_name, field_name, batch, reason, count(*) n_orphans FROM bad WHERE reason IS NOT NULL GROUP BY ALL",
+    "p5_found": """
+WITH RECURSIVE links AS (
+  SELECT 'node' kind, child, parent FROM edges WHERE parent IS NOT NULL AND parent <> -1
+  UNION SELECT 'individual', id, p FROM (SELECT id, unnest(parents) p FROM individuals) q WHERE p IS NOT NULL AND p <> -1),
+middle AS (SELECT l.* FROM links l WHERE EXISTS (SELECT 1 FROM links u WHERE u.kind = l.kind AND u.child = l.parent) AND EXISTS (SELECT 1 FROM links d WHERE d.kind = l.kind AND d.parent = l.child)),
+reach(kind, a, b) AS (SELECT kind, child, parent FROM middle UNION SELECT r.kind, r.a, l.parent FROM reach r JOIN middle l ON l.kind = r.kind AND l.child = r.b)
+SELECT x.kind, min(y.a) AS cycle_id, x.a AS member_id FROM reach x JOIN reach s ON s.kind = x.kind AND s.a = x.a AND s.b = x.a
+JOIN reach y ON y.kind = x.kind AND y.b = x.a AND y.a = x.b GROUP BY x.kind, x.a""",
     "p5_paths": """
 WITH RECURSIVE links AS (
   SELECT 'node' kind, child, parent FROM edges WHERE parent IS NOT NULL AND parent <> -1
