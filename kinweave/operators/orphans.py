@@ -18,10 +18,16 @@ from kinweave.operators.skew import skew_join
 REFERENCES = (("nodes", "population", "populations"), ("nodes", "individual", "individuals"), ("edges", "parent", "nodes"), ("migrations", "node", "nodes"))
 
 
+def _target(references, to: str, key: str):
+    """Table and id of a target as one long: the id times the number of tables, plus the place of the table."""
+    order = list(dict.fromkeys(t for _, _, t in references))
+    return (F.col(key) * len(order) + order.index(to)).cast("long").alias("target")
+
+
 def _references(tables: dict[str, DataFrame], references) -> DataFrame:
     return reduce(DataFrame.unionByName, [
         tables[t].where(F.col(f).isNotNull() & (F.col(f) != -1)).select(
-            F.concat_ws(":", F.lit(to), F.col(f).cast("string")).alias("target"), F.lit(t).alias("table_name"), F.lit(f).alias("field_name"),
+            _target(references, to, f), F.lit(t).alias("table_name"), F.lit(f).alias("field_name"),
             F.col("id").alias("row_id"), "batch", "recorded_at",
         ) for t, f, to in references
     ])
@@ -34,11 +40,12 @@ def orphans(tables: dict[str, DataFrame], references=REFERENCES) -> DataFrame:
     this order). NULL and -1 refer to nothing; other negative ids are references. An id counts once, with its earliest ``recorded_at``
     and, among equals, its smallest batch; a row without ``recorded_at`` can only be an orphan by ``missing``. Where two rows of a target differ in
     ``retired_at``, that of the earliest counts. Empty tables give no rows, or make every reference to them missing.
+    Ids must lie within 2**63 divided by the number of tables referred to.
     """
     refs = _references(tables, references)
     parents = reduce(DataFrame.unionByName, [
         tables[to].where(F.col("id").isNotNull()).select(
-            F.concat_ws(":", F.lit(to), F.col("id").cast("string")).alias("target"), F.col("recorded_at").alias("known_from"),
+            _target(references, to, "id"), F.col("recorded_at").alias("known_from"),
             F.col("retired_at") if "retired_at" in tables[to].columns else F.lit(None).cast("timestamp").alias("retired_at"),
         ) for to in dict.fromkeys(to for _, _, to in references)
     ])
