@@ -40,6 +40,14 @@ def coalescence_counts(g: Genealogy, sets: Sets, indexes: Sequence[tuple[int, in
     return both.select(F.col("window").cast("long").alias("window"), "node", F.explode(F.array(*cells)).alias("_")).select("window", "node", "_.*").where("abs(value) > 1e-12")
 
 
+def coalescence_by_time(g: Genealogy, sets: Sets, indexes, time_windows: Sequence[float], windows=None, span_normalise: bool = True, pair_normalise: bool = False) -> DataFrame:
+    """Coalescing pairs by time window (half-open) of their ancestor: ``window``, ``index``, ``time_window``, ``value``."""
+    cuts = F.array(*[F.lit(float(x)) for x in time_windows])
+    c = coalescence_counts(g, sets, indexes, windows, span_normalise, pair_normalise).join(g.nodes.select(F.col("id").alias("node"), "time"), "node")
+    k = F.size(F.filter(cuts, lambda t: t <= F.col("time"))) - 1
+    return c.withColumn("time_window", k.cast("long")).where((k >= 0) & (k < len(time_windows) - 1)).groupBy("window", "index", "time_window").agg(F.sum("value").alias("value"))
+
+
 def _by_time(g: Genealogy, counts: DataFrame) -> DataFrame:
     return counts.join(g.nodes.select(F.col("id").alias("node"), "time"), "node").groupBy("window", "index", "time").agg(F.sum("value").alias("value"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from kinweave.model import Genealogy
 from kinweave.operators.genotypes import alleles, carriers
+from kinweave.plans.staging import stage
 
 
 def _p(ab: Column, a: Column, b: Column, n: Column):
@@ -38,9 +39,76 @@ def _d_prime(ab, a, b, n):
     return F.when(d >= 0, _ratio(d, up)).otherwise(_ratio(d, down))
 
 
-def _d2_unbiased(ab, a, b, n):
-    aB, Ab, none = b - ab, a - ab, n - a - b + ab
-    return (aB * aB * (Ab - 1) * Ab + (none - 1) * none * (ab - 1) * ab - aB * Ab * (Ab + 2 * none * ab - 1)) / (n * (n - 1) * (n - 2) * (n - 3))
+_GAMETES = ("AB", "Ab", "aB", "ab")
+_A, _a, _B, _b = {"AB": 1, "Ab": 1}, {"aB": 1, "ab": 1}, {"AB": 1, "aB": 1}, {"Ab": 1, "ab": 1}
+
+
+def _minus(p: dict, q: dict) -> dict:
+    return {k: p.get(k, 0) - q.get(k, 0) for k in p | q}
+
+
+def _times(*factors: dict) -> dict[tuple[str, ...], int]:
+    """The product of linear forms in gamete frequencies as coefficients of sorted monomials."""
+    out: dict[tuple[str, ...], int] = {(): 1}
+    for f in factors:
+        nxt: dict[tuple[str, ...], int] = {}
+        for m, c in out.items():
+            for g, d in f.items():
+                key = tuple(sorted((*m, g)))
+                nxt[key] = nxt.get(key, 0) + c * d
+        out = nxt
+    return out
+
+
+def _plus(*terms: tuple[int, dict]) -> dict:
+    out: dict = {}
+    for k, p in terms:
+        for m, c in p.items():
+            out[m] = out.get(m, 0) + k * c
+    return out
+
+
+_DD = _plus((1, _times({"AB": 1}, {"ab": 1})), (-1, _times({"Ab": 1}, {"aB": 1})))
+
+
+def _square(p: dict) -> dict:
+    out: dict = {}
+    for m, c in p.items():
+        for k, d in p.items():
+            key = tuple(sorted(m + k))
+            out[key] = out.get(key, 0) + c * d
+    return out
+
+
+def _mul(p: dict, q: dict) -> dict:
+    out: dict = {}
+    for m, c in p.items():
+        for k, d in q.items():
+            key = tuple(sorted(m + k))
+            out[key] = out.get(key, 0) + c * d
+    return out
+
+
+def _unbiased(polynomial: dict):
+    """The estimator of a polynomial in gamete frequencies that is unbiased over samples without repetition: powers become falling factorials."""
+    degree = len(next(iter(polynomial)))
+
+    def f(ab, a, b, n):
+        count = {"AB": ab, "Ab": a - ab, "aB": b - ab, "ab": n - a - b + ab}
+        total = F.lit(0.0)
+        for m, c in polynomial.items():
+            if c:
+                term = F.lit(float(c))
+                for g in _GAMETES:
+                    for k in range(m.count(g)):
+                        term = term * (count[g] - k)
+                total = total + term
+        under = n
+        for k in range(1, degree):
+            under = under * (n - k)
+        return _ratio(total, under)
+
+    return f
 
 
 #: name -> (summary of nAB, nA, nB, n; whether only derived alleles count; weighted by haplotypes or evenly)
@@ -52,20 +120,31 @@ STATISTICS = {
     "D_prime": (_d_prime, True, False),
     "Dz": (lambda ab, a, b, n: _d(ab, a, b, n) * (1 - 2 * a / n) * (1 - 2 * b / n), False, False),
     "pi2": (lambda ab, a, b, n: _r_under(a, b, n), False, False),
-    "D2_unbiased": (_d2_unbiased, False, False),
+    "D2_unbiased": (_unbiased(_square(_DD)), False, False),
+    "Dz_unbiased": (_unbiased(_mul(_DD, _times(_minus(_a, _A), _minus(_b, _B)))), False, False),
+    "pi2_unbiased": (_unbiased(_times(_A, _a, _B, _b)), False, False),
+}
+#: two-way statistics: name -> (summary of the counts of one set, whether weighted by haplotypes); the result is the product over the two sets
+TWO_WAY = {
+    "D2_ij": (_d, False),
+    "r2_ij": (lambda ab, a, b, n: _ratio(_d(ab, a, b, n), F.sqrt(_r_under(a, b, n))), True),
+    "D2_ij_unbiased": (_unbiased(_DD), False),
 }
 
 
-def haplotype_counts(g: Genealogy, pairs: DataFrame) -> DataFrame:
+def haplotype_counts(g: Genealogy, pairs: DataFrame, samples: DataFrame | None = None) -> DataFrame:
     """For each pair of sites and of their alleles: ``site_a``, ``site_b``, ``ia``, ``ib`` (allele indexes), ``n_ab``, ``n_a``, ``n_b``, ``n``.
 
-    Alleles that no sample has count as alleles, with zeros.
+    Alleles that no sample has count as alleles, with zeros. ``samples`` (``sample``) restricts the counts to a sample set.
     """
     pairs = pairs.select("site_a", "site_b").distinct()
     al = alleles(g).select("site", "index", "allele")
     c = carriers(g).select("site", "sample", "allele").join(al, ["site", "allele"]).where("index > 0").select("site", "sample", "index")
+    if samples is not None:
+        c = c.join(samples.select("sample").distinct(), "sample", "left_semi").select("site", "sample", "index")
+    c = stage(c, "carriers")  # read four times below
     single = al.join(c.groupBy("site", "index").agg(F.count(F.lit(1)).alias("k")), ["site", "index"], "left").select("site", "index", F.coalesce("k", F.lit(0)).alias("k"))
-    n = g.samples().count()
+    n = g.samples().count() if samples is None else samples.select("sample").distinct().count()
     anc = single.groupBy("site").agg((F.lit(n) - F.sum("k")).alias("k")).select("site", F.lit(0).cast("long").alias("index"), "k")
     single = single.where("index > 0").unionByName(anc)
     x = pairs.join(c.toDF("site_a", "sample", "ia"), "site_a")
@@ -102,6 +181,22 @@ def two_locus(g: Genealogy, pairs: DataFrame, names=("r2",)) -> DataFrame:
     return h.groupBy("site_a", "site_b").agg(*aggs)
 
 
+def two_way(g: Genealogy, pairs: DataFrame, first: DataFrame, second: DataFrame, names=("r2_ij",)) -> DataFrame:
+    """Statistics between two sample sets (``sample``) for given pairs of sites: one column each. The unbiased one needs disjoint sets."""
+    keys = ["site_a", "site_b", "ia", "ib"]
+    x = haplotype_counts(g, pairs, first)
+    y = haplotype_counts(g, pairs, second).withColumnsRenamed({c: f"{c}_j" for c in ("n_ab", "n_a", "n_b", "n")})
+    h = x.join(y, keys)
+    i = [F.col(c).cast("double") for c in ("n_ab", "n_a", "n_b", "n")]
+    j = [F.col(f"{c}_j").cast("double") for c in ("n_ab", "n_a", "n_b", "n")]
+    aggs = []
+    for name in names:
+        f, by_haplotype = TWO_WAY[name]
+        v = f(*i) * f(*j)
+        aggs.append(F.sum(v * (i[0] + j[0]) / (i[3] + j[3])).alias(name) if by_haplotype else F.avg(v).alias(name))
+    return h.groupBy("site_a", "site_b").agg(*aggs)
+
+
 def neighbours(g: Genealogy) -> DataFrame:
     """Each site with the next one along the sequence: ``site_a``, ``site_b``. Sites are ordered within genome bins, and bins are linked by their ends."""
     from pyspark.sql import Window

@@ -334,13 +334,48 @@ def relatedness_weighted(g: Genealogy, weights: DataFrame, columns: Sequence[str
     return weighted_stat(g, weights, columns, {f"{i},{j}": f(i, j) for i, j in indexes}, sums, f"rel:{key}", windows, mode, polarised, span_normalise)
 
 
-def frequency_spectrum(g: Genealogy, sets: Sets, windows=None, mode: str = "site", polarised: bool = False, span_normalise: bool = True) -> DataFrame:
+def trait_linear_model(g: Genealogy, weights: DataFrame, traits: Sequence[str], covariates: Sequence[str], key: str, windows=None, mode: str = "site", span_normalise: bool = True) -> DataFrame:
+    """Half the mean squared coefficient of a genotype in a linear model of a trait with covariates and an intercept; 0 where the genotype lies in their span.
+
+    Covariates are made orthonormal through the triangular factor of their small Gram matrix; only that matrix reaches the driver.
+    """
+    import numpy as np
+
+    z = weights.withColumn("_one", F.lit(1.0)).select("sample", *traits, "_one", *covariates)
+    cols = ["_one", *covariates]
+    k = len(cols)
+    pairs = [(a, b) for a in cols for b in cols]
+    got = z.agg(F.count(F.lit(1)), *[F.sum(F.col(a) * F.col(b)) for a, b in pairs]).first()
+    n, gram = got[0], np.array(got[1:], dtype=float).reshape(k, k)
+    r = np.linalg.inv(np.linalg.cholesky(gram)).T  # columns of Z times r are orthonormal
+    q = [reduce(lambda x, y: x + y, [F.col(c) * float(r[i, j]) for i, c in enumerate(cols)]).alias(f"_q{j}") for j in range(k)]
+    w = z.select("sample", *traits, *q)
+    names = [*traits, *[f"_q{j}" for j in range(k)]]
+    v = w.agg(*[F.sum(F.col(t) * F.col(f"_q{j}")) for t in traits for j in range(k)], *[F.sum(c) for c in names]).first()
+    coef = np.array(v[: len(traits) * k], dtype=float).reshape(len(traits), k)
+    totals = [float(x) for x in v[len(traits) * k :]]
+
+    def f(i: int):
+        def inner(ws, x):
+            zs = ws[len(traits) :]
+            a = reduce(lambda p, jz: p - jz[1] * float(coef[i, jz[0]]), enumerate(zs), ws[i])
+            under = reduce(lambda p, u: p - u * u, zs, x)
+            return F.when((x > 0) & (x < n) & (under >= 1e-8), a * a / (2.0 * under * under)).otherwise(0.0)
+
+        return inner
+
+    return weighted_stat(g, w, names, {t: f(i) for i, t in enumerate(traits)}, totals, f"lm:{key}:{','.join(covariates)}", windows, mode, False, span_normalise)
+
+
+def frequency_spectrum(g: Genealogy, sets: Sets, windows=None, mode: str = "site", polarised: bool = False, span_normalise: bool = True, time_windows: Sequence[float] | None = None) -> DataFrame:
     """Joint allele frequency spectrum: ``window``, ``left``, ``right``, ``bins`` (one count a set), ``value``; empty cells give no row.
 
-    Alleles, or branches, above none or all of all samples are skipped. Unpolarised, each allele or branch adds a half to the folded cell.
+    Alleles, or branches, above none or all of all samples are skipped. Unpolarised, each allele adds a half to the folded cell. In branch mode,
+    ``time_windows`` (rising from 0) cut the branches by time and add ``time_window``.
     """
     w = check_windows(g, windows)
     total = g.samples().count()
+    extra: list = []
     if mode == "site":
         rows = allele_counts(g, sets.table, sets.k, sets.key).withColumn("window", window_of(F.col("position"), w))
         if polarised:
@@ -349,6 +384,14 @@ def frequency_spectrum(g: Genealogy, sets: Sets, windows=None, mode: str = "site
     else:
         rows = over_windows(branches(g, sample_counts(g, sets.table, sets.k, sets.key)), w)
         weight = (F.col("right") - F.col("left")) * F.col("length")
+        if time_windows is not None:
+            cuts = [float(x) for x in time_windows]
+            bins = F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(a).alias("a"), F.lit(b).alias("b")) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))])
+            rows = rows.withColumn("_t", F.explode(F.filter(bins, lambda t: (t["a"] < F.col("pt")) & (t["b"] > F.col("ct")))))
+            weight = (F.col("right") - F.col("left")) * (F.least("pt", "_t.b") - F.greatest("ct", "_t.a"))
+            extra = [F.col("_t.i").alias("time_window")]
+    if time_windows is not None and mode == "site":
+        raise ValueError("time windows need branch mode")
     rows = rows.where((F.col("x_all") > 0) & (F.col("x_all") < total) & F.col("window").isNotNull())
     xs = [F.col(f"x_{j}") for j in range(sets.k)]
     cell = F.array(*xs)
@@ -360,9 +403,9 @@ def frequency_spectrum(g: Genealogy, sets: Sets, windows=None, mode: str = "site
         fold = (own > half) | ((own == half) & later)
         cell = F.when(fold, mirror).otherwise(cell)
         weight = weight * (0.5 if mode == "site" else 1.0)
-    out = rows.groupBy(F.col("window").cast("long").alias("window"), cell.alias("bins")).agg(F.sum(weight).alias("value"))
+    out = rows.groupBy(F.col("window").cast("long").alias("window"), *extra, cell.alias("bins")).agg(F.sum(weight).alias("value"))
     bps = F.array(*[F.lit(b) for b in w])
-    out = out.select("window", F.element_at(bps, F.col("window").cast("int") + 1).alias("left"), F.element_at(bps, F.col("window").cast("int") + 2).alias("right"), "bins", "value")
+    out = out.select("window", *["time_window" for _ in extra], F.element_at(bps, F.col("window").cast("int") + 1).alias("left"), F.element_at(bps, F.col("window").cast("int") + 2).alias("right"), "bins", "value")
     return out.withColumn("value", F.col("value") / (F.col("right") - F.col("left"))) if span_normalise else out
 
 
