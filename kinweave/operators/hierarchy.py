@@ -5,7 +5,7 @@ the answers back:
 
 * :func:`cycles` (any number of parents) drops links that cannot lie on a loop and contracts chains of single-parent nodes within
   a fragment to the chain's exit, until the quotient fits one task; that task finds the strongly connected members, and contracted
-  chains get theirs by expansion.
+  chains get theirs by expansion. A quotient that stays too large is solved by colouring, distributed.
 * :func:`paths` (one primary parent a node) contracts the chains inside each fragment to their exits, solves the forest of the exits
   recursively, and prefixes the paths.
 """
@@ -184,29 +184,59 @@ def cycles(links: DataFrame, base_links: int = BASE_LINKS, fragments: int | None
             rounds.append((hop, chains))
             rest = stage(hop.select("child", "parent").distinct(), "links")
             m = rest.count()
-            if m >= n:  # neither step shrinks it: split by weak components
+            if m >= n:  # neither step shrinks it
                 break
             n = m
-    found = _weak(rest) if n > base_links else _solve(rest, [])
-    every = _expand(stage(found, "members"), own, rounds)
+    found = _colour(rest, base_links) if n > base_links else _solve(rest, [])
+    closed = rest.where("child = parent").select(F.col("child").alias("cycle"), F.col("child").alias("member"))
+    found = stage(found, "members")
+    found = stage(found.unionByName(closed.join(found.select("member"), "member", "left_anti").select("cycle", "member")), "members")
+    every = _expand(found, own, rounds)
     name = F.element_at(F.array(*[F.lit(k) for k in kinds]), (F.pmod("member", F.lit(len(kinds))) + 1).cast("int"))
     back = lambda c: F.expr(f"({c} - pmod({c}, {len(kinds)})) div {len(kinds)}")
     return every.select(name.alias("kind"), back("cycle").alias("cycle_id"), back("member").alias("member_id"))
 
 
-def _weak(rest: DataFrame) -> DataFrame:
-    """Solve each weakly connected component in a task of its own, labels spreading by minimum with pointer jumps."""
-    both = rest.select(F.col("child").alias("a"), F.col("parent").alias("b")).unionByName(rest.select(F.col("parent").alias("a"), F.col("child").alias("b")))
-    label = stage(both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")), "labels")
-    while True:
-        near = both.join(label.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("least"))
-        spread = stage(label.join(near, "node").select("node", F.least("label", "least").alias("label"), (F.col("least") < F.col("label")).alias("moved")), "labels")
-        jump = spread.alias("x").join(spread.alias("y"), F.col("x.label") == F.col("y.node")).select("x.node", F.least("x.label", "y.label").alias("label"), "x.moved")
-        jump = stage(jump, "labels")
-        label = jump.select("node", "label")
-        if jump.where("moved").limit(1).count() == 0:
-            break
-    return _solve(rest.join(label.select(F.col("node").alias("child"), "label"), "child"), ["label"])
+def _colour(rest: DataFrame, base_links: int) -> DataFrame:
+    """Loops of a graph that no pruning or contraction shrinks and no task holds: ``cycle``, ``member``.
+
+    Each node takes the smallest id that reaches it. A node that keeps its own id gathers, against the links, those with its id that reach it: they are
+    its loop. Links between different ids and links of gathered nodes go; the rest is pruned and coloured again, until one task can solve it.
+    """
+    found = []
+    n = rest.count()
+    while n > base_links and n:
+        colour = stage(rest.select(F.col("child").alias("node")).unionByName(rest.select(F.col("parent").alias("node"))).distinct().withColumn("colour", F.col("node")), "colour")
+        while True:
+            near = skew_join(rest, colour.select(F.col("node").alias("child"), F.col("colour").alias("c")), "child", "inner", ["parent"]).groupBy(F.col("parent").alias("node")).agg(F.min("c").alias("least"))
+            nxt = stage(colour.join(near, "node", "left").select("node", F.least("colour", F.coalesce("least", "colour")).alias("colour"), F.coalesce(F.col("least") < F.col("colour"), F.lit(False)).alias("moved")), "colour")
+            discard(colour)
+            colour = nxt.drop("moved")
+            colour._staged_path = nxt._staged_path
+            if nxt.where("moved").isEmpty():
+                break
+        ends = skew_join(rest, colour.select(F.col("node").alias("child"), F.col("colour").alias("c")), "child", "inner", ["parent"])
+        ends = skew_join(ends, colour.select(F.col("node").alias("parent"), F.col("colour").alias("d")), "parent", "inner", ["child"])
+        inside = stage(ends.where("c = d").select("child", "parent", "c"), "inside")
+        front = stage(colour.where("node = colour").select("node", F.col("colour").alias("c")), "front")
+        members = front
+        while True:
+            back = skew_join(inside.select("child", "parent"), front.select(F.col("node").alias("parent"), "c"), "parent", "inner", ["child"]).select(F.col("child").alias("node"), "c").distinct()
+            front = stage(back.join(members.select("node"), "node", "left_anti").select("node", "c"), "front")
+            if front.isEmpty():
+                break
+            members = stage(members.unionByName(front), "members")
+        loops = members.groupBy("c").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("c")
+        found.append(members.join(loops, "c", "left_semi").select(F.col("c").alias("cycle"), F.col("node").alias("member")))
+        left = skew_join(inside.select("child", "parent"), members.select(F.col("node").alias("child")), "child", "left_anti", ["parent"])
+        left = skew_join(left, members.select(F.col("node").alias("parent")), "parent", "left_anti", ["child"]).select("child", "parent")
+        rest = _prune(left)
+        n = rest.count()
+    found.append(_solve(rest, []))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
 
 
 def _expand(members: DataFrame, own: DataFrame, rounds: list) -> DataFrame:
