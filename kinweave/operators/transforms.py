@@ -256,10 +256,6 @@ def simplify(
     w = Window.partitionBy("node").orderBy("pos")
     kept = ev.select("node", F.col("pos").alias("left"), F.lead("pos").over(w).alias("right"), F.sum("d").over(w).alias("k")).where("right is not null")
     is_sample = samples.select(F.col("id").alias("node"), F.lit(True).alias("_s")).distinct()
-    top = None
-    if keep_input_roots:
-        up = g.edges.select(F.col("child").alias("node"), "left", "right")
-        top = up
     status = kept.join(is_sample, "node", "left").select("node", F.col("left").alias("sl"), F.col("right").alias("sr"), (F.coalesce("_s", F.lit(False)) | (F.col("k") >= (1 if keep_unary else 2))).alias("stays"))
     status = stage(status, "status")
     up = alive.select(F.col("child").alias("node"), "parent", F.col("left").alias("el"), F.col("right").alias("er"))
@@ -277,9 +273,18 @@ def simplify(
     none = g.spark.createDataFrame([], "child long, node long, left double, right double")
     raw = reduce(DataFrame.unionByName, [x.drop("stays") for x in edges], none)
     through = reduce(DataFrame.unionByName, passed, none)
-    if keep_input_roots and top is not None:
-        # the topmost unkept node of a walk that ended without meeting a kept one
-        ends = through.join(up.select("node", F.col("el"), F.col("er")), "node", "left").where("el is null").select("child", "node", "left", "right")
+    spots = through
+    if keep_input_roots:
+        # where a passed node has no alive branch above it, it is the root there and stays
+        cover = stage(merged_intervals(alive.select(F.col("child").alias("node"), "left", "right"), ["node"]), "cover")
+        rims = cover.unionByName(through.select("node", F.lit(0.0).alias("left"), F.lit(0.0).alias("right")).distinct())
+        free = rims.select("node", F.col("right").alias("el"), F.lead("left", 1, L).over(Window.partitionBy("node").orderBy("left", "right")).alias("er")).where("el < er")
+        ends, spots = (
+            through.join(x, "node").where((F.col("el") < F.col("right")) & (F.col("left") < F.col("er"))).select("child", "node", F.greatest("left", "el").alias("left"), F.least("right", "er").alias("right"))
+            for x in (free, cover.select("node", F.col("left").alias("el"), F.col("right").alias("er")))
+        )
+        ends = stage(ends, "ends")
+        spots = spots.unionByName(ends.withColumn("child", F.col("node")))
         raw = raw.unionByName(ends)
     out = stage(merged_intervals(raw.select(F.col("node").alias("parent"), "child", "left", "right"), ["parent", "child"]), "edges")
     used = out.select(F.col("parent").alias("id")).unionByName(out.select(F.col("child").alias("id"))).distinct()
@@ -294,10 +299,10 @@ def simplify(
     n = _remap(flagged.nodes, "id", to, drop=True)
     ed = _remap(_remap(out, "parent", to, drop=True), "child", to, drop=True)
     ed = ed.withColumn("id", F.lit(0).cast("long")).withColumn("metadata", F.lit(None).cast("binary"))
-    # a mutation stays with its node where that is kept, moves to the kept node below where it was passed, and goes elsewhere
+    # a mutation stays with its node where that is kept (or an input root), moves to the kept node below where it was passed, and goes elsewhere
     sited = g.mutations.join(g.sites.select(F.col("id").alias("site"), "position"), "site")
     here = status.where("stays").select("node", F.col("sl").alias("left"), F.col("sr").alias("right"), F.col("node").alias("child"))
-    spots = here.unionByName(through.select("node", "left", "right", "child"))
+    spots = here.unionByName(spots.select("node", "left", "right", "child"))
     moved = sited.join(spots, "node").where((F.col("left") <= F.col("position")) & (F.col("position") < F.col("right"))).withColumn("node", F.col("child"))
     m = _remap(moved.select(*names("mutations")), "node", to, drop=True)
     res = keep_mutations(g.with_tables(nodes=_cols(n, "nodes"), edges=_cols(ed, "edges")), m)

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from kinweave.model import violations
+from kinweave.model import from_rows, violations
 from kinweave.operators import genotypes as ge
 from kinweave.operators import statistics as st
 from kinweave.operators import transforms as tr
@@ -30,6 +30,23 @@ def test_simplify(paper):  # noqa: F811
     assert st.one_way(s, "diversity", st.Sets.all(s), None, "branch").first()["value"] == pytest.approx(d0)
 
 
+def test_simplify_keeps_input_roots(spark):
+    # node 6 is the root over [2, 7) and has a branch to 8 over [0, 2)
+    e = [(2, 10, 4, 2), (2, 10, 4, 3), (0, 10, 5, 1), (0, 2, 5, 3), (2, 10, 5, 4), (0, 7, 6, 0), (0, 7, 6, 5), (7, 10, 7, 0), (7, 10, 7, 5), (0, 2, 8, 2), (0, 2, 8, 6)]
+    g = from_rows(
+        spark, 10.0, nodes=[(1 if i < 4 else 0, float(t)) for i, t in enumerate([0, 0, 0, 0, 1, 2, 3, 4, 5])], edges=[(float(a), float(b), p, c) for a, b, p, c in e],
+        sites=[(1.0, "0"), (4.5, "0"), (8.5, "0")], mutations=[(0, 6, -1, None, "1"), (1, 6, -1, None, "1"), (2, 5, -1, None, "1")],
+    )
+    keep = spark.createDataFrame([(2, 0), (3, 1)], "id long, order long")
+    s, to = tr.simplify(g, keep, keep_input_roots=True)
+    m = {r["old"]: r["new"] for r in to.collect()}
+    assert violations(s).count() == 0 and table(s.edges, "left", "right", "parent", "child") == sorted(
+        (float(a), float(b), m[p], m[c]) for a, b, p, c in [(0, 2, 8, 2), (0, 2, 8, 3), (2, 10, 4, 2), (2, 10, 4, 3), (2, 7, 6, 4), (7, 10, 7, 4)])
+    assert table(s.mutations, "site", "node") == [(0, m[3]), (1, m[6]), (2, m[4])]
+    plain, _ = tr.simplify(g, keep)
+    assert plain.edges.count() == 4
+
+
 def test_intervals(paper):  # noqa: F811
     k = tr.keep_intervals(paper, [(1, 3), (8, 9)])
     assert k.edges.agg(F.sum(F.col("right") - F.col("left"))).first()[0] == pytest.approx(6 * 3)
