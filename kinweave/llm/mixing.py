@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import math
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -60,14 +61,21 @@ def clean_source(c: Column) -> Column:
 
 def truncated_mean(rate: float, cap: int) -> float:
     """Mean of a Poisson number with mean ``rate``, cut off at ``cap``."""
-    p, below, mean = math.exp(-rate), 0.0, 0.0
-    for k in range(cap):
+    below, mean = 0.0, 0.0
+    for k, p in enumerate(_poisson(rate, cap)):
         mean += k * p
         below += p
-        p *= rate / (k + 1)
     return mean + cap * (1 - below)
 
 
+def _poisson(rate: float, cap: int) -> Iterator[float]:
+    """Poisson probabilities of 0 .. cap - 1, carried as logarithms: those of large rates begin below the smallest float."""
+    log, step = -rate, math.log(rate) if rate > 0 else -math.inf
+    for k in range(cap):
+        yield math.exp(log)
+        log += step - math.log(k + 1)
+
+
 def thresholds(mean: float, cap: int) -> list[float]:
     """The distribution function at 0 .. cap - 1 of the truncated Poisson with this mean; a draw u has as many copies as thresholds below it."""
     if cap <= 0 or mean <= 0:
@@ -75,17 +83,12 @@ def thresholds(mean: float, cap: int) -> list[float]:
     if mean >= cap:
         return [-1.0] * cap
     lo, hi = 0.0, 1.0
-    while truncated_mean(hi, cap) < mean and hi < 500:
+    while truncated_mean(hi, cap) < mean:
         hi *= 2
     for _ in range(100):
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if truncated_mean(mid, cap) < mean else (lo, mid)
-    p, total, out = math.exp(-hi), 0.0, []
-    for k in range(cap):
-        total += p
-        out.append(total)
-        p *= hi / (k + 1)
-    return out
+    return list(accumulate(_poisson(hi, cap)))
 
 
 def rates(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:

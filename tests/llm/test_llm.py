@@ -127,6 +127,12 @@ def test_poisson():
         assert copies.max() <= cap and abs(copies.mean() - min(mean, cap)) < 1e-3
 
 
+def test_poisson_of_large_means():
+    for cap, mean in ((1000, 700.0), (5000, 3000.5), (1000, 999.9), (1000, 1000 * (1 - 1e-14))):
+        t = np.array(mixing.thresholds(mean, cap))
+        assert len(t) == cap and (np.diff(t) >= 0).all() and abs((1 - t).sum() - mean) < 1e-3  # the mean is the sum of the chances to exceed 0, 1, ...
+
+
 def test_mix(spark):
     rows = [(i, s, "word " * (3 + i % 5)) for s, n in (("a", 900), ("B ", 300), ("c", 90), ("x", 50)) for i in range(n)] + [(1, None, "q"), (2, "a", None), (3, "a", "")]
     docs = spark.createDataFrame([(k, *r[1:]) for k, r in enumerate(rows)], "doc_id long, source string, text string").withColumn("copy", F.lit("clash")).withColumn("n_docs", F.lit(1))
