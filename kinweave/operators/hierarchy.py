@@ -1,27 +1,26 @@
-"""Parent-child links to full hierarchies: loops, paths, depths, roots and descendants.
+"""Parent-child links to full hierarchies: loops, paths, depths and roots.
 
-Both operators contract what one fragment of the links can settle, solve the smaller quotient in the same way and expand
-the answers back:
+Everything rests on :func:`exits`: the chains of nodes with a single parent are contracted within fragments of the nodes to their exits, the smaller
+quotient forest of the exits is solved in the same way, and the answers are expanded back.
 
-* :func:`cycles` (any number of parents) drops links that cannot lie on a loop and contracts chains of single-parent nodes within
-  a fragment to the chain's exit, until the quotient fits one task; that task finds the strongly connected members, and contracted
-  chains get theirs by expansion. A quotient that stays too large is solved by colouring, distributed.
-* :func:`paths` (one primary parent a node) contracts the chains inside each fragment to their exits, solves the forest of the exits
-  recursively, and prefixes the paths.
+* :func:`cycles` (any number of parents) drops dead ends, contracts chains, and goes on with the quotient graph, in turn up and down the links, until one
+  small task can name the members of loops; contracted chains get theirs by expansion. What nothing shrinks is solved by colouring, distributed.
+* :func:`paths` (any number of parents) contracts chains, finds the distances of the quotient to its roots, expands them, and prefixes the paths of the
+  forest of nearest parents within fragments, over the quotient of their exits, and back. Each link to a parent has its own path.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.operators.skew import skew_join
-from kinweave.plans.staging import discard, stage
+from kinweave.plans.staging import discard, stage, viewed
 
-#: Links a single task may solve (16 bytes each as longs; some hundred MB while solving).
-BASE_LINKS = 1_000_000
+#: Links a single task may solve (16 bytes each as longs), and nodes of a fragment.
+BASE_LINKS = 250_000
 
 
 def strong_members(child: np.ndarray, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,57 +92,101 @@ def _solve(links: DataFrame, group: list[str]) -> DataFrame:
     return links.withColumn("_one", F.lit(0)).groupBy(*(group or ["_one"])).applyInPandas(solve, "cycle long, member long")
 
 
-def _prune(links: DataFrame) -> DataFrame:
-    """Keep the links whose two ends both have a link on either side."""
-    ends = links.select(F.col("child").alias("node"), F.lit(1).alias("side")).unionByName(links.select(F.col("parent").alias("node"), F.lit(2).alias("side")))
-    live = stage(ends.groupBy("node").agg(F.bit_or("side").alias("sides")).where("sides = 3").select("node"), "live")
-    once = skew_join(links, live.withColumnRenamed("node", "parent"), "parent", "left_semi", ["child"])
-    both = skew_join(once, live.withColumnRenamed("node", "child"), "child", "left_semi", ["parent"])
-    out = stage(both.distinct(), "links")
-    discard(live)
-    return out
-
+def climb(node: np.ndarray, up: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Follow parents inside a fragment: each node's exit, the first node outside, and the length of the way there.
 
-def _chains(links: DataFrame, fragments: int, seed: int) -> DataFrame:
-    """Within fragments, each node with a single parent and the exit of its chain: ``f``, ``node``, ``exit``, ``up``.
-
-    A chain ends at the first node that has several parents or is an entry, i.e. the parent of a link from another fragment. The smallest
-    node of a chain that closes upon itself is its exit. Exits are never contracted.
+    A loop is cut at its smallest member, which is then its own exit, at length 0. Pointers are doubled, so long chains take few rounds.
     """
+    n = len(node)
+    order = np.argsort(node)
+    ids, above, step = node[order], up[order], length[order].astype("int64")
+    at = np.minimum(np.searchsorted(ids, above), max(0, n - 1))
+    inside = ids[at] == above if n else np.zeros(0, bool)
+    rounds = max(1, n.bit_length() + 1)
+
+    def follow(jump: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        for _ in range(rounds):
+            far, jump = far + far[jump], jump[jump]
+        return jump, far
+
+    own = np.arange(n)
+    jump, far = follow(np.where(inside, at, own), np.where(inside, step, 0))
+    stuck = inside[jump]
+    root = np.zeros(n, bool)
+    if stuck.any():  # pointers of stuck nodes end on loops and reach all their members
+        ring = np.unique(jump[stuck])
+        least, hop = own.copy(), at.copy()
+        for _ in range(rounds):
+            least, hop = np.minimum(least, least[hop]), hop[hop]
+        root[ring[least[ring] == ring]] = True
+        inside = inside & ~root
+        jump, far = follow(np.where(inside, at, own), np.where(inside, step, 0))
+    exit_ = np.where(root[jump], ids[jump], above[jump])
+    back = np.empty(n, "int64")
+    back[order] = own
+    return exit_[back], (far + np.where(root[jump], 0, step[jump]))[back]
+
+
+def _fragment(c: str, fragments: int, seed: int) -> Column:
+    return F.pmod(F.xxhash64(F.floor(F.col(c) / 64), F.lit(seed)), F.lit(fragments)) if fragments > 1 else F.lit(0).cast("long")
+
+
+def _local(forest: DataFrame, fragments: int, seed: int) -> DataFrame:
+    def contract(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        exit_, far = climb(pdf["node"].to_numpy(), pdf["up"].to_numpy(), pdf["len"].to_numpy())
+        return pd.DataFrame({"f": key[0], "node": pdf["node"], "up": pdf["up"], "exit": exit_, "len": far})
 
-    def fragment(c: str):
-        return F.pmod(F.xxhash64(F.floor(F.col(c) / 64), F.lit(seed)), F.lit(fragments))
+    return forest.withColumn("_f", _fragment("node", fragments, seed)).groupBy("_f").applyInPandas(contract, "f long, node long, up long, exit long, len long")
 
-    def contract(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        counts = pdf["child"].value_counts()
-        single = pdf[(pdf["child"].map(counts) == 1) & ~pdf["entry"]]
-        up = dict(zip(single["child"].tolist(), single["parent"].tolist()))
-        exits: dict[int, int] = {}
-        for u in up:
-            walk, mine, v = [], {}, u
-            while v in up and v not in exits and v not in mine:
-                mine[v] = len(walk)
-                walk.append(v)
-                v = up[v]
-            if v in mine:  # closed: cut it at its smallest member
-                v = min(walk[mine[v]:])
-                exits[v] = v
-                out = v
-            else:
-                out = exits.get(v, v)
-            for w in walk:
-                exits.setdefault(w, out)
-        rows = [(int(key[0]), u, e, up[u]) for u, e in exits.items() if u != e]
-        return pd.DataFrame(rows, columns=["f", "node", "exit", "up"])
 
-    entries = links.where(fragment("child") != fragment("parent")).select(F.col("parent").alias("child"), F.lit(True).alias("entry")).distinct()
-    marked = skew_join(links, entries, "child", "left", ["parent"])
-    marked = marked.select("child", "parent", F.coalesce("entry", F.lit(False)).alias("entry"), fragment("child").alias("_f"))
-    return marked.groupBy("_f").applyInPandas(contract, "f long, node long, exit long, up long")
+def exits(forest: DataFrame, base: int = BASE_LINKS, depth: int = 0) -> tuple[DataFrame, list[tuple[str, list[DataFrame]]]]:
+    """Where the chain of each node of a forest ends: ``node``, ``up``, ``exit``, ``len`` (the way there), and the levels it was found by.
+
+    ``forest`` is staged and has ``node`` (once), ``up`` and ``len``. The exit is the first node that has no row; a loop ends at one of its members, whose exit is
+    itself. At least two fragments are contracted before the quotient of their exits is solved; a quotient that does not shrink, i.e. a bare chain across the
+    fragments, is solved by doubling pointers over joins.
+    """
+    n = forest.count()
+    parts = max(2 if depth == 0 else 1, -(-2 * n // max(1, base)) if n > base else 1)
+    local = stage(_local(forest, parts, depth), "local")
+    levels = [("local", [local])]
+    if parts == 1:
+        return local, levels
+    inner = local.where("exit <> node")
+    quotient = stage(skew_join(inner.select("node", F.col("exit").alias("up"), "len"), inner.select(F.col("exit").alias("node")).distinct(), "node", "left_semi", ["up"]), "quotient")
+    q = quotient.count()
+    if not q:
+        return local, levels
+    if q > base and q > 0.7 * n:
+        return _doubled(forest, n)
+    upper, more = exits(quotient, base, depth + 1)
+    known = upper.select(F.col("node").alias("exit"), F.col("exit").alias("top"), F.col("len").alias("rest"))
+    out = skew_join(local, known, "exit", "left", ["node"])
+    return stage(out.select("node", "up", F.coalesce("top", "exit").alias("exit"), (F.col("len") + F.coalesce("rest", F.lit(0))).alias("len")), "exits"), levels + more
+
+
+def _doubled(forest: DataFrame, n: int) -> tuple[DataFrame, list[tuple[str, list[DataFrame]]]]:
+    """:func:`exits` by pointers of 1, 2, 4, ... steps; rows whose pointer has left the forest are done."""
+    first = forest.select("node", "up", F.col("up").alias("to"), "len", "node", F.lit(False).alias("done")).toDF("node", "up", "to", "len", "least", "done")
+    jumps = [stage(first, "jump")]
+    for _ in range(n.bit_length() + 1):
+        at = jumps[-1]
+        on = at.select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("len").alias("len2"), F.col("least").alias("least2"), F.col("done").alias("done2"))
+        nxt = skew_join(at.where("not done"), on, "to", "left", ["node"]).select(
+            "node", "up", F.coalesce("to2", "to").alias("to"), (F.col("len") + F.coalesce("len2", F.lit(0))).alias("len"), F.least("least", "least2").alias("least"), F.coalesce("done2", F.lit(True)).alias("done"),
+        )
+        jumps.append(stage(at.where("done").unionByName(nxt), "jump"))
+        if jumps[-1].where("not done").isEmpty():
+            break
+    last = jumps[-1]
+    ring = stage(last.where("not done").select("to").distinct(), "ring")  # what still moves ends on loops
+    loop = stage(skew_join(last.select(F.col("node").alias("to"), F.col("least").alias("cut")), ring, "to", "left_semi"), "loop")
+    out = skew_join(last, loop, "to", "left", ["node"])
+    return stage(out.select("node", "up", F.coalesce("cut", "to").alias("exit"), "len"), "exits"), [("jump", jumps)]
 
 
-def _along(chains: DataFrame, entries: DataFrame) -> DataFrame:
-    """The chain nodes from each entry up to its exit, with the loop of the exit: ``cycle``, ``member``."""
+def along(levels: list, marks: DataFrame) -> DataFrame:
+    """The nodes of the forest on the way from each marked one to its exit, with its mark: ``cycle``, ``member``. ``marks`` has ``node`` and ``cycle``."""
 
     def walk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         up = dict(zip(pdf["node"].tolist(), pdf["up"].tolist()))
@@ -154,47 +197,65 @@ def _along(chains: DataFrame, entries: DataFrame) -> DataFrame:
                 u = up[u]
         return pd.DataFrame({"cycle": list(out.values()), "member": list(out)})
 
-    return chains.join(entries, "node", "left").groupBy("f").applyInPandas(walk, "cycle long, member long")
+    how, tables = levels[0]
+    if how == "jump":
+        for jump in reversed(tables):
+            marks = stage(marks.unionByName(jump.where("not done").join(marks, "node").select(F.col("to").alias("node"), "cycle")).distinct(), "marks")
+        return tables[0].join(marks, "node").select("cycle", F.col("node").alias("member"))
+    local = tables[0]
+    if len(levels) > 1:
+        seeds = stage(local.where("exit <> node").join(marks, "node").select(F.col("exit").alias("node"), "cycle").distinct(), "seeds")
+        if not seeds.isEmpty():
+            marks = stage(marks.unionByName(along(levels[1:], seeds).select(F.col("member").alias("node"), "cycle")).distinct(), "marks")
+    return local.select("f", "node", "up").join(marks.groupBy("node").agg(F.min("cycle").alias("cycle")), "node", "left").groupBy("f").applyInPandas(walk, "cycle long, member long")
+
+
+def _prune(links: DataFrame) -> DataFrame:
+    """The distinct links whose two ends both have a link on either side, with ``single``: the child has no other parent."""
+    none = F.lit(None).cast("long")
+    ends = links.select(F.col("child").alias("node"), F.lit(1).alias("side"), F.col("parent").alias("up")).unionByName(links.select(F.col("parent").alias("node"), F.lit(2).alias("side"), none.alias("up")))
+    live = ends.groupBy("node").agg(F.bit_or("side").alias("sides"), (F.min("up") == F.max("up")).alias("single")).where("sides = 3").select("node", "single")
+    live = stage(live, "live")
+    once = skew_join(links, viewed(live, F.col("node").alias("parent")), "parent", "left_semi", ["child"])
+    both = skew_join(once, viewed(live, F.col("node").alias("child"), "single"), "child", "inner", ["parent"])
+    out = stage(both.select("child", "parent", "single").distinct(), "links")
+    discard(live)
+    return out
 
 
-def cycles(links: DataFrame, base_links: int = BASE_LINKS, fragments: int | None = None, kinds: tuple[str, ...] = ("node", "individual")) -> DataFrame:
+def cycles(links: DataFrame, base_links: int = BASE_LINKS, kinds: tuple[str, ...] = ("node", "individual")) -> DataFrame:
     """Members of loops: ``kind``, ``cycle_id`` (smallest id of the members that are each other's ancestors), ``member_id``.
 
     ``links`` has ``kind`` (one of ``kinds``), ``child`` and ``parent``; rows with a NULL end or another kind are left out, repeated rows count
     once, a node that is its own parent is a loop of one. Other columns are ignored; an empty table gives no rows. Ids must lie within
     2**63 divided by the number of kinds, as a node of any kind is one long while solving.
+
+    Each round prunes dead ends and contracts chains, and turns the links over, so that the next one contracts chains of single children; at least one round runs at any
+    size. At most ``base_links`` links are solved by one task.
     """
-    code = F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col("kind")) - 1
-    links = links.where(F.col("child").isNotNull() & F.col("parent").isNotNull() & (code >= 0))
-    links = links.select((F.col("child") * len(kinds) + code).alias("child"), (F.col("parent") * len(kinds) + code).alias("parent"))
+    links = coded(links, kinds)
     own = stage(links.where("child = parent").select(F.col("child").alias("cycle"), F.col("child").alias("member")).distinct(), "own")
-    rest, rounds = _prune(links.where("child <> parent")), []
-    n = rest.count()
-    while n > base_links:
-        smaller = _prune(rest)
+    rest, n, rounds = links.where("child <> parent"), None, []
+    while True:
+        before, live = n, _prune(rest)
         discard(rest)
-        rest, before, n = smaller, n, smaller.count()
-        if n > base_links and n > 0.7 * before:  # dead ends are few: contract chains
-            parts = fragments or max(8, -(-n // base_links) * 4)
-            chains = stage(_chains(rest, parts, len(rounds)), "chains")
-            moved = chains.select(F.col("node").alias("parent"), "exit")
-            hop = skew_join(rest, moved, "parent", "left", ["child"])
-            hop = hop.select("child", F.col("parent").alias("via"), F.coalesce("exit", "parent").alias("parent"))
-            hop = stage(skew_join(hop, moved.select(F.col("parent").alias("child")), "child", "left_anti", ["parent"]), "hops")
-            rounds.append((hop, chains))
-            rest = stage(hop.select("child", "parent").distinct(), "links")
-            m = rest.count()
-            if m >= n:  # neither step shrinks it
-                break
-            n = m
-    found = _colour(rest, base_links) if n > base_links else _solve(rest, [])
-    closed = rest.where("child = parent").select(F.col("child").alias("cycle"), F.col("child").alias("member"))
-    found = stage(found, "members")
-    found = stage(found.unionByName(closed.join(found.select("member"), "member", "left_anti").select("cycle", "member")), "members")
-    every = _expand(found, own, rounds)
-    name = F.element_at(F.array(*[F.lit(k) for k in kinds]), (F.pmod("member", F.lit(len(kinds))) + 1).cast("int"))
-    back = lambda c: F.expr(f"({c} - pmod({c}, {len(kinds)})) div {len(kinds)}")
-    return every.select(name.alias("kind"), back("cycle").alias("cycle_id"), back("member").alias("member_id"))
+        forest = stage(live.where("single").select(F.col("child").alias("node"), F.col("parent").alias("up"), F.lit(1).cast("long").alias("len")), "forest")
+        found, levels = exits(forest, base_links)
+        moved = stage(found.where("node <> exit").select(F.col("node").alias("parent"), "exit"), "moved")
+        kept = live.where("not single").select("child", "parent").unionByName(found.where("node = exit").select(F.col("node").alias("child"), F.col("up").alias("parent")))
+        hop = skew_join(kept, moved, "parent", "left", ["child"])
+        hop = stage(hop.select("child", F.col("parent").alias("via"), F.coalesce("exit", "parent").alias("parent")), "hops")
+        rounds.append((hop, levels))
+        rest = stage(hop.where("child <> parent").select(F.col("parent").alias("child"), F.col("child").alias("parent")).distinct(), "links")
+        discard(live, moved)
+        n = rest.count()
+        if n <= base_links or (before is not None and n > 0.95 * before):
+            break
+    members = stage(_solve(rest, []) if n <= base_links else _colour(_prune(rest).select("child", "parent"), base_links), "members")
+    for hop, levels in reversed(rounds):
+        members = _expand(members, hop, levels)
+    every = members.unionByName(own.join(members.select("member"), "member", "left_anti").select("cycle", "member"))
+    return every.select(kind_of(F.col("member"), kinds).alias("kind"), decoded(F.col("cycle"), kinds).alias("cycle_id"), decoded(F.col("member"), kinds).alias("member_id"))
 
 
 def _colour(rest: DataFrame, base_links: int) -> DataFrame:
@@ -230,7 +291,7 @@ def _colour(rest: DataFrame, base_links: int) -> DataFrame:
         found.append(members.join(loops, "c", "left_semi").select(F.col("c").alias("cycle"), F.col("node").alias("member")))
         left = skew_join(inside.select("child", "parent"), members.select(F.col("node").alias("child")), "child", "left_anti", ["parent"])
         left = skew_join(left, members.select(F.col("node").alias("parent")), "parent", "left_anti", ["child"]).select("child", "parent")
-        rest = _prune(left)
+        rest = _prune(left).select("child", "parent")
         n = rest.count()
     found.append(_solve(rest, []))
     out = found[0]
@@ -239,17 +300,17 @@ def _colour(rest: DataFrame, base_links: int) -> DataFrame:
     return out
 
 
-def _expand(members: DataFrame, own: DataFrame, rounds: list) -> DataFrame:
-    """Give contracted chains back: a chain node is a member if a member leads into it or above it and its exit is in the same loop."""
-    for hop, chains in reversed(rounds):
-        a = members.select(F.col("member").alias("child"), F.col("cycle").alias("c"))
-        b = members.select(F.col("member").alias("parent"), F.col("cycle").alias("d"))
-        looped = hop.where("via <> parent").join(a, "child").join(b, "parent").where("c = d")
-        entries = looped.select(F.col("via").alias("node"), F.col("c").alias("cycle")).distinct()
-        full = members.unionByName(_along(chains, entries)).distinct()
-        least = full.groupBy("cycle").agg(F.min("member").alias("least"))
-        members = stage(full.join(least, "cycle").select(F.col("least").alias("cycle"), "member"), "members")
-    return members.unionByName(own.join(members.select("member"), "member", "left_anti").select("cycle", "member"))
+def _expand(members: DataFrame, hop: DataFrame, levels: list) -> DataFrame:
+    """Give a round's chains back: a chain node is a member if a member, or a chain it closes with, leads into it or below it and its exit is in the same loop."""
+    closed = hop.where("child = parent").select(F.col("child").alias("cycle"), F.col("child").alias("member")).distinct()
+    members = stage(members.unionByName(closed.join(members.select("member"), "member", "left_anti").select("cycle", "member")), "members")
+    a = viewed(members, F.col("member").alias("child"), F.col("cycle").alias("c"))
+    b = viewed(members, F.col("member").alias("parent"), F.col("cycle").alias("d"))
+    looped = skew_join(skew_join(hop.where("via <> parent"), b, "parent", "inner", ["child"]), a, "child", "inner", ["parent"]).where("c = d")
+    entries = stage(looped.select(F.col("via").alias("node"), F.col("c").alias("cycle")).distinct(), "entries")
+    full = members if entries.isEmpty() else members.unionByName(along(levels, entries)).distinct()
+    least = full.groupBy("cycle").agg(F.min("member").alias("least"))
+    return stage(full.join(least, "cycle").select(F.col("least").alias("cycle"), "member"), "members")
 
 
 def all_links(edges: DataFrame, individuals: DataFrame) -> DataFrame:
@@ -259,87 +320,122 @@ def all_links(edges: DataFrame, individuals: DataFrame) -> DataFrame:
     return nodes.unionByName(people).where(F.col("child").isNotNull() & F.col("parent").isNotNull() & (F.col("parent") != -1))
 
 
-def primary_links(links: DataFrame) -> DataFrame:
-    """One parent a node, the smallest id: ``kind``, ``node``, ``parent``."""
-    return links.groupBy("kind", F.col("child").alias("node")).agg(F.min("parent").alias("parent"))
-
-
-def _climb(kind: str, node: np.ndarray, parent: np.ndarray, steps: list) -> pd.DataFrame:
-    """Follow parents inside one fragment; ``steps`` holds what lies between a node (with it) and its parent (without it)."""
-    at = dict(zip(node.tolist(), range(len(node))))
-    up = parent.tolist()
-    full: list = [None] * len(up)
-    exits: list = [None] * len(up)
-    state = [0] * len(up)  # 1: being walked, 2: done, 3: runs into a loop
+def _steps(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Follow parents inside a fragment of a forest without loops; ``steps`` holds what lies between a node (with it) and its parent (without it)."""
+    at = dict(zip(pdf["node"].tolist(), range(len(pdf))))
+    up, steps = pdf["up"].tolist(), [list(x) for x in pdf["steps"]]
+    exit_: list = [None] * len(up)
     for i in range(len(up)):
-        walk = []
-        j = i
-        while state[j] == 0:
-            state[j] = 1
+        walk, j = [], i
+        while j is not None and exit_[j] is None:
             walk.append(j)
-            j2 = at.get(up[j])
-            if j2 is None:
-                break
-            j = j2
-        looped = state[j] == 3 or (state[j] == 1 and at.get(up[walk[-1]]) is not None if walk else False)
+            j = at.get(up[j])
         for k in reversed(walk):
             above = at.get(up[k])
-            if looped:
-                state[k] = 3
-            elif above is None:
-                full[k], exits[k], state[k] = list(steps[k]), up[k], 2
+            if above is None:
+                exit_[k] = up[k]
             else:
-                full[k], exits[k], state[k] = list(steps[k]) + full[above], exits[above], 2
-    return pd.DataFrame({"kind": kind, "node": node, "parent": pd.array(exits, dtype="Int64"), "steps": [x or [] for x in full], "loops": [x == 3 for x in state]})
+                steps[k] += steps[above]
+                exit_[k] = exit_[above]
+    return pd.DataFrame({"node": pdf["node"], "up": exit_, "steps": steps})
 
 
-_CLIMBED = "kind string, node long, parent long, steps array<long>, loops boolean"
+_STEPS = "node long, up long, steps array<long>"
 
 
-def _climbed(forest: DataFrame, fragments: int, seed: int) -> DataFrame:
-    def climb(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return _climb(key[0], pdf["node"].to_numpy(), pdf["parent"].to_numpy(), pdf["steps"].tolist())
+def _paths(forest: DataFrame, base: int, depth: int = 0) -> DataFrame:
+    """Full paths of all nodes of a staged forest without loops (``node``, ``up``, ``steps``): ``up`` is then the root."""
+    n = forest.count()
+    parts = max(2 if depth == 0 else 1, -(-2 * n // max(1, base)) if n > base else 1)
+    local = stage(forest.withColumn("_f", _fragment("node", parts, depth)).groupBy("_f").applyInPandas(lambda key, pdf: _steps(pdf), _STEPS), "local")
+    if parts == 1:
+        return local
+    quotient = stage(skew_join(local, local.select(F.col("up").alias("node")).distinct(), "node", "left_semi", ["up"]), "quotient")
+    q = quotient.count()
+    if not q:
+        return local
+    if q > base and q > 0.7 * n:  # a bare chain across the fragments: pointers of 1, 2, 4, ... steps
+        t = forest.withColumn("done", F.lit(False))
+        while True:
+            on = t.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("steps2"), F.col("done").alias("done2"))
+            nxt = skew_join(t.where("not done"), on, "up", "left", ["node"]).select(
+                "node", F.coalesce("up2", "up").alias("up"), F.concat("steps", F.coalesce("steps2", F.array().cast("array<long>"))).alias("steps"), F.coalesce("done2", F.lit(True)).alias("done"),
+            )
+            t = stage(t.where("done").unionByName(nxt), "jump")
+            if t.where("not done").isEmpty():
+                return t.select("node", "up", "steps")
+    upper = _paths(quotient, base, depth + 1)
+    known = upper.select(F.col("node").alias("up"), F.col("up").alias("top"), F.col("steps").alias("rest"))
+    lower = skew_join(local, known, "up", "left", ["node"])
+    return stage(lower.select("node", F.coalesce("top", "up").alias("up"), F.concat("steps", F.coalesce("rest", F.array().cast("array<long>"))).alias("steps")), "paths")
+
+
+def coded(links: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """Links of all kinds as longs, ``child`` and ``parent``: an id times the number of kinds, plus the place of its kind. Rows with a NULL end or another kind are left out."""
+    code = F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col("kind")) - 1
+    known = links.where(F.col("child").isNotNull() & F.col("parent").isNotNull() & (code >= 0))
+    return known.select((F.col("child") * len(kinds) + code).alias("child"), (F.col("parent") * len(kinds) + code).alias("parent"))
+
+
+def decoded(c: Column, kinds: tuple[str, ...]) -> Column:
+    """The id of a coded long."""
+    return F.call_function("div", c - F.pmod(c, F.lit(len(kinds))), F.lit(len(kinds)))
+
+
+def kind_of(c: Column, kinds: tuple[str, ...]) -> Column:
+    return F.element_at(F.array(*[F.lit(k) for k in kinds]), (F.pmod(c, F.lit(len(kinds))) + 1).cast("int"))
+
+
+def _distances(links: DataFrame, base: int) -> DataFrame:
+    """Fewest links to a root for every parent that reaches one: ``node``, ``d``. ``links`` is staged, distinct, and may hold self-links, which lead nowhere."""
+    other = F.when(F.col("child") != F.col("parent"), F.col("parent"))
+    ends = links.select(F.col("child").alias("node"), F.lit(1).alias("side"), other.alias("up")).unionByName(links.select(F.col("parent").alias("node"), F.lit(2).alias("side"), F.lit(None).cast("long").alias("up")))
+    ids = ends.groupBy("node").agg(F.bit_or("side").alias("sides"), F.min("up").alias("up"), F.max("up").alias("up2"))
+    ids = stage(ids.where("sides >= 2").select("node", F.when(F.col("up") == F.col("up2"), F.col("up")).alias("up"), (F.col("sides") == 2).alias("root"), (F.col("up") != F.col("up2")).alias("several")), "ids")
+    found, _ = exits(stage(ids.where("up is not null").select("node", "up", F.lit(1).cast("long").alias("len")), "forest"), base)
+    mine = skew_join(links.where("child <> parent"), ids.where("several").select(F.col("node").alias("child")), "child", "left_semi", ["parent"])
+    hop = skew_join(mine, found.select(F.col("node").alias("parent"), "exit", "len"), "parent", "left", ["child"])
+    hop = hop.groupBy("child", F.coalesce("exit", "parent").alias("parent")).agg(F.min(F.coalesce("len", F.lit(0)) + 1).alias("len"))
+    hop = stage(hop, "hops")
+    dist = stage(ids.where("root").select("node", F.lit(0).cast("long").alias("d")), "dist")
+    front = dist
+    while True:  # only nodes that came nearer go on
+        got = skew_join(hop, front.select(F.col("node").alias("parent"), "d"), "parent", "inner", ["child"]).groupBy(F.col("child").alias("node")).agg(F.min(F.col("d") + F.col("len")).alias("d"))
+        got = got.join(dist.select("node", F.col("d").alias("old")), "node", "left").where("old is null or d < old")
+        new = stage(got.select("node", "d"), "front")
+        if new.isEmpty():
+            break
+        nearer = stage(dist.join(new.select("node"), "node", "left_anti").unionByName(new), "dist")
+        discard(dist, front)
+        dist, front = nearer, new
+    single = skew_join(found.select("node", "exit", "len"), dist.select(F.col("node").alias("exit"), "d"), "exit", "inner", ["node"]).select("node", (F.col("d") + F.col("len")).alias("d"))
+    return stage(dist.unionByName(single), "distances")
+
 
-    f = F.pmod(F.xxhash64(F.floor(F.col("node") / 64), F.lit(seed)), F.lit(fragments)) if fragments > 1 else F.lit(0)
-    return forest.withColumn("_f", f).groupBy("kind", "_f").applyInPandas(climb, _CLIMBED)
+def paths(links: DataFrame, base_links: int = BASE_LINKS, kinds: tuple[str, ...] = ("node", "individual")) -> DataFrame:
+    """Every link to a parent with the way through it: ``kind``, ``id``, ``parent``, ``root``, ``depth``, ``path``, ``closes``; a root has one row, with ``parent`` NULL.
 
+    ``path`` holds the ids from a root to ``parent`` on a shortest way (the smallest parent where several are equally near a root), then ``id``; ``depth`` is its number of
+    links. Every parent of every id is kept, so all ways are those that the rows of the parents lead on to. ``closes`` tells that ``id`` stands on the way
+    of ``parent`` already: the link closes a loop. Then, and where ``parent`` reaches no root, ``root``, ``depth`` and ``path`` are NULL.
 
-def _paths(forest: DataFrame, base_links: int, depth: int) -> DataFrame:
-    """Full paths of all nodes of a staged forest: as ``_CLIMBED``, with ``parent`` now the root."""
-    n = forest.count()
-    if n <= base_links:
-        return stage(_climbed(forest, 1, 0), "paths")
-    local = stage(_climbed(forest, max(2, -(-4 * n // base_links) >> depth), depth), "local")
-    exits = local.where("not loops").select("kind", F.col("parent").alias("node")).distinct()
-    quotient = stage(exits.join(local.where("not loops").select("kind", "node", "parent", "steps"), ["kind", "node"]), "quotient")
-    if quotient.count() >= n:
-        solved = stage(_climbed(forest, 1, 0), "paths")  # a bare chain across all fragments: no fragment settles anything
-        return solved
-    upper = _paths(quotient, base_links, depth + 1)
-    stuck = local.where("loops").select(F.struct("kind", "node").alias("end"), F.lit(None).cast("long").alias("top"), F.array().cast("array<long>").alias("rest"), F.lit(True).alias("caught"))
-    known = upper.select(F.struct("kind", "node").alias("end"), F.col("parent").alias("top"), F.col("steps").alias("rest"), F.col("loops").alias("caught"))
-    lower = skew_join(local.withColumn("end", F.struct("kind", F.col("parent").alias("node"))), known.unionByName(stuck), "end", "left", ["node"], limit=10_000)  # rows hold whole paths
-    return stage(lower.select(
-        "kind", "node", F.coalesce("top", "parent").alias("parent"), F.concat("steps", F.coalesce("rest", F.array().cast("array<long>"))).alias("steps"),
-        (F.col("loops") | F.coalesce("caught", F.lit(False))).alias("loops"),
-    ), "paths")
-
-
-def paths(links: DataFrame, base_links: int = BASE_LINKS) -> DataFrame:
-    """The hierarchy along each node's primary (smallest) parent, for every id that is a child or a parent.
-
-    Columns: ``kind``, ``id``, ``root``, ``depth`` (0 for a root), ``path`` (ids from the root to the node), ``loops`` (the way up never
-    ends; ``root``, ``depth`` and ``path`` are then NULL) and ``n_descendants`` (along primary parents; NULL where the way up never
-    ends). NULL ends are left out, repeated rows count once, an empty table gives no rows.
+    Rows with a NULL end or a kind not in ``kinds`` are left out, repeated rows count once, other columns are ignored, an empty table gives no rows. Ids must lie within 2**63
+    divided by the number of kinds.
     """
-    links = links.select("kind", "child", "parent").where(F.col("child").isNotNull() & F.col("parent").isNotNull())
-    forest = stage(primary_links(links).withColumn("steps", F.array("node")), "forest")
-    up = _paths(forest, base_links, 0)
-    roots = links.select("kind", F.col("parent").alias("node")).distinct().join(forest.select("kind", "node"), ["kind", "node"], "left_anti")
-    rows = up.select(
-        "kind", F.col("node").alias("id"), F.when(~F.col("loops"), F.col("parent")).alias("root"), F.when(~F.col("loops"), F.size("steps").cast("long")).alias("depth"),
-        F.when(~F.col("loops"), F.reverse(F.concat("steps", F.array("parent")))).alias("path"), "loops",
-    ).unionByName(roots.select("kind", F.col("node").alias("id"), F.col("node").alias("root"), F.lit(0).cast("long").alias("depth"), F.array("node").alias("path"), F.lit(False).alias("loops")))
-    rows = stage(rows, "hierarchy")
-    below = rows.where("not loops").select("kind", F.explode(F.slice("path", F.lit(1), F.size("path") - 1)).alias("id")).groupBy("kind", "id").agg(F.count(F.lit(1)).alias("below"))
-    return rows.join(below, ["kind", "id"], "left").select("kind", "id", "root", "depth", "path", "loops", F.when(~F.col("loops"), F.coalesce("below", F.lit(0))).alias("n_descendants"))
+    every = stage(coded(links, kinds).distinct(), "all_links")
+    near = _distances(every, base_links)
+    ranked = skew_join(every.where("child <> parent"), viewed(near, F.col("node").alias("parent"), "d"), "parent", "inner", ["child"])
+    via = ranked.groupBy(F.col("child").alias("node")).agg(F.min(F.struct("d", "parent")).alias("m"))
+    inner = via.join(near.where("d > 0").select("node"), "node", "left_semi")  # roots have no way up, and only ways of parents are asked for
+    forest = stage(inner.select("node", F.col("m.parent").alias("up"), F.array("node").alias("steps")), "forest")
+    ways = _paths(forest, base_links).select("node", F.reverse(F.concat("steps", F.array("up"))).alias("way"))
+    tops = near.where("d = 0").select("node", F.array("node").alias("way"))
+    ways = stage(ways.unionByName(tops), "ways")
+    rows = skew_join(every, viewed(ways, F.col("node").alias("parent"), "way"), "parent", "left", ["child"])
+    closes = (F.col("child") == F.col("parent")) | F.coalesce(F.array_contains("way", F.col("child")), F.lit(False))
+    rows = rows.select("child", "parent", closes.alias("closes"), F.when(~closes, F.concat("way", F.array("child"))).alias("way"))
+    rows = rows.unionByName(tops.select(F.col("node").alias("child"), F.lit(None).cast("long").alias("parent"), F.lit(False).alias("closes"), "way"))
+    return rows.select(
+        kind_of(F.col("child"), kinds).alias("kind"), decoded(F.col("child"), kinds).alias("id"), decoded(F.col("parent"), kinds).alias("parent"), decoded(F.element_at("way", 1), kinds).alias("root"),
+        (F.size(F.when(F.col("way").isNotNull(), F.col("way"))) - 1).cast("long").alias("depth"), F.transform("way", lambda x: decoded(x, kinds)).alias("path"), "closes",
+    )

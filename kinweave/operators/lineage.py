@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.operators.hierarchy import BASE_LINKS, _paths, cycles
+from kinweave.operators.hierarchy import BASE_LINKS, _paths, coded, cycles, decoded, kind_of
 from kinweave.plans.staging import stage
 
 #: Bytes of the bit sets a task holds, and links gathered at once.
@@ -221,8 +221,12 @@ def lineage(links: DataFrame, base_links: int = BASE_LINKS, tasks: int | None =
     counts = _spread(indexed, _tasks(indexed, tasks), count, "kind string, b long, below long, above long")
     counts = stage(counts, "counts").groupBy("kind", "b").agg(F.sum("below").alias("below"), F.sum("above").alias("above"))
     rows = indexed.where("not link").withColumnRenamed("a", "id")
-    forest = stage(rows.where("via is not null").select("kind", F.col("id").alias("node"), F.col("via").alias("parent"), F.array("id").alias("steps")), "forest")
-    ways = _paths(forest, base_links, 0).select("kind", F.col("node").alias("id"), F.reverse(F.concat("steps", F.array("parent"))).alias("path"))
+    kinds = tuple(sorted({k for k, _, _ in _tasks(indexed, 1)})) or ("node",)
+    forest = coded(rows.where("via is not null").select("kind", F.col("id").alias("child"), F.col("via").alias("parent")), kinds)
+    forest = stage(forest.select(F.col("child").alias("node"), F.col("parent").alias("up"), F.array("child").alias("steps")), "forest")
+    ways = _paths(forest, base_links).select(
+        kind_of(F.col("node"), kinds).alias("kind"), decoded(F.col("node"), kinds).alias("id"), F.transform(F.reverse(F.concat("steps", F.array("up"))), lambda x: decoded(x, kinds)).alias("path")
+    )
     return rows.join(counts, ["kind", "b"], "left").join(ways, ["kind", "id"], "left").select(
         "kind", "id", "loops", F.coalesce("above", F.lit(0)).alias("n_roots"), "depth_min", "depth_max",
         F.when(F.col("depth_min") == 0, F.array("id")).otherwise(F.col("path")).alias("path"), (F.col("below") - 1).alias("n_descendants"),

@@ -1,12 +1,12 @@
 """Per-key work when a few keys hold most rows: fragment and replicate by load.
 
-The load of every key is estimated in two map-side-combined passes over the key column alone. Keys are hashed to a fixed
-number of buckets; a bucket that is lighter than the target load of a task is taken whole, and within heavier buckets the
+The load of every key is estimated in two map-side-combined passes over the key column alone. Keys are hashed to buckets,
+32 for each task; a bucket that is lighter than the target load of a task is taken whole, and within heavier buckets the
 rows of each key are counted. Keys heavier than half the target are split into shards in proportion to their load. Shards
 and buckets are then bin-packed onto tasks, largest first. Rows go to their task by its number, and of a matching side only the rows
 of split keys are replicated, only to the tasks that hold a shard of theirs.
 
-What reaches the driver is bounded by ``buckets`` plus twice the number of tasks, whatever the number of keys.
+What reaches the driver is bounded by the number of buckets plus twice the number of tasks, whatever the number of keys.
 """
 
 from __future__ import annotations
@@ -18,9 +18,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinweave.plans.staging import BROADCAST_ROWS, fits_broadcast, stage
+from kinweave.plans.staging import BROADCAST_BYTES, fits_broadcast, stage
 
-BUCKETS = 1024
+#: Hash buckets a task: the keys of a bucket that none of them is heavy stay together, so a bucket must be light against a task.
+BUCKETS_PER_TASK = 32
 
 
 def _bucket(key: Column, buckets: int) -> Column:
@@ -57,11 +58,14 @@ def pack(sizes: list[tuple[int, object]], bins: int) -> tuple[dict[object, int],
     return where, loads
 
 
-def plan_loads(df: DataFrame, key: str, rows_per_task: int = 2_000_000, buckets: int = BUCKETS, least_tasks: int | None = None) -> LoadPlan:
+def plan_loads(df: DataFrame, key: str, rows_per_task: int = 2_000_000, buckets: int | None = None, least_tasks: int | None = None) -> LoadPlan:
     """Count loads and bin-pack them; ``least_tasks`` defaults to twice the cluster's cores."""
     spark = df.sparkSession
     cores = max(2, spark.sparkContext.defaultParallelism)
     keys = df.select(F.col(key).alias("_key"))
+    if buckets is None:  # a row count first, so that the number of buckets follows the number of tasks
+        likely = max(-(-keys.count() // rows_per_task), least_tasks or 2 * cores)
+        buckets = BUCKETS_PER_TASK * likely
     by_bucket = {r["b"]: r["n"] for r in keys.groupBy(_bucket(F.col("_key"), buckets).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `buckets` rows
     total = sum(by_bucket.values())
     n_tasks = max(1, -(-total // rows_per_task), min(least_tasks or 2 * cores, total or 1))
@@ -116,13 +120,14 @@ def replicate(df: DataFrame, key: str, plan: LoadPlan) -> DataFrame:
     return out.drop("_bucket", "_light", "_key", "_tasks").repartitionById(plan.n_tasks, F.col("_task"))
 
 
-def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", shard_by: list[str] | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", shard_by: list[str] | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Join on one key column, safe against hot keys on the left: ``inner``, ``left``, ``left_semi`` or ``left_anti``.
 
-    The right side is staged; up to ``limit`` rows it is broadcast, beyond that the left side is fragmented by load and the
-    right side replicated to the fragments. Both give the same rows. The columns of the two sides other than ``key`` must differ.
+    The right side is staged unless it is already; up to ``limit`` bytes of files it is broadcast, beyond that the left side is fragmented by load
+    and the right side replicated to the fragments. Both give the same rows. The columns of the two sides other than ``key`` must differ.
     """
-    right = stage(right, "right")
+    if not getattr(right, "_staged_path", None):
+        right = stage(right, "right")
     if fits_broadcast(right, limit):
         return left.join(F.broadcast(right), key, how)
     plan = plan_loads(left, key)

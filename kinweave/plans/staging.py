@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a side may be broadcast (a few longs a row: some tens of MB at most).
-BROADCAST_ROWS = 200_000
+#: Bytes of compressed Parquet up to which a staged side may be broadcast (some tens of MB in memory).
+BROADCAST_BYTES = 4 << 20
 
 _own: dict[str, str] = {}
+_scopes: list[list[DataFrame]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,21 +42,52 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._staged_path = path
+    for held in _scopes:
+        held.append(back)
     return back
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table written by :func:`stage`; nothing happens for other tables."""
-    path = getattr(df, "_staged_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+def viewed(staged: DataFrame, *columns: str | Column) -> DataFrame:
+    """Columns of a staged table; the result still counts as staged."""
+    out = staged.select(*columns)
+    out._staged_path = staged._staged_path
+    return out
 
 
-def fits_broadcast(staged: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether a staged table has at most ``limit`` rows (a count over Parquet footers)."""
-    return staged.count() <= limit
+def _file(df: DataFrame):
+    p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._staged_path)
+    return p, p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf())
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables written by :func:`stage`; nothing happens for other tables."""
+    for df in tables:
+        if getattr(df, "_staged_path", None):
+            p, fs = _file(df)
+            fs.delete(p, True)
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Delete all tables that :func:`stage` writes within the block at its end; results must be consumed inside."""
+    held: list[DataFrame] = []
+    _scopes.append(held)
+    try:
+        yield
+    finally:
+        _scopes.remove(held)
+        discard(*held)
+
+
+def staged_bytes(staged: DataFrame) -> int:
+    """Size of a staged table's files; no job runs."""
+    p, fs = _file(staged)
+    return fs.getContentSummary(p).getLength()
+
+
+def fits_broadcast(staged: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether the files of a staged table have at most ``limit`` bytes."""
+    return staged_bytes(staged) <= limit
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

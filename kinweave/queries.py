@@ -107,16 +107,19 @@ JOIN reach y ON y.kind = x.kind AND y.b = x.a AND y.a = x.b GROUP BY x.kind, x.a
     "p5_paths": """
 WITH RECURSIVE links AS (
   SELECT 'node' kind, child, parent FROM edges WHERE parent IS NOT NULL AND parent <> -1
-  UNION ALL SELECT 'individual', id, p FROM (SELECT id, unnest(parents) p FROM individuals) q WHERE p IS NOT NULL AND p <> -1),
-up AS (SELECT kind, child, min(parent) parent FROM links GROUP BY kind, child),
+  UNION SELECT 'individual', id, p FROM (SELECT id, unnest(parents) p FROM individuals) q WHERE p IS NOT NULL AND p <> -1),
 ids AS (SELECT kind, child id FROM links UNION SELECT kind, parent FROM links),
-walk AS (
-  SELECT i.kind, i.id, i.id root, CAST(0 AS BIGINT) depth, [i.id] path FROM ids i LEFT JOIN up u ON u.kind = i.kind AND u.child = i.id WHERE u.child IS NULL
-  UNION ALL SELECT u.kind, u.child, w.root, w.depth + 1, list_append(w.path, u.child) FROM walk w JOIN up u ON u.kind = w.kind AND u.parent = w.id),
-below AS (SELECT kind, a id, count(*) n FROM (SELECT kind, unnest(path[:-2]) a FROM walk) q GROUP BY kind, a)
-SELECT i.kind, i.id, w.root, w.depth, array_to_string(w.path, '/') path, w.id IS NULL loops,
-  CASE WHEN w.id IS NOT NULL THEN coalesce(b.n, 0) END n_descendants
-FROM ids i LEFT JOIN walk w ON w.kind = i.kind AND w.id = i.id LEFT JOIN below b ON b.kind = i.kind AND b.id = i.id""",
+tops AS (SELECT kind, id FROM ids ANTI JOIN links l ON l.kind = ids.kind AND l.child = ids.id),
+near(kind, id, d) USING KEY (kind, id) AS (SELECT kind, id, CAST(0 AS BIGINT) FROM tops
+  UNION SELECT l.kind, l.child, min(w.d) + 1 FROM near w JOIN links l ON l.kind = w.kind AND l.parent = w.id
+    LEFT JOIN recurring.near o ON o.kind = l.kind AND o.id = l.child WHERE o.id IS NULL GROUP BY l.kind, l.child),
+via AS (SELECT l.kind, l.child, min(l.parent) parent FROM links l JOIN near x ON x.kind = l.kind AND x.id = l.child JOIN near y ON y.kind = l.kind AND y.id = l.parent WHERE y.d = x.d - 1 GROUP BY l.kind, l.child),
+walk(kind, id, way) AS (SELECT kind, id, [id] FROM tops UNION ALL SELECT v.kind, v.child, list_append(w.way, v.child) FROM walk w JOIN via v ON v.kind = w.kind AND v.parent = w.id),
+rows_ AS (SELECT l.kind, l.child id, l.parent, l.child = l.parent OR coalesce(list_contains(w.way, l.child), false) closes, list_append(w.way, l.child) way, w.way IS NULL lost
+  FROM links l LEFT JOIN walk w ON w.kind = l.kind AND w.id = l.parent
+  UNION ALL SELECT kind, id, NULL, false, [id], false FROM tops)
+SELECT kind, id, parent, closes, CASE WHEN NOT closes AND NOT lost THEN way[1] END root, CASE WHEN NOT closes AND NOT lost THEN CAST(len(way) - 1 AS BIGINT) END AS depth,
+  CASE WHEN NOT closes AND NOT lost THEN array_to_string(way, '/') END AS path FROM rows_""",
     "p5_lineage": _REACH + """
 looped AS (SELECT x.kind, x.a id, min(y.a) c FROM reach x JOIN reach s ON s.kind = x.kind AND s.a = x.a AND s.b = x.a
   JOIN reach y ON y.kind = x.kind AND y.b = x.a AND y.a = x.b GROUP BY x.kind, x.a),

@@ -104,7 +104,7 @@ def test_cycles(spark, seed, base):
     links = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(150)] + [(1000 + i, 1000 + (i + 1) % 90) for i in range(90)] + [(2000 + i, 2001 + i) for i in range(150)]
     links += [(500, 500), (501, 502), (502, 501), (502, 503), (1005, 2000), (600, 1003)] + [(3000 + i, 3001 + i) for i in range(40)] + [(3040, 3000), (3041, 3005), (3010, 3041)]
     df = spark.createDataFrame([("node", a, b) for a, b in links + links[:9]] + [("individual", 501, 502), ("individual", None, 1), ("individual", 1, None)], "kind string, child long, parent long")
-    got = {(r["kind"], r["cycle_id"], r["member_id"]) for r in hierarchy.cycles(df, base_links=base, fragments=3 if base == 0 else None).collect()}
+    got = {(r["kind"], r["cycle_id"], r["member_id"]) for r in hierarchy.cycles(df, base_links=base).collect()}
     assert got == {("node", c, m) for c, m in brute_cycles(links)}
 
 
@@ -113,30 +113,66 @@ def test_cycles_empty_and_local():
     assert sorted(zip(member.tolist(), cycle.tolist())) == [(1, 1), (2, 1), (9, 9)]
 
 
-@pytest.mark.parametrize("base", [10**6, 40, 7])
+def test_climb():
+    node, up = np.array([5, 9, 1, 2, 3, 7, 8, 20]), np.array([9, 50, 2, 3, 2, 1, 8, 21])
+    exit_, far = hierarchy.climb(node, up, np.ones(8, int))
+    assert exit_.tolist() == [50, 50, 2, 2, 2, 2, 8, 21] and far.tolist() == [2, 1, 1, 0, 1, 2, 0, 1]
+
+
+@pytest.mark.parametrize("base", [10**6, 30, 1])
+def test_exits(spark, base):
+    """Chains over fragments, a bare chain that only doubling settles, loops within and across fragments."""
+    up = {i * 64: (i + 1) * 64 for i in range(200)} | {100_000 + i * 64: 100_000 + (i + 1) % 40 * 64 for i in range(40)} | {7: 0, 8: 7, 200_001: 200_002, 200_002: 200_001, 300_000: 100_064}
+    want = {}
+    for u in up:
+        seen, v, k = {}, u, 0
+        while v in up and v not in seen:
+            seen[v] = k
+            v, k = up[v], k + 1
+        want[u] = (v, k) if v not in up else None
+    from kinweave.plans.staging import stage
+
+    forest = stage(spark.createDataFrame([(a, b, 1) for a, b in up.items()], "node long, up long, len long"))
+    found, levels = hierarchy.exits(forest, base)
+    got = {r["node"]: r for r in found.collect()}
+    assert set(got) == set(up)
+    for u, w in want.items():
+        if w:
+            assert (got[u]["exit"], got[u]["len"]) == w
+        else:
+            e = got[u]["exit"]
+            assert want[e] is None and got[e]["exit"] == e
+    marks = spark.createDataFrame([(7, 0), (192, 0), (300_000, 1)], "node long, cycle long")
+    assert {r["member"] for r in hierarchy.along(levels, marks).collect()} >= {7, 0, 192, 300_000} | {i * 64 for i in range(200)}
+
+
+@pytest.mark.parametrize("base", [10**6, 40, 3])
 def test_paths(spark, base):
     rnd = random.Random(base)
-    links = [(i, rnd.randrange(max(0, i - 9), i)) for i in range(1, 150)] + [(i, rnd.randrange(i)) for i in range(1, 90)] + [(200, 201), (201, 202), (202, 200), (203, 200), (300, 300)]
-    df = spark.createDataFrame([("node", a, b) for a, b in links + links[:5]] + [("individual", 5, 6)], "kind string, child long, parent long")
+    links = [(i, rnd.randrange(max(0, i - 9), i)) for i in range(1, 150)] + [(i, rnd.randrange(i)) for i in range(1, 90)] + [(200, 201), (201, 202), (202, 200), (203, 200), (300, 300), (301, 300), (20, 149)]
+    links += [(400 + i, 401 + i) for i in range(60)]
+    df = spark.createDataFrame([("node", a, b) for a, b in links + links[:5]] + [("individual", 5, 6), ("individual", None, 6), ("x", 5, 6)], "kind string, child long, parent long").withColumn("node", F.lit("clash"))
     up = {}
     for a, b in links:
-        up[a] = min(b, up.get(a, b))
-    want = {}
-    for x in {y for link in links for y in link}:
-        path, seen = [x], {x}
-        while path[-1] in up:
-            nxt = up[path[-1]]
-            if nxt in seen:
-                path = None
-                break
-            path.append(nxt)
-            seen.add(nxt)
-        want[x] = path and path[::-1]
-    got = {r["id"]: r for r in hierarchy.paths(df, base_links=base).where("kind = 'node'").collect()}
-    assert set(got) == set(want)
-    for x, p in want.items():
-        assert got[x]["path"] == p and got[x]["loops"] == (p is None) and got[x]["root"] == (p[0] if p else None), x
-        assert got[x]["n_descendants"] == (sum(x in q[:-1] for q in want.values() if q) if p else None)
+        up.setdefault(a, set()).add(b)
+    tops = {b for _, b in links if b not in up}
+    way, front = {t: [t] for t in tops}, tops
+    near = dict.fromkeys(tops, 0)
+    while front:
+        front = {a for a, b in links if b in front and a not in near}
+        for x in front:
+            near[x] = min(near[p] for p in up[x] if p in near and p not in front) + 1
+        for x in front:
+            way[x] = way[min(p for p in up[x] if near.get(p, -9) == near[x] - 1)] + [x]
+    want = {(t, None): ([t], False) for t in tops}
+    for a, ps in up.items():
+        for b in ps:
+            shut = a == b or a in way.get(b, ())
+            want[a, b] = (None if shut or b not in way else way[b] + [a], shut)
+    got = hierarchy.paths(df, base_links=base).where("kind = 'node'").collect()
+    assert {(r["id"], r["parent"]): (r["path"], r["closes"]) for r in got} == want and len(got) == len(want)
+    for r in got:
+        assert (r["root"], r["depth"]) == ((r["path"][0], len(r["path"]) - 1) if r["path"] else (None, None))
 
 
 def test_empty_hierarchy(spark):
