@@ -10,8 +10,8 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of compressed Parquet up to which a staged side may be broadcast (some tens of MB in memory).
-BROADCAST_BYTES = 4 << 20
+#: Bytes of compressed Parquet, and rows, up to which a staged side may be broadcast (some tens of MB in memory).
+BROADCAST_BYTES, BROADCAST_ROWS = 4 << 20, 500_000
 
 _own: dict[str, str] = {}
 _scopes: list[list[DataFrame]] = []
@@ -86,8 +86,8 @@ def staged_bytes(staged: DataFrame) -> int:
 
 
 def fits_broadcast(staged: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
-    """Whether the files of a staged table have at most ``limit`` bytes."""
-    return staged_bytes(staged) <= limit
+    """Whether the files of a staged table have at most ``limit`` bytes, and it at most BROADCAST_ROWS rows (a count over Parquet footers)."""
+    return staged_bytes(staged) <= limit and staged.count() <= BROADCAST_ROWS
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -180,14 +180,14 @@ def test_empty_hierarchy(spark):
     assert hierarchy.cycles(none).count() == 0 and hierarchy.paths(none).count() == 0
 
 
-@pytest.mark.parametrize("huge,width", [(10**9, 64.0), (1, 7.0), (40, 10.0)])
-def test_coverage(spark, huge, width):
+@pytest.mark.parametrize("per_shard,longest", [(10**9, 9), (1, 9), (10, 9), (2, 120), (20, 250)])
+def test_coverage(spark, per_shard, longest):
     rnd = random.Random(5)
     rows = []
     for e in (1, 2, None):
         for _ in range(60 if e == 1 else 4):
             a = rnd.randrange(400)
-            rows.append((e, float(a), float(a + rnd.randrange(1, 9))))
+            rows.append((e, float(a), float(a + rnd.choice([rnd.randrange(1, 9), rnd.randrange(1, longest)]))))
     rows += rows[:7] + [(1, None, 3.0), (2, 5.0, 5.0), (2, 9.0, 1.0), (1, float("nan"), 2.0), (9, 1.0, 2.0), (9, 2.0, 3.0)]
     df = spark.createDataFrame(rows, "e long, left double, right double").withColumn("_shard", F.lit("clash")).withColumn("_island", F.lit(0))
     want_merged, want_gaps = set(), set()
@@ -201,6 +201,19 @@ def test_coverage(spark, huge, width):
                     want_gaps.add((e, prev + 1, x))
                     start = x
             prev = x
-    assert {tuple(r) for r in coverage.merged_intervals(df, ["e"], width, huge).collect()} == want_merged
-    assert {tuple(r) for r in coverage.gaps(df, ["e"], width, huge).collect()} == want_gaps
+    assert {tuple(r) for r in coverage.merged_intervals(df, ["e"], per_shard).collect()} == want_merged
+    assert {tuple(r) for r in coverage.gaps(df, ["e"], per_shard).collect()} == want_gaps
     assert coverage.gaps(df.limit(0), ["e"]).count() == 0
+
+
+def test_coverage_of_one_huge_entity(spark):
+    """One entity with a million intervals in 50 shards: ties, intervals over all of the axis' middle, and a gap after every tenth."""
+    n = 1_000_000
+    df = spark.range(n).selectExpr("1L as e", "cast(id as double) as left", "cast(id + if(id % 10 = 9, 0.5, 1.0) as double) as right")
+    df = df.unionByName(spark.range(1000).selectExpr("1L as e", "400000.0 as left", "cast(500000 + id as double) as right"))
+    twice = df.selectExpr("e", "left * 2 as left", "right * 2 as right")
+    g = coverage.gaps(twice, ["e"], 20_000).selectExpr("count(*) n", "sum(gap_right - gap_left) w", "min(gap_left) a", "max(gap_right) b").first()
+    free = [k for k in range(n - 1) if k % 10 == 9 and not 400_000 <= k < 500_999]
+    assert (g["n"], g["w"], g["a"], g["b"]) == (len(free), len(free), 2 * free[0] + 1, 2 * free[-1] + 2)
+    m = coverage.merged_intervals(twice, ["e"], 20_000).selectExpr("count(*) n", "sum(right - left) w").first()
+    assert m["n"] == len(free) + 1 and m["w"] == 2.0 * n - 1 - len(free)
