@@ -1,20 +1,27 @@
 """Documents that are mostly stuffed keywords, term lists, codes, tags or links.
 
-A text is cut into segments (lines, and sentences within lines). A segment is a string rather than a sentence if its words lack the
-function words of every known language and it shows one of the marks of stuffing: links or tags, codes, separators,
-a dominating word or word pair, repetition of a line, or simply length. A document is stuffed if more than half of its words
-stand in such segments. The share of function words that a sentence needs is set per language.
+A text is cut into segments (lines, and sentences within lines). Each segment is measured: its share of function words in the language that fits it best, the shares
+of its most frequent content word and word pair, separators and codes a word, copies of its line, and whether it stands in a list of short lines or runs on without
+punctuation; links count as stuffed by themselves. Measures above a threshold give points, and a segment with two points is a string rather than a sentence.
+A document is stuffed if more than half of its words stand in strings.
+
+The thresholds are set per language from all documents: histograms of the measures over all segments (a fixed number of bins) give the share of function words that parts strings
+from sentences best, and the value of every other measure that all but a few sentences stay below. A text is parsed once; the measures are written, then judged. Where no
+language of the list is recognised, missing function words tell nothing and the other measures decide.
 """
 
 from __future__ import annotations
 
+import html
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from kinweave.plans.staging import stage
 
 #: Frequent function words of sentences, by language. Words that keywords and names of parts share with them (en, pas, me, now, de, d) are left out.
 FUNCTION_WORDS = {
@@ -22,130 +29,292 @@ FUNCTION_WORDS = {
     "de": "der die das den dem des ein eine einer eines einem einen und oder ist sind war wird werden wurde mit von vom zu zur zum im in an am auf aus bei nach für durch als dass wobei so wenn nicht sich auch über unter zwischen bis um kann können dadurch sowie oder gemäß bleibt es er sie wie welche welcher welches zeigt ohne nur noch je einen anspruch".split(),
     "fr": "le la les l un une des du et ou est sont était par pour avec dans sur au aux ce cette ces qui que dont où se sa son ses selon lorsque entre ne plus il elle ils il comme sans sous jusqu à leur lequel laquelle peut être caractérisé montre subsiste si quand chaque reste".split(),
     "es": "el la los las un una unos unas del y o e es son está están fue por para con al a su sus se que cuando donde entre como según lo no más este esta estos cual si sin sobre hasta desde cada tiene puede ser queda reivindicación".split(),
+    "it": "il lo la i gli le un uno una del dello della dei degli delle al allo alla ai alle dal dalla nel nella nei nelle sul sulla e ed o è sono era che chi con per tra fra non si come quando dove mentre se anche più suo sua suoi può essere viene ha questo questa di da".split(),
+    "pt": "o a os as um uma uns umas do da dos das no na nos nas ao à pelo pela e ou é são foi era que com por para não se como quando onde entre mais seu sua seus este esta pode ser tem em".split(),
+    "nl": "het een of is zijn was wordt worden werd van in op te dat die dit deze met voor door aan bij uit om naar over als dan maar ook niet er nog wel zich wordt kan kunnen hij zij men tot onder tussen volgens waarin waarbij wanneer heeft hebben".split(),
+    "ru": "и в во не на с со что а по это к но из у за от так же для как или при до бы если их его её он она они который которая которое которые этого том между под над чтобы когда где уже только был была были быть может".split(),
 }
-#: Share of function words below which a segment lacks them, by language; calibrated on sentences and keyword strings of each language.
-LEAST_FUNCTION = {"en": 0.13, "de": 0.12, "fr": 0.12, "es": 0.12}
-#: Share of kana among the letters of a Japanese segment below which it is a list of terms.
-LEAST_KANA = 0.15
+#: Last syllables of words in Korean sentences, and characters of Chinese sentences that have a grammatical use.
+KOREAN_ENDS, CHINESE_CHARS = "은는이가을를의에로와과다며고도서", "的了是在和与或及为有不该个被将对于由从到这那也都就而其所以"
+
+LANGUAGES = [*FUNCTION_WORDS, "ja", "ko", "zh"]
+#: Measures are counted in this many bins from 0 to 1, the last one for 1 and above.
+BINS = 64
+#: For each measure the value used where a language has too few words to calibrate, and the limits of calibration.
+LIMITS = {"function": (0.13, 0.09, 0.18), "top": (0.3, 0.25, 0.4), "pair": (0.16, 0.12, 0.25), "separators": (0.3, 0.22, 0.4), "codes": (0.3, 0.2, 0.5)}
+#: Function measures of the languages that are not told by words: kana of all letters, words with an ending, characters with a use.
+SPECIAL = {"ja": (0.15, 0.1, 0.2), "ko": (0.2, 0.15, 0.3), "zh": (0.06, 0.04, 0.08)}
+MEASURES = list(LIMITS)
+#: Words of a language from which it is calibrated; share of words of sentences that stay below a threshold.
+LEAST_WORDS, BELOW = 20_000, 0.998
 
 _ANCHOR = re.compile(r"<a\b[^>]*>.*?</a\s*>", re.I | re.S)
 _HREF = re.compile(r"href\s*=\s*[\"']?([^\"'\s>]+)")
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>")
-_SEGMENT = re.compile(r"\n+|(?<=[.!?。])[ \t]+|(?<=。)")
+_SENTENCE = re.compile(r"(?<=[.!?。！？])[ \t]+|(?<=[。！？])")
 _LINK = re.compile(r"(?:https?://|www\.)\S+|\S+@\S+\.\w+|#\w\w+", re.I)
 _WORD = re.compile(r"[^\W_]+")
 _CJK = re.compile(r"[ぁ-ヿ㐀-鿿]+")
 _HIRAGANA = re.compile(r"[ぁ-ゟ]")
+_HANGUL = re.compile(r"[가-힣]")
 _CODE = re.compile(r"(?:[A-Za-z]+\d|\d+[A-Za-z])[^\W_]*|\d+/\d+|\d+\.\d\d\b")
-_SEPARATOR = re.compile(r"[|;,»›>/·•#\t]| - ")
+_SEPARATOR = re.compile(r"[|;,»›>/·•#\t、，；]| - ")
+_STOP = re.compile(r"[.!?。！？,;:，；：、]")
 
-
-#: Word -> counts of the languages that have it as a function word, 16 bits each.
+#: Word -> counts of the languages that have it as a function word, 20 bits each.
 _COUNTS: dict[str, int] = {}
 for _i, _words in enumerate(FUNCTION_WORDS.values()):
-    for _w in _words:
+    for _w in set(_words):
         _COUNTS[_w] = _COUNTS.get(_w, 0) | 1 << 20 * _i
-_LEAST = [(20 * i, LEAST_FUNCTION[k]) for i, k in enumerate(FUNCTION_WORDS)]
-#: Lines without function words in a row, from which they are a list however short they are.
-LIST_LINES = 5
+_SHIFTS = [(20 * i, i) for i in range(len(FUNCTION_WORDS))]
+_JA, _KO, _ZH = (LANGUAGES.index(x) for x in ("ja", "ko", "zh"))
+#: Short lines in a row from which they are a list; words of a short line; copies from which a line is repeated, and repeated beyond any prose; words of a run-on segment, and of one beyond any prose.
+LIST_LINES, SHORT, COPIES, MANY, RUN_ON, FAR_ON = 5, 6, 5, 10, 12, 40
+#: Content words of a paragraph, and the share of one of them from which it fills the paragraph half and wholly.
+FILL = (16, 0.2, 0.3)
+
+#: Marks of a segment: in a list of short lines, copied, copied beyond any prose, run-on, ends like a sentence, in a paragraph that one word fills, of 3 words, of SHORT words, run-on beyond any prose, in a paragraph that one word half fills.
+_LIST, _COPY, _FLOOD, _ENDLESS, _ENDS, _FILLED, _SOME, _LONG, _FAR, _HALF = (1 << i for i in range(10))
+_SEGMENT = ["lang", *MEASURES, "marks", "words"]
+
+
+def _bin(x: float) -> int:
+    return min(BINS, int(x * BINS))
+
+
+def _most(items: list) -> int:
+    return Counter(items).most_common(1)[0][1] if items else 0
+
 
+def language_of(lang: str | None) -> int | None:
+    """The number of a language tag's language, None if it is not in the list."""
+    tag = re.split(r"[-_ ]", lang.strip().lower())[0] if lang else ""
+    return LANGUAGES.index(tag) if tag in LANGUAGES else None
 
-def _cjk_words(s: str) -> float:
-    return sum(map(len, _CJK.findall(s))) / 2
 
+def _spaced(words: list[str], hangul: bool) -> tuple[int, float, list[str]]:
+    """The language whose function words (Korean: endings) are most frequent, their share, and the words of more than three letters that are function words of no language."""
+    got, rest, best, most = 0, [], -1, 0
+    for w in words:
+        if (k := _COUNTS.get(w)) is not None:
+            got += k
+        elif len(w) > 3:
+            rest.append(w)
+    for shift, i in _SHIFTS:
+        if (k := got >> shift & 0xFFFFF) > most:
+            best, most = i, k
+    if hangul and not most:
+        best, most = _KO, sum("가" <= w[-1] <= "힣" and w[-1] in KOREAN_ENDS for w in words)
+    return best, most / len(words), rest
 
-def _lacking(words: list[str]) -> bool:
-    got = sum(map(_COUNTS.get, words, repeat(0)))
-    n = len(words)
-    return all((got >> shift & 0xFFFFF) < least * n for shift, least in _LEAST)
 
+def _wide(letters: str, kana: bool) -> tuple[int, float, list[str]]:
+    """The same for Japanese and Chinese letters; pairs of letters stand for words."""
+    rest = [letters[i : i + 2] for i in range(0, len(letters), 2)]
+    if kana:
+        return _JA, len(_HIRAGANA.findall(letters)) / len(letters), rest
+    return _ZH, sum(map(letters.count, CHINESE_CHARS)) / len(letters), rest
 
-def _marked(s: str, words: list[str], n: float, linked: int, again: bool) -> bool:
-    """Whether a segment without function words shows a mark of stuffing."""
-    if n >= 8 or linked or again or (n >= 3 and s.rstrip()[-1:] in ".!?"):
-        return True
-    if len(words) >= 4 and Counter(words).most_common(1)[0][1] >= 0.25 * len(words):
-        return True
-    if len(words) >= 6 and Counter(zip(words, words[1:])).most_common(1)[0][1] >= 0.15 * len(words):
-        return True
-    return len(_SEPARATOR.findall(s)) >= 0.25 * n or len(_CODE.findall(s)) >= 0.25 * n
 
+def measure(text: str | None, lang: str | None = None) -> tuple[float, float, list[tuple]]:
+    """Words of a text, words within its links, and its other segments as tuples of language, bins of the measures, marks and words; equal segments are added up.
 
-def stuffed_share(text: str | None) -> tuple[float, float]:
-    """The number of words of a text and the share of them in strings (0.0 for a text without words)."""
+    A segment's language is the one that fits it if sentences of the text show that language, else that of most sentences or of the tag ``lang``, and -1 where neither
+    is known.
+    """
     if not text:
-        return 0.0, 0.0
-    total = stuffed = 0.0
+        return 0.0, 0.0, []
+    total = linked = 0.0
     text = text.lower()
     if "<" in text:
         for m in _ANCHOR.finditer(text):
             n = len(_WORD.findall(_TAG.sub(" ", m.group()))) + len(_WORD.findall(" ".join(_HREF.findall(m.group()))))
             total += n
-            stuffed += n
+            linked += n
         text = _TAG.sub(" ", _ANCHOR.sub(" ", text))
+    if "&" in text:
+        text = html.unescape(text)
     links = "http" in text or "www." in text or "@" in text or "#" in text
     wide = not text.isascii() and _CJK.search(text) is not None
-    segments = [s for s in _SEGMENT.split(text) if s and not s.isspace()]
-    seen: Counter | None = None
-    held = run = 0.0  # words of lines in a row that lack function words but show no other mark, and the number of such lines
-    for s in [*segments, ""]:
-        linked, body = 0, s
-        if links and (found := _LINK.findall(s)):
-            linked = sum(len(_WORD.findall(x)) for x in found)
-            body = _LINK.sub(" ", s)
-        kana = 0.0
-        if wide and (kana := _cjk_words(body)):
-            letters = "".join(_CJK.findall(body))
-            words = _WORD.findall(_CJK.sub(" ", body))
-        else:
-            words = _WORD.findall(body)
-        n = len(words) + kana
-        total += n + linked
-        if s and not n:
-            stuffed += linked
-            continue
-        if not s:
-            lacking = False
-        elif kana > len(words):
-            lacking = len(_HIRAGANA.findall(letters)) < LEAST_KANA * len(letters)
-        else:
-            lacking = _lacking(words)
-        if linked >= n and linked:
-            stuffed += n + linked
-        elif lacking:
-            if seen is None:
-                seen = Counter(segments)
-            run += 1
-            if _marked(body, words, n, linked, seen[s] > 2):
-                stuffed += n + linked
+    hangul = not text.isascii() and _HANGUL.search(text) is not None
+    kana = wide and _HIRAGANA.search(text) is not None
+    lines = [x for x in map(str.strip, text.split("\n")) if x]
+    copies = Counter(lines)
+    out: list[list] = []
+    listed: set[int] = set()
+    short: list[int] = []  # segments of short lines in a row
+    for line in [*lines, ""]:
+        at, content = len(out), []
+        mark = (_COPY if copies[line] >= COPIES else 0) | (_FLOOD if copies[line] >= MANY and 2 * copies[line] > len(lines) else 0)
+        for s in _SENTENCE.split(line):
+            own, body, letters = 0, s, ""
+            if links and (found := _LINK.findall(s)):
+                own = sum(len(_WORD.findall(x)) for x in found)
+                body = _LINK.sub(" ", s)
+            if wide and (letters := "".join(_CJK.findall(body))):
+                words = _WORD.findall(_CJK.sub(" ", body))
             else:
-                held += n
-                stuffed += linked
-            continue
-        else:
-            stuffed += linked
-        if run >= LIST_LINES:
-            stuffed += held
-        held = run = 0.0
+                words = _WORD.findall(body)
+            n = len(words) + len(letters) / 2
+            total += n + own
+            linked += own
+            if own >= n:
+                linked += n
+                continue
+            if 2 * len(words) < len(letters):
+                best, share, rest = _wide(letters, kana)
+                top, pair = _share(rest, len(rest)), 0.0
+            else:
+                best, share, rest = _spaced(words, hangul)
+                top, pair = _share(rest, len(words)), _share([x for x in zip(words, words[1:]) if len(x[0]) > 3 or len(x[1]) > 3], len(words) - 1) if len(words) > 6 else 0.0
+                content += rest
+            marks = mark | (_SOME if n >= 3 else 0) | (_LONG if n >= SHORT else 0) | (_ENDS if body.rstrip()[-1:] in ".!?。！？:" else 0)
+            stops = len(_STOP.findall(body)) - (marks & _ENDS > 0)
+            marks |= (_ENDLESS if n >= RUN_ON and stops * FAR_ON < n else 0) | (_FAR if n >= FAR_ON and stops * FAR_ON < n else 0)
+            out.append([best, share, top, pair, len(_SEPARATOR.findall(body)) / n, len(_CODE.findall(body)) / n, marks, n])
+        if len(content) >= FILL[0] and (fill := _share(content, len(content))) >= FILL[1]:
+            for x in out[at:]:
+                x[6] |= (_FILLED if fill >= FILL[2] else _HALF) if x[0] not in (_JA, _ZH) else 0
+        if len(out) == at + 1 and out[at][7] <= SHORT and not out[at][6] & _ENDS:
+            short.append(at)
+        elif len(out) > at or not line:
+            listed.update(short if len(short) >= LIST_LINES else ())
+            short = []
+    return total, linked, _cells(out, listed, language_of(lang))
+
+
+def _share(items: list, of: int) -> float:
+    return Counter(items).most_common(1)[0][1] / of if len(items) >= 4 else 0.0
+
+
+def _cells(out: list[list], listed: set[int], hint: int | None) -> list[tuple]:
+    seen: Counter = Counter()
+    plain = 0.0
+    for i, x in enumerate(out):
+        if x[7] >= SHORT and i not in listed and x[4] < LIMITS["separators"][0] and x[5] < LIMITS["codes"][0]:
+            plain += x[7]
+            if x[0] >= 0 and x[1] >= least(x[0])[0]:
+                seen[x[0]] += x[7]
+    main = seen.most_common(1)[0][0] if seen else -1
+    base = main if main >= 0 and (seen[main] >= 0.25 * plain or hint is None) else hint if hint is not None else -1
+    if hint is None and main >= 0 and seen[main] < 0.5 * plain:
+        base = -1
+    cells: Counter = Counter()
+    for i, x in enumerate(out):
+        cells[(x[0] if x[0] in seen else base, *map(_bin, x[1:6]), x[6] | (_LIST if i in listed else 0))] += x[7]
+    return [(*k, w) for k, w in cells.items()]
+
+
+def least(lang: int) -> tuple[float, float, float]:
+    """Default and limits of the share of function words."""
+    return SPECIAL.get(LANGUAGES[lang], LIMITS["function"]) if lang >= 0 else LIMITS["function"]
+
+
+def default_thresholds() -> list[list[int]]:
+    """Bins of the measures from which they give a point (function words: below which), by number of the language; the last list is for an unknown one."""
+    return [[_bin(least(i)[0]), *(_bin(LIMITS[m][0]) for m in MEASURES[1:])] for i in [*range(len(LANGUAGES)), -1]]
+
+
+def is_string(cell: tuple, thresholds: list[list[int]]) -> bool:
+    """Whether a segment of :func:`measure` is a string: two points of its measures together."""
+    lang, share, *measures, marks, _ = cell
+    t = thresholds[lang]  # -1 is the last
+    lacks = lang >= 0 and share < t[0] and bool(marks & _SOME)
+    points = lacks + (lacks and marks & _LONG > 0 and 3 * share < t[0])
+    points += sum((x >= y) + (x >= 2 * y) for x, y in zip(measures, t[1:])) if marks & _SOME else 0
+    points += marks & _LONG > 0 and not marks & _ENDS
+    points += (2 * (marks & _LIST > 0) + (marks & _ENDLESS > 0) + (marks & _FAR > 0) + (marks & _HALF > 0)) * (lang < 0 or share < t[0]) + (marks & _COPY > 0) + 2 * (marks & _FLOOD > 0) + 2 * (marks & _FILLED > 0)
+    return points >= 2
+
+
+def stuffed_share(text: str | None, lang: str | None = None, thresholds: list[list[int]] | None = None) -> tuple[float, float]:
+    """The number of words of a text and the share of them in strings (0.0 for a text without words), by default thresholds if none are given."""
+    total, linked, cells = measure(text, lang)
+    t = thresholds or default_thresholds()
+    stuffed = linked + sum(c[-1] for c in cells if is_string(c, t))
     return total, stuffed / total if total else 0.0
 
 
-def stuffing(documents: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+def _parting(counts: list[float]) -> int:
+    """The bin that parts a histogram into two classes of the largest variance between them."""
+    total, mean = sum(counts), sum(i * c for i, c in enumerate(counts))
+    best, at, below, sum_below = -1.0, 0, 0.0, 0.0
+    for i, c in enumerate(counts[:-1]):
+        below += c
+        sum_below += i * c
+        if 0 < below < total:
+            between = below * (total - below) * (sum_below / below - (mean - sum_below) / (total - below)) ** 2
+            if between > best:
+                best, at = between, i + 1
+    return at
+
+
+def calibrate(measured: DataFrame) -> list[list[int]]:
+    """Thresholds per language from all segments of ``measured`` (see :func:`measured`); languages of fewer than LEAST_WORDS words keep the defaults.
+
+    What reaches the driver is one count for each language, function bin, measure and bin at most.
+    """
+    seg = measured.select(F.explode("segments").alias("s")).select("s.*").where(F.col("lang").between(0, len(LANGUAGES) - 1) & (F.col("marks").bitwiseAND(_LONG) > 0))
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(m).alias("bin")) for i, m in enumerate(MEASURES)])).alias("m")
+    counts = seg.groupBy("lang", *MEASURES).agg(F.sum("words").alias("words")).select("lang", "function", "words", each)
+    rows = counts.groupBy("lang", "function", "m.i", "m.bin").agg(F.sum("words").alias("words")).collect()
+    out = default_thresholds()
+    for lang in {r["lang"] for r in rows}:
+        mine = [r for r in rows if r["lang"] == lang]
+        share = [0.0] * (BINS + 1)
+        for r in mine:
+            share[r["function"]] += r["words"] if r["i"] == 0 else 0
+        if sum(share) < LEAST_WORDS:
+            continue
+        _, low, high = least(lang)
+        out[lang][0] = min(max(_parting(share), _bin(low)), _bin(high))
+        for i, m in enumerate(MEASURES[1:], 1):
+            count = [0.0] * (BINS + 1)
+            for r in mine:
+                if r["i"] == i and r["function"] >= out[lang][0]:
+                    count[r["bin"]] += r["words"]
+            all_, bin_ = sum(count), 0
+            while bin_ < BINS and sum(count[:bin_]) < BELOW * all_:
+                bin_ += 1
+            out[lang][i] = min(max(bin_, _bin(LIMITS[m][1])), _bin(LIMITS[m][2]))
+    return out
+
+
+def measured(documents: DataFrame, id: str = "doc_id", text: str = "text", lang: str | None = "lang") -> DataFrame:
+    """Every text parsed once, written: ``doc_id``, ``n_words``, ``linked``, ``segments`` (see :func:`measure`)."""
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = [measure(t, g) for t, g in zip(pdf["text"], pdf["lang"])]
+            cells = [[dict(zip(_SEGMENT, c)) for c in cs] for _, _, cs in got]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_words": [a for a, _, _ in got], "linked": [b for _, b, _ in got], "segments": cells})
+
+    tag = f"cast(`{lang}` as string)" if lang and lang in documents.columns else "cast(null as string)"
+    rows = documents.selectExpr(f"cast(`{id}` as long) as doc_id", f"cast(`{text}` as string) as text", f"{tag} as lang")
+    kind = ", ".join(f"{c}: {'double' if c == 'words' else 'int'}" for c in _SEGMENT)
+    return stage(rows.mapInPandas(parse, f"doc_id long, n_words double, linked double, segments array<struct<{kind}>>"), "measured")
+
+
+def stuffing(documents: DataFrame, id: str = "doc_id", text: str = "text", lang: str | None = "lang") -> DataFrame:
     """Per document: ``doc_id``, ``n_words``, ``stuffed_share``.
 
-    The whole text counts. NULL and empty texts have no words and share 0. Each row is judged alone, so repeated rows give
-    repeated results; other columns are ignored, and an empty table gives no rows.
+    The whole text counts. NULL and empty texts have no words and share 0. ``lang`` names a column of language tags, if there is one; wrong and missing tags do
+    little harm, as the text's own sentences count first. Repeated rows give repeated results; other columns are ignored, and an empty table gives no rows.
     """
+    rows = measured(documents, id, text, lang)
+    thresholds = calibrate(rows)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = [stuffed_share(t) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_words": [a for a, _ in got], "stuffed_share": [b for _, b in got]})
+            share = []
+            for n, linked, cells in zip(pdf["n_words"], pdf["linked"], pdf["segments"]):
+                strings = linked + sum(c["words"] for c in cells if is_string(tuple(c[k] for k in _SEGMENT), thresholds))
+                share.append(strings / n if n else 0.0)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_words": pdf["n_words"], "stuffed_share": share})
 
-    rows = documents.selectExpr(f"cast(`{id}` as long) as doc_id", f"cast(`{text}` as string) as text")
     return rows.mapInPandas(judge, "doc_id long, n_words double, stuffed_share double")
 
 
-def stuffed_documents(documents: DataFrame, id: str = "doc_id", text: str = "text", share: float = 0.5) -> DataFrame:
+def stuffed_documents(documents: DataFrame, id: str = "doc_id", text: str = "text", share: float = 0.5, lang: str | None = "lang") -> DataFrame:
     """Documents with more than ``share`` of their words in strings: ``doc_id``."""
-    return stuffing(documents, id, text).where(f"stuffed_share > {share}").select("doc_id")
+    return stuffing(documents, id, text, lang).where(f"stuffed_share > {share}").select("doc_id")

@@ -171,7 +171,43 @@ def test_stuffing(spark):
         assert stuffing.stuffed_share(PROSE * 12 + "\n" + t[:80])[1] < 0.5, name
     for t in (PROSE, PROSE * 20, "Coil with pin", "", None, "1. A pump comprising a coil and a slot.\n2. The pump of claim 1, wherein the coil is of glass.", "軸受は板に固定され、その厚さは9ミリメートルである。板が停止する。", "The the coil of of the is fastened to to the pin."):
         assert stuffing.stuffed_share(t)[1] <= 0.5, t
+    pump = "buy the pump, get the best pump for the price of a pump and compare the pump with any pump in the pump shop, since a pump is a pump. "
+    assert stuffing.stuffed_share(pump * 6)[1] > 0.5 and stuffing.stuffed_share("\n".join(["The housing is made of steel and has a wall."] * 60))[1] > 0.5
     df = spark.createDataFrame([(1, STUFFED["codes"]), (2, PROSE), (3, None), (4, ""), (1, STUFFED["codes"])], "doc_id long, text string").withColumn("n_words", F.lit("clash"))
     assert sorted(r[0] for r in stuffing.stuffed_documents(df).collect()) == [1, 1]
     assert stuffing.stuffing(df.limit(0)).count() == 0
     assert stuffing.stuffed_share(PROSE * 20000)[1] < 0.01
+
+
+SENTENCES = {
+    "nl": "De uitvinding heeft betrekking op een pomp met een behuizing en een spoel. De behuizing is vervaardigd van staal en heeft een wanddikte van vijf millimeter. Wanneer de spoel de eindstand bereikt, gaat de klep open en stroomt de olie naar buiten.",
+    "zh": "本发明涉及一种泵，所述泵包括壳体和线圈。壳体由钢制成，其壁厚为五毫米。当线圈到达终点位置时，阀门打开，油从出口流出。该装置可以用于多种场合，并且具有较长的使用寿命。",
+    "ko": "본 발명은 하우징과 코일을 포함하는 펌프에 관한 것이다. 하우징은 강철로 만들어지며 벽 두께는 오 밀리미터이다. 코일이 끝 위치에 도달하면 밸브가 열리고 오일이 밖으로 흐른다.",
+    "ru": "Изобретение относится к насосу, который содержит корпус и катушку. Корпус изготовлен из стали и имеет толщину стенки пять миллиметров. Когда катушка достигает конечного положения, клапан открывается и масло вытекает наружу.",
+    "it": "L'invenzione riguarda una pompa con un alloggiamento e una bobina. L'alloggiamento è realizzato in acciaio e ha uno spessore di cinque millimetri. Quando la bobina raggiunge la posizione finale, la valvola si apre e l'olio scorre verso l'esterno.",
+    "pl": "Wynalazek dotyczy pompy z obudową i cewką. Obudowa jest wykonana ze stali i ma grubość ścianki pięć milimetrów. Gdy cewka osiąga położenie końcowe, zawór otwiera się i olej wypływa na zewnątrz.",
+    "tr": "Buluş, bir gövde ve bir bobin içeren bir pompa ile ilgilidir. Gövde çelikten yapılmıştır ve beş milimetre et kalınlığına sahiptir. Bobin son konumuna ulaştığında vana açılır ve yağ dışarı akar.",
+    "fi": "Keksintö koskee pumppua, jossa on kotelo ja käämi. Kotelo on valmistettu teräksestä ja sen seinämän paksuus on viisi millimetriä. Kun käämi saavuttaa pääteasennon, venttiili avautuu ja öljy virtaa ulos.",
+}
+
+
+@pytest.mark.parametrize("lang", sorted(SENTENCES))
+def test_sentences_of_other_languages(lang):
+    """Listed or not, tagged or not, on one line or several."""
+    t = SENTENCES[lang]
+    for text in (t, t * 4, "\n".join([t] * 3)):
+        for tag in (None, lang, "xx"):
+            assert stuffing.stuffed_share(text, tag)[1] < 0.5
+
+
+def test_calibration(spark):
+    """Thresholds follow the segments of a language; a language with few words keeps the defaults."""
+    rows = [(i, (PROSE * 6 if i % 4 else STUFFED["words"]), "EN-x") for i in range(400)] + [(1000, SENTENCES["it"], "it")]
+    m = stuffing.measured(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    t, d = stuffing.calibrate(m), stuffing.default_thresholds()
+    en = stuffing.LANGUAGES.index("en")
+    low, high = (int(stuffing.BINS * x) for x in stuffing.LIMITS["function"][1:])
+    assert low <= t[en][0] <= high and t[stuffing.LANGUAGES.index("it")] == d[stuffing.LANGUAGES.index("it")]
+    got = {r["doc_id"] for r in stuffing.stuffed_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got == {i for i in range(400) if i % 4 == 0}
+    assert stuffing._parting([5.0, 1.0, 0.0, 0.0, 0.0, 1.0, 7.0]) in range(2, 6)
