@@ -1,11 +1,11 @@
 """Passages of evaluation items inside training documents, by suffix arrays of the training shards.
 
-A shard of documents becomes one array of word numbers; its suffixes are sorted by their first ``least`` words, and every suffix of
-the test items is looked up in that array by binary search. Words that no test item has get the number 0: no match can cross
-them, so only suffixes that start with ``least`` words of the test vocabulary enter the array, which loses none. What is found is then
-extended word by word to the longest verbatim match.
+The documents of a partition are taken in shards; a shard becomes one array of word numbers whose suffixes are sorted by doubling: the ranks of all stretches of 1, 2, 4, ...
+words are kept, up to the length of the longest item. Every suffix of the test items is then looked up by binary search, first for its first ``least`` words, which gives the range
+of all suffixes of the shard that begin with them; how far each of these matches is read off the ranks, a power of two words at a time.
 
-Test items are taken in blocks of bounded size, each against all documents; the documents are never shuffled.
+The documents are read once and never shuffled. The test items are written as blocks of bounded size to the shared folder, from where each task
+reads one block after the other; nothing of them is broadcast or gathered.
 """
 
 from __future__ import annotations
@@ -14,20 +14,18 @@ import html
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinweave.operators.skew import skew_join
 from kinweave.plans.staging import stage
 
 LEAST = 13
-#: Characters of test items in one block; what the driver and each Python worker hold at once is a small multiple of it.
-BLOCK_CHARS = 16_000_000
-#: Words after which a shard of training text is closed.
-SHARD_WORDS = 4_000_000
+#: Characters of test items in one block, and words after which a shard of training text is closed; a Python worker holds a block, and 4 bytes a word and doubling of a shard.
+BLOCK_CHARS, SHARD_WORDS = 16_000_000, 2_000_000
 
 _BREAK = re.compile(r"<\s*/?\s*(?:br|p|div|li|ul|ol|tr|td|th|table|h\d|math|title|section)\b[^<>]*>", re.I)
 _TAG = re.compile(r"<\s*/?\s*[A-Za-z][^<>]*>|<!--.*?-->", re.S)
@@ -66,166 +64,193 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text)
 
 
-class TestIndex:
-    """The suffixes of a block of test items, packed for comparison, and whether their first ``least`` words stand in one item alone."""
+class Block:
+    """A block of test items: their words as numbers of a vocabulary of its own, 0 after each item, and where ``least`` words begin that no other item has."""
 
-    __test__ = False
-
-    def __init__(self, items: list[tuple[int, list[str]]], unique: set[tuple[int, int]], least: int):
-        self.least = least
-        self.vocabulary = {w: i + 1 for i, w in enumerate(sorted({w for _, ws in items for w in ws}))}
-        flat, owner, at = [], [], []
-        for item, ws in items:
-            flat += [self.vocabulary[w] for w in ws] + [0]
+    def __init__(self, items: list[tuple[int, list[str], list[int]]]):
+        self.items = items
+        known: dict[str, int] = {}
+        flat, owner, at, unique = [], [], [], []
+        for item, ws, places in items:
+            base = len(flat)
+            flat += [known.setdefault(w, len(known) + 1) for w in ws] + [0]
             owner += [item] * (len(ws) + 1)
             at += range(len(ws) + 1)
-        self.flat, self.owner, self.at = np.array(flat, dtype="int32"), np.array(owner, dtype="int64"), np.array(at, dtype="int64")
-        self.bits = max(1, len(self.vocabulary).bit_length())
-        starts = full_starts(self.flat, least)
-        self.starts = starts[np.array([(int(self.owner[s]), int(self.at[s])) in unique for s in starts], dtype=bool)] if len(starts) else starts
-        self.keys = packed(self.flat, self.starts, least, self.bits)
-
-
-def full_starts(a: np.ndarray, least: int) -> np.ndarray:
-    """Positions from which ``least`` numbers in a row are not 0."""
-    if len(a) < least:
-        return np.zeros(0, dtype="int64")
-    zeros = np.cumsum(np.concatenate([[0], a == 0]))
-    return np.flatnonzero(zeros[least:] == zeros[:-least])
-
-
-def packed(a: np.ndarray, starts: np.ndarray, least: int, bits: int) -> np.ndarray:
-    """The first ``least`` numbers of each suffix as rows of unsigned 64-bit columns, in an order that sorts like the numbers."""
-    per = 64 // bits
-    cols = []
-    for c in range(0, least, per):
-        key = np.zeros(len(starts), dtype="uint64")
-        for j in range(c, min(c + per, least)):
-            key = (key << np.uint64(bits)) | a[starts + j].astype("uint64")
-        cols.append(key)
-    return np.stack(cols) if cols else np.zeros((1, len(starts)), dtype="uint64")
-
-
-def suffix_array(a: np.ndarray, starts: np.ndarray, least: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """``starts`` in the order of their suffixes (by their first ``least`` numbers), and their keys."""
-    keys = packed(a, starts, least, bits)
-    order = np.lexsort(keys[::-1])
-    return starts[order], keys[:, order]
-
-
-def look_up(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Binary search of all wanted keys at once: first and one past the last equal key."""
-    n, m = keys.shape[1], wanted.shape[1]
-    out = []
-    for right in (False, True):
-        lo, hi = np.zeros(m, dtype="int64"), np.full(m, n, dtype="int64")
-        while True:
-            open_ = lo < hi
-            if not open_.any():
+            unique += [base + p for p in places]
+        self.words = list(known)
+        self.flat, self.owner, self.at = np.array(flat, dtype="int64"), np.array(owner, dtype="int64"), np.array(at, dtype="int64")
+        self.unique = np.zeros(len(flat) + 1, bool)
+        self.unique[unique] = True
+
+
+class Shard:
+    """The suffix array of some documents: ``array`` in the order of the suffixes, and ``ranks[j]`` of the ``2**j`` words that begin at each position.
+
+    ``vocabulary`` maps words to numbers from 1; 0 stands behind each document. Suffixes are sorted by as many words as ``longest`` at least, or wholly.
+    """
+
+    def __init__(self, docs: list[tuple[int, np.ndarray]], vocabulary: dict[str, int], longest: int):
+        self.docs, self.vocabulary = docs, vocabulary
+        self.text = np.concatenate([x for _, d in docs for x in (d, np.zeros(1, dtype="int32"))])
+        self.ends = np.cumsum([len(d) + 1 for _, d in docs])
+        self.ranks, self.keys, width = [self.text.astype("int32")], [], 1
+        while width < longest:
+            keys, rank = np.unique(self._pairs(self.ranks[-1], width), return_inverse=True)
+            self.keys.append(keys)
+            self.ranks.append((rank + 1).astype("int32"))
+            width *= 2
+            if len(keys) == len(self.text):
                 break
-            mid = np.where(open_, (lo + hi) // 2, 0)
-            less, equal = np.zeros(m, bool), np.ones(m, bool)
-            for k, w in zip(keys, wanted):
-                v = k[mid]
-                less |= equal & (v < w)
-                equal &= v == w
-            go = less | equal if right else less
-            lo = np.where(open_ & go, mid + 1, lo)
-            hi = np.where(open_ & ~go, mid, hi)
-        out.append(lo)
-    return out[0], out[1]
-
-
-def shard_matches(index: TestIndex, docs: list[tuple[int, np.ndarray]]) -> list[tuple[int, int, int, int, int]]:
-    """Longest verbatim matches of a shard: document number, item, length in words, place in the document and in the item; the longest per pair."""
-    if not len(index.starts) or not docs:
-        return []
-    a = np.concatenate([x for _, d in docs for x in (d, np.zeros(1, dtype="int32"))])
-    ends = np.cumsum([len(d) + 1 for _, d in docs])
-    starts = full_starts(a, index.least)
-    if not len(starts):
-        return []
-    array, keys = suffix_array(a, starts, index.least, index.bits)
-    first, last = look_up(keys, index.keys)
-    hit = np.flatnonzero(last > first)
-    if not len(hit):
-        return []
-    n = (last - first)[hit]
-    test = np.repeat(index.starts[hit], n)
-    train = array[np.repeat(first[hit] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
-    length = np.full(len(test), index.least)
-    going = np.arange(len(test))
-    while len(going):
-        t, d = test[going] + length[going], train[going] + length[going]
-        same = (index.flat[t] == a[d]) & (a[d] != 0)
-        going = going[same]
-        length[going] += 1
-    doc = np.searchsorted(ends, train, side="right")
-    begin = np.concatenate([[0], ends[:-1]])
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for d, i, k, p, q in zip(doc.tolist(), index.owner[test].tolist(), length.tolist(), (train - begin[doc]).tolist(), index.at[test].tolist()):
-        if k > best.get((d, i), (0,))[0]:
-            best[d, i] = (k, p, q)
-    return [(docs[d][0], i, *x) for (d, i), x in best.items()]
+        self.array = np.argsort(self.ranks[-1], kind="stable")
+
+    @staticmethod
+    def _pairs(rank: np.ndarray, width: int) -> np.ndarray:
+        after = np.zeros(len(rank), dtype="int64")
+        after[: max(0, len(rank) - width)] = rank[width:]
+        return (rank.astype("int64") << 32) | after
+
+    def test_ranks(self, block: Block) -> list[np.ndarray]:
+        """Ranks of all stretches of the items among those of the shard, 0 for one that the shard does not have; each is one binary search."""
+        mine = np.array([0, *(self.vocabulary.get(w, 0) for w in block.words)], dtype="int64")
+        out = [mine[block.flat]]
+        for j, keys in enumerate(self.keys):
+            last = out[-1]
+            after = np.zeros(len(last), dtype="int64")
+            after[: max(0, len(last) - (1 << j))] = last[1 << j :]
+            key = (last << 32) | after
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            out.append(np.where((last > 0) & (after > 0) & (keys[at] == key), at + 1, 0))
+        return out
+
+    def narrow(self, lo: np.ndarray, hi: np.ndarray, length: int, j: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Within ranges of suffixes that agree in ``length`` words, those that go on with a stretch of ``2**j`` words of the wanted rank: binary search in all ranges at once."""
+        out = []
+        for upper in (False, True):
+            a, b = lo.copy(), hi.copy()
+            while (open_ := a < b).any():
+                mid = np.where(open_, (a + b) // 2, 0)
+                v = self.ranks[j][np.minimum(self.array[mid] + length, len(self.text) - 1)]
+                go = open_ & ((v <= wanted) if upper else (v < wanted))
+                a, b = np.where(go, mid + 1, a), np.where(open_ & ~go, mid, b)
+            out.append(a)
+        return out[0], out[1]
+
+    def matches(self, block: Block, least: int) -> list[tuple[int, int, int, int, int]]:
+        """Document, item, words, place in the document and in the item of the longest match of each pair that begins with ``least`` words of that item alone."""
+        test = self.test_ranks(block)
+        start = np.flatnonzero(block.unique[:-1] & (test[0] > 0))
+        lo, hi = np.zeros(len(start), dtype="int64"), np.full(len(start), len(self.array), dtype="int64")
+        done = 0
+        while done < least and len(start):
+            j = min((least - done).bit_length(), len(test)) - 1
+            wanted = test[j][start + done]
+            some = wanted > 0
+            start, (lo, hi) = start[some], self.narrow(lo[some], hi[some], done, j, wanted[some])
+            some = lo < hi
+            start, lo, hi = start[some], lo[some], hi[some]
+            done += 1 << j
+        if not len(start):
+            return []
+        n = hi - lo
+        t = np.repeat(start, n)
+        x = self.array[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        before = (t > 0) & (x > 0)  # a match that goes on to the left is part of a longer one
+        whole = before & block.unique[t - 1] & (test[0][t - 1] == self.text[x - 1]) & (self.text[x - 1] > 0)
+        t, x = t[~whole], x[~whole]
+        length = np.full(len(t), least)
+        top = len(test) - 1
+        for j in range(top, -1, -1):
+            going = np.arange(len(t))
+            while len(going):
+                at, to = t[going] + length[going], x[going] + length[going]
+                inside = (at < len(block.flat)) & (to < len(self.text))
+                going, at, to = going[inside], at[inside], to[inside]
+                same = (test[j][at] == self.ranks[j][to]) & (test[j][at] > 0)
+                going = going[same]
+                length[going] += 1 << j
+                if j < top:
+                    break
+        doc = np.searchsorted(self.ends, x, side="right")
+        place, owner, item_at = x - np.concatenate([[0], self.ends[:-1]])[doc], block.owner[t], block.at[t]
+        order = np.lexsort((item_at, place, -length, owner, doc))
+        first = order[np.concatenate([[True], (np.diff(doc[order]) != 0) | (np.diff(owner[order]) != 0)])]
+        return [(self.docs[d][0], *r) for d, *r in zip(doc[first].tolist(), owner[first].tolist(), length[first].tolist(), place[first].tolist(), item_at[first].tolist())]
 
 
 _MATCH = "doc_id long, item_id long, n_words int, doc_word int, item_word int"
 
 
-def _search(index_of, least: int):
+def _blocks(path: str) -> Iterator[Block]:
+    """The blocks of test items, one file each."""
+    import pyarrow.dataset as ds
+    from pyarrow import fs
+
+    where, inner = fs.FileSystem.from_uri(path)
+    for part in ds.dataset(inner, filesystem=where, format="parquet").get_fragments():
+        rows = part.to_table(columns=["item_id", "words", "places"]).to_pylist()
+        if rows:
+            yield Block([(r["item_id"], r["words"], r["places"]) for r in rows])
+
+
+def _search(path: str, blocks: int, least: int, longest: int, shard_words: int):
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = index_of.value
-        get, zero = index.vocabulary.get, 0
+        kept = list(_blocks(path)) if blocks == 1 else None  # a single block is read once a task
 
-        def flush(held):
-            return pd.DataFrame(shard_matches(index, held), columns=["doc_id", "item_id", "n_words", "doc_word", "item_word"])
+        def flush() -> pd.DataFrame:
+            rows = []
+            if held and longest >= least:
+                shard = Shard(held, known, longest)
+                for block in kept if kept is not None else _blocks(path):
+                    rows += shard.matches(block, least)
+            return pd.DataFrame(rows, columns=["doc_id", "item_id", "n_words", "doc_word", "item_word"])
 
-        held, size = [], 0
+        held, known, size = [], {}, 0
         for pdf in batches:
             for doc, text in zip(pdf["doc_id"].tolist(), pdf["text"].tolist()):
                 ws = words(text)
-                ids = np.fromiter((get(w, zero) for w in ws), dtype="int32", count=len(ws))
-                held.append((doc, ids))
-                size += len(ids)
-                if size >= SHARD_WORDS:
-                    yield flush(held)
-                    held, size = [], 0
+                for w in ws:
+                    if w not in known:
+                        known[w] = len(known) + 1
+                held.append((doc, np.fromiter(map(known.__getitem__, ws), dtype="int32", count=len(ws))))
+                size += len(ws)
+                if size >= shard_words:
+                    yield flush()
+                    held, known, size = [], {}, 0
         if held:
-            yield flush(held)
+            yield flush()
 
     return search
 
 
-def leaks(documents: DataFrame, items: DataFrame, least: int = LEAST, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def item_blocks(items: DataFrame, least: int, block_chars: int) -> tuple[DataFrame, int, int]:
+    """The written blocks of test items (``item_id``, ``words``, ``places`` from which ``least`` words stand in no other item), their number, and the words of the longest item."""
+    own = items.selectExpr("cast(item_id as long) item_id", "cast(text as string) text").where("item_id is not null and text is not null").distinct()
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"item_id": pdf["item_id"], "words": [words(t) for t in pdf["text"]]})
+
+    own = stage(own.mapInPandas(split, "item_id long, words array<string>").withColumn("row", F.monotonically_increasing_id()), "items")
+    place = F.explode(F.sequence(F.lit(0), F.size("words") - least)).alias("place")
+    gram = own.where(F.size("words") >= least).select("item_id", "row", "words", place).select("item_id", "row", "place", F.array_join(F.slice("words", F.col("place") + 1, least), " ").alias("gram"))
+    once = gram.groupBy("gram").agg(F.min("item_id").alias("a"), F.max("item_id").alias("b")).where("a = b").select("gram")
+    places = gram.join(once, "gram").groupBy("row").agg(F.collect_list("place").alias("places"))  # at most the words of an item
+    chars, longest = own.agg(F.coalesce(F.sum(F.length(F.array_join("words", " "))), F.lit(0)), F.coalesce(F.max(F.size("words")), F.lit(0))).first()
+    blocks = max(1, -(-chars // block_chars))
+    kept = own.join(places, "row").select("item_id", "words", F.col("places").cast("array<int>").alias("places"))
+    return stage(kept.repartition(blocks, "item_id"), "blocks"), blocks, longest
+
+
+def leaks(documents: DataFrame, items: DataFrame, least: int = LEAST, block_chars: int = BLOCK_CHARS, shard_words: int = SHARD_WORDS) -> DataFrame:
     """Every pair of a document and a test item that share ``least`` words in a row which stand in no other item.
 
     Columns: ``doc_id``, ``item_id``, ``n_words`` (longest verbatim match that begins with such words), ``doc_word``, ``item_word`` (where it begins,
     counted in words). NULL and empty texts match nothing; rows without an id are left out; an item or document given twice counts once.
     Items shorter than ``least`` words match nothing. Other columns are ignored. Empty tables give no rows.
     """
-    spark = documents.sparkSession
     docs = documents.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").where("doc_id is not null")
-    own = items.selectExpr("cast(item_id as long) item_id", "cast(text as string) text").where("item_id is not null and text is not null").distinct()
-
-    def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(i, p, " ".join(ws[p : p + least])) for i, t in zip(pdf["item_id"].tolist(), pdf["text"]) for ws in [words(t)] for p in range(len(ws) - least + 1)]
-            yield pd.DataFrame(rows, columns=["item_id", "place", "gram"])
-
-    own = stage(own, "items")
-    g = own.mapInPandas(grams, "item_id long, place int, gram string")
-    once = g.groupBy("gram").agg(F.min("item_id").alias("item_id"), F.max("item_id").alias("other"), F.collect_set("place").alias("places")).where("item_id = other")
-    once = stage(once.select("item_id", F.explode("places").alias("place")), "grams")
-    chars = own.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-chars // block_chars))
-    found = []
-    for b in range(blocks):
-        mine = F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b
-        texts = [(r["item_id"], words(r["text"])) for r in own.where(mine).collect()]  # about block_chars characters
-        unique = {(r["item_id"], r["place"]) for r in once.where(mine).collect()}
-        index = spark.sparkContext.broadcast(TestIndex(texts, unique, least))
-        found.append(docs.mapInPandas(_search(index, least), _MATCH))
-    every = reduce(DataFrame.unionByName, found)
+    written, blocks, longest = item_blocks(items, least, block_chars)
+    every = docs.mapInPandas(_search(written._staged_path, blocks, least, longest, shard_words), _MATCH)
     best = F.max(F.struct("n_words", (-F.col("doc_word")).alias("d"), (-F.col("item_word")).alias("i"))).alias("m")
     return every.groupBy("doc_id", "item_id").agg(best).selectExpr("doc_id", "item_id", "m.n_words n_words", "-m.d doc_word", "-m.i item_word")
 
@@ -233,4 +258,4 @@ def leaks(documents: DataFrame, items: DataFrame, least: int = LEAST, block_char
 def without_leaks(documents: DataFrame, items: DataFrame, least: int = LEAST) -> DataFrame:
     """The documents that hold no passage of an item (see :func:`leaks`); rows without an id stay."""
     bad = stage(leaks(documents, items, least).select("doc_id").distinct(), "leaking")
-    return documents.join(bad, "doc_id", "left_anti")
+    return skew_join(documents, bad, "doc_id", "left_anti")

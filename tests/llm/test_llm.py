@@ -112,13 +112,44 @@ def test_leaks(spark):
     got = leakage.leaks(dd, ii).collect()
     assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(got) == len(want) and want
     assert next(r for r in got if (r["doc_id"], r["item_id"]) == (103, 3))["n_words"] == 25
-    blocks = leakage.leaks(dd, ii, block_chars=200).collect()
-    assert {(r["doc_id"], r["item_id"]) for r in blocks} == want
+    assert sorted(leakage.leaks(dd, ii, block_chars=200, shard_words=60).collect()) == sorted(got)
+    texts = {}
+    for d, t in docs:
+        texts.setdefault(d, []).append(leakage.words(t))
+    for r in got:  # the longest match that begins with words of that item alone, and where it begins
+        it, best = leakage.words(dict(items)[r["item_id"]]), 0
+        for ws in texts[r["doc_id"]]:
+            for p in range(len(it) - 12):
+                for q in range(len(ws) - 12):
+                    k = 0
+                    while p + k < len(it) and q + k < len(ws) and it[p + k] == ws[q + k]:
+                        k += 1
+                    if k >= 13 and grams[tuple(it[p : p + 13])] == {r["item_id"]}:
+                        best = max(best, k)
+        assert r["n_words"] == best
+        assert any(ws[r["doc_word"] : r["doc_word"] + best] == it[r["item_word"] : r["item_word"] + best] for ws in texts[r["doc_id"]])
     clean = {r["doc_id"] for r in leakage.without_leaks(dd, ii).collect()}
     assert clean == {d for d, _ in docs} - {d for d, _ in want}
     assert leakage.leaks(dd.limit(0), ii).count() == 0 and leakage.leaks(dd, ii.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("longest", [1, 4, 64])
+def test_suffix_array(longest):
+    rnd = random.Random(longest)
+    docs = [(d, np.array([rnd.randrange(1, 4) for _ in range(rnd.randrange(40))], dtype="int32")) for d in range(8)]
+    shard = leakage.Shard(docs, {str(i): i for i in range(1, 4)}, longest)
+    width = 1 << (len(shard.ranks) - 1)
+    suffixes = [shard.text[i : i + width].tolist() for i in shard.array]
+    assert sorted(shard.array.tolist()) == list(range(len(shard.text)))
+    assert all(a <= b for a, b in zip(suffixes, suffixes[1:]))
+    block = leakage.Block([(7, ["1", "2", "9", "1", "3", "3", "2"], [0])])
+    for j, ranks in enumerate(shard.test_ranks(block)):
+        for t, r in enumerate(ranks.tolist()):
+            part = ["1", "2", "9", "1", "3", "3", "2"][t : t + (1 << j)]
+            where = [i for i in range(len(shard.text)) if [str(x) for x in shard.text[i : i + (1 << j)]] == part and len(part) == 1 << j]
+            assert (r > 0) == bool(where) and all(shard.ranks[j][i] == r for i in where)
+
+
 def test_poisson():
     for cap, mean in ((1, 0.3), (3, 2.2), (4, 3.999), (2, 5.0), (2, 0.0)):
         t = mixing.thresholds(mean, cap)
