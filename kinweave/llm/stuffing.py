@@ -16,8 +16,10 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,14 +53,16 @@ LEAST_WORDS, BELOW = 20_000, 0.998
 _ANCHOR = re.compile(r"<a\b[^>]*>.*?</a\s*>", re.I | re.S)
 _HREF = re.compile(r"href\s*=\s*[\"']?([^\"'\s>]+)")
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>")
-_SENTENCE = re.compile(r"(?<=[.!?。！？])[ \t]+|(?<=[。！？])")
 _LINK = re.compile(r"(?:https?://|www\.)\S+|\S+@\S+\.\w+|#\w\w+", re.I)
 _WORD = re.compile(r"[^\W_]+")
 _CJK = re.compile(r"[ぁ-ヿ㐀-鿿]+")
 _HIRAGANA = re.compile(r"[ぁ-ゟ]")
 _HANGUL = re.compile(r"[가-힣]")
-_CODE = re.compile(r"(?:[A-Za-z]+\d|\d+[A-Za-z])[^\W_]*|\d+/\d+|\d+\.\d\d\b")
-_SEPARATOR = re.compile(r"[|;,»›>/·•#\t、，；]| - ")
+#: Codes besides words of letters and digits: fractions and prices.
+_FRACTION, _PRICE = re.compile(r"(?<!\d)\d+/\d+"), re.compile(r"\d\.\d\d\b")
+#: Separators, a hyphen between blanks besides.
+SEPARATORS, WIDE_SEPARATORS = "|;,>/#\t", "»›·•、，；"
+_DIGIT = re.compile(r"\d")
 _STOP = re.compile(r"[.!?。！？,;:，；：、]")
 
 #: Word -> counts of the languages that have it as a function word, 20 bits each.
@@ -78,6 +82,13 @@ _LIST, _COPY, _FLOOD, _ENDLESS, _ENDS, _FILLED, _SOME, _LONG, _FAR, _HALF = (1 <
 _SEGMENT = ["lang", *MEASURES, "marks", "words"]
 
 
+def _sentences(line: str) -> list[str]:
+    line = line.replace(". ", ".\n").replace("! ", "!\n").replace("? ", "?\n")
+    if not line.isascii():
+        line = line.replace("。", "。\n").replace("！", "！\n").replace("？", "？\n")
+    return line.split("\n")
+
+
 def _bin(x: float) -> int:
     return min(BINS, int(x * BINS))
 
@@ -94,15 +105,13 @@ def language_of(lang: str | None) -> int | None:
 
 def _spaced(words: list[str], hangul: bool) -> tuple[int, float, list[str]]:
     """The language whose function words (Korean: endings) are most frequent, their share, and the words of more than three letters that are function words of no language."""
-    got, rest, best, most = 0, [], -1, 0
-    for w in words:
-        if (k := _COUNTS.get(w)) is not None:
-            got += k
-        elif len(w) > 3:
-            rest.append(w)
-    for shift, i in _SHIFTS:
-        if (k := got >> shift & 0xFFFFF) > most:
-            best, most = i, k
+    got = sum(map(_COUNTS.get, words, repeat(0)))
+    rest = [w for w in words if len(w) > 3 and w not in _COUNTS]
+    best, most = -1, 0
+    if got:
+        for shift, i in _SHIFTS:
+            if (k := got >> shift & 0xFFFFF) > most:
+                best, most = i, k
     if hangul and not most:
         best, most = _KO, sum("가" <= w[-1] <= "힣" and w[-1] in KOREAN_ENDS for w in words)
     return best, most / len(words), rest
@@ -146,7 +155,7 @@ def measure(text: str | None, lang: str | None = None) -> tuple[float, float, li
     for line in [*lines, ""]:
         at, content = len(out), []
         mark = (_COPY if copies[line] >= COPIES else 0) | (_FLOOD if copies[line] >= MANY and 2 * copies[line] > len(lines) else 0)
-        for s in _SENTENCE.split(line):
+        for s in _sentences(line):
             own, body, letters = 0, s, ""
             if links and (found := _LINK.findall(s)):
                 own = sum(len(_WORD.findall(x)) for x in found)
@@ -166,12 +175,17 @@ def measure(text: str | None, lang: str | None = None) -> tuple[float, float, li
                 top, pair = _share(rest, len(rest)), 0.0
             else:
                 best, share, rest = _spaced(words, hangul)
-                top, pair = _share(rest, len(words)), _share([x for x in zip(words, words[1:]) if len(x[0]) > 3 or len(x[1]) > 3], len(words) - 1) if len(words) > 6 else 0.0
+                again = len(set(rest)) < len(rest)
+                top, pair = (_share(rest, len(words)) if again else 1 / len(words) if len(rest) >= 4 else 0.0), (_pairs(words) if again and len(words) > 6 else 0.0)
                 content += rest
+            separators = sum(map(body.count, SEPARATORS)) + body.count(" - ") + (0 if body.isascii() else sum(map(body.count, WIDE_SEPARATORS)))
+            codes = 0
+            if _DIGIT.search(body):
+                codes = len(words) - sum(map(str.isalpha, words)) - sum(map(str.isdigit, words)) + (len(_FRACTION.findall(body)) if "/" in body else 0) + (len(_PRICE.findall(body)) if _PRICE.search(body) else 0)
             marks = mark | (_SOME if n >= 3 else 0) | (_LONG if n >= SHORT else 0) | (_ENDS if body.rstrip()[-1:] in ".!?。！？:" else 0)
-            stops = len(_STOP.findall(body)) - (marks & _ENDS > 0)
-            marks |= (_ENDLESS if n >= RUN_ON and stops * FAR_ON < n else 0) | (_FAR if n >= FAR_ON and stops * FAR_ON < n else 0)
-            out.append([best, share, top, pair, len(_SEPARATOR.findall(body)) / n, len(_CODE.findall(body)) / n, marks, n])
+            if n >= RUN_ON and (len(_STOP.findall(body)) - (marks & _ENDS > 0)) * FAR_ON < n:
+                marks |= _ENDLESS | (_FAR if n >= FAR_ON else 0)
+            out.append([best, share, top, pair, separators / n, codes / n, marks, n])
         if len(content) >= FILL[0] and (fill := _share(content, len(content))) >= FILL[1]:
             for x in out[at:]:
                 x[6] |= (_FILLED if fill >= FILL[2] else _HALF) if x[0] not in (_JA, _ZH) else 0
@@ -184,7 +198,14 @@ def measure(text: str | None, lang: str | None = None) -> tuple[float, float, li
 
 
 def _share(items: list, of: int) -> float:
-    return Counter(items).most_common(1)[0][1] / of if len(items) >= 4 else 0.0
+    if len(items) < 4:
+        return 0.0
+    return (max(Counter(items).values()) if len(set(items)) < len(items) else 1) / of
+
+
+def _pairs(words: list[str]) -> float:
+    """Share of the most frequent pair of words that has a content word of more than three letters."""
+    return max((k for (a, b), k in Counter(zip(words, words[1:])).items() if len(a) > 3 and a not in _COUNTS or len(b) > 3 and b not in _COUNTS), default=0) / (len(words) - 1)
 
 
 def _cells(out: list[list], listed: set[int], hint: int | None) -> list[tuple]:
@@ -199,9 +220,10 @@ def _cells(out: list[list], listed: set[int], hint: int | None) -> list[tuple]:
     base = main if main >= 0 and (seen[main] >= 0.25 * plain or hint is None) else hint if hint is not None else -1
     if hint is None and main >= 0 and seen[main] < 0.5 * plain:
         base = -1
-    cells: Counter = Counter()
+    cells: dict[tuple, float] = {}
     for i, x in enumerate(out):
-        cells[(x[0] if x[0] in seen else base, *map(_bin, x[1:6]), x[6] | (_LIST if i in listed else 0))] += x[7]
+        key = (x[0] if x[0] in seen else base, *[min(BINS, int(y * BINS)) for y in x[1:6]], x[6] | (_LIST if i in listed else 0))
+        cells[key] = cells.get(key, 0.0) + x[7]
     return [(*k, w) for k, w in cells.items()]
 
 
@@ -215,24 +237,27 @@ def default_thresholds() -> list[list[int]]:
     return [[_bin(least(i)[0]), *(_bin(LIMITS[m][0]) for m in MEASURES[1:])] for i in [*range(len(LANGUAGES)), -1]]
 
 
-def is_string(cell: tuple, thresholds: list[list[int]]) -> bool:
-    """Whether a segment of :func:`measure` is a string: two points of its measures together."""
-    lang, share, *measures, marks, _ = cell
-    t = thresholds[lang]  # -1 is the last
-    lacks = lang >= 0 and share < t[0] and bool(marks & _SOME)
-    points = lacks + (lacks and marks & _LONG > 0 and 3 * share < t[0])
-    points += sum((x >= y) + (x >= 2 * y) for x, y in zip(measures, t[1:])) if marks & _SOME else 0
-    points += marks & _LONG > 0 and not marks & _ENDS
-    points += (2 * (marks & _LIST > 0) + (marks & _ENDLESS > 0) + (marks & _FAR > 0) + (marks & _HALF > 0)) * (lang < 0 or share < t[0]) + (marks & _COPY > 0) + 2 * (marks & _FLOOD > 0) + 2 * (marks & _FILLED > 0)
-    return points >= 2
+def are_strings(cells: np.ndarray, thresholds: list[list[int]]) -> np.ndarray:
+    """Which segments of :func:`measure`, one a row without its words, are strings: two points of their measures together."""
+    lang, share, *measures, marks = cells.T
+    t = np.array(thresholds)[lang].T  # -1 is the last
+    has = lambda mark: (marks & mark) > 0
+    blank = share < t[0]
+    lacks = blank & (lang >= 0) & has(_SOME)
+    points = lacks.astype(int) + (lacks & has(_LONG) & (3 * share < t[0])) + (has(_LONG) & ~has(_ENDS))
+    for x, y in zip(measures, t[1:]):
+        points += has(_SOME) * ((x >= y).astype(int) + (x >= 2 * y))
+    points += (blank | (lang < 0)) * (2 * has(_LIST) + has(_ENDLESS) + has(_FAR) + has(_HALF))
+    return points + has(_COPY) + 2 * has(_FLOOD) + 2 * has(_FILLED) >= 2
 
 
 def stuffed_share(text: str | None, lang: str | None = None, thresholds: list[list[int]] | None = None) -> tuple[float, float]:
     """The number of words of a text and the share of them in strings (0.0 for a text without words), by default thresholds if none are given."""
     total, linked, cells = measure(text, lang)
-    t = thresholds or default_thresholds()
-    stuffed = linked + sum(c[-1] for c in cells if is_string(c, t))
-    return total, stuffed / total if total else 0.0
+    if cells:
+        words = np.array([c[-1] for c in cells])
+        linked += float(words[are_strings(np.array([c[:-1] for c in cells]), thresholds or default_thresholds())].sum())
+    return total, linked / total if total else 0.0
 
 
 def _parting(counts: list[float]) -> int:
@@ -283,16 +308,24 @@ def calibrate(measured: DataFrame) -> list[list[int]]:
 def measured(documents: DataFrame, id: str = "doc_id", text: str = "text", lang: str | None = "lang") -> DataFrame:
     """Every text parsed once, written: ``doc_id``, ``n_words``, ``linked``, ``segments`` (see :func:`measure`)."""
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            got = [measure(t, g) for t, g in zip(pdf["text"], pdf["lang"])]
-            cells = [[dict(zip(_SEGMENT, c)) for c in cs] for _, _, cs in got]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_words": [a for a, _, _ in got], "linked": [b for _, b, _ in got], "segments": cells})
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total, linked, sizes, flat = [], [], [0], []
+            for t, g in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
+                n, k, cells = measure(t, g)
+                total.append(n)
+                linked.append(k)
+                flat += cells
+                sizes.append(len(flat))
+            columns = list(zip(*flat)) or [()] * len(_SEGMENT)
+            struct = pa.StructArray.from_arrays([pa.array(c, pa.float64() if name == "words" else pa.int32()) for name, c in zip(_SEGMENT, columns)], _SEGMENT)
+            segments = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), struct)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(total, pa.float64()), pa.array(linked, pa.float64()), segments], ["doc_id", "n_words", "linked", "segments"])
 
     tag = f"cast(`{lang}` as string)" if lang and lang in documents.columns else "cast(null as string)"
     rows = documents.selectExpr(f"cast(`{id}` as long) as doc_id", f"cast(`{text}` as string) as text", f"{tag} as lang")
     kind = ", ".join(f"{c}: {'double' if c == 'words' else 'int'}" for c in _SEGMENT)
-    return stage(rows.mapInPandas(parse, f"doc_id long, n_words double, linked double, segments array<struct<{kind}>>"), "measured")
+    return stage(rows.mapInArrow(parse, f"doc_id long, n_words double, linked double, segments array<struct<{kind}>>"), "measured")
 
 
 def stuffing(documents: DataFrame, id: str = "doc_id", text: str = "text", lang: str | None = "lang") -> DataFrame:
@@ -304,15 +337,18 @@ def stuffing(documents: DataFrame, id: str = "doc_id", text: str = "text", lang:
     rows = measured(documents, id, text, lang)
     thresholds = calibrate(rows)
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            share = []
-            for n, linked, cells in zip(pdf["n_words"], pdf["linked"], pdf["segments"]):
-                strings = linked + sum(c["words"] for c in cells if is_string(tuple(c[k] for k in _SEGMENT), thresholds))
-                share.append(strings / n if n else 0.0)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_words": pdf["n_words"], "stuffed_share": share})
-
-    return rows.mapInPandas(judge, "doc_id long, n_words double, stuffed_share double")
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("segments")
+            struct = lists.flatten()
+            flat = [c.to_numpy(zero_copy_only=False) for c in struct.flatten()]
+            of = np.repeat(np.arange(len(batch)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            strings = are_strings(np.stack(flat[:-1], axis=1), thresholds) if len(of) else np.zeros(0, bool)
+            n = batch.column("n_words").to_numpy(zero_copy_only=False)
+            stuffed = batch.column("linked").to_numpy(zero_copy_only=False) + np.bincount(of, flat[-1] * strings, len(batch))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array(np.where(n > 0, stuffed / np.maximum(n, 1e-9), 0.0))], ["doc_id", "n_words", "stuffed_share"])
+
+    return rows.mapInArrow(judge, "doc_id long, n_words double, stuffed_share double")
 
 
 def stuffed_documents(documents: DataFrame, id: str = "doc_id", text: str = "text", share: float = 0.5, lang: str | None = "lang") -> DataFrame:
