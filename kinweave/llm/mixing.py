@@ -20,35 +20,45 @@ from pyspark.sql import types as T
 from kinweave.operators.skew import skew_join
 from kinweave.plans.staging import stage
 
-#: A file of base64 tokens and ranks, one a line; every executor must have it.
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Fixed value: the public split pattern of that vocabulary.
+#: Bytes up to which a vocabulary file is sent to the executors.
+VOCABULARY_BYTES = 32 << 20
+#: Fixed value: the public split pattern of byte-level vocabularies of 50,000 tokens.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-_encoders: dict[str, object] = {}
+_encoders: dict[int, object] = {}
 
 
-def encoder(vocabulary: str = VOCABULARY):
-    """The tokenizer of a vocabulary file, once a process."""
-    if vocabulary not in _encoders:
+def read_vocabulary(path: str) -> bytes:
+    """A file of base64 tokens and ranks, one a line, read once by the driver."""
+    with open(path, "rb") as f:
+        found = f.read(VOCABULARY_BYTES + 1)
+    if len(found) > VOCABULARY_BYTES:
+        raise ValueError(f"the vocabulary has more than {VOCABULARY_BYTES} bytes")
+    return found
+
+
+def encoder(vocabulary: bytes):
+    """The tokenizer of a vocabulary, once a process."""
+    key = hash(vocabulary)
+    if key not in _encoders:
         import tiktoken
 
-        with open(vocabulary, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        _encoders[vocabulary] = tiktoken.Encoding("sizes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _encoders[vocabulary]
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.splitlines() if line.strip())}
+        _encoders[key] = tiktoken.Encoding("sizes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _encoders[key]
 
 
-def count_tokens(text: str | None, vocabulary: str = VOCABULARY) -> int:
+def count_tokens(text: str | None, vocabulary: bytes) -> int:
     return len(encoder(vocabulary).encode_ordinary(text)) if text else 0
 
 
-def with_tokens(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Add ``n_tokens``, the size of the whole text; 0 for NULL and empty texts."""
+def with_tokens(documents: DataFrame, vocabulary: str) -> DataFrame:
+    """Add ``n_tokens``, the size of the whole text; 0 for NULL and empty texts. ``vocabulary`` is a path that the driver reads and sends to the executors."""
+    sent = documents.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))  # at most VOCABULARY_BYTES
 
     @F.pandas_udf(T.LongType())
     def size(texts: pd.Series) -> pd.Series:
-        encode = encoder(vocabulary).encode_ordinary
+        encode = encoder(sent.value).encode_ordinary
         return pd.Series([len(encode(t)) if t else 0 for t in texts], dtype="int64")
 
     return documents.withColumn("n_tokens", size(F.col("text")))
@@ -124,7 +134,7 @@ def _unit(*of) -> Column:
     return (F.pmod(F.xxhash64(*of), F.lit(1 << 52)) + 0.5) / float(1 << 52)
 
 
-def mix(documents: DataFrame, targets: DataFrame, seed: int = 0, total_tokens: int | None = None, vocabulary: str = VOCABULARY, sized: DataFrame | None = None) -> DataFrame:
+def mix(documents: DataFrame, targets: DataFrame, vocabulary: str, seed: int = 0, total_tokens: int | None = None, sized: DataFrame | None = None) -> DataFrame:
     """The mixed corpus: one row per copy with all columns of the document, its cleaned ``source``, ``n_tokens``, ``copy`` (from 1) and ``order_key``.
 
     Rows are spread over partitions and ordered within them by ``order_key``. Sources without a target, or with a share or cap of
@@ -142,14 +152,14 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 0, total_tokens: i
     return out.repartition("order_key").sortWithinPartitions("order_key")
 
 
-def sizes(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+def sizes(documents: DataFrame, vocabulary: str) -> DataFrame:
     """The documents with cleaned sources and their sizes, written once."""
     return stage(with_tokens(documents.drop("n_tokens", "copy", "order_key", "draw").withColumn("source", clean_source(F.col("source"))), vocabulary), "sized")
 
 
-def shares(documents: DataFrame, targets: DataFrame, seed: int = 0, total_tokens: int | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
+def shares(documents: DataFrame, targets: DataFrame, vocabulary: str, seed: int = 0, total_tokens: int | None = None, sized: DataFrame | None = None) -> DataFrame:
     """The shares reached, for every source of either table: ``source``, ``target_share``, ``max_repeats``, ``n_docs``, ``n_tokens``, ``rate``, ``mixed_docs``, ``mixed_tokens``, ``actual_share``."""
-    sized = sizes(documents.select("doc_id", "source", "text"), vocabulary)
+    sized = sized if sized is not None else sizes(documents.select("doc_id", "source", "text"), vocabulary)
     r = stage(rates(sized, targets, total_tokens), "rates")
     u = _unit(F.lit(seed), F.col("doc_id"), F.col("text"))
     drawn = skew_join(sized, r.where("rate > 0").select("source", "draw"), "source", "inner", ["doc_id"]).withColumn("_n", F.size(F.filter("draw", lambda t: t < u)).cast("long"))

@@ -82,6 +82,9 @@ def percentiles(values: DataFrame, group: str, value: str, quantiles=QUANTILES,
             wanted = targets.select("at").distinct()
             inside = rows.withColumn("at", F.struct("grp", F.shiftright("key", shift + BITS).alias("prefix")))
             inside = skew_join(inside, wanted, "at", "left_semi", ["key"])
+            if d < digits - 1:  # later digits read no other rows
+                rows = stage(inside.select("grp", "key"), "keys")
+                inside = rows.withColumn("at", F.struct("grp", F.shiftright("key", shift + BITS).alias("prefix")))
             counts = inside.groupBy("at", F.pmod(digit, F.lit(1 << BITS)).alias("digit")).agg(F.count(F.lit(1)).alias("c"))
         targets = stage(_follow(counts, targets), "targets").withColumn("at", F.struct("grp", "prefix"))
     rest = 64 - BITS * digits

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.llm import leakage, mixing, quantiles, runs, stuffing
-from kinweave.plans.staging import load, usable_edges
+from kinweave.plans.staging import load, stage, usable_edges
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -32,9 +32,12 @@ def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_combined(spark: SparkSession, d: str) -> DataFrame:
-    """From the histograms of single batches: each percentile's bounds."""
-    h = quantiles.histograms(_times(spark, d), "grp", "time", "batch")
-    return quantiles.combined(h).select("grp.table_name", "grp.grp", "q", "n", "low", "high")
+    """From the histograms of single batches: each percentile's bounds, and next to them the exact value, whether it lies between, and whether they are as narrow as promised."""
+    t = _times(spark, d)
+    c = quantiles.combined(quantiles.histograms(t, "grp", "time", "batch"))
+    both = c.join(quantiles.percentiles(t, "grp", "time").select("grp", "q", "value"), ["grp", "q"])
+    wide = F.greatest(F.abs("low"), F.abs("high")) * 2.0**-19
+    return both.select("grp.table_name", "grp.grp", "q", "n", "value", F.col("value").between(F.col("low"), F.col("high")).alias("within"), (F.col("high") - F.col("low") <= F.greatest(wide, F.lit(2.0**-1000))).alias("narrow"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -49,13 +52,38 @@ def p7_clean(spark: SparkSession, d: str) -> DataFrame:
     return leakage.without_leaks(load(spark, d, "documents"), load(spark, d, "eval_items")).select("doc_id", "lang", "source")
 
 
+def vocabulary() -> str:
+    """The file of a public tokenizer with which the queries size documents."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
     docs = load(spark, d, "documents").select("doc_id", "source", "lang", "text")
-    return mixing.mix(docs, load(spark, d, "mix_targets"))
+    return mixing.mix(docs, load(spark, d, "mix_targets"), vocabulary())
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.shares(load(spark, d, "documents"), load(spark, d, "mix_targets"))
+    return mixing.shares(load(spark, d, "documents"), load(spark, d, "mix_targets"), vocabulary())
+
+
+def p8_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Per source: documents, target and cap; whether the mix holds to the cap, reaches its part of the shares present within five standard deviations of its draws, and
+    has as many tokens as the report says."""
+    sized = mixing.sizes(load(spark, d, "documents").select("doc_id", "source", "text"), vocabulary())
+    targets = load(spark, d, "mix_targets")
+    r = stage(mixing.shares(sized, targets, vocabulary(), sized=sized), "shares")
+    m = mixing.mix(sized, targets, vocabulary(), sized=sized).groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.max("copy").alias("most"))
+    spread = sized.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("n_tokens")).alias("squares"))
+    of = F.col("mixed_tokens") > 0
+    present, total = r.where("target_share > 0 and n_tokens > 0").agg(F.sum("target_share"), F.sum(F.col("rate") * F.col("n_tokens"))).first()
+    both = r.join(m, "source", "left").join(spread, "source", "left")
+    want = F.col("target_share") / F.lit(present or 1.0) * F.lit(float(total or 0.0))
+    return both.select(
+        "source", "target_share", "max_repeats", "n_docs", (F.coalesce("most", F.lit(0)) <= F.coalesce("max_repeats", F.lit(0))).alias("cap_kept"),
+        (~of | (F.abs(F.col("mixed_tokens") - want) <= 5 * F.sqrt(F.col("rate") * F.col("squares")))).alias("share_reached"), (F.coalesce("tokens", F.lit(0)) == F.col("mixed_tokens")).alias("same_draw"),
+    )
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -66,7 +94,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return stuffing.stuffing(load(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_runs, p4_percentiles, p4_combined, p7_found, p7_matches, p7_clean, p8_mix, p8_shares, p9_found, p9_shares)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_runs, p4_percentiles, p4_combined, p7_found, p7_matches, p7_clean, p8_mix, p8_shares, p8_kept, p9_found, p9_shares)}
 
 _RUNS = """
 WITH once AS (SELECT DISTINCT id, child, parent, "left" AS l, "right" AS r FROM edges
@@ -79,14 +107,23 @@ runs AS (SELECT child, any_value(parent) parent, count(*) n_rows, min(l) AS "fro
   arg_min(id, (l, r, id)) first_id, arg_max(id, (l, r, id)) last_id FROM numbered GROUP BY child, s, k HAVING count(*) >= 2)
 """
 
-SQL = {
-    "p2_found": _RUNS + "SELECT child, first_id, last_id FROM runs",
-    "p2_runs": _RUNS + "SELECT * FROM runs",
-    "p4_percentiles": """
+_PERCENTILES = """
 WITH t AS (
   SELECT 'nodes' table_name, arg_min(population, recorded_at) grp, arg_min("time", recorded_at) v, id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY recorded_at) k FROM nodes) q WHERE k = 1 GROUP BY id
-  UNION ALL SELECT 'migrations', arg_min(source, recorded_at), arg_min("time", recorded_at), id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY recorded_at) k FROM migrations) q WHERE k = 1 GROUP BY id)
-SELECT table_name, grp, u.q, n, CAST(vs[CAST(greatest(1, ceil(u.q * n)) AS BIGINT)] AS DOUBLE) AS value
+  UNION ALL SELECT 'migrations', arg_min(source, recorded_at), arg_min("time", recorded_at), id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY recorded_at) k FROM migrations) q WHERE k = 1 GROUP BY id),
+p AS (SELECT table_name, grp, u.q, n, CAST(vs[CAST(greatest(1, ceil(u.q * n)) AS BIGINT)] AS DOUBLE) AS value
 FROM (SELECT table_name, grp, count(*) n, list(v ORDER BY v) vs FROM t WHERE v IS NOT NULL AND NOT isnan(v) GROUP BY table_name, grp) g,
-  (SELECT unnest([0.01e0, 0.05e0, 0.25e0, 0.5e0, 0.75e0, 0.95e0, 0.99e0]) q) u""",
+  (SELECT unnest([0.01e0, 0.05e0, 0.25e0, 0.5e0, 0.75e0, 0.95e0, 0.99e0]) q) u)
+"""
+
+SQL = {
+    "p2_found": _RUNS + "SELECT child, first_id, last_id FROM runs",
+    "p2_runs": _RUNS + "SELECT * FROM runs",
+    "p4_percentiles": _PERCENTILES + "SELECT table_name, grp, q, n, value FROM p",
+    "p4_combined": _PERCENTILES + "SELECT table_name, grp, q, n, value, true AS within, true AS narrow FROM p",
+    "p8_kept": """
+WITH t AS (SELECT lower(trim(source)) source, sum(target_share) target_share, min(max_repeats) max_repeats FROM mix_targets GROUP BY 1),
+d AS (SELECT lower(trim(source)) source, count(*) n_docs FROM documents GROUP BY 1)
+SELECT coalesce(t.source, d.source) source, target_share, max_repeats, coalesce(n_docs, 0) n_docs, true AS cap_kept, true AS share_reached, true AS same_draw
+FROM t FULL JOIN d ON d.source IS NOT DISTINCT FROM t.source""",
 }

@@ -11,6 +11,7 @@ stretch starts beyond that end, and ends beyond it too.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -77,7 +78,7 @@ def _encode(slack: float):
     return encode
 
 
-def collapse_runs(events: DataFrame, entity: str, value: str, left: str = "left", right: str = "right", id: str = "id", slack: float = 3.0, least: int = 2, rows_per_chunk: int = 1_000_000, block: int = 1024) -> DataFrame:
+def collapse_runs(events: DataFrame, entity: str, value: str, left: str = "left", right: str = "right", id: str = "id", slack: float = 3.0, least: int = 2, rows_per_chunk: int = 1_000_000, block: int | None = None) -> DataFrame:
     """Each run of consecutive events of an entity with one value as one row.
 
     Events are ordered by (``left``, ``right``, ``id``) within the entity; an event goes on with the run before it if its value is the same and it
@@ -98,7 +99,7 @@ def collapse_runs(events: DataFrame, entity: str, value: str, left: str = "left"
         F.max_by(F.struct("entity", "value", F.col("from").alias("start"), "piece", "whole"), "piece").alias("at"), F.max("to").alias("to"),
     ).select("chunk", "at.entity", "at.value", "to", "at.start", "at.whole", F.col("chunk").alias("run_chunk"), F.col("at.piece").alias("run_piece"))  # one row a chunk
     open_ = prefixes(stage(ends, "ends"), slack, block).select("chunk", F.col("entity").alias("_e"), F.col("value").alias("_v"), F.col("to").alias("reach"), "run_chunk", "run_piece")
-    rim = pieces.where("head or tail").join(F.broadcast(open_), "chunk", "left")  # as many rows as chunks
+    rim = pieces.where("head or tail").join(open_, "chunk", "left")  # chunks are of equal size, so this key is even
     goes_on = F.coalesce(F.col("head") & (F.col("_e") == F.col("entity")) & (F.col("_v") == F.col("value")) & (F.col("from") <= F.col("reach") + slack), F.lit(False))
     rim = rim.withColumn("rc", F.when(goes_on, F.col("run_chunk")).otherwise(F.col("chunk"))).withColumn("rp", F.when(goes_on, F.col("run_piece")).otherwise(F.col("piece")))
     joined = rim.groupBy("rc", "rp", "entity", "value").agg(
@@ -128,10 +129,10 @@ def combine(a: tuple | None, b: tuple, slack: float) -> tuple:
     return (b[0], b[1], max(a[2], b[2]), run[0], a[4], run[1], run[2])
 
 
-def prefixes(ends: DataFrame, slack: float, block: int) -> DataFrame:
+def prefixes(ends: DataFrame, slack: float, block: int | None = None) -> DataFrame:
     """The combined summary of all chunks before each chunk (none for the first): ``chunk`` and the summary.
 
-    Blocks of summaries are folded in parallel, the blocks' summaries get their prefixes in the same way, and each block is then scanned from its prefix.
+    Blocks of ``block`` summaries (by default the root of their number, 4 at least) are folded in parallel, the blocks' summaries get their prefixes in the same way, and each block is then scanned from its prefix.
     """
     def scan(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("chunk")
@@ -147,7 +148,9 @@ def prefixes(ends: DataFrame, slack: float, block: int) -> DataFrame:
             state = combine(state, tuple(own), slack)
         return pd.DataFrame(rows, columns=["chunk", *_SUMMARY])
 
-    if ends.count() <= block:
+    n = ends.count()
+    block = block or max(4, math.isqrt(n))
+    if n <= block:
         return ends.groupBy(F.lit(0).alias("all")).applyInPandas(scan, "chunk long, " + _TYPES)
     numbered = ends.withColumn("b", F.floor(F.col("chunk") / block))
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinweave.llm import leakage, mixing, quantiles, runs, stuffing
+from kinweave.llm.queries import vocabulary
 
 
 def brute_runs(rows, slack):
@@ -39,7 +40,7 @@ def test_runs(spark, seed, chunk):
     rows += [(9, 1, float(k), float(k + 1), 1000 + k) for k in range(30)] + [(10, 1, 0.0, 90.0, 2000)] + [(10, 1, float(k * 5), float(k * 5 + 1), 2001 + k) for k in range(1, 19)]
     rows += rows[:5] + [(None, 1, 1.0, 2.0, 1), (1, None, 1.0, 2.0, 1), (1, 1, float("nan"), 2.0, 1), (1, 1, None, 2.0, 1)]
     df = spark.createDataFrame(rows, "child long, parent long, left double, right double, id long").withColumn("entity", F.lit("x")).withColumn("chunk", F.lit(1))
-    got = runs.collapse_runs(df, "child", "parent", rows_per_chunk=chunk, block=1024 if seed == 1 else 2)
+    got = runs.collapse_runs(df, "child", "parent", rows_per_chunk=chunk, block=None if seed < 3 else 2)
     assert {(r["entity"], r["value"], r["n_rows"], r["from"], r["to"], r["first_id"], r["last_id"]) for r in got.collect()} == brute_runs(rows, 3)
     assert got.where("span <> `to` - `from`").count() == 0
 
@@ -168,17 +169,17 @@ def test_mix(spark):
     rows = [(i, s, "word " * (3 + i % 5)) for s, n in (("a", 900), ("B ", 300), ("c", 90), ("x", 50)) for i in range(n)] + [(1, None, "q"), (2, "a", None), (3, "a", "")]
     docs = spark.createDataFrame([(k, *r[1:]) for k, r in enumerate(rows)], "doc_id long, source string, text string").withColumn("copy", F.lit("clash")).withColumn("n_docs", F.lit(1))
     targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.3, 2), ("c", 0.1, 3), ("gone", 0.1, 2)], "source string, target_share double, max_repeats int")
-    out = mixing.mix(docs, targets).collect()
-    again = mixing.mix(docs.orderBy(F.desc("doc_id")), targets).collect()
+    out = mixing.mix(docs, targets, vocabulary()).collect()
+    again = mixing.mix(docs.orderBy(F.desc("doc_id")), targets, vocabulary()).collect()
     assert sorted((r["doc_id"], r["copy"]) for r in out) == sorted((r["doc_id"], r["copy"]) for r in again)
     assert {r["source"] for r in out} == {"a", "b", "c"} and max(r["copy"] for r in out if r["source"] == "a") == 1 and max(r["copy"] for r in out) <= 3
-    shares = {r["source"]: r for r in mixing.shares(docs, targets).collect()}
+    shares = {r["source"]: r for r in mixing.shares(docs, targets, vocabulary()).collect()}
     assert set(shares) == {"a", "b", "c", "x", "gone", None}
     for s, part in (("a", 5 / 9), ("b", 3 / 9), ("c", 1 / 9)):
         assert abs(shares[s]["actual_share"] - part) < 0.05
         assert shares[s]["mixed_tokens"] == sum(r["n_tokens"] for r in out if r["source"] == s)
     assert shares["gone"]["actual_share"] == 0 and shares["x"]["mixed_docs"] == 0
-    assert mixing.count_tokens("") == 0 and mixing.mix(docs.limit(0), targets).count() == 0 and mixing.mix(docs, targets.limit(0)).count() == 0
+    assert mixing.count_tokens("", b"") == 0 and mixing.mix(docs.limit(0), targets, vocabulary()).count() == 0 and mixing.mix(docs, targets.limit(0), vocabulary()).count() == 0
 
 
 PROSE = "The housing (12) is made of steel and it has a wall thickness of 5 mm. When the coil reaches its end position, the valve opens. A gap is left between the pin and the slot for oil. "
