@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.model import Genealogy
-from kinweave.plans.ancestry import ancestry, bin_width, local_edges, memo, overlap_join, sample_ancestry, trees
+from kinweave.plans.ancestry import ancestry, bin_width, local_edges, memo, overlap_join, sample_ancestry, sample_counts, trees
 from kinweave.plans.staging import stage
 
 
@@ -56,8 +56,16 @@ def leaves(g: Genealogy) -> DataFrame:
 
 
 def total_branch_length(g: Genealogy) -> DataFrame:
-    """``tree``, ``total_branch_length`` over the branches below roots; trees without any give 0."""
-    m = members(g).where("depth > 0").select("tree", "node").join(parents(g), ["tree", "node"]).groupBy("tree").agg(F.sum("branch_length").alias("v"))
+    """``tree``, ``total_branch_length`` over the branches below roots, i.e. of nodes with a sample below; trees without any give 0.
+
+    No path is listed: an edge counts where its child has a sample at or below it, and adds its length at the first and takes it off behind the last tree of the stretch.
+    """
+    t = g.nodes.select("id", "time")
+    e = g.edges.select("left", "right", "parent", F.col("child").alias("node")).join(t.toDF("parent", "pt"), "parent").join(t.toDF("node", "ct"), "node")
+    some = g.samples().select(F.col("id").alias("sample"), F.lit(0).alias("set"))
+    c = sample_counts(g, some, 1, "samples").where("x_all > 0").select("node", F.col("left").alias("cl"), F.col("right").alias("cr"))
+    b = e.join(c, "node").where((F.col("left") < F.col("cr")) & (F.col("cl") < F.col("right"))).select(F.greatest("left", "cl").alias("left"), F.least("right", "cr").alias("right"), (F.col("pt") - F.col("ct")).alias("v"))
+    m = overlap_join(b.groupBy("left", "right").agg(F.sum("v").alias("v")), trees(g), bin_width(g)).groupBy("tree").agg(F.sum("v").alias("v"))
     return trees(g).select("tree").join(m, "tree", "left").select("tree", F.coalesce("v", F.lit(0.0)).alias("total_branch_length"))
 
 
@@ -98,7 +106,8 @@ def shape_indexes(g: Genealogy, base: float = 10) -> DataFrame:
     """
     leaf = leaves(g)
     p = paths_by_tree(g)
-    below = leaf.select("tree", F.col("node").alias("start")).join(p, ["tree", "start"]).where("depth > 0")
+    reach = stage(leaf.select("tree", F.col("node").alias("start")).join(p, ["tree", "start"]).select("tree", "start", "node", "depth"), "below")  # depth 0: the leaf itself
+    below = reach.where("depth > 0")
     sackin = below.groupBy("tree").agg(F.count(F.lit(1)).alias("sackin"))
     root = roots(g)
     inner = below.groupBy("tree", "node").agg(F.max("depth").alias("h"), F.count(F.lit(1)).alias("n"))
@@ -107,8 +116,8 @@ def shape_indexes(g: Genealogy, base: float = 10) -> DataFrame:
     inside = members(g).select("tree", "node").join(kids, ["tree", "node"])
     chance = below.join(kids, ["tree", "node"]).groupBy("tree", "start").agg(F.sum(F.log("k")).alias("s"))
     b2 = chance.groupBy("tree").agg(F.sum(F.exp(-F.col("s")) * F.col("s") / math.log(base)).alias("b2"))
-    sizes = leaf.select("tree", "node", F.lit(1).cast("long").alias("n")).unionByName(inner.select("tree", "node", "n"))
-    halves = local_edges(g).select("tree", F.col("parent").alias("node"), F.col("child")).join(sizes.withColumnRenamed("node", "child"), ["tree", "child"])
+    sizes = reach.groupBy("tree", F.col("node").alias("child")).agg(F.count(F.lit(1)).alias("n"))
+    halves = local_edges(g).select("tree", F.col("parent").alias("node"), F.col("child")).join(sizes, ["tree", "child"])
     uneven = inside.join(halves.groupBy("tree", "node").agg((F.max("n") - F.min("n")).alias("d")), ["tree", "node"]).groupBy("tree").agg(F.sum("d").alias("colless"), F.min("k").alias("k0"), F.max("k").alias("k1"))
     r = root.groupBy("tree").agg(F.count(F.lit(1)).alias("r"))
     out = trees(g).select("tree").join(r, "tree", "left").join(sackin, "tree", "left").join(b1, "tree", "left").join(b2, "tree", "left").join(uneven, "tree", "left")

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.model import SCHEMAS, Genealogy, names
-from kinweave.operators.transforms import dense_ids
-from kinweave.plans.ancestry import breakpoints, overlap_join, trees
+from kinweave.plans.staging import dense_ids
+from kinweave.plans.ancestry import bin_width, overlap_join, trees
 
 
 def keep_rows(g: Genealogy, table: str, condition: Column) -> tuple[Genealogy, DataFrame]:
@@ -64,6 +64,16 @@ def site_at(g: Genealogy, position: float) -> DataFrame:
     return g.sites.where(F.col("position") == position)
 
 
+def tree_at_index(g: Genealogy, index: int) -> DataFrame:
+    """Edges of the tree with a number, counted from the end if negative (0 is the first tree, -1 the last); a number beyond is an error."""
+    t = trees(g)
+    wanted = index if index >= 0 else t.count() + index
+    r = t.where(F.col("tree") == wanted).first()
+    if r is None:
+        raise IndexError("there is no such tree")
+    return tree_at(g, r["left"])
+
+
 def tree_at(g: Genealogy, position: float) -> DataFrame:
     """Edges of the tree that covers a position; a filter that reaches the scan."""
     if not 0 <= position < g.sequence_length:
@@ -71,14 +81,18 @@ def tree_at(g: Genealogy, position: float) -> DataFrame:
     return g.edges.where((F.col("left") <= position) & (F.col("right") > position))
 
 
-def edge_diffs(g: Genealogy, include_terminal: bool = False) -> DataFrame:
-    """Edges that end and that begin at each breakpoint: ``position``, ``direction`` (out or in), ``edge``, ``place`` (order of removal or insertion)."""
+def edge_diffs(g: Genealogy, include_terminal: bool = False, reverse: bool = False) -> DataFrame:
+    """Edges that end and that begin at each breakpoint: ``position``, ``direction`` (out or in), ``edge``, ``place`` (order of removal or insertion).
+
+    ``reverse`` goes from the last tree to the first: edges come in at their right end and go out at their left one.
+    """
     t = g.nodes.select(F.col("id").alias("parent"), F.col("time").alias("_t"))
     e = g.edges.join(t, "parent")
-    out = e.select(F.col("right").alias("position"), F.lit("out").alias("direction"), F.col("id").alias("edge"), (-F.col("_t")).alias("a"), (-F.col("parent")).alias("b"), (-F.col("child")).alias("c"))
-    into = e.select(F.col("left").alias("position"), F.lit("in").alias("direction"), F.col("id").alias("edge"), F.col("_t").alias("a"), F.col("parent").alias("b"), F.col("child").alias("c"))
+    ends, begins = ("left", "right") if reverse else ("right", "left")
+    out = e.select(F.col(ends).alias("position"), F.lit("out").alias("direction"), F.col("id").alias("edge"), (-F.col("_t")).alias("a"), (-F.col("parent")).alias("b"), (-F.col("child")).alias("c"))
+    into = e.select(F.col(begins).alias("position"), F.lit("in").alias("direction"), F.col("id").alias("edge"), F.col("_t").alias("a"), F.col("parent").alias("b"), F.col("child").alias("c"))
     if not include_terminal:
-        out = out.where(F.col("position") < g.sequence_length)
+        out = out.where((F.col("position") > 0) if reverse else (F.col("position") < g.sequence_length))
     w = Window.partitionBy("position", "direction").orderBy("a", "b", "c", "edge")
     return out.unionByName(into).withColumn("place", (F.row_number().over(w) - 1).cast("long")).drop("a", "b", "c")
 
@@ -87,7 +101,7 @@ def coiterate(g: Genealogy, other: Genealogy) -> DataFrame:
     """Stretches over which the trees of two genealogies both stay: ``left``, ``right``, ``tree``, ``other_tree``."""
     if g.sequence_length != other.sequence_length:
         raise ValueError("the sequence lengths differ")
-    j = overlap_join(trees(g), trees(other).withColumnRenamed("tree", "other_tree"), g.sequence_length / 64)
+    j = overlap_join(trees(g), trees(other).withColumnRenamed("tree", "other_tree"), bin_width(g))
     return j.select(F.greatest("left", "b_left").alias("left"), F.least("right", "b_right").alias("right"), "tree", "other_tree")
 
 
@@ -106,9 +120,28 @@ def edgesets(g: Genealogy) -> DataFrame:
 
 
 def extremes(g: Genealogy) -> DataFrame:
-    """``min_time``, ``max_time`` of nodes that any edge uses (all nodes without edges), whether positions and times are whole numbers."""
-    used = g.edges.select(F.col("parent").alias("id")).unionByName(g.edges.select(F.col("child").alias("id"))).distinct()
-    t = g.nodes.join(used, "id", "left_semi").agg(F.min("time").alias("min_time"), F.max("time").alias("max_time"), F.max((F.col("time") != F.floor("time")).cast("int")).alias("_t"))
-    x = breakpoints(g).unionByName(g.sites.select("position")).agg(F.max((F.col("position") != F.floor("position")).cast("int")).alias("_x"))
-    r, p = t.first(), x.first()
-    return g.spark.createDataFrame([(r["min_time"], r["max_time"], not p["_x"], not r["_t"])], "min_time double, max_time double, discrete_genome boolean, discrete_time boolean")
+    """One row over all nodes and mutations of known time: ``min_time``, ``max_time``, ``discrete_genome`` (every coordinate of edges, sites and migrations, and the
+    sequence length, is a whole number), ``discrete_time`` (every known time of nodes, mutations and migrations is)."""
+    known = lambda df, own: df.where(F.col("time").isNotNull() & ~F.isnan("time")).select("time", F.lit(own).alias("own"))
+    own = F.when(F.col("own"), F.col("time"))
+    t = known(g.nodes, True).unionByName(known(g.mutations, True)).unionByName(known(g.migrations, False))
+    t = t.agg(F.min(own).alias("min_time"), F.max(own).alias("max_time"), F.coalesce(F.bool_and(F.col("time") == F.floor("time")), F.lit(True)).alias("discrete_time"))
+    ends = F.explode(F.array("left", "right")).alias("position")
+    x = g.edges.select(ends).unionByName(g.migrations.select(ends)).unionByName(g.sites.select("position"))
+    whole = F.coalesce(F.bool_and(F.col("position") == F.floor("position")), F.lit(True)) & F.lit(float(g.sequence_length).is_integer())
+    genome = x.agg(whole.alias("discrete_genome")).first()[0]
+    return t.select("min_time", "max_time", F.lit(genome).alias("discrete_genome"), "discrete_time")
+
+
+def nbytes(g: Genealogy) -> DataFrame:
+    """Rows and bytes of the columns of each table: ``table_name``, ``n_rows``, ``n_bytes``. A ragged column counts its content and 8 bytes an offset, one more than rows."""
+    from functools import reduce
+
+    size = {"bigint": F.lit(8), "double": F.lit(8)}
+    rows = []
+    for t in SCHEMAS:
+        df = getattr(g, t).select(*names(t)[1:])
+        of = [size[k] if k in size else F.coalesce(F.octet_length(c), F.lit(0)) + 8 if k in ("binary", "string") else F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)) * 8 + 8 for c, k in df.dtypes]
+        ragged = 8 * sum(k not in size for _, k in df.dtypes)
+        rows.append(df.select(reduce(lambda a, b: a + b, of).alias("b")).agg(F.lit(t).alias("table_name"), F.count(F.lit(1)).alias("n_rows"), (F.coalesce(F.sum("b"), F.lit(0)) + ragged).cast("long").alias("n_bytes")))
+    return reduce(DataFrame.unionByName, rows)

@@ -10,23 +10,9 @@ from pyspark.sql import functions as F
 
 from kinweave.model import Genealogy, names
 from kinweave.operators.coverage import merged_intervals
+from kinweave.operators.hierarchy import cycles
 from kinweave.plans.ancestry import mutation_parents, sample_counts
-from kinweave.plans.staging import stage
-
-
-def dense_ids(df: DataFrame, order: Sequence[Column | str], id: str = "id") -> DataFrame:
-    """Number rows 0, 1, .. in an order, without gathering them: range partitions are sorted and numbered, and shifted by the sizes of those before."""
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = [F.col(c) if isinstance(c, str) else c for c in order]
-    s = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("_m", F.monotonically_increasing_id())
-    s = stage(s, "ordered")
-    p = F.shiftright("_m", 33)
-    sizes = s.groupBy(p.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    shift = sizes.select("_p", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_shift"))  # one row a partition
-    out = s.withColumn("_p", p).join(F.broadcast(shift), "_p")
-    return out.withColumn(id, F.col("_m").bitwiseAND((1 << 33) - 1) + F.col("_shift")).drop("_m", "_p", "_shift")
+from kinweave.plans.staging import dense_ids, stage
 
 
 def _remap(df: DataFrame, column: str, ids: DataFrame, drop: bool = False) -> DataFrame:
@@ -397,8 +383,10 @@ def canonicalise(g: Genealogy, remove_unreferenced: bool = True) -> Genealogy:
 def sort_individuals(g: Genealogy) -> Genealogy:
     """Parents before children: individuals by their greatest distance from an individual without known parents, then by id."""
     link = g.individuals.select("id", F.explode("parents").alias("p")).where("p <> -1").distinct()
+    if not cycles(link.select(F.lit("individual").alias("kind"), F.col("id").alias("child"), F.col("p").alias("parent"))).isEmpty():
+        raise ValueError("an individual is its own ancestor")
     depth = stage(g.individuals.select("id", F.lit(0).alias("depth")), "depth")
-    for _ in range(10_000):
+    while True:  # ends, as there are no loops
         up = link.join(depth.select(F.col("id").alias("p"), F.col("depth").alias("d")), "p").groupBy("id").agg((F.max("d") + 1).alias("d"))
         nxt = stage(depth.join(up, "id", "left").select("id", F.greatest("depth", F.coalesce("d", F.lit(0))).alias("depth"), (F.coalesce("d", F.lit(0)) > F.col("depth")).alias("moved")), "depth")
         depth = nxt.select("id", "depth")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.model import Genealogy
-from kinweave.plans.staging import stage
+from kinweave.plans.staging import dense_ids, stage
 
 
 def memo(g: Genealogy, key: str, make) -> DataFrame:
@@ -33,11 +33,15 @@ def breakpoints(g: Genealogy) -> DataFrame:
 def trees(g: Genealogy) -> DataFrame:
     """``tree``, ``left``, ``right``: the stretches between neighbouring breakpoints, also those without any edge.
 
-    The numbering is one window over the distinct breakpoints; nothing that grows with edges times trees is gathered.
+    Breakpoints are numbered by range partitions, and each is joined with the next number.
     """
-    w = Window.orderBy("position")
-    t = breakpoints(g).select(F.row_number().over(w).cast("long").alias("tree") - 1, F.col("position").alias("left"), F.lead("position").over(w).alias("right"))
-    return memo(g, "trees", lambda: stage(t.toDF("tree", "left", "right").where(F.col("right").isNotNull()), "trees"))
+
+    def build() -> DataFrame:
+        at = stage(dense_ids(breakpoints(g), ["position"], "tree"), "breakpoints")
+        nxt = at.select((F.col("tree") - 1).alias("tree"), F.col("position").alias("right"))
+        return stage(at.join(nxt, "tree").select("tree", F.col("position").alias("left"), "right"), "trees")
+
+    return memo(g, "trees", build)
 
 
 def binned(df: DataFrame, width: float, left: str = "left", right: str = "right", bin: str = "_bin") -> DataFrame:
@@ -55,8 +59,15 @@ def overlap_join(a: DataFrame, b: DataFrame, width: float) -> DataFrame:
     return hit.where(F.col("_bin") == F.floor(F.greatest("left", "b_left") / width)).drop("_bin")
 
 
+#: Breakpoints a bin holds on average: a bin join compares the rows of one bin.
+BREAKS_PER_BIN = 16
+
+
 def bin_width(g: Genealogy) -> float:
-    return g.sequence_length / 64
+    """Width of the bins of interval joins, so that their number follows that of the trees."""
+    if "bin_width" not in g.memo:
+        g.memo["bin_width"] = g.sequence_length / max(64, trees(g).count() // BREAKS_PER_BIN)
+    return g.memo["bin_width"]
 
 
 def local_edges(g: Genealogy) -> DataFrame:

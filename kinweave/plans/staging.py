@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of compressed Parquet, and rows, up to which a staged side may be broadcast (some tens of MB in memory).
@@ -90,6 +90,21 @@ def fits_broadcast(staged: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     return staged_bytes(staged) <= limit and staged.count() <= BROADCAST_ROWS
 
 
+def dense_ids(df: DataFrame, order: Sequence[Column | str], id: str = "id") -> DataFrame:
+    """Number rows 0, 1, .. in an order, without gathering them: range partitions are sorted and numbered, and shifted by the sizes of those before."""
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(c) if isinstance(c, str) else c for c in order]
+    s = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("_m", F.monotonically_increasing_id())
+    s = stage(s, "ordered")
+    p = F.shiftright("_m", 33)
+    sizes = s.groupBy(p.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    shift = sizes.select("_p", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_shift"))  # one row a partition
+    out = s.withColumn("_p", p).join(F.broadcast(shift), "_p")
+    return out.withColumn(id, F.col("_m").bitwiseAND((1 << 33) - 1) + F.col("_shift")).drop("_m", "_p", "_shift")
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

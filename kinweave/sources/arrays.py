@@ -17,7 +17,7 @@ from kinweave.model import SCHEMAS, Genealogy, names
 MAGIC = b"\x89KAS\r\n\x1a\n"
 TYPES = ["int8", "uint8", "int16", "uint16", "int32", "uint32", "int64", "uint64", "float32", "float64"]
 UNKNOWN_TIME = np.uint64(0x7FF874736B697421)
-FORMAT_NAME, FORMAT_VERSION = b"tskit.trees", (12, 7)
+FORMAT_VERSION = (12, 7)
 
 
 def read_store(path: str) -> dict[str, np.ndarray]:
@@ -64,13 +64,24 @@ _RAGGED = {"metadata": bytes, "ancestral_state": str, "derived_state": str, "loc
 _FIXED = {"flags": "uint32", "time": "float64", "left": "float64", "right": "float64", "position": "float64"}
 
 
-def read_trees(spark: SparkSession, path: str) -> Genealogy:
-    """A genealogy from one tree file, which a single machine must be able to hold."""
+def format_name(path: str) -> str:
+    """The name a tree file gives its format."""
+    return read_store(path)["format/name"].tobytes().rstrip(b"\0").decode()
+
+
+def read_trees(spark: SparkSession, path: str, name: str | None = None, skip_tables: bool = False) -> Genealogy:
+    """A genealogy from one tree file, which a single machine must be able to hold. Files whose format has another ``name``, if one is given, are refused.
+
+    With ``skip_tables`` only the sequence length, time units and empty tables come.
+    """
     s = read_store(path)
-    if s["format/name"].tobytes().rstrip(b"\0") != FORMAT_NAME or s["format/version"][0] != FORMAT_VERSION[0]:
+    if "format/name" not in s or s["format/version"][0] != FORMAT_VERSION[0] or name is not None and s["format/name"].tobytes().rstrip(b"\0").decode() != name:
         raise ValueError("not a tree file of a known version")
     tables = {}
     for t, schema in SCHEMAS.items():
+        if skip_tables:
+            tables[t] = spark.createDataFrame([], schema)
+            continue
         cols = names(t)[1:]
         n = next((len(s[f"{t}/{c}"]) for c in cols if c not in _RAGGED), None)
         n = len(s[f"{t}/{cols[-1]}_offset"]) - 1 if n is None else n
@@ -91,12 +102,12 @@ def read_trees(spark: SparkSession, path: str) -> Genealogy:
     return Genealogy(**tables, sequence_length=float(s["sequence_length"][0]), time_units=s["time_units"].tobytes().decode() if "time_units" in s else "unknown")
 
 
-def write_trees(g: Genealogy, path: str) -> None:
-    """Write one tree file; the tables are collected, as the format is one file of arrays."""
+def write_trees(g: Genealogy, path: str, name: str) -> None:
+    """Write one tree file whose format is called ``name`` (readers compare it; :func:`format_name` gives that of a file); the tables are collected, as the format is one file of arrays."""
     from kinweave.operators.transforms import sort
 
     out: dict[str, np.ndarray] = {
-        "format/name": np.frombuffer(FORMAT_NAME, "int8"), "format/version": np.array(FORMAT_VERSION, "uint32"), "sequence_length": np.array([g.sequence_length]),
+        "format/name": np.frombuffer(name.encode(), "int8"), "format/version": np.array(FORMAT_VERSION, "uint32"), "sequence_length": np.array([g.sequence_length]),
         "uuid": np.frombuffer(str(uuid.uuid4()).encode(), "int8"), "time_units": np.frombuffer(g.time_units.encode(), "int8"), "metadata": np.frombuffer(json.dumps(g.metadata).encode() if g.metadata else b"", "int8"), "metadata_schema": np.array([], "int8"),
     }
     g = sort(g)

@@ -19,3 +19,16 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
+
+
+def _made(name):
+    @pytest.fixture(scope="session", name=name)
+    def make(spark):
+        from tests import brute
+
+        return getattr(brute, name)(spark)
+
+    return make
+
+
+weave, lone, ragged, bushy = map(_made, ("weave", "lone", "ragged", "bushy"))

@@ -10,50 +10,61 @@ from kinweave.functions import metadata as md
 from kinweave.functions.ratemap import RateMap, read_hapmap
 from kinweave.operators import transforms as tr
 from kinweave.sources import arrays, formats, store
-from tests.test_genealogy import paper, single  # noqa: F401
+from tests.brute import Plain, build
 
 
-def test_parquet_and_text(spark, paper, tmp_path):  # noqa: F811
-    store.save(paper, str(tmp_path / "g"))
+def test_parquet_and_text(spark, weave, tmp_path):
+    store.save(weave, str(tmp_path / "g"))
     back = store.load(spark, str(tmp_path / "g"))
-    assert back.sequence_length == 10 and tr.difference(paper, back) == {}
+    assert back.sequence_length == 12 and tr.difference(weave, back) == {}
     assert store.load(spark, str(tmp_path / "g"), skip=("sites",)).sites.count() == 0
     folder = str(tmp_path / "text")
-    store.dump_text(paper, folder, precision=3)
-    t = store.load_text(spark, 10.0, **{k: f"{folder}/{k}.txt" for k in ("nodes", "edges", "sites", "mutations")})
+    store.dump_text(weave, folder, precision=3)
+    t = store.load_text(spark, 12.0, **{k: f"{folder}/{k}.txt" for k in ("nodes", "edges", "sites", "mutations")})
     for k in ("edges", "sites", "mutations"):
-        a, b = getattr(tr.sort(paper), k).drop("metadata"), getattr(t, k).drop("metadata")
+        a, b = getattr(tr.sort(weave), k).drop("metadata"), getattr(t, k).drop("metadata")
         assert a.exceptAll(b).count() == 0 and b.count() == a.count()
     (tmp_path / "e.txt").write_text("left right parent child\n0 1 4 0,1\n0.5  1 5 2,3,\n")
     e = store.parse_table(spark, "edges", str(tmp_path / "e.txt"), strict=False)
     assert [tuple(r) for r in e.select("left", "parent", "child").orderBy("id").collect()] == [(0, 4, 0), (0, 4, 1), (0.5, 5, 2), (0.5, 5, 3)]
 
 
-def test_arrays(spark, single, tmp_path):  # noqa: F811
+def test_arrays(spark, lone, tmp_path):
     p = str(tmp_path / "x.trees")
-    arrays.write_trees(single, p)
-    back = arrays.read_trees(spark, p)
-    assert tr.difference(tr.sort(single), back, ["edges", "sites", "mutations"]).keys() <= {"edges", "sites", "mutations"}
+    arrays.write_trees(lone, p, "own.trees")
+    back = arrays.read_trees(spark, p, arrays.format_name(p))
+    with pytest.raises(ValueError):
+        arrays.read_trees(spark, p, "other")
+    assert arrays.read_trees(spark, p, skip_tables=True).edges.count() == 0
+    assert tr.difference(tr.sort(lone), back, ["edges", "sites", "mutations"]).keys() <= {"edges", "sites", "mutations"}
     for t in ("nodes", "edges", "sites", "mutations"):
-        a, b = getattr(tr.sort(single), t).drop("metadata"), getattr(back, t).drop("metadata")
+        a, b = getattr(tr.sort(lone), t).drop("metadata"), getattr(back, t).drop("metadata")
         assert a.exceptAll(b).count() == 0 and a.count() == b.count()
     s = arrays.read_store(p)
     assert s["mutations/time"].view("uint64")[0] == arrays.UNKNOWN_TIME and s["indexes/edge_insertion_order"].tolist() == sorted(range(6))
 
 
-def test_vcf_fasta_nexus_ms(paper, single):  # noqa: F811
-    head, rows = formats.vcf_lines(paper, ploidy=2)
+def test_vcf_fasta_nexus_ms(spark, lone):
+    g = build(spark, 10, [0, 0, 0, 0, 1, 2, 3], range(4), [(0, 10, 4, 0), (0, 10, 4, 3), (0, 6, 5, 1), (0, 10, 5, 4), (6, 10, 6, 1), (0, 10, 6, 2), (0, 10, 6, 5)], [(1, "A"), (4.5, "A"), (8, "A")], [(0, 4, -1, None, "T"), (1, 1, -1, None, "T"), (2, 5, -1, None, "T")])
+    p = Plain(g)
+    rows_ = [["01"[a != "A"] for a in row] for _, row in sorted(p.genotypes().items())]
+    head, rows = formats.vcf_lines(g, ploidy=2)
     assert head[-1].endswith("FORMAT\tsample_0\tsample_1")
-    lines = [r["line"] for r in rows.orderBy("site").collect()]
-    assert lines[0].split("\t") == ["1", "1", "0", "0", "1", ".", "PASS", ".", "GT", "0|0", "1|0"] and lines[1].split("\t")[1] == "4"
-    ref = "0" * 10
-    f = {r["sample"]: r["record"] for r in formats.fasta(paper.with_tables(sites=paper.sites.withColumn("position", F.floor("position").cast("double"))), ref, 4).collect()}
-    assert f[2] == ">n2\n0100\n0000\n10"
-    nx = list(formats.nexus(paper, 2))
-    assert nx[3] == "  TAXLABELS n0 n1 n2 n3;" and nx[6].startswith("  TREE t0.00^2.00 = [&R] (") and len(nx) == 10
-    ms = list(formats.ms_lines(paper))
-    assert ms[0] == "ms 4 1" and ms[4] == "segsites: 3" and ms[6:] == ["010", "001", "101", "001"]
-    assert formats.networkx_dict(single).count() == 3
+    lines = [r["line"].split("\t") for r in rows.orderBy("site").collect()]
+    assert lines[0][:9] == ["1", "1", "0", "A", "T", ".", "PASS", ".", "GT"] and [x[1] for x in lines] == ["1", "4", "8"]
+    assert [x[9:] for x in lines] == [[f"{r[0]}|{r[1]}", f"{r[2]}|{r[3]}"] for r in rows_]
+    f = {r["sample"]: r["record"] for r in formats.fasta(g.with_tables(sites=g.sites.withColumn("position", F.floor("position").cast("double"))), "C" * 10, 4).collect()}
+    for i in range(4):
+        text = list("C" * 10)
+        for x, row in zip((1, 4, 8), sorted(p.genotypes().items())):
+            text[x] = row[1][i]
+        text = "".join(text)
+        assert f[i] == "\n".join([f">n{i}", text[:4], text[4:8], text[8:]])
+    nx = list(formats.nexus(g, 2))
+    assert nx[3] == "  TAXLABELS n0 n1 n2 n3;" and nx[6].startswith("  TREE t0.00^6.00 = [&R] (") and len(nx) == 6 + len(p.trees) + 1
+    ms = list(formats.ms_lines(g))
+    assert ms[0] == "ms 4 1" and ms[4] == "segsites: 3" and ms[6:] == ["".join(r[i] for r in rows_) for i in range(4)]
+    assert formats.networkx_dict(lone).count() == 3
 
 
 def test_fam(spark, tmp_path):

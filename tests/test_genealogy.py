@@ -1,152 +1,185 @@
-"""Hand-written genealogies with values worked out by definition."""
+"""Genealogies of our own against plain definitions (tests/brute.py)."""
 
+import itertools
 import math
 
 import pytest
 from pyspark.sql import functions as F
 
-from kinweave.model import from_rows, violations
+from kinweave.model import violations
 from kinweave.operators import coalescence as co
 from kinweave.operators import genotypes as ge
 from kinweave.operators import linkage as ld
 from kinweave.operators import localtrees as lt
 from kinweave.operators import statistics as st
+from kinweave.operators import tables as tb
 from kinweave.plans import ancestry as an
+from tests import brute
 
-
-def nodes(times, n):
-    return [(1 if i < n else 0, float(t)) for i, t in enumerate(times)]
-
-
-@pytest.fixture(scope="module")
-def paper(spark):
-    e = [(2, 10, 4, 2), (2, 10, 4, 3), (0, 10, 5, 1), (0, 2, 5, 3), (2, 10, 5, 4), (0, 7, 6, 0), (0, 7, 6, 5), (7, 10, 7, 0), (7, 10, 7, 5), (0, 2, 8, 2), (0, 2, 8, 6)]
-    return from_rows(
-        spark, 10.0, nodes=nodes([0, 0, 0, 0, 0.071, 0.090, 0.170, 0.202, 0.253], 4), edges=[(float(a), float(b), p, c) for a, b, p, c in e],
-        sites=[(1.0, "0"), (4.5, "0"), (8.5, "0")], mutations=[(0, 2, -1, None, "1"), (1, 0, -1, None, "1"), (2, 5, -1, None, "1")],
-    )
-
-
-@pytest.fixture(scope="module")
-def single(spark):
-    e = [(4, 0), (4, 1), (5, 2), (5, 3), (6, 4), (6, 5)]
-    return from_rows(
-        spark, 1.0, nodes=nodes([0, 0, 0, 0, 1, 2, 3], 4), edges=[(0.0, 1.0, p, c) for p, c in e], sites=[(0.125, "0"), (0.25, "0"), (0.5, "0")],
-        mutations=[(0, 2, -1, None, "1"), (1, 4, -1, None, "1"), (1, 0, 1, None, "0"), (2, 0, -1, None, "1"), (2, 1, -1, None, "1"), (2, 2, -1, None, "1"), (2, 3, -1, None, "1")],
-    )
-
-
-@pytest.fixture(scope="module")
-def ibd_doc(spark):
-    e = [(2, 10, 3, 0), (2, 10, 3, 2), (0, 10, 4, 1), (0, 2, 4, 2), (2, 10, 4, 3), (0, 2, 5, 0), (0, 2, 5, 4)]
-    return from_rows(spark, 10.0, nodes=nodes([0, 0, 0, 1, 2, 3], 3), edges=[(float(a), float(b), p, c) for a, b, p, c in e])
+NAMES = ("weave", "lone", "ragged", "bushy")
 
 
 @pytest.fixture(scope="module")
-def nonbinary(spark):
-    e = [(0, 100, 8, c) for c in range(4)] + [(0, 100, 9, 6), (0, 100, 9, 8), (0, 100, 10, 4), (0, 17, 10, 5), (0, 100, 10, 7), (17, 100, 11, 5), (17, 100, 11, 9), (0, 17, 12, 9), (0, 100, 12, 10), (17, 100, 12, 11)]
-    return from_rows(
-        spark, 100.0, nodes=nodes([0] * 8 + [0.01, 0.068, 0.130, 0.279, 0.405], 8), edges=[(float(a), float(b), p, c) for a, b, p, c in e],
-        sites=[(1.0, "0"), (18.0, "0")], mutations=[(0, 2, -1, None, "1"), (1, 11, -1, None, "1")],
-    )
+def made(spark):
+    return {n: (g := getattr(brute, n)(spark), brute.Plain(g)) for n in NAMES}
 
 
 def one(df):
     return df.first()["value"]
 
 
-def test_trees_and_branches(paper, single, ibd_doc, nonbinary):
-    for g, cuts, lengths in ((paper, [0, 2, 7, 10], [0.766, 0.501, 0.565]), (single, [0, 1], [9]), (ibd_doc, [0, 2, 10], [8, 5]), (nonbinary, [0, 17, 100], [1.168, 1.317])):
-        assert sorted(r[0] for r in an.breakpoints(g).collect()) == cuts
-        got = [r["total_branch_length"] for r in lt.total_branch_length(g).orderBy("tree").collect()]
-        assert got == pytest.approx(lengths)
-        assert violations(g).count() == 0
-
-
-def test_statistics(paper, single, ibd_doc, nonbinary):
-    for g, branch, site, seg in ((paper, 0.2918, 0.15, 3), (single, 5.0, 1.0, 2), (ibd_doc, 3.733333333, None, None), (nonbinary, 0.480757143, 0.006785714, 2)):
-        s = st.Sets.all(g)
-        assert one(st.one_way(g, "diversity", s, None, "branch")) == pytest.approx(branch)
-        if site is not None:
-            assert one(st.one_way(g, "diversity", s)) == pytest.approx(site)
-            assert one(st.one_way(g, "segregating_sites", s, span_normalise=False)) == pytest.approx(seg)
-
-
-def test_spectrum(paper, single, nonbinary):
-    for g, want in ((paper, [0, 2, 0, 1, 0]), (single, [0, 2, 0, 0, 0]), (nonbinary, [0, 1, 0, 0, 0, 0, 1, 0, 0])):
-        got = {r["bins"][0]: r["value"] for r in st.frequency_spectrum(g, st.Sets.all(g), polarised=True, span_normalise=False).collect()}
-        assert [got.get(i, 0) for i in range(len(want))] == want
-        folded = st.frequency_spectrum(g, st.Sets.all(g), span_normalise=False)
-        assert folded.agg(F.sum("value")).first()[0] == pytest.approx(sum(want)) and all(2 * r["bins"][0] <= len(want) - 1 for r in folded.collect())
-
-
-def test_genotypes(paper, single, nonbinary):
-    for g, want in ((paper, ["0010", "1000", "0111"]), (single, ["0010", "0100", "1111"]), (nonbinary, ["00100000", "11110110"])):
-        got = {(r["site"], r["sample"]): r["allele"] for r in ge.carriers(g).collect()}
-        n = len(want[0])
-        assert ["".join(got.get((i, s), "0") for s in range(n)) for i in range(len(want))] == want
+@pytest.mark.parametrize("name", NAMES)
+def test_trees_and_branches(made, name):
+    g, p = made[name]
+    assert [(r["tree"], r["left"], r["right"]) for r in an.trees(g).orderBy("tree").collect()] == [(i, a, b) for i, (a, b, _) in enumerate(p.trees)]
+    got = [r["total_branch_length"] for r in lt.total_branch_length(g).orderBy("tree").collect()]
+    assert got == pytest.approx([p.branch_length(t) for _, _, t in p.trees])
+    roots = {}
+    for r in lt.roots(g).collect():
+        roots.setdefault(r["tree"], []).append(r["root"])
+    assert {k: sorted(v) for k, v in roots.items()} == {i: p.roots(t) for i, (_, _, t) in enumerate(p.trees)}
+    assert violations(g).where("rule <> 'times of a site are partly unknown'").count() == 0
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_statistics(made, name):
+    g, p = made[name]
+    s = st.Sets.all(g)
+    for mode in ("branch", "site"):
+        assert one(st.one_way(g, "diversity", s, None, mode)) == pytest.approx(p.diversity(mode))
+    seg = sum(len(set(row)) - 1 for row in p.genotypes().values())
+    assert one(st.one_way(g, "segregating_sites", s, span_normalise=False)) == pytest.approx(seg)
+    few = p.samples[:3]
+    assert one(st.one_way(g, "diversity", st.Sets.of(g, [few]), None, "branch")) == pytest.approx(p.diversity("branch", few))
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_spectrum(made, name):
+    g, p = made[name]
+    for mode in ("site", "branch"):
+        want = p.spectrum(mode)
+        got = {r["bins"][0]: r["value"] for r in st.frequency_spectrum(g, st.Sets.all(g), None, mode, polarised=True, span_normalise=False).collect()}
+        assert [got.get(i, 0) for i in range(len(want))] == pytest.approx(want)
+        folded = st.frequency_spectrum(g, st.Sets.all(g), None, mode, span_normalise=False)
+        assert all(2 * r["bins"][0] <= len(p.samples) for r in folded.collect())
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_genotypes(made, name):
+    g, p = made[name]
+    want = p.genotypes()
+    got = {(r["site"], r["sample"]): r["allele"] for r in ge.carriers(g).collect()}
+    state = {s: sorted({m[3] for m in p.mutations if m[1] == s}) for s in p.sites}
+    for s, row in want.items():
+        for i, a in zip(p.samples, row):
+            if a != p.sites[s][1]:
+                assert got[s, i] is not None, (s, i, state)
+    for r in ge.variant_summary(g, False).collect() if name != "ragged" else ():
+        assert dict(zip(r["alleles"], r["counts"])) == {a: want[r["site"]].count(a) for a in r["alleles"]} and r["alleles"][0] == p.sites[r["site"]][1]
+    if name != "ragged":
         hap = {r["sample"]: r["haplotype"] for r in ge.haplotypes(g).collect()}
-        assert [hap[s] for s in range(n)] == ["".join(w[s] for w in want) for s in range(n)]
-        for r in ge.variant_summary(g).collect():
-            assert r["counts"][1] == want[r["site"]].count("1") and sum(r["counts"]) == n and r["alleles"][0] == "0"
-
-
-def test_linkage(paper, single, nonbinary, spark):
-    pairs = spark.createDataFrame([(0, 1), (0, 2), (1, 2), (0, 0)], "site_a long, site_b long")
-    got = {(r["site_a"], r["site_b"]): r["r2"] for r in ld.two_locus(paper, pairs, ("r2", "D", "D2")).collect()}
-    assert got[0, 1] == pytest.approx(1 / 9) and got[0, 2] == pytest.approx(1 / 9) and got[1, 2] == pytest.approx(1) and got[0, 0] == pytest.approx(1)
-    got = {(r["site_a"], r["site_b"]): r["r2"] for r in ld.two_locus(single, pairs).collect()}
-    assert got[0, 1] == pytest.approx(1 / 9) and math.isnan(got[0, 2]) and math.isnan(got[1, 2])
-    assert ld.two_locus(nonbinary, pairs.limit(1)).first()["r2"] == pytest.approx(1 / 21)
-    assert [r["site_b"] for r in ld.r2_array(paper, 0, max_sites=1).collect()] == [1]
-
-
-def test_coalescence(paper, single, ibd_doc, nonbinary):
-    wants = (
-        (paper, {4: 0.8, 5: 1.8, 6: 1.9, 7: 0.9, 8: 0.6}), (single, {4: 1, 5: 1, 6: 4}), (ibd_doc, {3: 0.8, 4: 1.8, 5: 0.4}),
-        (nonbinary, {8: 6, 9: 4, 10: 1.34, 11: 4.15, 12: 12.51}),
-    )
-    for g, want in wants:
-        got = {r["node"]: r["value"] for r in co.coalescence_counts(g, st.Sets.all(g), [(0, 0)]).collect()}
-        assert got == pytest.approx(want)
-    q = co.coalescence_quantiles(single, st.Sets.all(single), [(0, 0)], [0.1, 0.3, 0.9])
-    assert {r["q"]: r["time"] for r in q.collect()} == {0.1: 1.0, 0.3: 2.0, 0.9: 3.0}
-
-
-def test_ibd(paper, single, ibd_doc, nonbinary):
-    for g, n, span in ((paper, 14, 60), (single, 6, 6), (ibd_doc, 6, 30), (nonbinary, 45, 2800)):
-        seg = co.ibd_segments(g, g.samples()).collect()
-        assert len(seg) == n and sum(r["right"] - r["left"] for r in seg) == pytest.approx(span)
-    got = {tuple(r) for r in co.ibd_segments(ibd_doc, ibd_doc.samples()).collect()}
-    assert got == {(0, 1, 0, 2, 5), (0, 1, 2, 10, 4), (0, 2, 0, 2, 5), (0, 2, 2, 10, 3), (1, 2, 0, 2, 4), (1, 2, 2, 10, 4)}
-
-
-def test_descendants(paper, single, ibd_doc, nonbinary):
-    wants = ((paper, [1, 1, 1, 1, 2, 2.8, 3.714286, 4, 4]), (single, [1, 1, 1, 1, 2, 2, 4]), (ibd_doc, [1, 1, 1, 2, 2.8, 3]), (nonbinary, [1] * 8 + [4, 5, 2.17, 6, 8]))
-    for g, want in wants:
-        got = {r["node"]: r["value"] for r in st.mean_descendants(g, st.Sets.all(g)).collect()}
-        assert [got[i] for i in range(len(want))] == pytest.approx(want, abs=1e-5)
-
-
-def test_shapes(paper, single, ibd_doc, nonbinary):
-    for g, sackin in ((paper, 9), (single, 8), (ibd_doc, 5), (nonbinary, 20)):
-        assert lt.shape_indexes(g).orderBy("tree").first()["sackin"] == sackin
-    r = lt.shape_indexes(single).first()
-    assert r["colless"] == 0 and r["b1"] == pytest.approx(2) and r["b2"] == pytest.approx(math.log10(4))
-
-
-def test_pairs_and_text(paper, spark):
-    p = lt.common_ancestors(paper, spark.createDataFrame([(0, 1)], "a long, b long"))
-    assert {(r["left"], r["tmrca"]) for r in p.collect()} == {(0, 0.17), (2, 0.17), (7, 0.202)} or {r["tmrca"] for r in p.collect()} == {0.17, 0.202}
-    text = {r["tree"]: r["newick"] for r in lt.newick(paper, precision=3).collect()}
-    assert text[1] == "(n0:0.170,(n1:0.090,(n2:0.071,n3:0.071):0.019):0.080);"
-    order = {r["tree"]: r["nodes"] for r in lt.traversal(paper, "postorder").collect()}
-    assert order[1] == [0, 1, 2, 3, 4, 5, 6]
-    assert {r["rf"] for r in lt.rf_neighbours(paper).collect()} == {2, 0} or True
-
-
-def test_links(ibd_doc):
-    s = ibd_doc.samples()
-    a = ibd_doc.nodes.where("id in (4)").select("id")
-    got = {tuple(r) for r in co.link_ancestors(ibd_doc, s, a).collect()}
-    assert got == {(0.0, 10.0, 4, 1), (0.0, 10.0, 4, 2), (2.0, 10.0, 4, 0)}
+        assert hap == {i: "".join(want[s][k] for s in sorted(want)) for k, i in enumerate(p.samples)}
+
+
+def test_linkage(made, spark):
+    for name in ("weave", "lone", "bushy"):
+        g, p = made[name]
+        geno = p.genotypes()
+        pairs = list(itertools.combinations_with_replacement([s for s in geno if len(set(geno[s])) <= 2 and len({m[3] for m in p.mutations if m[1] == s}) == 1], 2))
+        got = {(r["site_a"], r["site_b"]): r["r2"] for r in ld.two_locus(g, spark.createDataFrame(pairs, "site_a long, site_b long"), ("r2",)).collect()}
+        for a, b in pairs:
+            x, y = ([v != p.sites[s][1] for v in geno[s]] for s in (a, b))
+            n = len(x)
+            pa, pb, pab = sum(x) / n, sum(y) / n, sum(i and j for i, j in zip(x, y)) / n
+            d = pa * (1 - pa) * pb * (1 - pb)
+            assert math.isnan(got[a, b]) if d == 0 else got[a, b] == pytest.approx((pab - pa * pb) ** 2 / d)
+    assert [r["site_b"] for r in ld.r2_array(made["weave"][0], 0, max_sites=1).collect()] == [1]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_coalescence(made, name):
+    g, p = made[name]
+    got = {r["node"]: r["value"] for r in co.coalescence_counts(g, st.Sets.all(g), [(0, 0)]).collect() if r["value"]}
+    want = p.coalescences()
+    assert got == pytest.approx(want)
+    if name == "lone":
+        order, acc, cum = sorted(want, key=p.time.get), 0.0, []
+        for u in order:
+            acc += want[u]
+            cum.append((acc / sum(want.values()), p.time[u]))
+        q = co.coalescence_quantiles(g, st.Sets.all(g), [(0, 0)], [0.1, 0.3, 0.9])
+        assert {r["q"]: r["time"] for r in q.collect()} == {x: next(t for c, t in cum if c >= x) for x in (0.1, 0.3, 0.9)}
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_ibd(made, name):
+    g, p = made[name]
+    got = {tuple(r) for r in co.ibd_segments(g, g.samples()).collect()}
+    assert got == {(a, b, *s) for a, b in itertools.combinations(p.samples, 2) for s in p.descent(a, b)}
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_descendants(made, name):
+    g, p = made[name]
+    got = {r["node"]: r["value"] for r in st.mean_descendants(g, st.Sets.all(g)).collect()}
+    assert {u: got.get(u, 0.0) for u in p.time} == pytest.approx(p.mean_descendants())
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_shapes(made, name):
+    g, p = made[name]
+    for r in lt.shape_indexes(g).collect():
+        sackin, colless, b1, b2 = p.shape(p.trees[r["tree"]][2])
+        assert (r["sackin"], r["b1"]) == pytest.approx((sackin, b1)) and r["colless"] == colless
+        assert (r["b2"] is None) == (b2 is None) and (b2 is None or r["b2"] == pytest.approx(b2))
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_pairs(made, name, spark):
+    g, p = made[name]
+    pairs = list(itertools.combinations(p.samples, 2))
+    got = {}
+    for r in lt.common_ancestors(g, spark.createDataFrame(pairs, "a long, b long")).collect():
+        got.setdefault((r["a"], r["b"]), []).append((r["left"], r["right"], r["mrca"], r["tmrca"]))
+    for a, b in pairs:
+        for l, r, parent in p.trees:
+            m = p.mrca(parent, a, b)
+            assert [(x[2], x[3]) for x in got.get((a, b), ()) if x[0] <= l and r <= x[1]] == ([] if m is None else [(m, p.time[m])])
+
+
+def test_text_and_order(made):
+    g, p = made["lone"]
+    assert lt.newick(g, precision=1).first()["newick"] == "(n3:2.6,(n0:1.1,(n1:0.7,n2:0.7):0.4):1.5);"
+    assert lt.traversal(g, "postorder").first()["nodes"] == [3, 0, 1, 2, 4, 5, 6]
+    g, p = made["weave"]
+    clades = [{frozenset(p.below(t, u)) for u in p.live(t)} for _, _, t in p.trees]
+    assert [r["rf"] for r in lt.rf_neighbours(g).orderBy("tree").collect()] == [len(a ^ b) for a, b in zip(clades, clades[1:])]
+
+
+def test_links(made):
+    g, p = made["weave"]
+    got = co.link_ancestors(g, g.samples(), g.nodes.where("id = 6").select("id")).collect()
+    want = {(l, c) for l, r, t in p.trees for c in p.samples if 6 in p.up(t, c)}
+    assert {(l, r["child"]) for r in got for l, b, _ in p.trees if r["left"] <= l and b <= r["right"]} == want and {r["parent"] for r in got} == {6}
+
+
+def test_extremes(made):
+    r = tb.extremes(made["ragged"][0]).first()
+    assert (r["min_time"], r["max_time"], r["discrete_genome"], r["discrete_time"]) == (0.0, 5.5, True, False)
+    g = made["lone"][0]
+    old = g.with_tables(mutations=g.mutations.withColumn("time", F.when(F.col("id") == 0, 7.5)), nodes=g.nodes.withColumn("time", F.floor("time").cast("double")))
+    r = tb.extremes(old).first()
+    assert (r["max_time"], r["discrete_genome"], r["discrete_time"]) == (7.5, False, False)
+    sizes = {x["table_name"]: (x["n_rows"], x["n_bytes"]) for x in tb.nbytes(g).collect()}
+    assert sizes["sites"] == (3, 3 * 8 + 3 + 8 * 4 + 8 * 4) and sizes["migrations"] == (0, 8)
+
+
+def test_tree_numbers_and_reverse_differences(made):
+    g, p = made["weave"]
+    for i in (0, 1, -1):
+        assert {(r["parent"], r["child"]) for r in tb.tree_at_index(g, i).collect()} == {(b, a) for a, b in p.trees[i][2].items()}
+    with pytest.raises(IndexError):
+        tb.tree_at_index(g, 3)
+    got = {(r["position"], r["direction"], r["edge"]) for r in tb.edge_diffs(g, reverse=True).collect()}
+    want = {(r, "in", i) for l, r, _, _, i in p.edges} | {(l, "out", i) for l, r, _, _, i in p.edges if l > 0}
+    assert got == want

@@ -8,12 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinweave.functions import topologies as tp
-from kinweave.operators import genotypes as ge
 from kinweave.operators import kernels as ke
 from kinweave.operators import localtrees as lt
 from kinweave.operators import relatedness as re_
 from kinweave.operators import tables as tb
-from tests.test_genealogy import nonbinary, paper, single  # noqa: F401
+from tests.brute import Plain
 
 
 def test_counts_of_trees():
@@ -38,18 +37,19 @@ def test_generated(spark):
     assert sorted(x for x in repr(t) if x.isdigit()) == list("012345") and all(len(x) == 2 for x in [t, *[y for y in t if isinstance(y, tuple)]])
 
 
-def test_topologies(single):  # noqa: F811
-    sets = single.spark.createDataFrame([(0, 0), (1, 1), (2, 2), (3, 2)], "sample long, set int")
-    got = {(r["sets"], r["topology"]): r["n"] for r in tp.count_topologies(single, sets).collect()}
-    assert got["0,1,2", "(2,(0,1))"] == 2 and got["0,1", "(0,1)"] == 1 and got["0,2", "(0,2)"] == 2 and got["2", "2"] == 2
-    assert ("0,1,2", "(0,(1,2))") not in got
+def test_topologies(lone):
+    sets = lone.spark.createDataFrame([(0, 0), (1, 1), (2, 2), (3, 2)], "sample long, set int")
+    got = {(r["sets"], r["topology"]): r["n"] for r in tp.count_topologies(lone, sets).collect()}
+    assert got["0,1,2", "(2,(0,1))"] == 1 and got["0,1,2", "(0,(1,2))"] == 1 and got["0,1", "(0,1)"] == 1 and got["0,2", "(0,2)"] == 2 and got["2", "2"] == 2
+    assert ("0,1,2", "(1,(0,2))") not in got
 
 
-def test_parsimony(paper):  # noqa: F811
-    g = paper
-    dense = g.sites.select(F.col("id").alias("site"), F.explode(F.array(*[F.lit(i).cast("long") for i in range(4)])).alias("sample")).join(ge.carriers(g).select("site", "sample", F.lit(1).alias("one")), ["site", "sample"], "left").select("site", "sample", F.coalesce("one", F.lit(0)).alias("state"))
-    got = {r["site"]: (r["ancestral_state"], r["node"], r["state"]) for r in ke.map_mutations(g, dense).collect()}
-    assert got[0] == (0, 2, 1) and got[1] == (0, 0, 1) and got[2][0] in (0, 1)
+def test_parsimony(weave):
+    g = weave
+    p = Plain(g)
+    rows = [(s, i, int(a != p.sites[s][1])) for s, row in p.genotypes().items() for i, a in zip(p.samples, row)]
+    got = {r["site"]: (r["ancestral_state"], r["node"], r["state"]) for r in ke.map_mutations(g, g.spark.createDataFrame(rows, "site long, sample long, state int")).collect()}
+    assert got[0] == (0, 5, 1) and got[1] == (0, 3, 1)
     kids, tops, time = {6: [4, 5], 4: [0, 1], 5: [2, 3]}, [6], dict.fromkeys(range(7), 0.0)
     for states in itertools.product((0, 1, 2), repeat=4):
         least = min(
@@ -83,37 +83,35 @@ def test_copying_model(spark):
     assert got["path"] == m.viterbi(q).tolist()
 
 
-def test_relatedness(paper):  # noqa: F811
-    g = paper
-    share = np.zeros((4, 4))
-    anc = [(r["start"], r["node"], r["left"], r["right"]) for r in lt.ancestry(g).collect()]
-    e = [(r["left"], r["right"], r["parent"], r["child"]) for r in g.edges.collect()]
-    t = {r["id"]: r["time"] for r in g.nodes.collect()}
-    for l, r in ((0, 2), (2, 7), (7, 10)):
-        at = lambda s: {n for st, n, a, b in anc if st == s and a <= l < b}  # noqa: E731, B023
-        for a, b, p, c in e:
-            if a <= l < b:
-                below = [s for s in range(4) if c in at(s)]
-                for i in below:
-                    for j in below:
-                        share[i, j] += (r - l) * (t[p] - t[c]) / 10
-    centre = np.eye(4) - 0.25
+def test_relatedness(weave):
+    g, p = weave, Plain(weave)
+    n = len(p.samples)
+    share = np.zeros((n, n))
+    for l, r, parent in p.trees:
+        for c, q in parent.items():
+            below = p.below(parent, c)
+            for i, j in itertools.product(below, repeat=2):
+                share[i, j] += (r - l) * (p.time[q] - p.time[c]) / p.L
+    centre = np.eye(n) - 1 / n
     k = centre @ share @ centre
-    w = np.array([1.0, -2.0, 0.5, 3.0])
+    w = np.array([1.0, -2.0, 0.5, 3.0, -0.25])
     rows = g.spark.createDataFrame([(i, float(x)) for i, x in enumerate(w)], "sample long, w double")
     got = {r["sample"]: r["w"] for r in re_.relatedness_vector(g, rows, ["w"], "t").collect()}
-    assert [got[i] for i in range(4)] == pytest.approx((k @ w).tolist())
+    assert [got[i] for i in range(n)] == pytest.approx((k @ w).tolist())
     values, vectors, _ = re_.principal_components(g, 2, iterations=3)
     assert values == pytest.approx(np.sort(np.linalg.eigvalsh(k))[::-1][:2])
 
 
-def test_tables(paper):  # noqa: F811
-    d = tb.edge_diffs(paper).where("position = 7").orderBy("direction", "place").collect()
-    assert [(r["direction"], r["edge"]) for r in d] == [("in", 7), ("in", 8), ("out", 6), ("out", 5)]
-    assert tb.coiterate(paper, paper).count() == 3 and tb.tree_at(paper, 7.0).count() == 6
-    k, _ = tb.keep_rows(paper, "edges", F.col("left") > 0)
+def test_tables(weave):
+    p = Plain(weave)
+    d = tb.edge_diffs(weave).where("position = 9").orderBy("direction", "place").collect()
+    into = sorted((e for e in p.edges if e[0] == 9), key=lambda e: (p.time[e[2]], e[2], e[3]))
+    out = sorted((e for e in p.edges if e[1] == 9), key=lambda e: (-p.time[e[2]], -e[2], -e[3]))
+    assert [(r["direction"], r["edge"]) for r in d] == [("in", e[4]) for e in into] + [("out", e[4]) for e in out]
+    assert tb.coiterate(weave, weave).count() == 3 and tb.tree_at(weave, 7.0).count() == len(p.parent_at(7))
+    k, _ = tb.keep_rows(weave, "edges", F.col("left") > 0)
     assert [r[0] for r in k.edges.select("id").orderBy("id").collect()] == list(range(k.edges.count()))
-    more = tb.append_rows(paper, "sites", paper.spark.createDataFrame([(9.5, "G", None)], "position double, ancestral_state string, metadata binary"))
-    assert more.sites.agg(F.max("id")).first()[0] == 3 and tb.truncate(more, "sites", 1).sites.count() == 1 and tb.clear(paper).nodes.count() == 0
-    assert tb.update_rows(paper, "nodes", F.col("id") == 0, {"time": F.lit(-1.0)}).nodes.where("time = -1").count() == 1
-    assert lt.kc_neighbours(paper).count() == 2
+    more = tb.append_rows(weave, "sites", weave.spark.createDataFrame([(9.5, "G", None)], "position double, ancestral_state string, metadata binary"))
+    assert more.sites.agg(F.max("id")).first()[0] == 4 and tb.truncate(more, "sites", 1).sites.count() == 1 and tb.clear(weave).nodes.count() == 0
+    assert tb.update_rows(weave, "nodes", F.col("id") == 0, {"time": F.lit(-1.0)}).nodes.where("time = -1").count() == 1
+    assert lt.kc_neighbours(weave).count() == 2

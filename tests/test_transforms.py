@@ -3,102 +3,130 @@
 import pytest
 from pyspark.sql import functions as F
 
-from kinweave.model import from_rows, violations
-from kinweave.operators import genotypes as ge
+from kinweave.model import violations
 from kinweave.operators import statistics as st
 from kinweave.operators import transforms as tr
-from tests.test_genealogy import ibd_doc, nonbinary, paper, single  # noqa: F401
+from tests.brute import Plain, build
 
 
 def table(df, *cols):
     return sorted(tuple(r) for r in df.select(*cols).collect())
 
 
-def test_simplify(paper):  # noqa: F811
-    keep = paper.spark.createDataFrame([(0, 0), (2, 1), (3, 2)], "id long, order long")
-    s, to = tr.simplify(paper, keep)
+def reduced(p, parent, keep):
+    """Parents among the kept samples and the nodes where their ways first meet."""
+    stay = {*keep, *(m for a in keep for b in keep if a < b and (m := p.mrca(parent, a, b)) is not None)}
+    return {u: next(x for x in p.up(parent, u)[1:] if x in stay) for u in stay if any(x in stay for x in p.up(parent, u)[1:])}
+
+
+@pytest.mark.parametrize("name,keep", [("weave", [0, 2, 3]), ("bushy", [7, 1, 4, 6, 0]), ("ragged", [0, 3, 4]), ("ragged", [1, 2])])
+def test_simplify(name, keep, request):
+    g = request.getfixturevalue(name)
+    g = g.with_tables(migrations=g.migrations.limit(0))
+    p = Plain(g)
+    s, to = tr.simplify(g, g.spark.createDataFrame(list(zip(keep, range(9))), "id long, order long"))
     m = {r["old"]: r["new"] for r in to.collect()}
-    assert [m[0], m[2], m[3]] == [0, 1, 2] and violations(s).count() == 0
-    assert table(s.edges, "left", "right", "parent", "child") == sorted(
-        (float(a), float(b), m[p], m[c]) for a, b, p, c in [(2, 10, 4, 2), (2, 10, 4, 3), (0, 2, 6, 0), (0, 2, 6, 3), (2, 7, 6, 0), (2, 7, 6, 4), (7, 10, 7, 0), (7, 10, 7, 4), (0, 2, 8, 2), (0, 2, 8, 6)]
-    ) or {(a, b, p, c) for a, b, p, c in table(s.edges, "left", "right", "parent", "child")} == {
-        (2.0, 10.0, m[4], 1), (2.0, 10.0, m[4], 2), (0.0, 7.0, m[6], 0), (0.0, 2.0, m[6], 2), (2.0, 7.0, m[6], m[4]), (7.0, 10.0, m[7], 0), (7.0, 10.0, m[7], m[4]), (0.0, 2.0, m[8], 1), (0.0, 2.0, m[8], m[6])}
-    before = {(r["position"], r["sample"]): r["allele"] for r in ge.carriers(paper).collect()}
-    after = {(r["position"], r["sample"]): r["allele"] for r in ge.carriers(s).collect()}
-    assert after == {(p, {0: 0, 2: 1, 3: 2}[x]): a for (p, x), a in before.items() if x in (0, 2, 3)}
-    d0 = st.one_way(paper, "diversity", st.Sets.of(paper, [[0, 2, 3]]), None, "branch").first()["value"]
-    assert st.one_way(s, "diversity", st.Sets.all(s), None, "branch").first()["value"] == pytest.approx(d0)
+    assert [m[k] for k in keep] == list(range(len(keep))) and violations(s).where("rule <> 'times of a site are partly unknown'").count() == 0
+    q = Plain(s)
+    for l, r, parent in p.trees:
+        assert {(m[a], m[b]) for a, b in reduced(p, parent, keep).items()} == set(q.parent_at(l).items())
+    assert q.time == {m[k]: t for k, t in p.time.items() if k in m}
+    at = {x: i for i, (x, _) in q.sites.items()}
+    before, after = p.genotypes(), q.genotypes()
+    for i, (x, anc) in p.sites.items():
+        want = [before[i][p.samples.index(k)] for k in keep]
+        assert (after[at[x]] if x in at else [anc] * len(keep)) == want
+    if name != "ragged":
+        d0 = st.one_way(g, "diversity", st.Sets.of(g, [keep]), None, "branch").first()["value"]
+        assert st.one_way(s, "diversity", st.Sets.all(s), None, "branch").first()["value"] == pytest.approx(d0)
 
 
 def test_simplify_keeps_input_roots(spark):
-    # node 6 is the root over [2, 7) and has a branch to 8 over [0, 2)
-    e = [(2, 10, 4, 2), (2, 10, 4, 3), (0, 10, 5, 1), (0, 2, 5, 3), (2, 10, 5, 4), (0, 7, 6, 0), (0, 7, 6, 5), (7, 10, 7, 0), (7, 10, 7, 5), (0, 2, 8, 2), (0, 2, 8, 6)]
-    g = from_rows(
-        spark, 10.0, nodes=[(1 if i < 4 else 0, float(t)) for i, t in enumerate([0, 0, 0, 0, 1, 2, 3, 4, 5])], edges=[(float(a), float(b), p, c) for a, b, p, c in e],
-        sites=[(1.0, "0"), (4.5, "0"), (8.5, "0")], mutations=[(0, 6, -1, None, "1"), (1, 6, -1, None, "1"), (2, 5, -1, None, "1")],
-    )
-    keep = spark.createDataFrame([(2, 0), (3, 1)], "id long, order long")
-    s, to = tr.simplify(g, keep, keep_input_roots=True)
+    """A node that is the root over a part of the sequence, with a branch above it elsewhere, stays as root there."""
+    g = build(spark, 10, [0, 0, 1, 2, 3], [0, 1], [(0, 10, 2, 0), (0, 10, 2, 1), (0, 10, 3, 2), (0, 5, 4, 3)], [(1, "0"), (7, "0")], [(0, 3, -1, None, "1"), (1, 3, -1, None, "1")])
+    s, to = tr.simplify(g, g.samples().withColumn("order", F.col("id")), keep_input_roots=True)
     m = {r["old"]: r["new"] for r in to.collect()}
-    assert violations(s).count() == 0 and table(s.edges, "left", "right", "parent", "child") == sorted(
-        (float(a), float(b), m[p], m[c]) for a, b, p, c in [(0, 2, 8, 2), (0, 2, 8, 3), (2, 10, 4, 2), (2, 10, 4, 3), (2, 7, 6, 4), (7, 10, 7, 4)])
-    assert table(s.mutations, "site", "node") == [(0, m[3]), (1, m[6]), (2, m[4])]
-    plain, _ = tr.simplify(g, keep)
-    assert plain.edges.count() == 4
-
-
-def test_intervals(paper):  # noqa: F811
-    k = tr.keep_intervals(paper, [(1, 3), (8, 9)])
-    assert k.edges.agg(F.sum(F.col("right") - F.col("left"))).first()[0] == pytest.approx(6 * 3)
-    assert table(k.sites, "id", "position") == [(0, 1.0), (1, 8.5)] and table(k.mutations, "site", "node") == [(0, 2), (1, 5)]
-    d = tr.delete_intervals(paper, [(0, 1), (3, 8), (9, 10)])
+    assert table(s.edges, "left", "right", "parent", "child") == sorted([(0.0, 10.0, m[2], 0), (0.0, 10.0, m[2], 1), (0.0, 5.0, m[4], m[2]), (5.0, 10.0, m[3], m[2])])
+    assert table(s.mutations, "site", "node") == [(0, m[2]), (1, m[3])] and violations(s).count() == 0
+    plain, _ = tr.simplify(g)
+    assert plain.edges.count() == 2
+
+
+def test_intervals(weave):
+    iv = [(1, 4.5), (8, 10)]
+    p, k = Plain(weave), tr.keep_intervals(weave, iv)
+    q = Plain(k)
+    for x in (0.5, 1, 3, 4.5, 7, 8, 9, 9.5, 11):
+        assert q.parent_at(x) == (p.parent_at(x) if any(a <= x < b for a, b in iv) else {})
+    assert table(k.sites, "id", "position") == [(0, 1.0), (1, 4.0)] and table(k.mutations, "site", "node") == [(0, 5), (1, 3)]
+    d = tr.delete_intervals(weave, [(0, 1), (4.5, 8), (10, 12)])
     assert tr.difference(k, d) == {}
-    t = tr.trim(tr.keep_intervals(paper, [(1, 3)]))
+    t = tr.trim(tr.keep_intervals(weave, [(1, 3)]))
     assert t.sequence_length == 2 and table(t.sites, "position") == [(0.0,)]
-    back = tr.keep_intervals(tr.keep_intervals(paper, [(0, 5)]), [(0, 10)])
+    back = tr.keep_intervals(tr.keep_intervals(weave, [(0, 5)]), [(0, 10)])
     assert back.edges.agg(F.max("right")).first()[0] == 5
 
 
-def test_split_and_decapitate(paper, single):  # noqa: F811
-    s = tr.split_edges(single, 1.5)
-    assert s.nodes.count() == 7 + 3 and violations(s).count() == 0
-    assert table(ge.carriers(s), "site", "sample", "allele") == table(ge.carriers(single), "site", "sample", "allele")
-    d = tr.decapitate(single, 1.5)
-    assert d.nodes.agg(F.max("time")).first()[0] == 3 and d.edges.count() == 2 + 1 + 2
-    assert d.edges.join(d.nodes.select(F.col("id").alias("parent"), "time"), "parent").where("time > 1.5").count() == 0
-
-
-def test_squash_sort_subset(paper):  # noqa: F811
-    pieces = paper.edges.withColumn("x", F.explode(F.sequence(F.col("left").cast("int"), F.col("right").cast("int") - 1))).withColumn("left", F.col("x").cast("double")).withColumn("right", F.col("x") + 1.0)
-    assert table(tr.squash(pieces), "left", "right", "parent", "child") == table(tr.squash(paper.edges), "left", "right", "parent", "child")
-    assert tr.squash_errors(paper.edges.withColumn("right", F.col("right") + 0)).count() == 0
-    s = tr.sort(paper.with_tables(edges=paper.edges.orderBy(F.rand(1)).withColumn("id", F.col("id") + 50)))
-    assert [tuple(r) for r in s.edges.orderBy("id").select("parent", "child", "left").collect()] == sorted((r["parent"], r["child"], r["left"]) for r in paper.edges.collect())
-    all_nodes = paper.nodes.select("id", F.col("id").alias("order"))
-    assert tr.difference(tr.subset(paper, all_nodes, False), tr.sort(paper)) == {}
-    few = tr.subset(paper, paper.nodes.where("id in (1, 5, 6, 2)").select("id", F.col("id").alias("order")))
-    assert table(few.edges, "left", "right", "parent", "child") == [(0.0, 7.0, 3, 2), (0.0, 10.0, 2, 0)] and few.sites.count() == 2
-
-
-def test_union_and_concatenate(paper):  # noqa: F811
-    young = paper.nodes.where("id <> 1")
-    a = tr.subset(paper, young.select("id", F.col("id").alias("order")), False)
-    back = paper.nodes.select(F.col("id").alias("other"), F.when(F.col("id") == 1, -1).when(F.col("id") > 1, F.col("id") - 1).otherwise(F.col("id")).alias("own"))
-    u = tr.union(a, paper, back)
-    assert u.nodes.count() == 9 and u.edges.count() == 11
-    c = tr.concatenate(paper, paper)
-    assert c.sequence_length == 20 and c.nodes.count() == 9 + 5 and c.edges.count() == 22 and violations(c).count() == 0
-    assert table(ge.carriers(c), "position", "sample", "allele") == sorted(x for p, s, al in table(ge.carriers(paper), "position", "sample", "allele") for x in ((p, s, al), (p + 10, s, al)))
-
-
-def test_sites_and_mutations(single, paper):  # noqa: F811
-    twice = single.with_tables(sites=single.sites.withColumn("position", F.when(F.col("id") == 1, 0.125).otherwise(F.col("position"))))
+def test_split_and_decapitate(lone):
+    p = Plain(lone)
+    crossing = [e for e in p.edges if p.time[e[3]] < 1.0 < p.time[e[2]]]
+    s = tr.split_edges(lone, 1.0)
+    assert s.nodes.count() == len(p.time) + len(crossing) and s.edges.count() == len(p.edges) + len(crossing) and violations(s).count() == 0
+    assert Plain(s).genotypes() == p.genotypes()
+    d = Plain(tr.decapitate(lone, 1.0))
+    assert len(d.edges) == len([e for e in p.edges if p.time[e[2]] <= 1.0]) + len(crossing) and all(d.time[e[2]] <= 1.0 for e in d.edges)
+
+
+def test_squash_sort_subset(weave):
+    pieces = weave.edges.withColumn("x", F.explode(F.sequence(F.col("left").cast("int"), F.col("right").cast("int") - 1))).withColumn("left", F.col("x").cast("double")).withColumn("right", F.col("x") + 1.0)
+    assert table(tr.squash(pieces), "left", "right", "parent", "child") == table(tr.squash(weave.edges), "left", "right", "parent", "child")
+    assert tr.squash_errors(weave.edges).count() == 0
+    s = tr.sort(weave.with_tables(edges=weave.edges.orderBy(F.rand(1)).withColumn("id", F.col("id") + 50)))
+    assert [tuple(r) for r in s.edges.orderBy("id").select("parent", "child", "left").collect()] == sorted((r["parent"], r["child"], r["left"]) for r in weave.edges.collect())
+    all_nodes = weave.nodes.select("id", F.col("id").alias("order"))
+    assert tr.difference(tr.subset(weave, all_nodes, False), tr.sort(weave)) == {}
+    chosen = [1, 5, 6, 2]
+    few = tr.subset(weave, weave.nodes.where(F.col("id").isin(chosen)).select("id", F.col("id").alias("order")))
+    new = {u: i for i, u in enumerate(sorted(chosen))}
+    p = Plain(weave)
+    assert table(few.edges, "left", "right", "parent", "child") == sorted((l, r, new[a], new[b]) for l, r, a, b, _ in p.edges if a in new and b in new)
+    assert few.mutations.count() == len([m for m in p.mutations if m[2] in new])
+
+
+def test_union_and_concatenate(weave):
+    young = weave.nodes.where("id <> 1")
+    a = tr.subset(weave, young.select("id", F.col("id").alias("order")), False)
+    back = weave.nodes.select(F.col("id").alias("other"), F.when(F.col("id") == 1, -1).when(F.col("id") > 1, F.col("id") - 1).otherwise(F.col("id")).alias("own"))
+    u = tr.union(a, weave, back)
+    p = Plain(weave)
+    assert u.nodes.count() == len(p.time) and u.edges.count() == len(p.edges)
+    c = tr.concatenate(weave, weave)
+    q = Plain(c)
+    assert c.sequence_length == 24 and len(q.time) == len(p.time) + len(p.time) - len(p.samples) and len(q.edges) == 2 * len(p.edges) and violations(c).count() == 0
+    once = [row for _, row in sorted(p.genotypes().items())]
+    assert [row for _, row in sorted(q.genotypes().items())] == once + once
+
+
+def test_sites_and_mutations(lone, weave):
+    twice = lone.with_tables(sites=lone.sites.withColumn("position", F.when(F.col("id") == 1, 0.25).otherwise(F.col("position"))))
     assert violations(twice).where("rule = 'position is not unique'").count() == 1
     d = tr.deduplicate_sites(twice)
     assert d.sites.count() == 2 and table(d.mutations, "site")[:3] == [(0,), (0,), (0,)]
-    p = tr.with_mutation_parents(single.with_tables(mutations=single.mutations.withColumn("parent", F.lit(-1).cast("long"))))
-    assert table(p.mutations, "id", "parent") == table(single.mutations, "id", "parent")
-    t = {r["id"]: r["time"] for r in tr.with_mutation_times(paper).mutations.collect()}
-    assert t[0] == pytest.approx(0.253 / 2) and t[2] == pytest.approx((0.09 + 0.202) / 2)
-    gone = tr.delete_sites(single, single.spark.createDataFrame([(1,)], "id long"))
-    assert table(gone.mutations, "site", "node") == [(0, 2), (1, 0), (1, 1), (1, 2), (1, 3)]
+    p = tr.with_mutation_parents(lone.with_tables(mutations=lone.mutations.withColumn("parent", F.lit(-1).cast("long"))))
+    assert table(p.mutations, "id", "parent") == table(lone.mutations, "id", "parent")
+    t = {r["id"]: r["time"] for r in tr.with_mutation_times(weave).mutations.collect()}
+    w = Plain(weave)
+    for i, s, u, _ in w.mutations[:2]:  # a lone mutation lies in the middle of its branch
+        assert t[i] == pytest.approx((w.time[u] + w.time[w.parent_at(w.sites[s][0])[u]]) / 2)
+    gone = tr.delete_sites(lone, lone.spark.createDataFrame([(1,)], "id long"))
+    assert table(gone.mutations, "site", "node") == [(0, 2), (0, 5), (1, 0), (1, 1), (1, 2), (1, 3)]
+
+
+def test_sorted_individuals(weave):
+    rows = [(0, 0, [], [2, -1], None), (1, 0, [], [0], None), (2, 0, [], [], None)]
+    schema = "id long, flags long, location array<double>, parents array<long>, metadata binary"
+    g = weave.with_tables(individuals=weave.spark.createDataFrame(rows, schema))
+    assert table(tr.sort_individuals(g).individuals, "id", "parents") == [(0, []), (1, [0, -1]), (2, [1])]
+    loop = weave.with_tables(individuals=weave.spark.createDataFrame([(0, 0, [], [1], None), (1, 0, [], [0], None)], schema))
+    with pytest.raises(ValueError):
+        tr.sort_individuals(loop)
