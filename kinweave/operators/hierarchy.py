@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.operators.skew import skew_join
-from kinweave.plans.staging import discard, stage, viewed
+from kinweave.plans.staging import discard, scope, stage, viewed
 
 #: Links a single task may solve (16 bytes each as longs), and nodes of a fragment.
 BASE_LINKS = 250_000
@@ -215,11 +215,12 @@ def _prune(links: DataFrame) -> DataFrame:
     none = F.lit(None).cast("long")
     ends = links.select(F.col("child").alias("node"), F.lit(1).alias("side"), F.col("parent").alias("up")).unionByName(links.select(F.col("parent").alias("node"), F.lit(2).alias("side"), none.alias("up")))
     live = ends.groupBy("node").agg(F.bit_or("side").alias("sides"), (F.min("up") == F.max("up")).alias("single")).where("sides = 3").select("node", "single")
-    live = stage(live, "live")
-    once = skew_join(links, viewed(live, F.col("node").alias("parent")), "parent", "left_semi", ["child"])
-    both = skew_join(once, viewed(live, F.col("node").alias("child"), "single"), "child", "inner", ["parent"])
-    out = stage(both.select("child", "parent", "single").distinct(), "links")
-    discard(live)
+    with scope() as held:
+        live = stage(live, "live")
+        once = skew_join(links, viewed(live, F.col("node").alias("parent")), "parent", "left_semi", ["child"])
+        both = skew_join(once, viewed(live, F.col("node").alias("child"), "single"), "child", "inner", ["parent"])
+        out = stage(both.select("child", "parent", "single").distinct(), "links")
+        held.remove(out)
     return out
 
 
@@ -243,8 +244,10 @@ def cycles(links: DataFrame, base_links: int = BASE_LINKS, kinds: tuple[str, ...
         found, levels = exits(forest, base_links)
         moved = stage(found.where("node <> exit").select(F.col("node").alias("parent"), "exit"), "moved")
         kept = live.where("not single").select("child", "parent").unionByName(found.where("node = exit").select(F.col("node").alias("child"), F.col("up").alias("parent")))
-        hop = skew_join(kept, moved, "parent", "left", ["child"])
-        hop = stage(hop.select("child", F.col("parent").alias("via"), F.coalesce("exit", "parent").alias("parent")), "hops")
+        with scope() as held:
+            hop = skew_join(kept, moved, "parent", "left", ["child"])
+            hop = stage(hop.select("child", F.col("parent").alias("via"), F.coalesce("exit", "parent").alias("parent")), "hops")
+            held.remove(hop)
         rounds.append((hop, levels))
         rest = stage(hop.where("child <> parent").select(F.col("parent").alias("child"), F.col("child").alias("parent")).distinct(), "links")
         discard(live, moved)

@@ -123,13 +123,15 @@ def replicate(df: DataFrame, key: str, plan: LoadPlan) -> DataFrame:
 def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", shard_by: list[str] | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Join on one key column, safe against hot keys on the left: ``inner``, ``left``, ``left_semi`` or ``left_anti``.
 
-    The right side is staged unless it is already; up to ``limit`` bytes of files it is broadcast, beyond that the left side is fragmented by load
-    and the right side replicated to the fragments. Both give the same rows. The columns of the two sides other than ``key`` must differ.
+    The right side is staged unless it is already; up to ``limit`` bytes of files it is broadcast, beyond that the left side, staged too, is fragmented
+    by load and the right side replicated to the fragments. Both give the same rows. The columns of the two sides other than ``key`` must differ.
     """
     if not getattr(right, "_staged_path", None):
         right = stage(right, "right")
     if fits_broadcast(right, limit):
         return left.join(F.broadcast(right), key, how)
+    if not getattr(left, "_staged_path", None):  # counted and read several times
+        left = stage(left, "left")
     plan = plan_loads(left, key)
     if how in ("inner", "left_semi"):  # rows of a split key without a partner need not travel
         left = left.where(F.col(key).isNotNull())

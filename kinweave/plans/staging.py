@@ -68,12 +68,12 @@ def discard(*tables: DataFrame) -> None:
 
 
 @contextmanager
-def scope() -> Iterator[None]:
-    """Delete all tables that :func:`stage` writes within the block at its end; results must be consumed inside."""
+def scope() -> Iterator[list[DataFrame]]:
+    """Delete all tables that :func:`stage` writes within the block at its end; results must be consumed inside, or be taken off the list that the block gets."""
     held: list[DataFrame] = []
     _scopes.append(held)
     try:
-        yield
+        yield held
     finally:
         _scopes.remove(held)
         discard(*held)
