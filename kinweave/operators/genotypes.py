@@ -94,11 +94,73 @@ def variant_summary(g: Genealogy, isolated_as_missing: bool = True) -> DataFrame
     return per.select("site", F.transform("a", lambda x: x["allele"]).alias("alleles"), counts.alias("counts"), "num_missing")
 
 
-def haplotypes(g: Genealogy, missing_character: str = "N", chunks: int = 64) -> DataFrame:
-    """Per sample the string of its alleles over the sites in order of position: ``sample``, ``haplotype``.
+def _within(g: Genealogy, left: float, right: float | None) -> Genealogy:
+    """The genealogy with the sites of a stretch only; ids and all else stay."""
+    end = g.sequence_length if right is None else right
+    if not 0 <= left < end <= g.sequence_length:
+        raise ValueError("the stretch is empty or outside the sequence")
+    if (left, end) == (0, g.sequence_length):
+        return g
+    s = g.sites.where((F.col("position") >= left) & (F.col("position") < end))
+    return g.with_tables(sites=s, mutations=g.mutations.join(s.select(F.col("id").alias("site")), "site", "left_semi").select(*g.mutations.columns))
+
+
+def variants(g: Genealogy, left: float = 0.0, right: float | None = None, samples: Sequence[int] | None = None, isolated_as_missing: bool = True, user_alleles: Sequence[str] | None = None) -> DataFrame:
+    """Per site of [left, right) the dense genotypes of ``samples`` (any nodes; all samples by default), in that order.
+
+    Columns: ``site``, ``position``, ``alleles`` (or those given), ``genotypes`` (-1 where missing), ``states`` (NULL where missing), ``counts`` and ``frequencies`` by allele,
+    ``num_missing``. A row has one entry a sample, so give a list of the size wanted.
+    """
+    g = _within(g, left, right)
+    ids = [int(x) for x in samples] if samples is not None else [r["id"] for r in g.samples().orderBy("id").collect()]  # one row holds an entry for each
+    if len(set(ids)) < len(ids):
+        raise ValueError("a sample is given twice")
+    chosen = g.spark.createDataFrame([(x,) for x in ids], "id long")
+    view = g.with_tables(nodes=g.nodes.drop("flags").join(chosen.withColumn("flags", F.lit(1).cast("long")), "id", "left").fillna({"flags": 0}).select(*g.nodes.columns))
+    got = genotypes(view, isolated_as_missing, user_alleles).groupBy("site").agg(F.map_from_entries(F.collect_list(F.struct("sample", "index"))).alias("own"))
+    if user_alleles is None:
+        al = alleles(g).groupBy("site").agg(F.transform(F.sort_array(F.collect_list(F.struct("index", "allele"))), lambda x: x["allele"]).alias("alleles"))
+        zero = F.lit(0).cast("long")
+    else:
+        listed = F.array(*[F.lit(a) for a in user_alleles])
+        place = F.array_position(listed, F.col("ancestral_state")) - 1
+        al = g.sites.select(F.col("id").alias("site"), listed.alias("alleles"), F.when(place < 0, F.raise_error(F.concat(F.lit("allele not listed: "), "ancestral_state"))).otherwise(place).cast("long").alias("_z"))
+        zero = F.col("_z")
+    rows = g.sites.select(F.col("id").alias("site"), "position").join(al, "site").join(got, "site", "left")
+    order = F.array(*[F.lit(x).cast("long") for x in ids])
+    rows = rows.withColumn("genotypes", F.transform(order, lambda s: F.coalesce(F.element_at("own", s), zero)))
+    rows = rows.withColumn("states", F.transform("genotypes", lambda i: F.when(i >= 0, F.get("alleles", i.cast("int")))))
+    rows = rows.withColumn("counts", F.transform("alleles", lambda _, k: F.size(F.filter("genotypes", lambda i: i == k)).cast("long")))
+    rows = rows.withColumn("num_missing", F.size(F.filter("genotypes", lambda i: i == -1)).cast("long"))
+    called = F.lit(len(ids)) - F.col("num_missing")
+    return rows.withColumn("frequencies", F.transform("counts", lambda c: F.when(called > 0, c / called))).select("site", "position", "alleles", "genotypes", "states", "counts", "frequencies", "num_missing")
+
+
+def genotype_matrix(g: Genealogy, samples: Sequence[int] | None = None, isolated_as_missing: bool = True, user_alleles: Sequence[str] | None = None) -> DataFrame:
+    """One dense row a site: ``site``, ``genotypes``."""
+    return variants(g, 0.0, None, samples, isolated_as_missing, user_alleles).select("site", "genotypes")
+
+
+def remapped(alleles_from: Sequence[str], alleles_to: Sequence[str]) -> tuple[list[int], list[str]]:
+    """Where each allele of one list stands in another, which grows by those it lacks: the places, and the list."""
+    out = list(alleles_to)
+    for a in alleles_from:
+        if a not in out:
+            out.append(a)
+    return [out.index(a) for a in alleles_from], out
+
+
+def random_nucleotides(length: int, seed: int = 0) -> str:
+    """A string of random A, C, G and T."""
+    return "".join(np.random.default_rng(seed).choice(list("ACGT"), int(length)))
+
+
+def haplotypes(g: Genealogy, missing_character: str = "N", chunks: int = 64, left: float = 0.0, right: float | None = None) -> DataFrame:
+    """Per sample the string of its alleles over the sites of [left, right) in order of position: ``sample``, ``haplotype``.
 
     Sites are cut into genome chunks; per chunk the ancestral string is laid under the sample's own rows, then the chunks of a sample are joined.
     """
+    g = _within(g, left, right)
     width = float(g.sequence_length) / chunks
     s = g.sites.select(F.col("id").alias("site"), "position", "ancestral_state", F.floor(F.col("position") / width).alias("chunk"))
     base = s.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("position", "ancestral_state"))).alias("base"))  # the sites of one chunk
@@ -110,8 +172,11 @@ def haplotypes(g: Genealogy, missing_character: str = "N", chunks: int = 64) ->
     return parts.groupBy("sample").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "part"))), lambda x: x["part"]), "").alias("haplotype"))
 
 
-def alignments(g: Genealogy, reference: str, missing_character: str = "N") -> DataFrame:
-    """Full-length sequences: the reference with a sample's alleles at whole positions: ``sample``, ``alignment``. Stretches where a sample is isolated are missing."""
+def alignments(g: Genealogy, reference: str, missing_character: str = "N", left: int = 0, right: int | None = None) -> DataFrame:
+    """Sequences over [left, right): the reference, which has the length of the sequence, with a sample's alleles at whole positions: ``sample``, ``alignment``.
+
+    Stretches where a sample is isolated are missing.
+    """
     if len(reference) != int(g.sequence_length) or g.sequence_length != int(g.sequence_length):
         raise ValueError("the reference must be as long as the sequence")
     c = carriers(g).select("sample", F.struct(F.col("position").cast("int").alias("p"), "allele").alias("x")).groupBy("sample").agg(F.collect_list("x").alias("own"))
@@ -129,7 +194,7 @@ def alignments(g: Genealogy, reference: str, missing_character: str = "N") -> Da
                     a[x["l"] : x["r"]] = missing_character
                 for x in own if own is not None else ():
                     a[x["p"]] = x["allele"]
-                out.append("".join(a))
+                out.append("".join(a[left:right]))
             yield pdf[["sample"]].assign(alignment=out)
 
     return rows.mapInPandas(lay, "sample long, alignment string")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from kinweave.model import Genealogy
 from kinweave.operators.genotypes import alleles, carriers
+from kinweave.plans.ancestry import ancestry, bin_width, binned
 from kinweave.plans.staging import stage
 
 
@@ -163,12 +164,12 @@ def haplotype_counts(g: Genealogy, pairs: DataFrame, samples: DataFrame | None =
     return full.select("site_a", "site_b", "ia", "ib", n_ab.alias("n_ab"), "n_a", "n_b", F.lit(n).alias("n"))
 
 
-def two_locus(g: Genealogy, pairs: DataFrame, names=("r2",)) -> DataFrame:
-    """The statistics ``names`` for given pairs of sites (``site_a``, ``site_b``): one column each.
+def two_locus(g: Genealogy, pairs: DataFrame, names=("r2",), samples: DataFrame | None = None) -> DataFrame:
+    """The statistics ``names`` for given pairs of sites (``site_a``, ``site_b``): one column each, over all samples or a set (``sample``).
 
     Multi-allelic sites are summed over pairs of alleles: r2 weighted by haplotype frequency, others evenly; D, r and D_prime over derived alleles only.
     """
-    h = haplotype_counts(g, pairs)
+    h = haplotype_counts(g, pairs, samples)
     num = [F.col(c).cast("double") for c in ("n_ab", "n_a", "n_b", "n")]
     aggs = []
     for name in names:
@@ -197,6 +198,40 @@ def two_way(g: Genealogy, pairs: DataFrame, first: DataFrame, second: DataFrame,
     return h.groupBy("site_a", "site_b").agg(*aggs)
 
 
+def branch_two_locus(g: Genealogy, pairs: DataFrame, names=("D2",), samples: DataFrame | None = None) -> DataFrame:
+    """The statistics ``names`` expected at given pairs of positions (``position_a``, ``position_b``) from the branches of their trees: one column each.
+
+    The statistic of two branches, each taken as one mutation carried by the samples below, is summed over all pairs of branches, weighted by the product of their lengths.
+    Pairs of branches without a sample in common depend on the numbers of samples alone, so branches are added up by that number; only branches that share samples are met
+    one by one. Branches without samples below are left out. ``samples`` (``sample``) restricts the counts.
+    """
+    who = g.samples().select(F.col("id").alias("sample")) if samples is None else samples.select("sample").distinct()
+    n = who.count()
+    pairs = stage(pairs.select(F.col("position_a").cast("double"), F.col("position_b").cast("double")).distinct(), "pairs")
+    at = pairs.select(F.col("position_a").alias("pos")).unionByName(pairs.select(F.col("position_b").alias("pos"))).distinct()
+    width = bin_width(g)
+    bins = at.withColumn("_bin", F.floor(F.col("pos") / width))
+    t = g.nodes.select("id", "time")
+    e = binned(g.edges.select("left", "right", "parent", "child"), width).join(bins, "_bin").where((F.col("left") <= F.col("pos")) & (F.col("pos") < F.col("right")))
+    e = e.join(t.toDF("parent", "pt"), "parent").join(t.toDF("child", "ct"), "child").select("pos", F.col("child").alias("node"), (F.col("pt") - F.col("ct")).alias("len"))
+    a = ancestry(g).join(who.select(F.col("sample").alias("start")), "start", "left_semi").select(F.col("start").alias("sample"), "node", "left", "right")
+    m = stage(e.join(a, "node").where((F.col("left") <= F.col("pos")) & (F.col("pos") < F.col("right"))).select("pos", "node", "len", "sample"), "below")
+    size = stage(m.groupBy("pos", "node", "len").agg(F.count(F.lit(1)).alias("k")), "sizes")
+    by_size = size.groupBy("pos", "k").agg(F.sum("len").alias("len"))
+    stat = lambda name, ab, x, y: STATISTICS[name][0](ab, x, y, F.lit(float(n)))
+    real = lambda c: F.col(c).cast("double")
+    grid = pairs.join(by_size.toDF("position_a", "a", "len_a"), "position_a").join(by_size.toDF("position_b", "b", "len_b"), "position_b")
+    apart = grid.groupBy("position_a", "position_b").agg(*[F.sum(F.col("len_a") * F.col("len_b") * stat(x, F.lit(0.0), real("a"), real("b"))).alias(x) for x in names])
+    x = m.select(F.col("pos").alias("position_a"), F.col("node").alias("node_a"), "sample")
+    y = m.select(F.col("pos").alias("position_b"), F.col("node").alias("node_b"), "sample")
+    met = pairs.join(x, "position_a").join(y, ["position_b", "sample"]).groupBy("position_a", "position_b", "node_a", "node_b").agg(F.count(F.lit(1)).alias("ab"))
+    met = met.join(size.toDF("position_a", "node_a", "len_a", "a"), ["position_a", "node_a"]).join(size.toDF("position_b", "node_b", "len_b", "b"), ["position_b", "node_b"])
+    more = met.groupBy("position_a", "position_b").agg(*[
+        F.sum(F.col("len_a") * F.col("len_b") * (stat(x, real("ab"), real("a"), real("b")) - stat(x, F.lit(0.0), real("a"), real("b")))).alias(f"_{x}") for x in names
+    ])
+    return apart.join(more, ["position_a", "position_b"], "left").select("position_a", "position_b", *[(F.col(x) + F.coalesce(f"_{x}", F.lit(0.0))).alias(x) for x in names])
+
+
 def neighbours(g: Genealogy) -> DataFrame:
     """Each site with the next one along the sequence: ``site_a``, ``site_b``. Sites are ordered within genome bins, and bins are linked by their ends."""
     from pyspark.sql import Window

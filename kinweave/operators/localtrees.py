@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.model import Genealogy
-from kinweave.plans.ancestry import ancestry, bin_width, local_edges, memo, overlap_join, sample_ancestry, sample_counts, trees
+from kinweave.plans.ancestry import ancestry, bin_width, binned, local_edges, memo, overlap_join, sample_ancestry, sample_counts, trees
 from kinweave.plans.staging import stage
 
 
@@ -24,10 +24,58 @@ def live(g: Genealogy) -> DataFrame:
     return memo(g, "live", lambda: stage(paths_by_tree(g).join(s, "start", "left_semi").groupBy("tree", "node").agg(F.count(F.lit(1)).alias("num_samples")), "live"))
 
 
-def roots(g: Genealogy) -> DataFrame:
-    """Topmost nodes with samples below: ``tree``, ``root``."""
+def roots(g: Genealogy, root_threshold: int = 1) -> DataFrame:
+    """Topmost nodes with at least ``root_threshold`` samples at or below: ``tree``, ``root``."""
     up = local_edges(g).select("tree", F.col("child").alias("node"))
-    return live(g).join(up, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("root"))
+    return live(g).where(F.col("num_samples") >= root_threshold).join(up, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("root"))
+
+
+def tracked(g: Genealogy, samples: DataFrame) -> DataFrame:
+    """How many of the samples ``samples`` (``id``) lie at or below each node, by tree: ``tree``, ``node``, ``num_tracked``; nodes without any give no row."""
+    s = samples.select(F.col("id").alias("start")).distinct()
+    return paths_by_tree(g).join(s, "start", "left_semi").groupBy("tree", "node").agg(F.count(F.lit(1)).alias("num_tracked"))
+
+
+def sites_of_trees(g: Genealogy) -> DataFrame:
+    """The tree of each site and how many mutations the site has: ``tree``, ``site``, ``position``, ``num_mutations``."""
+    width = bin_width(g)
+    s = g.sites.select(F.col("id").alias("site"), "position", F.floor(F.col("position") / width).alias("_bin"))
+    at = s.join(binned(trees(g), width), "_bin").where((F.col("left") <= F.col("position")) & (F.col("position") < F.col("right")))
+    n = g.mutations.groupBy("site").agg(F.count(F.lit(1)).alias("n"))
+    return at.join(n, "site", "left").select("tree", "site", "position", F.coalesce("n", F.lit(0)).alias("num_mutations"))
+
+
+def same_trees(g: Genealogy, other: Genealogy, pairs: DataFrame) -> DataFrame:
+    """Whether trees of two genealogies with the same node ids have the same links: ``tree``, ``other_tree``, ``same``, for given pairs of numbers."""
+    mark = lambda x, name: local_edges(x).groupBy(F.col("tree").alias(name)).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("parent", "child")).alias("x"), F.sum(F.shiftright(F.xxhash64("parent", "child"), 20)).alias("t")).select(name, F.struct("n", "x", "t").alias(f"_{name}"))
+    j = pairs.select("tree", "other_tree").join(mark(g, "tree"), "tree", "left").join(mark(other, "other_tree"), "other_tree", "left")
+    return j.select("tree", "other_tree", F.col("_tree").eqNullSafe(F.col("_other_tree")).alias("same"))
+
+
+def rf_distance(g: Genealogy, other: Genealogy, pairs: DataFrame) -> DataFrame:
+    """Robinson-Foulds distance of given pairs of trees (``tree`` of ``g``, ``other_tree``): the clades of samples that only one of the two has: ``rf``."""
+    pairs = pairs.select("tree", "other_tree").distinct()
+    a = pairs.join(clades(g), "tree").select("tree", "other_tree", "clade")
+    b = pairs.join(clades(other).withColumnRenamed("tree", "other_tree"), "other_tree").select("tree", "other_tree", "clade")
+    rf = a.unionByName(b).groupBy("tree", "other_tree", "clade").agg(F.count(F.lit(1)).alias("k")).groupBy("tree", "other_tree").agg(F.sum((F.col("k") == 1).cast("long")).alias("rf"))
+    return pairs.join(rf, ["tree", "other_tree"], "left").select("tree", "other_tree", F.coalesce("rf", F.lit(0).cast("long")).alias("rf"))
+
+
+def kc_distance(g: Genealogy, other: Genealogy, pairs: DataFrame, mix: float = 0.0) -> DataFrame:
+    """Kendall-Colijn distance of given pairs of trees, as in :func:`kc_neighbours`: ``tree``, ``other_tree``, ``kc``. Both genealogies need the same samples."""
+    pairs = pairs.select("tree", "other_tree").distinct()
+    a = pairs.join(_kc_vectors(g, mix), "tree")
+    b = pairs.join(_kc_vectors(other, mix).toDF("other_tree", "a", "b", "w"), "other_tree")
+    return a.join(b, ["tree", "other_tree", "a", "b"]).groupBy("tree", "other_tree").agg(F.sqrt(F.sum((F.col("v") - F.col("w")) ** 2)).alias("kc"))
+
+
+def kc_distance_along(g: Genealogy, other: Genealogy, mix: float = 0.0) -> float:
+    """The distance of two genealogies: that of their trees, averaged over the sequence."""
+    from kinweave.operators.tables import coiterate
+
+    both = stage(coiterate(g, other), "both")
+    d = kc_distance(g, other, both, mix)
+    return both.join(d, ["tree", "other_tree"]).agg(F.sum((F.col("right") - F.col("left")) * F.col("kc"))).first()[0] / g.sequence_length
 
 
 def members(g: Genealogy) -> DataFrame:
@@ -225,22 +273,20 @@ def newick_of(kids, root: int, time, samples: set[int], precision: int = 14, lab
     return text[root] + ";"
 
 
-def newick(g: Genealogy, precision: int = 14, lengths: bool = True) -> DataFrame:
-    """Newick text per root of each tree, samples labelled n<id>: ``tree``, ``root``, ``newick``."""
+def newick(g: Genealogy, precision: int = 14, lengths: bool = True, labels: dict[int, str] | None = None, root: int | None = None) -> DataFrame:
+    """Newick text per root of each tree, samples labelled n<id> unless ``labels`` are given: ``tree``, ``root``, ``newick``. With ``root`` the part below that node, where it stands in a tree."""
 
     def write(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         kids, tops, time = _tree(pdf)
         samples = set(pdf.loc[pdf["sample"], "node"].tolist())
-        return pd.DataFrame({"tree": key[0], "root": tops, "newick": [newick_of(kids, r, time, samples, precision, None, lengths) for r in tops]})
+        if root is not None:
+            tops = [root] if root in time else []
+        return pd.DataFrame({"tree": [key[0]] * len(tops), "root": tops, "newick": [newick_of(kids, r, time, samples, precision, labels, lengths) for r in tops]})
 
     return _kernel_rows(g).groupBy("tree").applyInPandas(write, "tree long, root long, newick string")
 
 
-def kc_neighbours(g: Genealogy, mix: float = 0.0) -> DataFrame:
-    """Kendall-Colijn distance of each tree to the next: ``tree``, ``kc``; ``mix`` weighs times (1) against numbers of edges (0).
-
-    Vectors hold one entry for each pair of samples, so this suits small sample sets; the pairs are aggregated, not returned.
-    """
+def _kc_vectors(g: Genealogy, mix: float) -> DataFrame:
     s = g.samples().select(F.col("id").alias("start"))
     t = g.nodes.select("id", "time")
     m = members(g).join(t.toDF("root", "tr"), "root").join(t.toDF("node", "tn"), "node").select("tree", "node", F.col("depth").alias("d"), (F.col("tr") - F.col("tn")).alias("h"))
@@ -249,7 +295,15 @@ def kc_neighbours(g: Genealogy, mix: float = 0.0) -> DataFrame:
     y = p.select("tree", F.col("start").alias("b"), "node", F.col("via").alias("vb"))
     meet = x.join(y, ["tree", "node"]).where((F.col("a") < F.col("b")) & (F.col("va") != F.col("vb"))).join(m, ["tree", "node"]).select("tree", "a", "b", (F.lit(1 - mix) * F.col("d") + F.lit(mix) * F.col("h")).alias("v"))
     tip = p.where("depth = 0").join(parents(g).select("tree", "node", "branch_length"), ["tree", "node"], "left").select("tree", F.col("start").alias("a"), F.lit(-1).cast("long").alias("b"), (F.lit(1 - mix) + F.lit(mix) * F.coalesce("branch_length", F.lit(0.0))).alias("v"))
-    v = meet.unionByName(tip)
+    return meet.unionByName(tip)
+
+
+def kc_neighbours(g: Genealogy, mix: float = 0.0) -> DataFrame:
+    """Kendall-Colijn distance of each tree to the next: ``tree``, ``kc``; ``mix`` weighs times (1) against numbers of edges (0).
+
+    Vectors hold one entry for each pair of samples, so this suits small sample sets; the pairs are aggregated, not returned.
+    """
+    v = _kc_vectors(g, mix)
     nxt = v.select((F.col("tree") - 1).alias("tree"), "a", "b", F.col("v").alias("w"))
     d = v.join(nxt, ["tree", "a", "b"]).groupBy("tree").agg(F.sqrt(F.sum((F.col("v") - F.col("w")) ** 2)).alias("kc"))
     return d

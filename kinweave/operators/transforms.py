@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from kinweave.model import Genealogy, names
 from kinweave.operators.coverage import merged_intervals
 from kinweave.operators.hierarchy import cycles
-from kinweave.plans.ancestry import mutation_parents, sample_counts
+from kinweave.plans.ancestry import bin_width, binned, mutation_parents, sample_counts
 from kinweave.plans.staging import dense_ids, stage
 
 
@@ -218,15 +218,18 @@ def _drop_unreferenced(g: Genealogy, sites: bool, individuals: bool, populations
 
 def simplify(
     g: Genealogy, samples: DataFrame | None = None, keep_unary: bool = False, keep_input_roots: bool = False, filter_nodes: bool = True, filter_sites: bool = True,
-    filter_individuals: bool = True, filter_populations: bool = True,
+    filter_individuals: bool = True, filter_populations: bool = True, keep_unary_in_individuals: bool = False, reduce_to_site_topology: bool = False, update_sample_flags: bool = True,
 ) -> tuple[Genealogy, DataFrame]:
     """The part of the genealogy that relates the samples (``id``, ``order``), and the map of node ids (``old``, ``new``).
 
     A node stays over the stretches where it is a sample or at least two of its branches lead to samples (one, with ``keep_unary``). From each such stretch the
     walk upwards passes nodes that do not stay until it meets one that does; that gives an edge, and the mutations passed move to its child.
-    Samples are numbered first in their order, then the other nodes by time and id.
+    Samples are numbered first in their order, then the other nodes by time and id. ``keep_unary_in_individuals`` keeps nodes of individuals as ``keep_unary`` does all;
+    ``reduce_to_site_topology`` keeps only what trees at sites show, edges end at sites; without ``update_sample_flags`` flags stay as they are.
     """
     _no_migrations(g)
+    if keep_unary and keep_unary_in_individuals:
+        raise ValueError("keep unary nodes everywhere or in individuals")
     if samples is None:
         samples = g.samples().withColumn("order", F.col("id"))
     chosen = samples.select(F.col("id").alias("sample"), F.lit(0).alias("set")).distinct()
@@ -242,7 +245,11 @@ def simplify(
     w = Window.partitionBy("node").orderBy("pos")
     kept = ev.select("node", F.col("pos").alias("left"), F.lead("pos").over(w).alias("right"), F.sum("d").over(w).alias("k")).where("right is not null")
     is_sample = samples.select(F.col("id").alias("node"), F.lit(True).alias("_s")).distinct()
-    status = kept.join(is_sample, "node", "left").select("node", F.col("left").alias("sl"), F.col("right").alias("sr"), (F.coalesce("_s", F.lit(False)) | (F.col("k") >= (1 if keep_unary else 2))).alias("stays"))
+    enough = F.lit(1 if keep_unary else 2)
+    if keep_unary_in_individuals:
+        kept = kept.join(g.nodes.select(F.col("id").alias("node"), (F.col("individual") != -1).alias("_i")), "node", "left")
+        enough = F.when(F.col("_i"), 1).otherwise(2)
+    status = kept.join(is_sample, "node", "left").select("node", F.col("left").alias("sl"), F.col("right").alias("sr"), (F.coalesce("_s", F.lit(False)) | (F.col("k") >= enough)).alias("stays"))
     status = stage(status, "status")
     up = alive.select(F.col("child").alias("node"), "parent", F.col("left").alias("el"), F.col("right").alias("er"))
     front = status.where("stays").select(F.col("node").alias("child"), "node", F.col("sl").alias("left"), F.col("sr").alias("right"))
@@ -272,6 +279,8 @@ def simplify(
         ends = stage(ends, "ends")
         spots = spots.unionByName(ends.withColumn("child", F.col("node")))
         raw = raw.unionByName(ends)
+    if reduce_to_site_topology:
+        raw = at_sites(g, raw)
     out = stage(merged_intervals(raw.select(F.col("node").alias("parent"), "child", "left", "right"), ["parent", "child"]), "edges")
     used = out.select(F.col("parent").alias("id")).unionByName(out.select(F.col("child").alias("id"))).distinct()
     if not filter_nodes:
@@ -282,7 +291,7 @@ def simplify(
     else:
         ids = ids.withColumn("new", F.col("id"))
     to = stage(ids.select(F.col("id").alias("old"), "new"), "ids")
-    n = _remap(flagged.nodes, "id", to, drop=True)
+    n = _remap(flagged.nodes if update_sample_flags else g.nodes, "id", to, drop=True)
     ed = _remap(_remap(out, "parent", to, drop=True), "child", to, drop=True)
     ed = ed.withColumn("id", F.lit(0).cast("long")).withColumn("metadata", F.lit(None).cast("binary"))
     # a mutation stays with its node where that is kept (or an input root), moves to the kept node below where it was passed, and goes elsewhere
@@ -296,11 +305,41 @@ def simplify(
     return res, to
 
 
-def union(g: Genealogy, other: Genealogy, mapping: DataFrame, add_populations: bool = True) -> Genealogy:
+def at_sites(g: Genealogy, stretches: DataFrame) -> DataFrame:
+    """Stretches (``left``, ``right`` and other columns) with their ends moved up to the next site; the first site stands for 0, and behind the last one is the sequence's end.
+
+    Stretches without a site go.
+    """
+    L = float(g.sequence_length)
+    s = dense_ids(g.sites.select("position").distinct(), ["position"], "k")
+    nxt = s.select((F.col("k") + 1).alias("k"), F.col("position").alias("before"))
+    gap = s.join(nxt, "k", "left").select(F.coalesce("before", F.lit(-1.0)).alias("left"), F.col("position").alias("right"), F.when(F.col("k") == 0, 0.0).otherwise(F.col("position")).alias("site"))
+    width = bin_width(g)
+    ends = stretches.select(F.explode(F.array("left", "right")).alias("x")).distinct().withColumn("_bin", F.floor(F.col("x") / width))
+    gap = stage(binned(gap, width), "gaps").join(ends, "_bin").where((F.col("left") < F.col("x")) & (F.col("x") <= F.col("right"))).groupBy("x").agg(F.min("site").alias("site"))
+    out = stretches.join(gap.toDF("left", "_l"), "left").join(gap.toDF("right", "_r"), "right", "left")
+    return out.withColumn("left", F.col("_l")).withColumn("right", F.coalesce("_r", F.lit(L))).where("left < right").select(*stretches.columns)
+
+
+def shared_part_differs(g: Genealogy, other: Genealogy, mapping: DataFrame) -> dict[str, tuple[int, int]]:
+    """Rows of nodes, edges, sites and mutations among the shared nodes of ``mapping`` (``other``, ``own``) that only one of two genealogies has."""
+    both = mapping.where("own <> -1")
+    a = subset(g, both.select(F.col("own").alias("id"), F.col("own").alias("order")))
+    b = subset(other, both.select(F.col("other").alias("id"), F.col("own").alias("order")))
+    drop = lambda x: x.with_tables(nodes=x.nodes.withColumn("population", F.lit(-1).cast("long")).withColumn("individual", F.lit(-1).cast("long")))
+    return difference(drop(a), drop(b), ("nodes", "edges", "sites", "mutations"))
+
+
+def union(g: Genealogy, other: Genealogy, mapping: DataFrame, add_populations: bool = True, check_shared_equality: bool = False, all_edges: bool = False) -> Genealogy:
     """``g`` with the nodes of ``other`` that ``mapping`` (``other``, ``own``; -1 for new) does not share, and the edges, sites and mutations that touch a new node.
 
-    Sites are matched by position. New nodes get new populations, one for each of theirs, or keep their numbers without ``add_populations``.
+    Sites are matched by position. New nodes get new populations, one for each of theirs, or keep their numbers without ``add_populations``. ``check_shared_equality``
+    refuses genealogies whose shared parts differ. ``all_edges`` takes the edges and mutations between shared nodes too.
     """
+    if check_shared_equality and shared_part_differs(g, other, mapping):
+        raise ValueError("the shared parts differ")
+    if all_edges:
+        return _union_all(g, other, mapping)
     base = (g.nodes.agg(F.max("id")).first()[0] or -1) + 1
     new = dense_ids(mapping.where("own = -1").select(F.col("other").alias("old")), ["old"], "k").select("old", (F.col("k") + base).alias("new"))
     to = stage(mapping.where("own <> -1").select(F.col("other").alias("old"), F.col("own").alias("new")).unionByName(new), "map")
@@ -338,18 +377,29 @@ def union(g: Genealogy, other: Genealogy, mapping: DataFrame, add_populations: b
     return with_mutation_parents(out)
 
 
-def concatenate(g: Genealogy, other: Genealogy) -> Genealogy:
-    """``other`` laid behind ``g`` along the sequence; samples are matched in order of id, other nodes of ``other`` are new."""
+def concatenate(g: Genealogy, *others: Genealogy, mappings: Sequence[DataFrame | None] | None = None) -> Genealogy:
+    """``others`` laid behind ``g`` along the sequence, one after the other.
+
+    Samples are matched in order of id, other nodes are new, unless a mapping (``other``, ``own`` node of what stands before, -1 for new) is given for one of them.
+    """
+    for k, other in enumerate(others):
+        g = _behind(g, other, mappings[k] if mappings else None)
+    return g
+
+
+def _behind(g: Genealogy, other: Genealogy, mapping: DataFrame | None) -> Genealogy:
+    from dataclasses import replace
+
+    L = g.sequence_length + other.sequence_length
+    moved = shift(other, g.sequence_length, L)
+    if mapping is not None:
+        return _union_all(replace(g, sequence_length=L, memo={}), moved, stage(mapping, "mapping"))
     a = dense_ids(g.samples().withColumnRenamed("id", "own"), ["own"], "k")
     b = dense_ids(other.samples().withColumnRenamed("id", "other"), ["other"], "k")
     if a.count() != b.count():
         raise ValueError("both need equally many samples")
     pairs = a.join(b, "k").select("other", "own")
     mapping = other.nodes.select(F.col("id").alias("other")).join(pairs, "other", "left").select("other", F.coalesce("own", F.lit(-1).cast("long")).alias("own"))
-    from dataclasses import replace
-
-    L = g.sequence_length + other.sequence_length
-    moved = shift(other, g.sequence_length, L)
     return _union_all(replace(g, sequence_length=L, memo={}), moved, stage(mapping, "mapping"))
 
 
