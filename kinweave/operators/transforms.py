@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from kinweave.model import Genealogy, names
 from kinweave.operators.coverage import merged_intervals
 from kinweave.operators.hierarchy import cycles
-from kinweave.plans.ancestry import bin_width, binned, mutation_parents, sample_counts
+from kinweave.plans.ancestry import bin_width, mutation_parents, sample_counts
 from kinweave.plans.staging import dense_ids, stage
 
 
@@ -316,7 +316,8 @@ def at_sites(g: Genealogy, stretches: DataFrame) -> DataFrame:
     gap = s.join(nxt, "k", "left").select(F.coalesce("before", F.lit(-1.0)).alias("left"), F.col("position").alias("right"), F.when(F.col("k") == 0, 0.0).otherwise(F.col("position")).alias("site"))
     width = bin_width(g)
     ends = stretches.select(F.explode(F.array("left", "right")).alias("x")).distinct().withColumn("_bin", F.floor(F.col("x") / width))
-    gap = stage(binned(gap, width), "gaps").join(ends, "_bin").where((F.col("left") < F.col("x")) & (F.col("x") <= F.col("right"))).groupBy("x").agg(F.min("site").alias("site"))
+    gap = gap.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("left") / width), F.floor(F.col("right") / width))))  # closed at the right
+    gap = stage(gap, "gaps").join(ends, "_bin").where((F.col("left") < F.col("x")) & (F.col("x") <= F.col("right"))).groupBy("x").agg(F.min("site").alias("site"))
     out = stretches.join(gap.toDF("left", "_l"), "left").join(gap.toDF("right", "_r"), "right", "left")
     return out.withColumn("left", F.col("_l")).withColumn("right", F.coalesce("_r", F.lit(L))).where("left < right").select(*stretches.columns)
 

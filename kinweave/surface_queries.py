@@ -395,6 +395,120 @@ def deduplicated_sites(g):
     return d.sites.select("id", "position").join(n, "id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
+# --- variants, branches and distances --------------------------------------------------------------------------------------
+_DENSE = _GENO + """,
+dense AS (SELECT s.id AS site, s."position" AS pos, sa.id AS sample, coalesce(h.allele, s.ancestral_state) AS allele, s.ancestral_state AS anc FROM g_sites s CROSS JOIN samp sa LEFT JOIN hit h ON h.site = s.id AND h.sample = sa.id)"""
+
+
+@query(_DENSE + """
+SELECT site, pos AS "position", string_agg(allele, '' ORDER BY sample) AS states, count(*) FILTER (allele = anc) AS n_ancestral FROM dense WHERE pos >= 2.5 AND pos < 4 GROUP BY site, pos""")
+def variant_states(g):
+    v = ge.variants(g, 2.5, 4.0)
+    return v.select("site", "position", F.array_join("states", "").alias("states"), F.element_at("counts", 1).alias("n_ancestral"))
+
+
+@query(_DENSE + " SELECT sample, string_agg(allele, '' ORDER BY pos) AS haplotype FROM dense WHERE pos >= 2.5 AND pos < 4 GROUP BY sample")
+def haplotypes_of_stretch(g):
+    return ge.haplotypes(g, left=2.5, right=4.0)
+
+
+@query(_DENSE + """, f AS (SELECT site, allele, count(*)::DOUBLE / (SELECT count(*) FROM samp) AS f FROM dense GROUP BY site, allele)
+SELECT site, round(max(f), 8) AS most, round(sum(f * f), 8) AS homozygosity FROM f GROUP BY site""")
+def allele_frequencies(g):
+    v = ge.variants(g).select("site", "frequencies")
+    return r9(v.select("site", F.array_max("frequencies").alias("most"), F.aggregate("frequencies", F.lit(0.0), lambda s, x: s + x * x).alias("homozygosity")), "most", "homozygosity")
+
+
+@query(_TREES + """, two AS (SELECT tree FROM tr WHERE l IN (0, 4)),
+br AS (SELECT le.tree, le.child AS node, len, x::DOUBLE AS x FROM le JOIN two ON two.tree = le.tree JOIN xs ON xs.tree = le.tree AND xs.node = le.child),
+n AS (SELECT count(*)::DOUBLE AS n FROM samp),
+me AS (SELECT pt.tree, pt.node, pt.start FROM pt JOIN two ON two.tree = pt.tree JOIN samp ON samp.id = pt.start JOIN br ON br.tree = pt.tree AND br.node = pt.node),
+ab AS (SELECT a.tree AS ta, b.tree AS tb, a.node AS na, b.node AS nb, count(*)::DOUBLE AS k FROM me a JOIN me b ON b.start = a.start GROUP BY ALL),
+v AS (SELECT a.tree AS ta, b.tree AS tb, a.len * b.len AS w, coalesce(ab.k, 0) / n - a.x / n * b.x / n AS d, a.x / n AS p, b.x / n AS q FROM br a CROSS JOIN br b LEFT JOIN ab ON ab.ta = a.tree AND ab.tb = b.tree AND ab.na = a.node AND ab.nb = b.node, n)
+SELECT i.l AS position_a, j.l AS position_b, round(sum(w * d * d), 6) AS "D2", round(sum(w * p * (1 - p) * q * (1 - q)), 6) AS pi2 FROM v JOIN tr i ON i.tree = ta JOIN tr j ON j.tree = tb GROUP BY ALL""")
+def branch_two_locus(g):
+    pairs = g.spark.createDataFrame([(a, b) for a in (0.0, 4.0) for b in (0.0, 4.0)], "position_a double, position_b double")
+    return ld.branch_two_locus(g, pairs, ("D2", "pi2")).select("position_a", "position_b", F.round("D2", 6).alias("D2"), F.round("pi2", 6).alias("pi2"))
+
+
+def _matrix_sql() -> str:
+    div = SQL["branch_divergence_matrix"][len("WITH RECURSIVE ") :]
+    head, _, body = div.partition("samp AS (SELECT id, population FROM g_nodes WHERE flags = 1)")
+    cut = body.index("SELECT '0,0' AS")
+    return body[:cut].rstrip() + f""",
+dm AS ({body[cut:]}),
+nz AS (SELECT pop AS p, n FROM nn),
+bm AS (SELECT CAST(split_part("index", ',', 1) AS INT) AS i, CAST(split_part("index", ',', 2) AS INT) AS j, CASE WHEN split_part("index", ',', 1) = split_part("index", ',', 2) THEN value * (n - 1) / n ELSE value END AS v FROM dm JOIN nz ON p = CAST(split_part("index", ',', 1) AS INT))
+SELECT i, j, round((v + avg(v) OVER () - avg(v) OVER (PARTITION BY i) - avg(v) OVER (PARTITION BY j)) / -2, 6) AS value FROM bm"""
+
+
+@query(_matrix_sql())
+def branch_relatedness_matrix(g):
+    from kinweave.genealogy_queries import pops
+    from kinweave.operators.relatedness import relatedness_matrix
+
+    return relatedness_matrix(g, pops(g), None, "branch").select("i", "j", F.round("value", 6).alias("value"))
+
+
+@query(_TREES + """, cl AS (SELECT pt.tree, pt.node, count(*) AS n, sum(hash(pt.start)::HUGEINT) AS h FROM pt JOIN samp ON samp.id = pt.start GROUP BY ALL),
+d AS (SELECT DISTINCT tree, n, h FROM cl), p AS (SELECT a.tree, b.tree AS other_tree FROM tr a, tr b),
+u AS (SELECT p.tree, p.other_tree, n, h, count(*) AS k FROM p JOIN d ON d.tree = p.tree OR d.tree = p.other_tree GROUP BY ALL)
+SELECT p.tree, p.other_tree, CASE WHEN p.tree = p.other_tree THEN 0 ELSE (SELECT count(*) FROM u WHERE u.tree = p.tree AND u.other_tree = p.other_tree AND k = 1) END AS rf FROM p""")
+def tree_distances(g):
+    t = an.trees(g).select("tree")
+    n = t.count()  # ten trees
+    pairs = t.withColumn("other_tree", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    return lt.rf_distance(g, g, pairs)
+
+
+@query(_TREES + "SELECT xs.tree, xs.node AS root FROM xs JOIN rt ON rt.tree = xs.tree AND rt.node = xs.node WHERE x >= 1000")
+def roots_by_threshold(g):
+    return lt.roots(g, 1000)
+
+
+@query(_TREES + "SELECT pt.tree, pt.node, count(*) AS num_tracked FROM pt JOIN samp ON samp.id = pt.start AND samp.population = 2 GROUP BY ALL")
+def tracked_samples(g):
+    return lt.tracked(g, g.samples(population=2))
+
+
+@query("""SELECT t.tree, s.id AS site, s."position", (SELECT count(*) FROM g_mutations m WHERE m.site = s.id) AS num_mutations FROM g_sites s JOIN tr t ON t.l <= s."position" AND s."position" < t.r""")
+def sites_of_trees(g):
+    return lt.sites_of_trees(g)
+
+
+@query("""SELECT t.tree, u.tree AS other_tree, t.tree = u.tree AS same FROM tr t JOIN tr u ON u.tree - t.tree BETWEEN 0 AND 1""")
+def same_trees(g):
+    t = an.trees(g).select("tree", F.explode(F.array(F.col("tree"), F.col("tree") + 1)).alias("other_tree"))
+    return lt.same_trees(g, g, t.join(an.trees(g).select(F.col("tree").alias("other_tree")), "other_tree", "left_semi"))
+
+
+@query("""SELECT 'SITE:' || chr(9) || (row_number() OVER (ORDER BY s."position") - 1) AS line, s.n AS n_ancestral FROM (
+  SELECT s.id, s."position", (SELECT count(*) FROM samp) - (SELECT count(DISTINCT a.start) FROM g_mutations m JOIN anc a ON a.node = m.node AND a.l <= s."position" AND s."position" < a.r JOIN samp ON samp.id = a.start WHERE m.site = s.id) AS n FROM g_sites s) s""")
+def macs_sites(g):
+    marked = g.with_tables(sites=g.sites.withColumn("ancestral_state", F.lit("Z")))  # every carrier then shows a derived state
+    lines = [x for x in formats.macs_lines(marked) if x.startswith("SITE:")]  # the format is one stream
+    return g.spark.createDataFrame([("\t".join(x.split("\t")[:2]), x.split("\t")[-1].count("Z")) for x in lines], "line string, n_ancestral long")
+
+
+@query("""SELECT lo, count(*) AS n, round(sum(w), 6) AS span FROM (SELECT CASE WHEN child IN (SELECT id FROM samp) THEN 'sample' ELSE 'inner' END AS lo, "right" - "left" AS w FROM g_edges) q GROUP BY lo""")
+def dict_round_trip(g):
+    back = store.from_dict(g.spark, {k: v for k, v in store.as_dict(g.with_tables(sites=g.sites.limit(0), mutations=g.mutations.limit(0))).items()})
+    kind = F.when(F.col("s").isNotNull(), "sample").otherwise("inner")
+    e = back.edges.join(back.samples().select(F.col("id").alias("child"), F.lit(1).alias("s")), "child", "left")
+    return e.groupBy(kind.alias("lo")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("right") - F.col("left")), 6).alias("span"))
+
+
+@query(_POP0 + """
+SELECT parent, child, sum(r - l) AS span FROM up JOIN tr t ON t.tree = up.tree GROUP BY ALL""")
+def simplified_at_sites(g):
+    """Sites laid on the breakpoints and between them, so that reducing to sites changes nothing."""
+    every = g.with_tables(sites=an.breakpoints(g).where("position < 10").select(F.col("position").cast("long").alias("id"), "position", F.lit("A").alias("ancestral_state"), F.lit(None).cast("binary").alias("metadata")), mutations=g.mutations.limit(0))
+    s, to = tr.simplify(every, g.samples(population=0).withColumn("order", F.col("id")), reduce_to_site_topology=True, filter_sites=False)
+    m = to.select("new", "old")
+    e = s.edges.join(m.toDF("parent", "_p"), "parent").join(m.toDF("child", "_c"), "child")
+    return e.groupBy(F.col("_p").alias("parent"), F.col("_c").alias("child")).agg(F.sum(F.col("right") - F.col("left")).alias("span"))
+
+
 # --- raw tables ------------------------------------------------------------------------------------------------------------
 def rule_violations(spark: SparkSession, d: str) -> DataFrame:
     """The rules of the data model that rows of the raw tables break, counted."""
