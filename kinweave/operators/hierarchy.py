@@ -395,24 +395,27 @@ def _distances(links: DataFrame, base: int) -> DataFrame:
     ends = links.select(F.col("child").alias("node"), F.lit(1).alias("side"), other.alias("up")).unionByName(links.select(F.col("parent").alias("node"), F.lit(2).alias("side"), F.lit(None).cast("long").alias("up")))
     ids = ends.groupBy("node").agg(F.bit_or("side").alias("sides"), F.min("up").alias("up"), F.max("up").alias("up2"))
     ids = stage(ids.where("sides >= 2").select("node", F.when(F.col("up") == F.col("up2"), F.col("up")).alias("up"), (F.col("sides") == 2).alias("root"), (F.col("up") != F.col("up2")).alias("several")), "ids")
-    found, _ = exits(stage(ids.where("up is not null").select("node", "up", F.lit(1).cast("long").alias("len")), "forest"), base)
-    mine = skew_join(links.where("child <> parent"), ids.where("several").select(F.col("node").alias("child")), "child", "left_semi", ["parent"])
-    hop = skew_join(mine, found.select(F.col("node").alias("parent"), "exit", "len"), "parent", "left", ["child"])
-    hop = hop.groupBy("child", F.coalesce("exit", "parent").alias("parent")).agg(F.min(F.coalesce("len", F.lit(0)) + 1).alias("len"))
-    hop = stage(hop, "hops")
-    dist = stage(ids.where("root").select("node", F.lit(0).cast("long").alias("d")), "dist")
-    front = dist
-    while True:  # only nodes that came nearer go on
-        got = skew_join(hop, front.select(F.col("node").alias("parent"), "d"), "parent", "inner", ["child"]).groupBy(F.col("child").alias("node")).agg(F.min(F.col("d") + F.col("len")).alias("d"))
-        got = got.join(dist.select("node", F.col("d").alias("old")), "node", "left").where("old is null or d < old")
-        new = stage(got.select("node", "d"), "front")
-        if new.isEmpty():
-            break
-        nearer = stage(dist.join(new.select("node"), "node", "left_anti").unionByName(new), "dist")
-        discard(dist, front)
-        dist, front = nearer, new
-    single = skew_join(found.select("node", "exit", "len"), dist.select(F.col("node").alias("exit"), "d"), "exit", "inner", ["node"]).select("node", (F.col("d") + F.col("len")).alias("d"))
-    return stage(dist.unionByName(single), "distances")
+    with scope() as held:
+        found, _ = exits(stage(ids.where("up is not null").select("node", "up", F.lit(1).cast("long").alias("len")), "forest"), base)
+        mine = skew_join(links.where("child <> parent"), ids.where("several").select(F.col("node").alias("child")), "child", "left_semi", ["parent"])
+        hop = skew_join(mine, found.select(F.col("node").alias("parent"), "exit", "len"), "parent", "left", ["child"])
+        hop = hop.groupBy("child", F.coalesce("exit", "parent").alias("parent")).agg(F.min(F.coalesce("len", F.lit(0)) + 1).alias("len"))
+        hop = stage(hop, "hops")
+        dist = stage(ids.where("root").select("node", F.lit(0).cast("long").alias("d")), "dist")
+        front = dist
+        while True:  # only nodes that came nearer go on
+            got = skew_join(hop, front.select(F.col("node").alias("parent"), "d"), "parent", "inner", ["child"]).groupBy(F.col("child").alias("node")).agg(F.min(F.col("d") + F.col("len")).alias("d"))
+            got = got.join(dist.select("node", F.col("d").alias("old")), "node", "left").where("old is null or d < old")
+            new = stage(got.select("node", "d"), "front")
+            if new.isEmpty():
+                break
+            nearer = stage(dist.join(new.select("node"), "node", "left_anti").unionByName(new), "dist")
+            discard(dist, front)
+            dist, front = nearer, new
+        single = skew_join(found.select("node", "exit", "len"), dist.select(F.col("node").alias("exit"), "d"), "exit", "inner", ["node"]).select("node", (F.col("d") + F.col("len")).alias("d"))
+        out = stage(dist.unionByName(single), "distances")
+        held.remove(out)
+    return out
 
 
 def paths(links: DataFrame, base_links: int = BASE_LINKS, kinds: tuple[str, ...] = ("node", "individual")) -> DataFrame:
@@ -426,14 +429,16 @@ def paths(links: DataFrame, base_links: int = BASE_LINKS, kinds: tuple[str, ...]
     divided by the number of kinds.
     """
     every = stage(coded(links, kinds).distinct(), "all_links")
-    near = _distances(every, base_links)
-    ranked = skew_join(every.where("child <> parent"), viewed(near, F.col("node").alias("parent"), "d"), "parent", "inner", ["child"])
-    via = ranked.groupBy(F.col("child").alias("node")).agg(F.min(F.struct("d", "parent")).alias("m"))
-    inner = via.join(near.where("d > 0").select("node"), "node", "left_semi")  # roots have no way up, and only ways of parents are asked for
-    forest = stage(inner.select("node", F.col("m.parent").alias("up"), F.array("node").alias("steps")), "forest")
-    ways = _paths(forest, base_links).select("node", F.reverse(F.concat("steps", F.array("up"))).alias("way"))
-    tops = near.where("d = 0").select("node", F.array("node").alias("way"))
-    ways = stage(ways.unionByName(tops), "ways")
+    with scope() as held:
+        near = _distances(every, base_links)
+        ranked = skew_join(every.where("child <> parent"), viewed(near, F.col("node").alias("parent"), "d"), "parent", "inner", ["child"])
+        via = ranked.groupBy(F.col("child").alias("node")).agg(F.min(F.struct("d", "parent")).alias("m"))
+        inner = via.join(near.where("d > 0").select("node"), "node", "left_semi")  # roots have no way up, and only ways of parents are asked for
+        forest = stage(inner.select("node", F.col("m.parent").alias("up"), F.array("node").alias("steps")), "forest")
+        ways = _paths(forest, base_links).select("node", F.reverse(F.concat("steps", F.array("up"))).alias("way"))
+        ways = stage(ways.unionByName(near.where("d = 0").select("node", F.array("node").alias("way"))), "ways")
+        held.remove(ways)
+    tops = ways.where("size(way) = 1")
     rows = skew_join(every, viewed(ways, F.col("node").alias("parent"), "way"), "parent", "left", ["child"])
     closes = (F.col("child") == F.col("parent")) | F.coalesce(F.array_contains("way", F.col("child")), F.lit(False))
     rows = rows.select("child", "parent", closes.alias("closes"), F.when(~closes, F.concat("way", F.array("child"))).alias("way"))
