@@ -53,12 +53,16 @@ def parsimony(kids: dict[int, list[int]], tops: list[int], time: dict[int, float
     return root_state, changes
 
 
-def map_mutations(g: Genealogy, states: DataFrame) -> DataFrame:
+def map_mutations(g: Genealogy, states: DataFrame, alleles: list[str] | None = None, ancestral_state: int | str | None = None) -> DataFrame:
     """Parsimonious mutations for states of samples at sites: ``site``, ``ancestral_state``, ``place``, ``node``, ``parent`` (place of the mutation above, or -1), ``state``.
 
     ``states`` has ``site`` (of the genealogy), ``sample``, ``state`` (number, -1 for missing); samples without a row are missing. Sites without any change give one row with
-    ``place`` -1.
+    ``place`` -1. With ``alleles`` the states come as those strings. A given ``ancestral_state`` (number or allele) may put mutations above roots.
     """
+    if isinstance(ancestral_state, str):
+        ancestral_state = (alleles or []).index(ancestral_state)
+    if ancestral_state is not None and (ancestral_state < 0 or alleles is not None and ancestral_state >= len(alleles)):
+        raise ValueError("the ancestral state is not among the alleles")
     width = bin_width(g)
     from kinweave.plans.ancestry import binned
 
@@ -72,11 +76,15 @@ def map_mutations(g: Genealogy, states: DataFrame) -> DataFrame:
         kids, tops, time = _tree(pdf)
         mine = pdf[pdf["sample"]]
         own = {int(u): -1 if x != x else int(x) for u, x in zip(mine["node"], mine["state"].astype("float64"))}
-        a, changes = parsimony(kids, tops, time, own)
+        a, changes = parsimony(kids, tops, time, own, ancestral_state)
         got = [(key[0], a, k, u, p, x) for k, (u, p, x) in enumerate(changes)] or [(key[0], a, -1, -1, -1, a)]
         return pd.DataFrame(got, columns=["site", "ancestral_state", "place", "node", "parent", "state"])
 
-    return rows.groupBy("site").applyInPandas(fit, "site long, ancestral_state long, place long, node long, parent long, state long")
+    out = rows.groupBy("site").applyInPandas(fit, "site long, ancestral_state long, place long, node long, parent long, state long")
+    if alleles is None:
+        return out
+    listed = F.array(*[F.lit(a) for a in alleles])
+    return out.withColumns({c: F.element_at(listed, F.col(c).cast("int") + 1) for c in ("ancestral_state", "state")})
 
 
 class CopyingModel:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from kinweave.model import Genealogy
 from kinweave.plans.ancestry import allele_counts, over_windows, sample_ancestry, sample_counts, set_sizes, window_of
+from kinweave.plans.counting import SWEEP_NODES, changes
 
 Summary = Callable[[list[Column]], Column]
 
@@ -67,14 +68,20 @@ def branches(g: Genealogy, counts: DataFrame) -> DataFrame:
     return b.withColumn("left", F.greatest("left", "el")).withColumn("right", F.least("right", "er")).drop("el", "er")
 
 
-def stat(g: Genealogy, sets: Sets, fs: dict[str, Summary], windows: Sequence[float] | None = None, mode: str = "site", polarised: bool = False, span_normalise: bool = True) -> DataFrame:
+def stat(g: Genealogy, sets: Sets, fs: dict[str, Summary], windows: Sequence[float] | None = None, mode: str = "site", polarised: bool = False, span_normalise: bool = True, strict: bool = False) -> DataFrame:
     """``window``, ``left``, ``right``, ``index`` (name of the summary), ``value``, and ``node`` in node mode.
 
-    ``fs`` maps a name to a function of the count columns. Windows without sites give 0; node mode gives a row for every node.
+    ``fs`` maps a name to a function of the count columns. Windows without sites give 0; node mode gives a row for every node. ``strict`` refuses a summary that is not 0 for
+    counts of none and of all, whose values would depend on what no sample shows.
     """
     w = check_windows(g, windows)
     n = sets.n
     xs = _xs(sets.k)
+    if strict:
+        ends = g.spark.createDataFrame([tuple([0] * sets.k), tuple(n)], ", ".join(f"x_{j} long" for j in range(sets.k)))
+        for r in ends.select(*[f(xs).cast("double").alias(f"v_{i}") for i, f in enumerate(fs.values())]).collect():
+            if any(v is None or not abs(v) < 1e-8 for v in r):
+                raise ValueError("a summary must be 0 for counts of none and of all")
     rest = [F.lit(float(a)) - x for a, x in zip(n, xs)]
     if mode == "site":
         rows = allele_counts(g, sets.table, sets.k, sets.key).withColumn("window", window_of(F.col("position"), w))
@@ -240,14 +247,17 @@ def weighted_counts(g: Genealogy, weights: DataFrame, columns: Sequence[str], ke
     from kinweave.plans.staging import stage
 
     def build() -> DataFrame:
-        a = sample_ancestry(g).select("start", "node", "left", "right").join(weights.select(F.col("sample").alias("start"), *[F.col(c).cast("double").alias(f"d_{i}") for i, c in enumerate(columns)]), "start", "left")
         d = [f"d_{i}" for i in range(len(columns))]
-        a = a.select("node", "left", "right", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in d], F.lit(1.0).alias("d_all"))
+        of = g.samples().select(F.col("id").alias("sample")).join(weights.select("sample", *[F.col(c).cast("double").alias(x) for c, x in zip(columns, d)]), "sample", "left")
+        of = of.select("sample", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in d], F.lit(1.0).alias("d_all"))
         d.append("d_all")
-        up = a.select("node", F.col("left").alias("pos"), *d)
-        down = a.select("node", F.col("right").alias("pos"), *[(-F.col(c)).alias(c) for c in d])
+        if g.nodes.count() <= SWEEP_NODES:
+            moved = changes(g, of, d)
+        else:
+            a = sample_ancestry(g).select(F.col("start").alias("sample"), "node", "left", "right").join(of, "sample")
+            moved = a.select("node", F.col("left").alias("pos"), *d).unionByName(a.select("node", F.col("right").alias("pos"), *[(-F.col(c)).alias(c) for c in d]))
         rim = g.nodes.select(F.col("id").alias("node"), F.explode(F.array(F.lit(0.0), F.lit(float(g.sequence_length)))).alias("pos"), *[F.lit(0.0).alias(c) for c in d])
-        ev = up.unionByName(down).unionByName(rim).groupBy("node", "pos").agg(*[F.sum(c).alias(c) for c in d])
+        ev = moved.unionByName(rim).groupBy("node", "pos").agg(*[F.sum(c).alias(c) for c in d])
         w = Window.partitionBy("node").orderBy("pos")
         out = ev.select("node", F.col("pos").alias("left"), F.lead("pos").over(w).alias("right"), *[F.sum(c).over(w).alias("w" + c[1:] if c != "d_all" else "x_all") for c in d])
         return stage(out.where(F.col("right").isNotNull()), "weights")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.model import Genealogy
+from kinweave.plans.counting import SWEEP_NODES, changes
 from kinweave.plans.staging import dense_ids, stage
 
 
@@ -107,22 +108,27 @@ def sample_ancestry(g: Genealogy) -> DataFrame:
 def sample_counts(g: Genealogy, sets: DataFrame, k: int, key: str) -> DataFrame:
     """How many samples of each set lie at or below a node, over stretches with the same counts: ``node``, ``left``, ``right``, ``x_0`` .. ``x_{k-1}``, ``x_all``.
 
-    Every start and end of a path is an event of +1 or -1 at its position; events are pre-aggregated per node and position, and a
-    running sum over the positions of a node gives the counts. Each node is covered from 0 to the sequence length.
+    Changes of the counts come from sweeps of genome shards; beyond SWEEP_NODES nodes, which no task should hold, from the starts and ends of all paths. They are
+    pre-aggregated per node and position, and a running sum over the positions of a node gives the counts. Each node is covered from 0 to the sequence length.
     ``sets`` has ``sample`` and ``set`` (0 .. k-1); a sample may be in several sets. ``x_all`` counts all samples.
     """
 
     def build() -> DataFrame:
-        a = sample_ancestry(g).select("start", "node", "left", "right")
         member = sets.groupBy(F.col("sample").alias("start")).agg(*[F.max((F.col("set") == j).cast("long")).alias(f"m_{j}") for j in range(k)])
-        a = a.join(member, "start", "left")
         d = [f"d_{j}" for j in range(k)] + ["d_all"]
         of = [F.coalesce(f"m_{j}", F.lit(0).cast("long")) for j in range(k)] + [F.lit(1).cast("long")]
-        up = a.select("node", F.col("left").alias("pos"), *[v.alias(c) for v, c in zip(of, d)])
-        down = a.select("node", F.col("right").alias("pos"), *[(-v).alias(c) for v, c in zip(of, d)])
+        if g.nodes.count() <= SWEEP_NODES:
+            w = g.samples().select(F.col("id").alias("start")).join(member, "start", "left").select(F.col("start").alias("sample"), *[v.alias(c) for v, c in zip(of, d)])
+            moved = changes(g, w, d).select("node", "pos", *[F.col(c).cast("long").alias(c) for c in d])
+        else:
+            a = sample_ancestry(g).select("start", "node", "left", "right").join(member, "start", "left")
+            up = a.select("node", F.col("left").alias("pos"), *[v.alias(c) for v, c in zip(of, d)])
+            moved = up.unionByName(a.select("node", F.col("right").alias("pos"), *[(-v).alias(c) for v, c in zip(of, d)]))
         zero = F.lit(0).cast("long")
         rim = g.nodes.select(F.col("id").alias("node"), F.explode(F.array(F.lit(0.0), F.lit(float(g.sequence_length)))).alias("pos"), *[zero.alias(c) for c in d])
-        events = up.unionByName(down).unionByName(rim).groupBy("node", "pos").agg(*[F.sum(c).alias(c) for c in d])
+        events = moved.unionByName(rim).groupBy("node", "pos").agg(*[F.sum(c).alias(c) for c in d])
+        still = reduce(lambda p, q: p & q, [F.col(c) == 0 for c in d])
+        events = events.where(~still | F.col("pos").isin(0.0, float(g.sequence_length)))
         w = Window.partitionBy("node").orderBy("pos")
         out = events.select("node", F.col("pos").alias("left"), F.lead("pos").over(w).alias("right"), *[F.sum(c).over(w).alias("x" + c[1:]) for c in d])
         return stage(out.where(F.col("right").isNotNull()), "counts")

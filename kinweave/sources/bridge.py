@@ -50,15 +50,26 @@ tr AS (SELECT row_number() OVER (ORDER BY p) - 1 AS tree, p AS l, lead(p) OVER (
 samp AS (SELECT id, population FROM g_nodes WHERE flags = 1)"""
 )
 
-_memo: dict[tuple[str, str], Genealogy] = {}
+_memo: dict[tuple, Genealogy] = {}
+_TABLES = ("customer", "nation", "region", "part", "lineitem", "orders", "supplier")
+
+
+def _state(spark: SparkSession, sf_dir: str) -> tuple[int, ...]:
+    """When the tables were last changed, and their bytes."""
+    conf, out = spark._jsparkSession.sessionState().newHadoopConf(), []
+    for t in _TABLES:
+        p = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{t}.parquet")
+        fs = p.getFileSystem(conf)
+        out += [fs.getFileStatus(p).getModificationTime(), fs.getContentSummary(p).getLength()]
+    return tuple(out)
 
 
 def bridge(spark: SparkSession, sf_dir: str) -> Genealogy:
-    """The genealogy of a data directory, built once a session."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The genealogy of a data directory, built once a session for each state of its tables."""
+    key = (spark.sparkContext.applicationId, sf_dir, _state(spark, sf_dir))
     if key in _memo:
         return _memo[key]
-    tables = {t: load(spark, sf_dir, t) for t in ("customer", "nation", "region", "part", "lineitem", "orders", "supplier")}
+    tables = {t: load(spark, sf_dir, t) for t in _TABLES}
 
     def sql(text: str) -> DataFrame:
         names = {t: f"{{{t}}}" for t in tables}

@@ -509,6 +509,23 @@ def simplified_at_sites(g):
     return e.groupBy(F.col("_p").alias("parent"), F.col("_c").alias("child")).agg(F.sum(F.col("right") - F.col("left")).alias("span"))
 
 
+@query(_GENO + """, tw AS (SELECT id, (id % 7)::DOUBLE AS w FROM samp), dv AS (SELECT h.site, h.sample, h.allele FROM hit h JOIN g_sites s ON s.id = h.site WHERE h.allele <> s.ancestral_state),
+sm AS (SELECT site, allele, sum(w) AS w FROM dv JOIN tw ON tw.id = dv.sample GROUP BY ALL)
+SELECT sample, round(sum(sm.w) / 10, 6) AS w FROM dv JOIN sm ON sm.site = dv.site AND sm.allele = dv.allele GROUP BY sample""")
+def site_relatedness_vector(g):
+    from kinweave.operators.relatedness import relatedness_vector
+
+    return relatedness_vector(g, _trait(g), ["w"], "mod7", centre=False, mode="site").select("sample", F.round("w", 6).alias("w"))
+
+
+@query(_TREES + """, tw AS (SELECT id, (id % 7)::DOUBLE AS w FROM samp), bw AS (SELECT pt.tree, pt.node, sum(w) AS w FROM pt JOIN tw ON tw.id = pt.start GROUP BY ALL)
+SELECT pt.start AS sample, round(sum((le.r - le.l) * len * bw.w) / 10, 4) AS w FROM pt JOIN samp ON samp.id = pt.start JOIN le ON le.tree = pt.tree AND le.child = pt.node JOIN bw ON bw.tree = pt.tree AND bw.node = pt.node GROUP BY pt.start""")
+def branch_relatedness_vector(g):
+    from kinweave.operators.relatedness import relatedness_vector
+
+    return relatedness_vector(g, _trait(g), ["w"], "mod7b", centre=False).select("sample", F.round("w", 4).alias("w"))
+
+
 # --- raw tables ------------------------------------------------------------------------------------------------------------
 def rule_violations(spark: SparkSession, d: str) -> DataFrame:
     """The rules of the data model that rows of the raw tables break, counted."""

@@ -158,3 +158,88 @@ def test_union_options_and_dicts(weave, lone):
     lines = list(formats.macs_lines(lone))
     assert lines[0] == "COMMAND:\tnot_macs 4 3.0" and [x.split("\t")[-1] for x in lines[2:]] == ["".join(r) for _, r in sorted(Plain(lone).genotypes().items())]
     assert math.isclose(float(lines[3].split("\t")[2]), 0.5)
+
+
+def test_relatedness_of_sites_and_nodes(weave):
+    p = Plain(weave)
+    w = {s: x for s, x in zip(p.samples, (1.0, -0.5, 2.0, 0.25, 3.0))}
+    rows = weave.spark.createDataFrame(list(w.items()), "sample long, w double")
+    geno = p.genotypes()
+    share = np.array([[sum(row[i] == row[j] != p.sites[s][1] for s, row in geno.items()) for j in range(5)] for i in range(5)], float)
+    plain = {r["sample"]: r["w"] for r in re_.relatedness_vector(weave, rows, ["w"], "s", centre=False, span_normalise=False, mode="site").collect()}
+    assert [plain.get(s, 0.0) for s in p.samples] == pytest.approx(share @ np.array(list(w.values())))
+    c = np.eye(5) - 0.2
+    centred = {r["sample"]: r["w"] for r in re_.relatedness_vector(weave, rows, ["w"], "s", mode="site").collect()}
+    assert [centred[s] for s in p.samples] == pytest.approx(c @ share @ c @ np.array(list(w.values())) / p.L)
+    got = {r["sample"]: r["w"] for r in re_.relatedness_vector(weave, rows, ["w"], "n", centre=False, nodes=weave.nodes.where("id in (5, 2)").select("id")).collect()}
+    for u in (5, 2):
+        want = 0.0
+        for l, r, t in p.trees:
+            for x in p.up(t, u):
+                if x in t:
+                    want += (r - l) / p.L * (p.time[t[x]] - p.time[x]) * sum(w[s] for s in p.below(t, x))
+        assert got[u] == pytest.approx(want)
+
+
+def test_parsimony_with_a_given_state_and_strict_summaries(lone):
+    from kinweave.operators import kernels as ke
+
+    rows = lone.spark.createDataFrame([(0, s, 1) for s in range(4)], "site long, sample long, state int")
+    r = ke.map_mutations(lone, rows, ["A", "G"], "A").collect()
+    assert [(x["ancestral_state"], x["node"], x["state"]) for x in r] == [("A", 6, "G")]
+    assert ke.map_mutations(lone, rows, ["A", "G"]).first()["place"] == -1
+    with pytest.raises(ValueError):
+        ke.map_mutations(lone, rows, ["A", "G"], 2)
+    s = st.Sets.all(lone)
+    st.stat(lone, s, {"x": lambda x: x[0] * (4 - x[0])}, strict=True)
+    with pytest.raises(ValueError):
+        st.stat(lone, s, {"x": lambda x: x[0]}, strict=True)
+
+
+@pytest.mark.parametrize("name", ["weave", "ragged", "bushy"])
+def test_sweeps_and_paths_count_alike(name, request, monkeypatch):
+    from kinweave.plans import ancestry as an
+    from kinweave.plans import counting
+
+    g = request.getfixturevalue(name)
+    p = Plain(g)
+    sets = g.spark.createDataFrame([(p.samples[0], 0), (p.samples[1], 1), (p.samples[2], 1), (p.samples[0], 1)], "sample long, set int")
+    rows = []
+    for nodes, edges in ((10**9, 10**9), (10**9, 2), (0, 1)):  # one shard, many shards, paths
+        monkeypatch.setattr(an, "SWEEP_NODES", nodes)
+        monkeypatch.setattr(counting, "SHARD_EDGES", edges)
+        fresh = g.with_tables()
+        rows.append(sorted(tuple(r) for r in an.sample_counts(fresh, sets, 2, "t").select("node", "left", "right", "x_0", "x_1", "x_all").collect()))
+    assert rows[0] == rows[1] == rows[2]
+    for u, l, r, a, b, every in rows[0]:
+        for x, y, t in p.trees:
+            if l < y and x < r:
+                assert (a, b, every) == (len(p.below(t, u, [p.samples[0]])), len(p.below(t, u, p.samples[:3])), len(p.below(t, u)))
+
+
+def test_sweep_over_random_trees():
+    from kinweave.plans.counting import sweep
+
+    rng = np.random.default_rng(4)
+    n, cuts = 40, np.arange(0.0, 30.0)
+    trees = []
+    up = np.array([rng.integers(i + 1, n) if i < n - 1 else -1 for i in range(n)])
+    for _ in cuts:
+        for c in rng.integers(0, n - 1, rng.choice([1, 2, 20])):
+            up[c] = rng.integers(c + 1, n) if rng.random() < 0.9 else -1
+        trees.append(up.copy())
+    rows = [(a, a + 1, t[c], c) for a, t in zip(cuts, trees) for c in range(n) if t[c] >= 0]
+    left, right, parent, child = map(np.array, zip(*rows))
+    own = rng.integers(0, 3, (n, 2)).astype(float)
+    nodes, places, by = sweep(0.0, 30.0, left, right, parent, child, own)
+    for a, t in zip(cuts, trees):
+        want = own.copy()
+        for c in range(n):  # children have smaller numbers than parents
+            if t[c] >= 0:
+                want[t[c]] += want[c]
+        got = np.zeros((n, 2))
+        np.add.at(got, nodes[places <= a], by[places <= a])
+        assert np.array_equal(got, want)
+    total = np.zeros((n, 2))
+    np.add.at(total, nodes, by)
+    assert not total.any()
