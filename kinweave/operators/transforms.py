@@ -26,7 +26,10 @@ def _cols(df: DataFrame, table: str) -> DataFrame:
 
 
 def sort(g: Genealogy) -> Genealogy:
-    """Edges by (parent time, parent, child, left), sites by position, mutations by site, time (oldest first, unknown last) and id, migrations by time; ids follow."""
+    """Edges by (parent time, parent, child, left), sites by position, mutations by site, time (oldest first, unknown last) and id, migrations by time; ids follow.
+
+    Mutations of a site that is not there go, and a parent that is not there becomes -1.
+    """
     t = g.nodes.select(F.col("id").alias("parent"), F.col("time").alias("_t"))
     edges = dense_ids(g.edges.drop("id").join(t, "parent"), ["_t", "parent", "child", "left"])
     sites = dense_ids(g.sites.withColumnRenamed("id", "old"), ["position", "old"])
@@ -87,12 +90,10 @@ def keep_intervals(g: Genealogy, intervals: Sequence[tuple[float, float]]) -> Ge
 
     def clip(df: DataFrame) -> DataFrame:
         x = df.withColumn("_i", F.explode(F.filter(lit, lambda i: (i["a"] < F.col("right")) & (i["b"] > F.col("left")))))
-        return x.withColumn("left", F.greatest("left", "_i.a")).withColumn("right", F.least("right", "_i.b")).drop("_i", "id")
+        return x.withColumn("left", F.greatest("left", "_i.a")).withColumn("right", F.least("right", "_i.b")).drop("_i")
 
-    edges = dense_ids(clip(g.edges), ["parent", "child", "left"])
-    mig = dense_ids(clip(g.migrations), ["time", "left", "node"])
     inside = F.exists(lit, lambda i: (i["a"] <= F.col("position")) & (F.col("position") < i["b"])) if iv else F.lit(False)
-    return sort(keep_sites(g.with_tables(edges=_cols(edges, "edges"), migrations=_cols(mig, "migrations")), g.sites.where(inside)))
+    return sort(g.with_tables(edges=_cols(clip(g.edges), "edges"), migrations=_cols(clip(g.migrations), "migrations"), sites=g.sites.where(inside)))  # which numbers all tables once
 
 
 def delete_intervals(g: Genealogy, intervals: Sequence[tuple[float, float]]) -> Genealogy:
