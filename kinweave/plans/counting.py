@@ -16,7 +16,7 @@ from kinweave.plans.staging import stage
 
 #: Nodes up to which the trees of a shard are held by one task (some hundred bytes a node and set).
 SWEEP_NODES = 2_000_000
-#: Edges of a shard on average.
+#: Edges that begin in a shard, at most on average, if there are more shards than the cluster has use for.
 SHARD_EDGES = 200_000
 
 
@@ -58,9 +58,10 @@ def sweep(start: float, end: float, left: np.ndarray, right: np.ndarray, parent:
     emit(every, start, sums)
     ends, begins = np.argsort(right, kind="stable"), np.argsort(left, kind="stable")
     begins = begins[left[begins] > start]
+    gone, come = right[ends], left[begins]  # in order
     for at in np.unique(np.concatenate([right[right < end], left[left > start]])):
-        out = ends[np.searchsorted(right[ends], at) : np.searchsorted(right[ends], at, side="right")]
-        into = begins[np.searchsorted(left[begins], at) : np.searchsorted(left[begins], at, side="right")]
+        out = ends[np.searchsorted(gone, at) : np.searchsorted(gone, at, side="right")]
+        into = begins[np.searchsorted(come, at) : np.searchsorted(come, at, side="right")]
         if 8 * (len(out) + len(into)) > n:  # much changes: add up anew
             up[child[out]] = -1
             up[child[into]] = parent[into]
@@ -94,7 +95,9 @@ def sweep(start: float, end: float, left: np.ndarray, right: np.ndarray, parent:
 def changes(g: Genealogy, weights: DataFrame, columns: list[str]) -> DataFrame:
     """Where the sums of ``weights`` (``sample`` and ``columns``) below nodes change, and by how much: ``node``, ``pos``, ``columns`` (doubles); repeated places are to be added up."""
     L = float(g.sequence_length)
-    n = max(1, -(-g.edges.count() // SHARD_EDGES))
+    edges, tree = g.edges.agg(F.count(F.lit(1)), F.sum(F.col("right") - F.col("left")) / L).first()  # all edges, and those of a tree, which each shard reads
+    wanted = max(-(-edges // SHARD_EDGES), 4 * g.spark.sparkContext.defaultParallelism)
+    n = max(1, min(wanted, int(2 * edges / max(1.0, tree or 1.0))))
     cuts = sorted({0.0, L, *(g.edges.approxQuantile("left", [k / n for k in range(1, n)], 0.01) if n > 1 else ())})
     bounds = F.array(*[F.lit(c) for c in cuts])
     inside = lambda lo, hi: F.filter(F.sequence(F.lit(0), F.lit(len(cuts) - 2)), lambda s: (F.get(bounds, s) < hi) & (F.get(bounds, s + 1) > lo))
