@@ -1,6 +1,6 @@
 """Merged stretches and gaps of intervals per entity, in two levels.
 
-The axis is cut into shards at quantiles of ``left``: entities are hashed to a fixed number of buckets, a bucket gets a shard for each ``rows_per_shard`` of its
+The axis is cut into shards at quantiles of ``left``: entities are hashed to a fixed number of buckets, a bucket gets about a shard for each ``rows_per_shard`` of its
 rows, two at least, so an entity with very many rows is cut where its own rows lie. Intervals are clipped to the shards; an interval over three shards or more
 leaves a piece in its first and last one, and what lies between is kept as a range of covered shards, of which only the longest from each shard matters. Pieces
 are merged within entity and shard; coverage that touches shard ends is stitched over at most two pieces a shard, and coalesced. No window spans
@@ -53,15 +53,16 @@ class Cuts:
 
 
 def plan_cuts(df: DataFrame, keys: list[str], rows_per_shard: int = ROWS_PER_SHARD) -> Cuts:
-    """Shard ends by load, from two map-side-combined passes over keys and ``left``."""
+    """Shard ends by load, from map-side-combined passes over keys and ``left``: one over all rows, one more over the buckets of each larger number of shards."""
     by = df.groupBy(_bucket(keys).alias("_bucket"))
     half = by.agg(F.count(F.lit(1)).alias("n"), F.array(F.percentile_approx("left", 0.5)).alias("_cuts")).collect()  # at most BUCKETS rows
-    shards = {r["_bucket"]: max(2, -(-r["n"] // rows_per_shard)) for r in half}
+    # powers of two, so that buckets of any sizes need few passes
+    shards = {r["_bucket"]: 1 << max(1, (-(-r["n"] // rows_per_shard) - 1).bit_length()) for r in half}
     ends = {r["_bucket"]: r["_cuts"] for r in half}
     for m in sorted({s for s in shards.values() if s > 2}):
         at = [b for b, s in shards.items() if s == m]
         own = df.withColumn("_bucket", _bucket(keys)).where(F.col("_bucket").isin(at)).groupBy("_bucket")
-        for r in own.agg(F.percentile_approx("left", [k / m for k in range(1, m)], 100 * m).alias("_cuts")).collect():  # in all a number for each rows_per_shard rows
+        for r in own.agg(F.percentile_approx("left", [k / m for k in range(1, m)], max(10_000, 4 * m)).alias("_cuts")).collect():  # in all a number for each rows_per_shard rows
             ends[r["_bucket"]] = sorted(set(r["_cuts"]))
     table = df.sparkSession.createDataFrame(sorted(ends.items()), "_bucket int, _cuts array<double>")
     return Cuts(table, max((len(c) for c in ends.values()), default=0) + 1)

@@ -143,7 +143,10 @@ class CopyingModel:
 def viterbi_paths(model: CopyingModel, queries: DataFrame) -> DataFrame:
     """The copying path of each query haplotype (``query`` id, ``states`` array by site): ``query``, ``path``, ``log_likelihood``."""
 
+    sent = queries.sparkSession.sparkContext.broadcast(model)  # one panel of haplotypes, which a task must hold anyway
+
     def run(batches):
+        model = sent.value
         for pdf in batches:
             out = []
             for q, s in zip(pdf["query"], pdf["states"]):

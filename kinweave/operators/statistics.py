@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.model import Genealogy
-from kinweave.plans.ancestry import allele_counts, over_windows, sample_ancestry, sample_counts, set_sizes, window_of
+from kinweave.plans.ancestry import allele_counts, bin_width, binned, over_windows, sample_ancestry, sample_counts, set_sizes, window_of
 from kinweave.plans.counting import SWEEP_NODES, changes
 
 Summary = Callable[[list[Column]], Column]
@@ -443,7 +443,9 @@ def nearest_neighbours(g: Genealogy, focal: DataFrame, sets: Sets) -> DataFrame:
     from pyspark.sql import Window
 
     cut = ends.select("focal", F.col("p").alias("sl"), F.lead("p").over(Window.partitionBy("focal").orderBy("p")).alias("sr")).where("sr is not null")
-    cells = cut.join(j, "focal").where((F.col("left") <= F.col("sl")) & (F.col("sr") <= F.col("right")))
+    width = bin_width(g)  # a cut meets the stretches of its bin only
+    j = binned(j, width)
+    cells = cut.withColumn("_bin", F.floor(F.col("sl") / width)).join(j, ["focal", "_bin"]).where((F.col("left") <= F.col("sl")) & (F.col("sr") <= F.col("right")))
     low = cells.groupBy("focal", "sl", "sr").agg(F.min_by(F.array(*[o / all_others for o in others]), "depth").alias("share"))
     span = F.col("sr") - F.col("sl")
     agg = low.groupBy("focal").agg(F.sum(span).alias("s"), *[F.sum(span * F.element_at("share", i + 1)).alias(f"v_{i}") for i in range(sets.k)])

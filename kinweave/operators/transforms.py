@@ -25,13 +25,13 @@ def _cols(df: DataFrame, table: str) -> DataFrame:
     return df.select(*names(table))
 
 
-def sort(g: Genealogy) -> Genealogy:
-    """Edges by (parent time, parent, child, left), sites by position, mutations by site, time (oldest first, unknown last) and id, migrations by time; ids follow.
+def sort(g: Genealogy, edge_order: Sequence[Column | str] | None = None) -> Genealogy:
+    """Edges by (parent time, parent, child, left), or by columns given (of edges and ``_t``, the time of the parent), sites by position, mutations by site, time (oldest first, unknown last) and id, migrations by time; ids follow.
 
     Mutations of a site that is not there go, and a parent that is not there becomes -1.
     """
     t = g.nodes.select(F.col("id").alias("parent"), F.col("time").alias("_t"))
-    edges = dense_ids(g.edges.drop("id").join(t, "parent"), ["_t", "parent", "child", "left"])
+    edges = dense_ids(g.edges.drop("id").join(t, "parent"), edge_order or ["_t", "parent", "child", "left"])
     sites = dense_ids(g.sites.withColumnRenamed("id", "old"), ["position", "old"])
     at = sites.select("old", F.col("id").alias("new"))
     m = _remap(g.mutations, "site", at, drop=True).withColumnRenamed("id", "old")
@@ -183,18 +183,36 @@ def _no_migrations(g: Genealogy) -> None:
         raise ValueError("migrations are not supported here")
 
 
-def subset(g: Genealogy, nodes: DataFrame, remove_unreferenced: bool = True) -> Genealogy:
-    """Only the nodes of ``nodes`` (``id``, ``order``), numbered by ``order``, with what refers to them."""
+def subset(g: Genealogy, nodes: DataFrame, remove_unreferenced: bool = True, reorder_populations: bool = True) -> Genealogy:
+    """Only the nodes of ``nodes`` (``id``, ``order``), numbered by ``order``, with what refers to them.
+
+    Populations come in the order of their first node, then those of migrations only; without ``reorder_populations`` all stay as they are.
+    """
     to = dense_ids(nodes.select(F.col("id").alias("old"), "order"), ["order"], "new").select("old", "new")
     n = _remap(g.nodes, "id", to, drop=True)
     e = _remap(_remap(g.edges, "parent", to, drop=True), "child", to, drop=True)
     m = _remap(g.mutations, "node", to, drop=True)
     mig = _remap(g.migrations, "node", to, drop=True)
     out = g.with_tables(nodes=_cols(n, "nodes"), edges=_cols(e, "edges"), migrations=_cols(mig, "migrations"))
+    if reorder_populations:
+        out = _in_order_of_use(out, remove_unreferenced)
     if not remove_unreferenced:
         return sort(keep_mutations(out, m.select(*names("mutations"))))
     out = keep_mutations(out, m.select(*names("mutations")))
-    return sort(_drop_unreferenced(out, sites=True, individuals=True, populations=True))
+    return sort(_drop_unreferenced(out, sites=True, individuals=True, populations=False))
+
+
+def _in_order_of_use(g: Genealogy, drop: bool) -> Genealogy:
+    """Populations numbered by their first node; those that only migrations, or nothing, refer to follow by id, the latter unless dropped."""
+    by_node = g.nodes.where("population <> -1").groupBy(F.col("population").alias("old")).agg(F.min("id").alias("first"))
+    moved = g.migrations.select(F.explode(F.array("source", "dest")).alias("old")).distinct().withColumn("moved", F.lit(True))
+    p = g.populations.withColumnRenamed("id", "old").join(by_node, "old", "left").join(moved, "old", "left")
+    if drop:
+        p = p.where("first is not null or moved")
+    p = dense_ids(p, [F.col("first").asc_nulls_last(), F.col("moved").asc_nulls_last(), F.col("old")])
+    to = p.select("old", F.col("id").alias("new"))
+    mig = _remap(_remap(g.migrations, "source", to), "dest", to)
+    return g.with_tables(populations=_cols(p, "populations"), nodes=_cols(_remap(g.nodes, "population", to), "nodes"), migrations=_cols(mig, "migrations"))
 
 
 def _drop_unreferenced(g: Genealogy, sites: bool, individuals: bool, populations: bool) -> Genealogy:

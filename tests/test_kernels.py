@@ -99,7 +99,20 @@ def test_relatedness(weave):
     got = {r["sample"]: r["w"] for r in re_.relatedness_vector(g, rows, ["w"], "t").collect()}
     assert [got[i] for i in range(n)] == pytest.approx((k @ w).tolist())
     values, vectors, _ = re_.principal_components(g, 2, iterations=3)
-    assert values == pytest.approx(np.sort(np.linalg.eigvalsh(k))[::-1][:2])
+    assert values == pytest.approx(np.sort(np.linalg.eigvalsh(k))[::-1][:2] * p.L)
+    # a window, and pairs of samples as individuals
+    part = np.zeros((n, n))
+    l, r, parent = p.trees[1]
+    for c, q in parent.items():
+        below = p.below(parent, c)
+        for i, j in itertools.product(below, repeat=2):
+            part[i, j] += (r - l) * (p.time[q] - p.time[c])
+    owner = [0, 0, 1, 1, 2]
+    own = g.with_tables(nodes=g.nodes.withColumn("individual", F.when(F.col("id") < 5, F.floor(F.col("id") / 2)).otherwise(-1).cast("long")))
+    mean = np.array([[1 / owner.count(i) if o == i else 0.0 for o in owner] for i in range(3)])
+    c3 = np.eye(3) - 1 / 3
+    values, vectors, ids = re_.principal_components(own, 2, iterations=3, window=(l, r), individuals=True)
+    assert ids == [0, 1, 2] and values == pytest.approx(np.sort(np.linalg.eigvalsh(c3 @ mean @ part @ mean.T @ c3))[::-1][:2])
 
 
 def test_tables(weave):

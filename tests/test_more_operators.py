@@ -243,3 +243,14 @@ def test_sweep_over_random_trees():
     total = np.zeros((n, 2))
     np.add.at(total, nodes, by)
     assert not total.any()
+
+
+def test_order_of_populations_and_edges(ragged):
+    pops = ragged.with_tables(nodes=ragged.nodes.withColumn("population", F.when(F.col("id") == 3, 0).when(F.col("id") == 1, 1).otherwise(-1).cast("long")), migrations=ragged.migrations.limit(0), mutations=ragged.mutations.limit(0), sites=ragged.sites.limit(0))
+    chosen = pops.nodes.where("id in (1, 3)").select("id", F.col("id").alias("order"))
+    s = tr.subset(pops, chosen)
+    assert [r["population"] for r in s.nodes.orderBy("id").collect()] == [0, 1] and [bytes(r["metadata"]) for r in s.populations.orderBy("id").collect()] == [b"y", b"x"]
+    kept = tr.subset(pops, chosen, reorder_populations=False)
+    assert [r["population"] for r in kept.nodes.orderBy("id").collect()] == [1, 0] and kept.populations.count() == 2
+    back = tr.sort(pops, [F.col("left").desc(), "child", "parent"]).edges.orderBy("id").collect()
+    assert [(r["left"], r["child"]) for r in back] == sorted(((r["left"], r["child"]) for r in back), key=lambda x: (-x[0], x[1]))
