@@ -34,6 +34,7 @@ _DIVIDED = re.compile("(?<=[^\\W_])[-­‐‑¬][ \t\xa0\r]*\n\\s*(?=[^\\W_])")
 _NUMERAL = re.compile(r"\(\s*\d+\s*[a-z]{0,2}'*(?:\s*[,;/–-]\s*\d+\s*[a-z]{0,2}'*)*\s*\)")
 _MARK = re.compile("[̀-ͯ᪰-᫿᷀-᷿⃐-⃿゙゚︠-︯]")
 _WORD = re.compile(r"[^\W_]+")
+_STROKED = re.compile("[æœøłđðıŀŧħ]")
 _LETTERS = str.maketrans({"æ": "ae", "œ": "oe", "ø": "o", "ł": "l", "đ": "d", "ð": "d", "ı": "i", "ŀ": "l", "ŧ": "t", "ħ": "h"})
 
 
@@ -58,12 +59,22 @@ def words(text: str | None) -> list[str]:
         text = _UNSEEN.sub("", text)
         text = _DIVIDED.sub("", text).replace("­", "").casefold()
         if not text.isascii():
-            text = _MARK.sub("", unicodedata.normalize("NFKD", text)).casefold().translate(_LETTERS)
+            text = _MARK.sub("", unicodedata.normalize("NFKD", text)).casefold()
+            if _STROKED.search(text):
+                text = text.translate(_LETTERS)
     if "(" in text:
         text = _NUMERAL.sub(" ", text)
     return _WORD.findall(text)
 
 
+class Numbers(dict):
+    """Words numbered from 1 as they are asked for."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self) + 1
+        return n
+
+
 class Block:
     """A block of test items: their words as numbers of a vocabulary of its own, 0 after each item, and where ``least`` words begin that no other item has."""
 
@@ -204,18 +215,15 @@ def _search(path: str, blocks: int, least: int, longest: int, shard_words: int):
                     rows += shard.matches(block, least)
             return pd.DataFrame(rows, columns=["doc_id", "item_id", "n_words", "doc_word", "item_word"])
 
-        held, known, size = [], {}, 0
+        held, known, size = [], Numbers(), 0
         for pdf in batches:
             for doc, text in zip(pdf["doc_id"].tolist(), pdf["text"].tolist()):
                 ws = words(text)
-                for w in ws:
-                    if w not in known:
-                        known[w] = len(known) + 1
                 held.append((doc, np.fromiter(map(known.__getitem__, ws), dtype="int32", count=len(ws))))
                 size += len(ws)
                 if size >= shard_words:
                     yield flush()
-                    held, known, size = [], {}, 0
+                    held, known, size = [], Numbers(), 0
         if held:
             yield flush()
 
