@@ -82,7 +82,7 @@ _WIN = """, win(w, a, b) AS (VALUES (0, 0e0, 1e6), (1, 1e6, 5e6), (2, 5e6, 8e6))
 bw AS (SELECT w, b - a AS wide, x, len, least(r, b) - greatest(l, a) AS span FROM br, win WHERE l < b AND a < r)"""
 
 
-@query(_WIN + ' SELECT w AS "window", round(sum(len * span * 2 * x * (n - x) / (n * (n - 1))) / any_value(wide), 6) AS diversity, round(sum(CASE WHEN x < n THEN len * span ELSE 0 END) / any_value(wide), 4) AS segregating FROM bw, n GROUP BY w')
+@query(_WIN + ' SELECT CAST(w AS BIGINT) AS "window", round(sum(len * span * 2 * x * (n - x) / (n * (n - 1))) / any_value(wide), 6) AS diversity, round(sum(CASE WHEN x < n THEN len * span ELSE 0 END) / any_value(wide), 4) AS segregating FROM bw, n GROUP BY w')
 def irregular_branch_statistics(g):
     s = st.Sets.all(g)
     d = st.one_way(g, "diversity", s, WINDOWS, "branch").select("window", F.round("value", 6).alias("diversity"))

@@ -30,7 +30,7 @@ DUCK = (
     f"ir_nodes AS MATERIALIZED ({_NODES.format(q=chr(34))}),\nir_edges AS MATERIALIZED ({_EDGES.format(q=chr(34))}),\nir_moves AS MATERIALIZED ({_MOVES.format(q=chr(34))}),\n"
     f"ir_sites AS ({_SITES.format(q=chr(34))}),\nir_mutations AS ({_MUTATIONS.format(q=chr(34))}),\n"
     f"""samp AS (SELECT id FROM ir_nodes WHERE flags & 1 = 1),
-anc(start, node, l, r, depth) AS (SELECT id, id, 0e0, {L}, 0 FROM samp
+anc(start, node, l, r, depth) AS (SELECT id, id, 0e0, 8e6, 0 FROM samp
   UNION ALL SELECT a.start, e.parent, greatest(a.l, e."left"), least(a.r, e."right"), a.depth + 1 FROM anc a JOIN ir_edges e ON e.child = a.node AND e."left" < a.r AND a.l < e."right"),
 ev AS (SELECT node, p, sum(d) AS d FROM (SELECT node, l AS p, 1 AS d FROM anc UNION ALL SELECT node, r, -1 FROM anc) q GROUP BY node, p HAVING sum(d) <> 0),
 cnt AS (SELECT * FROM (SELECT node, p AS l, lead(p) OVER (PARTITION BY node ORDER BY p) AS r, CAST(sum(d) OVER (PARTITION BY node ORDER BY p) AS DOUBLE) AS x FROM ev) q WHERE x > 0),

@@ -60,7 +60,7 @@ def parsed_edges(g):
     return store.parse_table(g.spark, "edges", at).select("left", "right", "parent", "child")
 
 
-@query("""SELECT id, "time", population, individual, CASE WHEN flags & 1 = 1 THEN 1 ELSE 0 END AS is_sample FROM g_nodes""")
+@query("""SELECT id, "time", population, individual, CAST(flags & 1 AS BIGINT) AS is_sample FROM g_nodes""")
 def parsed_nodes(g):
     at = _folder(g)
     rows = store.text_rows(g, "nodes", precision=6).withColumn("line", F.col("line"))
@@ -156,7 +156,7 @@ def last_tree(g):
     return tb.tree_at_index(g, -1).select(F.col("id").alias("edge"), "parent", "child")
 
 
-@query("""SELECT greatest(t.l, o.l) AS "left", least(t.r, o.r) AS "right", t.tree, o.tree AS other_tree FROM tr t, (VALUES (0, 0e0, 0.5e0), (1, 0.5e0, 1e0), (2, 1e0, 2e0), (3, 2e0, 3e0), (4, 3e0, 10e0)) o(tree, l, r) WHERE t.l < o.r AND o.l < t.r""")
+@query("""SELECT greatest(t.l, o.l) AS "left", least(t.r, o.r) AS "right", t.tree, CAST(o.tree AS BIGINT) AS other_tree FROM tr t, (VALUES (0, 0e0, 0.5e0), (1, 0.5e0, 1e0), (2, 1e0, 2e0), (3, 2e0, 3e0), (4, 3e0, 10e0)) o(tree, l, r) WHERE t.l < o.r AND o.l < t.r""")
 def coiterated(g):
     return tb.coiterate(g, tr.keep_intervals(g, [(0.5, 3.0)]))
 
@@ -254,13 +254,13 @@ def links_to_regions(g):
 
 @query(SQL["coalescence_quantiles"][len("WITH RECURSIVE ") : SQL["coalescence_quantiles"].index("cum AS (SELECT t")].split("samp AS (SELECT id, population FROM g_nodes WHERE flags = 1)", 1)[1] + """tw AS (SELECT *, CASE WHEN t < 1.1 THEN 0 WHEN t < 2.15 THEN 1 ELSE 2 END AS k FROM byt),
 z AS (SELECT k, sum(p) AS p, sum(p * t) AS pt FROM tw GROUP BY k), c AS (SELECT *, sum(p) OVER () AS total, coalesce(sum(p) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bef FROM z)
-SELECT k AS time_window, round(CASE k WHEN 2 THEN 1 / (pt / p - 2.15) ELSE ln(1 - (p / total) / (1 - bef / total)) / (CASE k WHEN 0 THEN -1.1 ELSE 1.1 - 2.15 END) END, 8) AS rate FROM c""")
+SELECT CAST(k AS BIGINT) AS time_window, round(CASE k WHEN 2 THEN 1 / (pt / p - 2.15) ELSE ln(1 - (p / total) / (1 - bef / total)) / (CASE k WHEN 0 THEN -1.1 ELSE 1.1 - 2.15 END) END, 8) AS rate FROM c""")
 def coalescence_rates(g):
     return r9(co.coalescence_rates(g, st.Sets.all(g), [(0, 0)], [0.0, 1.1, 2.15, math.inf]).select("time_window", "rate"), "rate")
 
 
 @query(SQL["coalescence_quantiles"][len("WITH RECURSIVE ") : SQL["coalescence_quantiles"].index("cum AS (SELECT t")].split("samp AS (SELECT id, population FROM g_nodes WHERE flags = 1)", 1)[1] + """w AS (SELECT CASE WHEN t < 1.1 THEN 0 ELSE 1 END AS k, p FROM byt)
-SELECT k AS time_window, round(sum(p) / 10, 6) AS value FROM w GROUP BY k""")
+SELECT CAST(k AS BIGINT) AS time_window, round(sum(p) / 10, 6) AS value FROM w GROUP BY k""")
 def coalescence_windows(g):
     return co.coalescence_by_time(g, st.Sets.all(g), [(0, 0)], [0.0, 1.1, 100.0]).select("time_window", F.round("value", 6).alias("value"))
 
