@@ -3,6 +3,8 @@
 Loops come from :func:`kinweave.operators.hierarchy.cycles`. One task a kind contracts them, numbers the contracted graph by level and finds the depths; blocks of ids
 then pass through that graph as sets of bits, spread over tasks that each read the numbered graph from the shared folder. Counting distinct descendants
 over several parents has no shorter way than visiting the ancestors of each id; a word of 64 ids is visited at once, and only where one of them leads.
+
+What :func:`lineage` counts is listed by :func:`roots` and :func:`descendants`, and every way down to an id, not only a shortest one, by :func:`all_paths`.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from kinweave.plans.staging import stage
 
 #: Bytes of the bit sets a task holds, and links gathered at once.
 BIT_BYTES, GATHER = 1 << 28, 1 << 17
+#: Ways walked on at once, and ids of ways, or pairs, given out at once.
+WALKS, CELLS = 1 << 14, 1 << 20
 _INDEX = "kind string, link boolean, a long, b long, level int, depth_min long, depth_max long, loops boolean, via long"
 
 
@@ -137,13 +141,54 @@ def sweep(src: np.ndarray, dst: np.ndarray, level: np.ndarray, seeds: np.ndarray
         yield nodes, block, bits
 
 
-def _read(path: str, kind: str) -> tuple[np.ndarray, ...]:
-    """From a written index: children, parents; ids in the order of their numbers, their numbers; levels of the numbers; numbers of the roots."""
+def walks(up: np.ndarray, at: np.ndarray, top: np.ndarray, loop: np.ndarray, seeds: np.ndarray) -> Iterator[np.ndarray]:
+    """Every way from a root to each of ``seeds`` on which no node comes twice: arrays of a row a way, from the root to the seed.
+
+    The parents of ``x`` are ``up[at[x]:at[x + 1]]``, ``top`` tells the roots, and nodes of the same ``loop`` are each other's ancestors, so that only they can come again.
+    Ways are walked up in chunks, the last one first; a chunk holds the highest node of each way and its place in the chunk below.
+    """
+    todo = [(seeds, seeds, None, 1)]
+    while todo:
+        last, back, below, width = todo.pop()
+        n = at[last + 1] - at[last]
+        cut = max(1, int(np.searchsorted(np.cumsum(n), WALKS, "right")))
+        if cut < len(last):
+            todo.append((last[cut:], back[cut:], below, width))
+            last, back, n = last[:cut], back[:cut], n[:cut]
+        chunk = last, back, below, width
+        ends = np.flatnonzero(top[last])
+        for lo in range(0, len(ends), max(1, CELLS // width)):
+            place, here, way = ends[lo : lo + max(1, CELLS // width)], chunk, []
+            while here is not None:
+                way.append(here[0][place])
+                place, here = here[1][place], here[2]
+            yield np.stack(way, axis=1)
+        place = np.repeat(np.arange(len(last)), n)
+        nxt = up[_rows(at[last], at[last + 1])]
+        again = np.zeros(len(nxt), bool)
+        check, here, on = np.arange(len(nxt)), chunk, place
+        while here is not None and len(check):
+            seen, new = here[0][on], nxt[check]
+            again[check[seen == new]] = True
+            go = (seen != new) & (loop[seen] == loop[new])
+            check, on, here = check[go], here[1][on[go]], here[2]
+        if not again.all():
+            todo.append((nxt[~again], place[~again], chunk, width + 1))
+
+
+def _dataset(path: str):
     import pyarrow.dataset as ds
     from pyarrow import fs
 
     where, inner = fs.FileSystem.from_uri(path)
-    data = ds.dataset(inner, filesystem=where, format="parquet")
+    return ds.dataset(inner, filesystem=where, format="parquet")
+
+
+def _read(path: str, kind: str) -> tuple[np.ndarray, ...]:
+    """From a written index: children, parents; ids in the order of their numbers, their numbers; levels of the numbers; numbers of the roots."""
+    import pyarrow.dataset as ds
+
+    data = _dataset(path)
     mine = ds.field("kind") == kind
     links = data.to_table(columns=["a", "b"], filter=mine & ds.field("link"))
     rows = data.to_table(columns=["a", "b", "level", "depth_min"], filter=mine & ~ds.field("link"))
@@ -198,8 +243,20 @@ def indexed_links(links: DataFrame, base_links: int = BASE_LINKS) -> DataFrame:
     return stage(links.withColumn("role", F.lit(0)).unionByName(ids).groupBy("kind").applyInPandas(number, _INDEX), "index")
 
 
-def lineage(links: DataFrame, base_links: int = BASE_LINKS, tasks: int | None = None) -> DataFrame:
-    """The hierarchy over all parents, for every id that is a child or a parent.
+def all_ids(nodes: DataFrame, edges: DataFrame, individuals: DataFrame) -> DataFrame:
+    """Every node (also children of edges that nodes does not hold) and individual, with or without links: ``kind``, ``id``; NULL and -1 are no ids."""
+    nodes = nodes.select("id").unionByName(edges.select(F.col("child").alias("id"))).select(F.lit("node").alias("kind"), "id")
+    return nodes.unionByName(individuals.select(F.lit("individual").alias("kind"), "id")).where("id <> -1")
+
+
+def _alone(ids: DataFrame, indexed: DataFrame) -> DataFrame:
+    """The ids that no link of the index holds."""
+    held = indexed.where("not link").select("kind", F.col("a").alias("id"))
+    return ids.where("kind is not null and id is not null").select("kind", "id").distinct().join(held, ["kind", "id"], "left_anti")
+
+
+def lineage(links: DataFrame, base_links: int = BASE_LINKS, tasks: int | None = None, ids: DataFrame | None = None) -> DataFrame:
+    """The hierarchy over all parents, for every id that is a child or a parent, and every one of ``ids`` (``kind``, ``id``): without links it is a root alone.
 
     Columns: ``kind``, ``id``; ``loops`` (some way up never ends: the id or an ancestor is on a loop); ``n_roots`` (roots reached, a root reaches itself);
     ``depth_min`` (fewest links to a root) and ``depth_max`` (most links to a root between different loops, links within a loop count none; the longest
@@ -227,10 +284,16 @@ def lineage(links: DataFrame, base_links: int = BASE_LINKS, tasks: int | None =
     ways = _paths(forest, base_links).select(
         kind_of(F.col("node"), kinds).alias("kind"), decoded(F.col("node"), kinds).alias("id"), F.transform(F.reverse(F.concat("steps", F.array("up"))), lambda x: decoded(x, kinds)).alias("path")
     )
-    return rows.join(counts, ["kind", "b"], "left").join(ways, ["kind", "id"], "left").select(
+    out = rows.join(counts, ["kind", "b"], "left").join(ways, ["kind", "id"], "left").select(
         "kind", "id", "loops", F.coalesce("above", F.lit(0)).alias("n_roots"), "depth_min", "depth_max",
         F.when(F.col("depth_min") == 0, F.array("id")).otherwise(F.col("path")).alias("path"), (F.col("below") - 1).alias("n_descendants"),
     )
+    if ids is None:
+        return out
+    none = F.lit(0).cast("long")
+    return out.unionByName(_alone(ids, indexed).select(
+        "kind", "id", F.lit(False).alias("loops"), F.lit(1).cast("long").alias("n_roots"), none.alias("depth_min"), none.alias("depth_max"), F.array("id").alias("path"), none.alias("n_descendants"),
+    ))
 
 
 def roots(links: DataFrame, base_links: int = BASE_LINKS, tasks: int | None = None) -> DataFrame:
@@ -249,3 +312,101 @@ def roots(links: DataFrame, base_links: int = BASE_LINKS, tasks: int | None = No
                 yield pd.DataFrame({"kind": kind, "id": ids[mine], "root": np.repeat(ids[starts[block[which]]], starts[some + 1] - starts[some])})
 
     return _spread(indexed, _tasks(indexed, tasks), pairs, "kind string, id long, root long")
+
+
+def _spans(weight: np.ndarray, most: int = CELLS) -> Iterator[slice]:
+    """Stretches of at most ``most`` in all, or of one."""
+    ends, lo = np.cumsum(weight), 0
+    while lo < len(weight):
+        hi = max(lo + 1, int(np.searchsorted(ends, most + (ends[lo - 1] if lo else 0), "right")))
+        yield slice(lo, hi)
+        lo = hi
+
+
+def descendants(links: DataFrame, base_links: int = BASE_LINKS, tasks: int | None = None) -> DataFrame:
+    """Every other id that reaches an id over all parents: ``kind``, ``id``, ``descendant``; as many rows an id as ``n_descendants`` of :func:`lineage`."""
+    indexed = indexed_links(links, base_links)
+    path = indexed._staged_path
+
+    def pairs(kind: str, part: int, parts: int) -> Iterator[pd.DataFrame]:
+        child, parent, ids, at, level, _ = _read(path, kind)
+        starts = np.searchsorted(at, np.arange(len(level) + 1))
+        size = np.diff(starts)
+        for nodes, block, bits in sweep(child, parent, level, np.arange(len(level)), min(4, _words(len(level))), part, parts):
+            for lo in range(0, len(nodes), 1 << 14):
+                some, which = np.nonzero(np.unpackbits(bits[lo : lo + (1 << 14)].view("uint8"), axis=1, bitorder="little"))
+                over, under = nodes[lo : lo + (1 << 14)][some], block[which]
+                for x in _spans(size[under]):  # all members of a loop below, then all of a loop above
+                    low = _rows(starts[under[x]], starts[under[x] + 1])
+                    high = np.repeat(over[x], size[under[x]])
+                    for y in _spans(size[high]):
+                        a, b = ids[_rows(starts[high[y]], starts[high[y] + 1])], np.repeat(ids[low[y]], size[high[y]])
+                        yield pd.DataFrame({"kind": kind, "id": a[a != b], "descendant": b[a != b]})
+
+    return _spread(indexed, _tasks(indexed, tasks), pairs, "kind string, id long, descendant long")
+
+
+def all_paths(links: DataFrame, base_links: int = BASE_LINKS, tasks: int | None = None, ids: DataFrame | None = None, wanted: DataFrame | None = None) -> DataFrame:
+    """Every path, not only a shortest: ``kind``, ``id``, ``root``, ``depth`` (links of the path), ``path`` (ids from the root to the id, none of them twice, over any parents).
+
+    ``ids`` are as in :func:`lineage`; ``wanted`` (``kind``, ``id``) leaves the paths to other ids out. An id that reaches no root has no path. The number of paths grows
+    much faster than that of links, so they are given out as they are walked, and none is held. Each task reads the links of a kind.
+    """
+    import pyarrow as pa
+
+    links = stage(links.select("kind", "child", "parent").where(F.col("child").isNotNull() & F.col("parent").isNotNull()).distinct(), "links")
+    indexed = indexed_links(links, base_links)
+    seeds = indexed.where("not link and depth_min is not null").select("kind", F.col("a").alias("id"))
+    if wanted is not None:
+        seeds = seeds.join(wanted.select("kind", "id").distinct(), ["kind", "id"], "left_semi")
+    seeds = stage(seeds, "seeds")
+    spark, schema = links.sparkSession, "kind string, id long, root long, depth long, path array<long>"
+    few = 8 * spark.sparkContext.defaultParallelism  # ids differ widely in their paths
+    todo = [(k, i, p) for k, n in seeds.groupBy("kind").count().collect() for p in [min(n, tasks or max(few, n // 10_000))] for i in range(p)]
+    link_path, index_path, seed_path = links._staged_path, indexed._staged_path, seeds._staged_path
+
+    def ways(kind: str, part: int, parts: int) -> Iterator[np.ndarray]:
+        import pyarrow.dataset as ds
+
+        mine = ds.field("kind") == kind
+        rows = _dataset(index_path).to_table(columns=["a", "b", "depth_min"], filter=mine & ~ds.field("link"))
+        names, loop, near = rows["a"].to_numpy(), rows["b"].to_numpy(), rows["depth_min"].fill_null(-1).to_numpy()
+        order = np.argsort(names)
+        names, loop, near = names[order], loop[order], near[order]
+        table = _dataset(link_path).to_table(columns=["child", "parent"], filter=mine)
+        child, parent = (np.searchsorted(names, table[c].to_numpy()) for c in ("child", "parent"))
+        child, parent = child[near[parent] >= 0], parent[near[parent] >= 0]
+        order = np.lexsort((parent, child))
+        at = np.searchsorted(child[order], np.arange(len(names) + 1))
+        to = np.searchsorted(names, _dataset(seed_path).to_table(columns=["id"], filter=mine)["id"].to_numpy())
+        to = to[np.lexsort((to, loop[to]))][part::parts]  # numbers follow the levels, so each task gets ids of all levels
+        for way in walks(parent[order].astype("int32"), at, near == 0, loop, to.astype("int32")):
+            yield names[way]
+
+    def batch(kind: str, some: list[np.ndarray]) -> pa.RecordBatch:
+        width = np.repeat([w.shape[1] for w in some], [len(w) for w in some])
+        flat, ends = np.concatenate([w.ravel() for w in some]), np.concatenate([[0], np.cumsum(width)])
+        cells = pa.ListArray.from_arrays(pa.array(ends.astype("int32")), pa.array(flat))
+        columns = [pa.repeat(kind, len(width)), pa.array(flat[ends[1:] - 1]), pa.array(flat[ends[:-1]]), pa.array(width - 1), cells]
+        return pa.RecordBatch.from_arrays(columns, names=["kind", "id", "root", "depth", "path"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for given in batches:
+            for i in given.column(0).to_pylist():
+                some, held = [], 0
+                for way in ways(*todo[i]):
+                    some.append(way)
+                    held += way.size
+                    if held >= CELLS:
+                        yield batch(todo[i][0], some)
+                        some, held = [], 0
+                if some:
+                    yield batch(todo[i][0], some)
+
+    out = spark.range(0, len(todo), 1, len(todo)).mapInArrow(run, schema) if todo else spark.createDataFrame([], schema)
+    if ids is None:
+        return out
+    lone = _alone(ids, indexed)
+    if wanted is not None:
+        lone = lone.join(wanted.select("kind", "id").distinct(), ["kind", "id"], "left_semi")
+    return out.unionByName(lone.select("kind", "id", F.col("id").alias("root"), F.lit(0).cast("long").alias("depth"), F.array("id").alias("path")))

@@ -72,3 +72,49 @@ def test_blocks_of_seeds():
 def test_empty_lineage(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert lineage.lineage(none).count() == 0 and lineage.roots(none).count() == 0
+
+
+def test_descendants_and_all_paths(spark):
+    rnd = random.Random(3)
+    links = [(i, rnd.randrange(max(0, i - 6), i)) for i in range(4, 24) for _ in range(2)] + [(2, 1), (1, 0), (30, 31), (31, 30), (32, 31), (33, 33), (34, 34), (34, 5)]
+    links += [(40, 6), (41, 40), (42, 41), (40, 42), (41, 7), (43, 42), (43, 41), (42, 40)]  # a loop entered at two members, with links both ways
+    links = sorted(set(links))
+    df = spark.createDataFrame([("node", a, b) for a, b in links + links[:3]] + [("individual", 5, 6), ("individual", None, 1)], SCHEMA)
+    ids = spark.createDataFrame([("node", 5), ("node", 90), ("node", 90), ("node", None), ("individual", 90), ("individual", 6)], "kind string, id long")
+    up, r, everyone = {}, reach(links), {y for link in links for y in link}
+    for a, b in links:
+        up.setdefault(a, []).append(b)
+
+    def ways(x, below):
+        if x not in up:
+            return [(x, *below)]
+        return [w for p in up[x] if p != x and p not in below for w in ways(p, (x, *below))]
+
+    below = [tuple(x) for x in lineage.descendants(df, 10**6, tasks=2).collect()]
+    want = {("node", y, x) for x in everyone for y in r.get(x, ()) if x != y} | {("individual", 6, 5)}
+    assert len(below) == len(set(below)) and set(below) == want
+    rows = lineage.all_paths(df, 10**6, tasks=3, ids=ids).collect()
+    got = [(x["kind"], *x["path"]) for x in rows]
+    want = {("node", *w) for x in everyone for w in ways(x, ())} | {("individual", 6), ("individual", 6, 5), ("node", 90), ("individual", 90)}
+    assert len(got) == len(set(got)) and set(got) == want
+    assert all((x["root"], x["id"], x["depth"]) == (x["path"][0], x["path"][-1], len(x["path"]) - 1) for x in rows)
+    some = lineage.all_paths(df, 10**6, ids=ids, wanted=ids).select("kind", "path").collect()
+    assert {(k, *w) for k, w in some} == {w for w in want if (w[0], w[-1]) in {("node", 5), ("node", 90), ("individual", 90), ("individual", 6)}}
+    rows = {(x["kind"], x["id"]): tuple(x)[2:] for x in lineage.lineage(df, 10**6, tasks=1, ids=ids).collect()}
+    assert set(rows) == {("node", x) for x in everyone | {90}} | {("individual", x) for x in (5, 6, 90)}
+    assert rows["node", 90] == rows["individual", 90] == (False, 1, 0, 0, [90], 0)
+
+
+def test_walks_in_small_chunks(monkeypatch):
+    monkeypatch.setattr(lineage, "WALKS", 3)
+    monkeypatch.setattr(lineage, "CELLS", 5)
+    up = [[], [0], [0, 1], [1, 2], [0, 2, 3], [], [4, 5, 3]]
+    at = np.cumsum([0] + [len(x) for x in up])
+    top = np.array([not x for x in up])
+
+    def ways(x):
+        return [[x]] if not up[x] else [[*w, x] for p in up[x] for w in ways(p)]
+
+    got = [w for way in lineage.walks(np.concatenate(up).astype(int), at, top, np.arange(7), np.arange(7)) for w in way.tolist()]
+    assert sorted(got) == sorted(w for x in range(7) for w in ways(x))
+    assert [(s.start, s.stop) for s in lineage._spans(np.array([2, 2, 9, 1, 0, 3]), 5)] == [(0, 2), (2, 3), (3, 6)]
