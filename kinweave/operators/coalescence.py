@@ -125,7 +125,7 @@ def link_ancestors(g: Genealogy, samples: DataFrame, ancestors: DataFrame) -> Da
     seeds = samples.select("id").unionByName(ancestors.select("id")).distinct()
     front = seeds.select(F.col("id").alias("child"), F.col("id").alias("node"), F.lit(0.0).alias("left"), F.lit(float(g.sequence_length)).alias("right"))
     e = g.edges.select(F.col("left").alias("el"), F.col("right").alias("er"), "parent", F.col("child").alias("node"))
-    from kinweave.plans.staging import stage
+    from kinweave.plans.staging import measured as stage
 
     found = None
     while True:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from kinweave.model import Genealogy
 from kinweave.operators.genotypes import alleles, carriers
 from kinweave.plans.ancestry import ancestry, bin_width, binned
-from kinweave.plans.staging import stage
+from kinweave.plans.staging import measured as stage
 
 
 def _p(ab: Column, a: Column, b: Column, n: Column):

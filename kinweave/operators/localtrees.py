@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kinweave.model import Genealogy
 from kinweave.plans.ancestry import ancestry, bin_width, binned, local_edges, memo, overlap_join, sample_ancestry, sample_counts, trees
-from kinweave.plans.staging import stage
+from kinweave.plans.staging import measured as stage
 
 
 def paths_by_tree(g: Genealogy) -> DataFrame:

@@ -12,7 +12,8 @@ from kinweave.model import Genealogy, names
 from kinweave.operators.coverage import merged_intervals
 from kinweave.operators.hierarchy import cycles
 from kinweave.plans.ancestry import bin_width, mutation_parents, sample_counts
-from kinweave.plans.staging import dense_ids, stage
+from kinweave.plans.staging import dense_ids
+from kinweave.plans.staging import measured as stage
 
 
 def _remap(df: DataFrame, column: str, ids: DataFrame, drop: bool = False) -> DataFrame:
