@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinweave.model import Genealogy, names
+from kinweave.model import Genealogy, Later, names, now
 from kinweave.operators.coverage import merged_intervals
 from kinweave.operators.hierarchy import cycles
 from kinweave.plans.ancestry import bin_width, mutation_parents, sample_counts
@@ -31,15 +31,25 @@ def sort(g: Genealogy, edge_order: Sequence[Column | str] | None = None) -> Gene
 
     Mutations of a site that is not there go, and a parent that is not there becomes -1.
     """
-    t = g.nodes.select(F.col("id").alias("parent"), F.col("time").alias("_t"))
-    edges = dense_ids(g.edges.drop("id").join(t, "parent"), edge_order or ["_t", "parent", "child", "left"])
-    sites = dense_ids(g.sites.withColumnRenamed("id", "old"), ["position", "old"])
-    at = sites.select("old", F.col("id").alias("new"))
-    m = _remap(g.mutations, "site", at, drop=True).withColumnRenamed("id", "old")
-    m = dense_ids(m, [F.col("site"), F.col("time").desc_nulls_last(), F.col("old")])
-    m = _remap(m, "parent", m.select("old", F.col("id").alias("new")))
-    mig = dense_ids(g.migrations.drop("id"), ["time", "source", "dest", "left", "node"])
-    return g.with_tables(edges=_cols(edges, "edges"), sites=_cols(sites, "sites"), mutations=_cols(m, "mutations"), migrations=_cols(mig, "migrations"))
+    return _sorted(g, Later(lambda: g.nodes), edge_order)
+
+
+def _sorted(g: Genealogy, nodes: DataFrame | Later, edge_order: Sequence[Column | str] | None = None) -> Genealogy:
+    """:func:`sort`, with the times from ``nodes``; each table is numbered when it is read."""
+
+    def edges() -> DataFrame:
+        t = now(nodes).select(F.col("id").alias("parent"), F.col("time").alias("_t"))
+        return _cols(dense_ids(g.edges.drop("id").join(t, "parent"), edge_order or ["_t", "parent", "child", "left"]), "edges")
+
+    sites = Later(lambda: dense_ids(g.sites.withColumnRenamed("id", "old"), ["position", "old"]))
+
+    def mutations() -> DataFrame:
+        m = _remap(g.mutations, "site", sites().select("old", F.col("id").alias("new")), drop=True).withColumnRenamed("id", "old")
+        m = dense_ids(m, [F.col("site"), F.col("time").desc_nulls_last(), F.col("old")])
+        return _cols(_remap(m, "parent", m.select("old", F.col("id").alias("new"))), "mutations")
+
+    mig = Later(lambda: _cols(dense_ids(g.migrations.drop("id"), ["time", "source", "dest", "left", "node"]), "migrations"))
+    return g.with_tables(edges=Later(edges), sites=Later(lambda: _cols(sites(), "sites")), mutations=Later(mutations), migrations=mig)
 
 
 def squash(edges: DataFrame) -> DataFrame:
@@ -58,17 +68,20 @@ def delete_sites(g: Genealogy, ids: DataFrame) -> Genealogy:
     return keep_sites(g, g.sites.join(ids.select("id"), "id", "left_anti"))
 
 
-def keep_sites(g: Genealogy, kept: DataFrame) -> Genealogy:
-    sites = dense_ids(kept.withColumnRenamed("id", "old"), ["position", "old"])
-    m = _remap(g.mutations, "site", sites.select("old", F.col("id").alias("new")), drop=True)
-    return keep_mutations(g.with_tables(sites=_cols(sites, "sites")), m)
+def keep_sites(g: Genealogy, kept: DataFrame | Later) -> Genealogy:
+    sites = Later(lambda: dense_ids(now(kept).withColumnRenamed("id", "old"), ["position", "old"]))
+    m = Later(lambda: _remap(g.mutations, "site", sites().select("old", F.col("id").alias("new")), drop=True))
+    return keep_mutations(g.with_tables(sites=Later(lambda: _cols(sites(), "sites"))), m)
 
 
-def keep_mutations(g: Genealogy, kept: DataFrame) -> Genealogy:
+def keep_mutations(g: Genealogy, kept: DataFrame | Later) -> Genealogy:
     """Only these mutations, renumbered; a parent that is gone becomes -1."""
-    m = dense_ids(kept.withColumnRenamed("id", "old"), ["site", "old"])
-    m = _remap(m, "parent", m.select("old", F.col("id").alias("new")))
-    return g.with_tables(mutations=_cols(m, "mutations"))
+
+    def mutations() -> DataFrame:
+        m = dense_ids(now(kept).withColumnRenamed("id", "old"), ["site", "old"])
+        return _cols(_remap(m, "parent", m.select("old", F.col("id").alias("new"))), "mutations")
+
+    return g.with_tables(mutations=Later(mutations))
 
 
 def _check_intervals(intervals: Sequence[tuple[float, float]], L: float) -> list[tuple[float, float]]:
@@ -109,10 +122,8 @@ def shift(g: Genealogy, value: float, sequence_length: float | None = None) -> G
     ends = g.edges.agg(F.min("left"), F.max("right")).first()
     if ends[0] is not None and (ends[0] + value < 0 or ends[1] + value > L):
         raise ValueError("edges would leave the sequence")
-    out = g.with_tables(edges=move(g.edges, "left", "right"), migrations=move(g.migrations, "left", "right"), sites=move(g.sites, "position"))
-    from dataclasses import replace
-
-    return replace(out, sequence_length=float(L), memo={})
+    out = g.with_tables(edges=move(g.edges, "left", "right"), migrations=Later(lambda: move(g.migrations, "left", "right")), sites=Later(lambda: move(g.sites, "position")))
+    return out.with_tables(sequence_length=float(L))
 
 
 def trim(g: Genealogy, left: bool = True, right: bool = True) -> Genealogy:
@@ -168,8 +179,7 @@ def deduplicate_sites(g: Genealogy) -> Genealogy:
 
 
 def with_mutation_parents(g: Genealogy) -> Genealogy:
-    m = g.mutations.drop("parent").join(mutation_parents(g), "id")
-    return g.with_tables(mutations=_cols(m, "mutations"))
+    return g.with_tables(mutations=Later(lambda: _cols(g.mutations.drop("parent").join(mutation_parents(g), "id"), "mutations")))
 
 
 def with_mutation_times(g: Genealogy) -> Genealogy:
@@ -217,22 +227,33 @@ def _in_order_of_use(g: Genealogy, drop: bool) -> Genealogy:
 
 
 def _drop_unreferenced(g: Genealogy, sites: bool, individuals: bool, populations: bool) -> Genealogy:
+    given = g  # the populations of nodes do not depend on what follows
     if sites:
-        g = keep_sites(g, g.sites.join(g.mutations.select(F.col("site").alias("id")), "id", "left_semi"))
+        g = keep_sites(g, Later(lambda: given.sites.join(given.mutations.select(F.col("site").alias("id")), "id", "left_semi")))
     if individuals:
-        used = g.individuals.join(g.nodes.select(F.col("individual").alias("id")), "id", "left_semi")
-        ind = dense_ids(used.withColumnRenamed("id", "old"), ["old"])
-        to = ind.select("old", F.col("id").alias("new"))
-        par = ind.select("id", F.posexplode("parents").alias("_k", "_p")).join(to.select(F.col("old").alias("_p"), F.col("new").alias("_q")), "_p", "left")
-        par = par.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("_k", F.coalesce("_q", F.lit(-1).cast("long")).alias("_q")))), lambda x: x["_q"]).alias("parents"))
-        ind = ind.drop("parents").join(par, "id", "left").withColumn("parents", F.coalesce("parents", F.array().cast("array<long>")))
-        g = g.with_tables(individuals=_cols(ind, "individuals"), nodes=_cols(_remap(g.nodes, "individual", to), "nodes"))
+        used = Later(lambda: dense_ids(given.individuals.join(given.nodes.select(F.col("individual").alias("id")), "id", "left_semi").withColumnRenamed("id", "old"), ["old"]))
+        to_ind = lambda: used().select("old", F.col("id").alias("new"))
+
+        def kept() -> DataFrame:
+            ind = used()
+            par = ind.select("id", F.posexplode("parents").alias("_k", "_p")).join(to_ind().select(F.col("old").alias("_p"), F.col("new").alias("_q")), "_p", "left")
+            par = par.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("_k", F.coalesce("_q", F.lit(-1).cast("long")).alias("_q")))), lambda x: x["_q"]).alias("parents"))
+            return _cols(ind.drop("parents").join(par, "id", "left").withColumn("parents", F.coalesce("parents", F.array().cast("array<long>"))), "individuals")
+
+        g = g.with_tables(individuals=Later(kept), nodes=Later(lambda: _cols(_remap(given.nodes, "individual", to_ind()), "nodes")))
     if populations:
-        seen = g.nodes.select(F.col("population").alias("id")).unionByName(g.migrations.select(F.col("source").alias("id"))).unionByName(g.migrations.select(F.col("dest").alias("id")))
-        pop = dense_ids(g.populations.join(seen, "id", "left_semi").withColumnRenamed("id", "old"), ["old"])
-        to = pop.select("old", F.col("id").alias("new"))
-        mig = _remap(_remap(g.migrations, "source", to), "dest", to)
-        g = g.with_tables(populations=_cols(pop, "populations"), nodes=_cols(_remap(g.nodes, "population", to), "nodes"), migrations=_cols(mig, "migrations"))
+        before = g
+
+        def seen() -> DataFrame:
+            ids = given.nodes.select(F.col("population").alias("id")).unionByName(given.migrations.select(F.col("source").alias("id"))).unionByName(given.migrations.select(F.col("dest").alias("id")))
+            return dense_ids(given.populations.join(ids.distinct(), "id", "left_semi").withColumnRenamed("id", "old"), ["old"])
+
+        pop = Later(seen)
+        to_pop = lambda: pop().select("old", F.col("id").alias("new"))
+        g = g.with_tables(
+            populations=Later(lambda: _cols(pop(), "populations")), nodes=Later(lambda: _cols(_remap(before.nodes, "population", to_pop()), "nodes")),
+            migrations=Later(lambda: _cols(_remap(_remap(given.migrations, "source", to_pop()), "dest", to_pop()), "migrations")),
+        )
     return g
 
 
@@ -315,14 +336,16 @@ def simplify(
     ed = _remap(_remap(out, "parent", to, drop=True), "child", to, drop=True)
     ed = ed.withColumn("id", F.lit(0).cast("long")).withColumn("metadata", F.lit(None).cast("binary"))
     # a mutation stays with its node where that is kept (or an input root), moves to the kept node below where it was passed, and goes elsewhere
-    sited = g.mutations.join(g.sites.select(F.col("id").alias("site"), "position"), "site")
     here = status.where("stays").select("node", F.col("sl").alias("left"), F.col("sr").alias("right"), F.col("node").alias("child"))
     spots = here.unionByName(spots.select("node", "left", "right", "child"))
-    moved = sited.join(spots, "node").where((F.col("left") <= F.col("position")) & (F.col("position") < F.col("right"))).withColumn("node", F.col("child"))
-    m = _remap(moved.select(*names("mutations")), "node", to, drop=True)
-    res = keep_mutations(g.with_tables(nodes=_cols(n, "nodes"), edges=_cols(ed, "edges")), m)
-    res = sort(_drop_unreferenced(res, filter_sites, filter_individuals, filter_populations))
-    return res, to
+
+    def mutations() -> DataFrame:
+        sited = g.mutations.join(g.sites.select(F.col("id").alias("site"), "position"), "site")
+        moved = sited.join(spots, "node").where((F.col("left") <= F.col("position")) & (F.col("position") < F.col("right"))).withColumn("node", F.col("child"))
+        return _remap(moved.select(*names("mutations")), "node", to, drop=True)
+
+    res = keep_mutations(g.with_tables(nodes=_cols(n, "nodes"), edges=_cols(ed, "edges")), Later(mutations))
+    return _sorted(_drop_unreferenced(res, filter_sites, filter_individuals, filter_populations), n), to
 
 
 def at_sites(g: Genealogy, stretches: DataFrame) -> DataFrame:
@@ -365,39 +388,52 @@ def union(g: Genealogy, other: Genealogy, mapping: DataFrame, add_populations: b
     new = dense_ids(mapping.where("own = -1").select(F.col("other").alias("old")), ["old"], "k").select("old", (F.col("k") + base).alias("new"))
     to = stage(mapping.where("own <> -1").select(F.col("other").alias("old"), F.col("own").alias("new")).unionByName(new), "map")
     on = other.nodes.join(new, F.col("id") == F.col("old")).drop("old")
-    pops, populations = None, g.populations
+    pops, populations = None, Later(lambda: g.populations)
     if add_populations:
-        p0 = (g.populations.agg(F.max("id")).first()[0])
-        p0 = -1 if p0 is None else p0
-        pops = dense_ids(on.where("population <> -1").select(F.col("population").alias("old")).distinct(), ["old"], "k").select("old", (F.col("k") + p0 + 1).alias("new"))
-        populations = populations.unionByName(_cols(_remap(other.populations, "id", pops, drop=True), "populations"))
-    i0 = g.individuals.agg(F.max("id")).first()[0]
-    i0 = -1 if i0 is None else i0
-    inds = dense_ids(on.where("individual <> -1").select(F.col("individual").alias("old")).distinct(), ["old"], "k").select("old", (F.col("k") + i0 + 1).alias("new"))
-    individuals = g.individuals.unionByName(_cols(_remap(other.individuals, "id", inds, drop=True), "individuals"))
-    on = on.withColumn("id", F.col("new")).drop("new")
-    on = _remap(on, "individual", inds)
-    if pops is not None:
-        on = _remap(on, "population", pops)
-    nodes = g.nodes.unionByName(_cols(on, "nodes"))
+        pops = Later(lambda: dense_ids(on.where("population <> -1").select(F.col("population").alias("old")).distinct(), ["old"], "k").select("old", (F.col("k") + _last(g.populations) + 1).alias("new")))
+        populations = Later(lambda: g.populations.unionByName(_cols(_remap(other.populations, "id", pops(), drop=True), "populations")))
+
+    def fresh_individuals() -> DataFrame:
+        return dense_ids(on.where("individual <> -1").select(F.col("individual").alias("old")).distinct(), ["old"], "k").select("old", (F.col("k") + _last(g.individuals) + 1).alias("new"))
+
+    inds = Later(fresh_individuals)
+    individuals = Later(lambda: g.individuals.unionByName(_cols(_remap(other.individuals, "id", inds(), drop=True), "individuals")))
+
+    def nodes() -> DataFrame:
+        added = _remap(on.withColumn("id", F.col("new")).drop("new"), "individual", inds())
+        return g.nodes.unionByName(_cols(added if pops is None else _remap(added, "population", pops()), "nodes"))
+
+    times = g.nodes.select("id", "time").unionByName(on.select(F.col("new").alias("id"), "time"))
     fresh = new.select("new")
     oe = _remap(_remap(other.edges, "parent", to, drop=True), "child", to, drop=True)
     oe = oe.join(fresh.select(F.col("new").alias("parent"), F.lit(True).alias("_p")), "parent", "left").join(fresh.select(F.col("new").alias("child"), F.lit(True).alias("_c")), "child", "left").where("_p or _c")
     edges = g.edges.unionByName(_cols(oe, "edges"))
-    om = _remap(other.mutations, "node", new, drop=True).join(other.sites.select(F.col("id").alias("site"), "position"), "site")
-    wanted = om.select("position").distinct().join(g.sites.select("position"), "position", "left_anti")
-    s0 = g.sites.agg(F.max("id")).first()[0]
-    s0 = -1 if s0 is None else s0
-    fresh_sites = dense_ids(other.sites.drop("id").join(wanted, "position", "left_semi"), ["position"], "k").withColumn("id", F.col("k") + s0 + 1)
-    sites = stage(g.sites.unionByName(_cols(fresh_sites, "sites")), "sites")
-    m0 = g.mutations.agg(F.max("id")).first()[0]
-    m0 = -1 if m0 is None else m0
-    om = om.drop("site", "parent").join(sites.select(F.col("id").alias("site"), "position"), "position").withColumn("id", F.col("id") + m0 + 1).withColumn("parent", F.lit(-1).cast("long"))
-    muts = g.mutations.unionByName(_cols(om, "mutations"))
-    out = sort(g.with_tables(nodes=nodes, edges=edges, sites=sites, mutations=muts, individuals=individuals, populations=populations))
+    theirs = Later(lambda: _remap(other.mutations, "node", new, drop=True).join(other.sites.select(F.col("id").alias("site"), "position"), "site"))
+    sites = Later(lambda: _with_sites(g, other, theirs()))
+    muts = Later(lambda: _with_mutations(g, sites(), theirs()))
+    out = _sorted(g.with_tables(nodes=Later(nodes), edges=edges, sites=sites, mutations=muts, individuals=individuals, populations=populations), times)
     return with_mutation_parents(out)
 
 
+def _last(table: DataFrame) -> int:
+    """The largest id, or -1."""
+    found = table.agg(F.max("id")).first()[0]
+    return -1 if found is None else found
+
+
+def _with_sites(g: Genealogy, other: Genealogy, moved: DataFrame) -> DataFrame:
+    """Sites of ``g``, and those of ``other`` at positions of ``moved`` mutations where ``g`` has none."""
+    wanted = moved.select("position").distinct().join(g.sites.select("position"), "position", "left_anti")
+    fresh = dense_ids(other.sites.drop("id").join(wanted, "position", "left_semi"), ["position"], "k").withColumn("id", F.col("k") + _last(g.sites) + 1)
+    return stage(g.sites.unionByName(_cols(fresh, "sites")), "sites")
+
+
+def _with_mutations(g: Genealogy, sites: DataFrame, moved: DataFrame) -> DataFrame:
+    """Mutations of ``g``, and those ``moved`` from another genealogy, at the sites of their positions."""
+    m = moved.drop("site", "parent").join(sites.select(F.col("id").alias("site"), "position"), "position").withColumn("id", F.col("id") + _last(g.mutations) + 1)
+    return g.mutations.unionByName(_cols(m.withColumn("parent", F.lit(-1).cast("long")), "mutations"))
+
+
 def concatenate(g: Genealogy, *others: Genealogy, mappings: Sequence[DataFrame | None] | None = None) -> Genealogy:
     """``others`` laid behind ``g`` along the sequence, one after the other.
 
@@ -409,40 +445,27 @@ def concatenate(g: Genealogy, *others: Genealogy, mappings: Sequence[DataFrame |
 
 
 def _behind(g: Genealogy, other: Genealogy, mapping: DataFrame | None) -> Genealogy:
-    from dataclasses import replace
-
     L = g.sequence_length + other.sequence_length
     moved = shift(other, g.sequence_length, L)
     if mapping is not None:
-        return _union_all(replace(g, sequence_length=L, memo={}), moved, stage(mapping, "mapping"))
+        return _union_all(g.with_tables(sequence_length=L), moved, stage(mapping, "mapping"))
     a = dense_ids(g.samples().withColumnRenamed("id", "own"), ["own"], "k")
     b = dense_ids(other.samples().withColumnRenamed("id", "other"), ["other"], "k")
     if a.count() != b.count():
         raise ValueError("both need equally many samples")
     pairs = a.join(b, "k").select("other", "own")
     mapping = other.nodes.select(F.col("id").alias("other")).join(pairs, "other", "left").select("other", F.coalesce("own", F.lit(-1).cast("long")).alias("own"))
-    return _union_all(replace(g, sequence_length=L, memo={}), moved, stage(mapping, "mapping"))
+    return _union_all(g.with_tables(sequence_length=L), moved, stage(mapping, "mapping"))
 
 
 def _union_all(g: Genealogy, other: Genealogy, mapping: DataFrame) -> Genealogy:
     """As :func:`union`, with all edges and mutations of ``other``, also those between shared nodes."""
     out = union(g, other, mapping)
-    base = (g.nodes.agg(F.max("id")).first()[0] or -1) + 1
-    new = dense_ids(mapping.where("own = -1").select(F.col("other").alias("old")), ["old"], "k").select("old", (F.col("k") + base).alias("new"))
     shared = mapping.where("own <> -1").select(F.col("other").alias("old"), F.col("own").alias("new"))
-    del new
     between = _remap(_remap(other.edges, "parent", shared, drop=True), "child", shared, drop=True)
-    own = _remap(other.mutations, "node", shared, drop=True).join(other.sites.select(F.col("id").alias("site"), "position"), "site")
-    have = out.sites.select("position", F.col("id").alias("site"))
-    wanted = own.select("position").distinct().join(have, "position", "left_anti")
-    s0 = out.sites.agg(F.max("id")).first()[0]
-    s0 = -1 if s0 is None else s0
-    more = dense_ids(other.sites.drop("id").join(wanted, "position", "left_semi"), ["position"], "k").withColumn("id", F.col("k") + s0 + 1)
-    sites = stage(out.sites.unionByName(_cols(more, "sites")), "sites")
-    m0 = out.mutations.agg(F.max("id")).first()[0]
-    m0 = -1 if m0 is None else m0
-    own = own.drop("site", "parent").join(sites.select(F.col("id").alias("site"), "position"), "position").withColumn("id", F.col("id") + m0 + 1).withColumn("parent", F.lit(-1).cast("long"))
-    full = out.with_tables(edges=out.edges.unionByName(_cols(between, "edges")), sites=sites, mutations=out.mutations.unionByName(_cols(own, "mutations")))
+    own = Later(lambda: _remap(other.mutations, "node", shared, drop=True).join(other.sites.select(F.col("id").alias("site"), "position"), "site"))
+    sites = Later(lambda: _with_sites(out, other, own()))
+    full = out.with_tables(edges=out.edges.unionByName(_cols(between, "edges")), sites=sites, mutations=Later(lambda: _with_mutations(out, sites(), own())))
     return with_mutation_parents(sort(full))
 
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from kinweave.operators import transforms as tr
 from kinweave.plans.staging import measured, unsent
 
 
@@ -23,3 +24,13 @@ def test_large_tables_are_not_broadcast_by_the_size_of_their_files(spark):
         assert unsent(small, 40) is small
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_tables_are_numbered_when_read(weave, monkeypatch):
+    calls = []
+    number = tr.dense_ids
+    monkeypatch.setattr(tr, "dense_ids", lambda *a: (calls.append(1), number(*a))[1])
+    c = tr.canonicalise(weave)
+    assert not calls
+    assert c.populations.count() <= weave.populations.count() and len(calls) == 1
+    assert c.mutations.count() == weave.mutations.count() and len(calls) > 1
