@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from kinweave.operators import genotypes as ge
 from kinweave.operators import transforms as tr
 from kinweave.plans.staging import measured, unsent
 
@@ -34,3 +35,16 @@ def test_tables_are_numbered_when_read(weave, monkeypatch):
     assert not calls
     assert c.populations.count() <= weave.populations.count() and len(calls) == 1
     assert c.mutations.count() == weave.mutations.count() and len(calls) > 1
+
+
+def _refuse(*_, **__):
+    raise AssertionError("carriers are listed")
+
+
+def test_counts_of_alleles_list_no_sample(weave, monkeypatch):
+    plan = ge.variants(weave).select("site", "frequencies")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(struct(sample" not in plan
+    monkeypatch.setattr(ge, "carriers", _refuse)
+    n = weave.samples().count()
+    rows = ge.variant_summary(weave).collect()
+    assert len(rows) == weave.sites.count() and all(sum(r["counts"]) + r["num_missing"] == n for r in rows)
