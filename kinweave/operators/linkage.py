@@ -1,17 +1,20 @@
 """Two-locus statistics of pairs of sites.
 
-Haplotype counts come from the carriers of the derived alleles of both sites; counts with an ancestral allele follow by subtraction
-from the counts of each site, so samples with the ancestral state are never listed. Pairs of sites are an input: there is no implicit all-pairs.
+The samples with a derived allele are those below the mutations to it without those below the mutations away from it. Two such sets of one tree share the samples of the lower node,
+if one node is above the other, or none: haplotypes of two sites of a tree are counted without listing a sample. Only for pairs whose sites lie in different trees the carriers are listed.
+Counts with an ancestral allele follow by subtraction from the counts of each site. Pairs of sites are an input: there is no implicit all-pairs.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.model import Genealogy
 from kinweave.operators.genotypes import alleles, carriers
-from kinweave.plans.ancestry import ancestry, bin_width, binned
+from kinweave.plans.ancestry import allele_counts, ancestry, bin_width, binned, inherited_states, sample_counts, trees
 from kinweave.plans.staging import measured as stage
 
 
@@ -133,6 +136,33 @@ TWO_WAY = {
 }
 
 
+def _of_one_tree(g: Genealogy, pairs: DataFrame, al: DataFrame, counts: DataFrame, x: str) -> DataFrame:
+    """Samples with two derived alleles, for pairs of sites of one tree: ``site_a``, ``site_b``, ``ia``, ``ib``, ``n_ab``."""
+    m = inherited_states(g).select("site", "position", "node", "derived_state", "inherited_state")
+    signed = m.select("site", "position", "node", F.col("derived_state").alias("allele"), F.lit(1).alias("sign")).unionByName(m.select("site", "position", "node", F.col("inherited_state").alias("allele"), F.lit(-1).alias("sign")))
+    t = signed.join(al.where("index > 0"), ["site", "allele"]).groupBy("site", "position", "node", "index").agg(F.sum("sign").alias("sign")).where("sign <> 0")
+    here = (F.col("left") <= F.col("position")) & (F.col("position") < F.col("right"))
+    t = stage(t.join(counts.select("node", "left", "right", F.col(x).alias("x")), "node").where(here & (F.col("x") > 0)).select("site", "position", "node", "index", "sign", "x"), "signed")
+    a = ancestry(g, g.mutations.select(F.col("node").alias("id")), "mutated").select(F.col("start").alias("node"), F.col("node").alias("above"), "left", "right", "depth")
+    up = stage(t.join(a, "node").where(here).select("site", "index", (F.col("sign") * F.col("x")).alias("v"), F.col("above").alias("node"), "depth"), "above")
+    t = t.select("site", "index", "node", "sign")
+    low_a = pairs.join(up.toDF("site_a", "ia", "v", "node", "depth"), "site_a").join(t.toDF("site_b", "ib", "node", "sign"), ["site_b", "node"])
+    low_b = pairs.join(up.where("depth > 0").toDF("site_b", "ib", "v", "node", "depth"), "site_b").join(t.toDF("site_a", "ia", "node", "sign"), ["site_a", "node"])
+    keys = ["site_a", "site_b", "ia", "ib"]
+    met = low_a.select(*keys, (F.col("v") * F.col("sign")).alias("v")).unionByName(low_b.select(*keys, (F.col("v") * F.col("sign")).alias("v")))
+    return met.groupBy(*keys).agg(F.sum("v").alias("n_ab"))
+
+
+def _of_two_trees(g: Genealogy, pairs: DataFrame, al: DataFrame, sets: DataFrame) -> DataFrame:
+    """The same for pairs whose sites lie in different trees, from the carriers of their alleles."""
+    wanted = pairs.select(F.col("site_a").alias("site")).unionByName(pairs.select(F.col("site_b").alias("site"))).distinct()
+    part = g.with_tables(mutations=g.mutations.join(wanted, "site", "left_semi").select(*g.mutations.columns))
+    c = carriers(part).select("site", "sample", "allele").join(al.where("index > 0"), ["site", "allele"]).join(sets.select("sample"), "sample", "left_semi")
+    c = stage(c.select("site", "sample", "index"), "carriers")  # read twice
+    one = pairs.join(c.toDF("site_a", "sample", "ia"), "site_a")
+    return one.join(c.toDF("site_b", "sample", "ib"), ["site_b", "sample"]).groupBy("site_a", "site_b", "ia", "ib").agg(F.count(F.lit(1)).alias("n_ab"))
+
+
 def haplotype_counts(g: Genealogy, pairs: DataFrame, samples: DataFrame | None = None) -> DataFrame:
     """For each pair of sites and of their alleles: ``site_a``, ``site_b``, ``ia``, ``ib`` (allele indexes), ``n_ab``, ``n_a``, ``n_b``, ``n``.
 
@@ -140,16 +170,19 @@ def haplotype_counts(g: Genealogy, pairs: DataFrame, samples: DataFrame | None =
     """
     pairs = pairs.select("site_a", "site_b").distinct()
     al = alleles(g).select("site", "index", "allele")
-    c = carriers(g).select("site", "sample", "allele").join(al, ["site", "allele"]).where("index > 0").select("site", "sample", "index")
+    sets, key, x = g.samples().select(F.col("id").alias("sample"), F.lit(0).alias("set")), "all", "x_all"
     if samples is not None:
-        c = c.join(samples.select("sample").distinct(), "sample", "left_semi").select("site", "sample", "index")
-    c = stage(c, "carriers")  # read four times below
-    single = al.join(c.groupBy("site", "index").agg(F.count(F.lit(1)).alias("k")), ["site", "index"], "left").select("site", "index", F.coalesce("k", F.lit(0)).alias("k"))
-    n = g.samples().count() if samples is None else samples.select("sample").distinct().count()
-    anc = single.groupBy("site").agg((F.lit(n) - F.sum("k")).alias("k")).select("site", F.lit(0).cast("long").alias("index"), "k")
-    single = single.where("index > 0").unionByName(anc)
-    x = pairs.join(c.toDF("site_a", "sample", "ia"), "site_a")
-    both = x.join(c.toDF("site_b", "sample", "ib"), ["site_b", "sample"]).groupBy("site_a", "site_b", "ia", "ib").agg(F.count(F.lit(1)).alias("n_ab"))
+        sets, key, x = samples.select("sample", F.lit(0).alias("set")).distinct(), f"pairs:{uuid.uuid4().hex}", "x_0"
+    n = sets.count()
+    single = al.join(allele_counts(g, sets, 1, key).select("site", "allele", F.col(x).alias("k")), ["site", "allele"]).select("site", "index", "k")
+    at = g.sites.select(F.col("id").alias("site"), "position")
+    width = bin_width(g)
+    tree = at.withColumn("_bin", F.floor(F.col("position") / width)).join(binned(trees(g), width), "_bin").where((F.col("left") <= F.col("position")) & (F.col("position") < F.col("right"))).select("site", "tree")
+    placed = stage(pairs.join(tree.toDF("site_a", "_ta"), "site_a").join(tree.toDF("site_b", "_tb"), "site_b"), "pairs")
+    near, far = (placed.where(F.col("_ta") == F.col("_tb") if same else F.col("_ta") != F.col("_tb")).select("site_a", "site_b") for same in (True, False))
+    both = _of_one_tree(g, near, al, sample_counts(g, sets, 1, key), x)
+    if not far.isEmpty():
+        both = both.unionByName(_of_two_trees(g, far, al, sets))
     grid = pairs.join(single.toDF("site_a", "ia", "n_a"), "site_a").join(single.toDF("site_b", "ib", "n_b"), "site_b")
     full = grid.join(both, ["site_a", "site_b", "ia", "ib"], "left").withColumn("n_ab", F.coalesce("n_ab", F.lit(0)))
     from pyspark.sql import Window

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from kinweave.operators import genotypes as ge
+from kinweave.operators import linkage as ld
 from kinweave.operators import transforms as tr
 from kinweave.plans.staging import measured, unsent
 
@@ -48,3 +49,10 @@ def test_counts_of_alleles_list_no_sample(weave, monkeypatch):
     n = weave.samples().count()
     rows = ge.variant_summary(weave).collect()
     assert len(rows) == weave.sites.count() and all(sum(r["counts"]) + r["num_missing"] == n for r in rows)
+
+
+def test_haplotypes_within_a_tree_list_no_sample(weave, monkeypatch):
+    monkeypatch.setattr(ld, "carriers", _refuse)
+    same = weave.sites.select(F.col("id").alias("site_a"), F.col("id").alias("site_b"))
+    rows = ld.haplotype_counts(weave, same).collect()
+    assert rows and all(r["n_ab"] == (r["n_a"] if r["ia"] == r["ib"] else 0) for r in rows)
